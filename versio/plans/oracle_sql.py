@@ -1,0 +1,104 @@
+"""DuckDB SQL twins of the registered queries (the correctness oracle).
+
+They run on the driver's pre-registered views. Pieces are composed from
+small CTE builders so each stage is stated once. Dialect notes (DuckDB):
+``regexp_replace`` needs the 'g' flag, RE2 writes \\x{85} for U+0085,
+``string_agg`` needs a constant separator, ``ceil`` returns DOUBLE.
+"""
+
+from __future__ import annotations
+
+from versio.functions.text import WS_CLASS_RE2
+
+WS = WS_CLASS_RE2
+MARK = "<<<PAGE_BREAK>>>"
+
+
+def strip(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def words(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array({expr}, '{WS}+'), lambda x: x <> '')"
+
+
+def tokens(expr: str) -> str:
+    return f"CAST(ceil(length({expr}) / 4.0) AS BIGINT)"
+
+
+def split_pages_cte(source: str, text: str = "text", key: str = "doc_id") -> str:
+    """pg(doc_id, page_idx, page): stripped non-blank pages, dense 0-based index."""
+    kept = f"list_filter(list_transform(string_split({text}, '{MARK}'), lambda p: {strip("p")}), lambda p: p <> '')"
+    return f"""pg_l AS (SELECT {key} AS doc_id, {kept} AS ps FROM {source}),
+pg AS (
+  SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INTEGER) AS page_idx, unnest(ps) AS page
+  FROM pg_l
+)"""
+
+
+def chunks_cte(limit: int, pages: str = "pg") -> str:
+    """ck(doc_id, page_idx, chunk_idx, chunk) from pages(doc_id, page_idx, page).
+
+    Runs: a long line (estimate >= limit) alone, or the short lines between
+    long lines. A recursive CTE walks each run's cost list and numbers the
+    greedy bins; a word run whose first cost passes the limit opens an empty bin.
+    """
+    L = int(limit)
+    return f"""ln_l AS (SELECT doc_id, page_idx, string_split(page, chr(10)) AS ls FROM {pages}),
+ln AS (
+  SELECT doc_id, page_idx, unnest(range(1, len(ls) + 1)) AS li, unnest(ls) AS line FROM ln_l
+),
+ln_t AS (SELECT *, {tokens('line')} AS t FROM ln),
+ln_r AS (
+  SELECT *, CASE WHEN t >= {L} THEN 2 * li
+            ELSE 2 * coalesce(max(CASE WHEN t >= {L} THEN li END) OVER (
+                   PARTITION BY doc_id, page_idx ORDER BY li
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 END AS rk
+  FROM ln_t
+),
+wd_l AS (SELECT doc_id, page_idx, rk, {words('line')} AS ws FROM ln_r WHERE t >= {L}),
+atom AS (
+  SELECT doc_id, page_idx, rk, false AS w, li AS k, line AS a, t AS c FROM ln_r WHERE t < {L}
+  UNION ALL
+  SELECT doc_id, page_idx, rk, true AS w, k, a, CAST(ceil((length(a) + 1) / 4.0) AS BIGINT) AS c
+  FROM (SELECT doc_id, page_idx, rk, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS a FROM wd_l)
+),
+atom_n AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, rk ORDER BY k) AS pos FROM atom
+),
+run AS (
+  SELECT doc_id, page_idx, rk, list(c ORDER BY pos) AS cs FROM atom_n GROUP BY doc_id, page_idx, rk
+),
+fold AS (
+  SELECT doc_id, page_idx, rk, cs, 1 AS pos,
+         CASE WHEN cs[1] > {L} THEN 1 ELSE 0 END AS bin, cs[1] AS used
+  FROM run
+  UNION ALL
+  SELECT doc_id, page_idx, rk, cs, pos + 1,
+         CASE WHEN used + cs[pos + 1] > {L} THEN bin + 1 ELSE bin END,
+         CASE WHEN used + cs[pos + 1] > {L} THEN cs[pos + 1] ELSE used + cs[pos + 1] END
+  FROM fold WHERE pos < len(cs)
+),
+binned AS (
+  SELECT a.doc_id, a.page_idx, a.rk, f.bin, a.w, a.pos, a.a
+  FROM atom_n a JOIN fold f
+    ON a.doc_id = f.doc_id AND a.page_idx = f.page_idx AND a.rk = f.rk AND a.pos = f.pos
+),
+bins AS (
+  SELECT doc_id, page_idx, rk, bin,
+         CASE WHEN bool_or(w) THEN string_agg(a, ' ' ORDER BY pos)
+              ELSE string_agg(a, chr(10) ORDER BY pos) END AS chunk
+  FROM binned GROUP BY doc_id, page_idx, rk, bin
+  UNION ALL
+  SELECT doc_id, page_idx, rk, 0 AS bin, '' AS chunk FROM run WHERE cs[1] > {L}
+),
+ck AS (
+  SELECT doc_id, page_idx,
+         CAST(row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY rk, bin) - 1 AS INTEGER) AS chunk_idx,
+         chunk
+  FROM bins
+)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
