@@ -1,0 +1,56 @@
+"""Spark query vs DuckDB twin: row count, column names and an order-insensitive
+hash of the values (floats rounded), like the driver's correctness check."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    return v
+
+
+def digest(columns, rows) -> str:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    lines = sorted(repr(tuple(_norm(r[i]) for i in order)) for r in rows)
+    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
+def compare(spark, con, name, query, sql, sf_dir):
+    sdf = query(spark, sf_dir)
+    s_cols = sdf.columns
+    s_rows = [tuple(r) for r in sdf.collect()]
+    rel = con.execute(sql)
+    d_cols = [d[0] for d in rel.description]
+    d_rows = rel.fetchall()
+    out = {
+        "name": name,
+        "rows": (len(s_rows), len(d_rows)),
+        "cols_match": sorted(s_cols) == sorted(d_cols),
+        "hash_match": digest(s_cols, s_rows) == digest(d_cols, d_rows),
+    }
+    if not out["hash_match"] and sorted(s_cols) == sorted(d_cols):
+        so = sorted(repr(tuple(_norm(r[s_cols.index(c)]) for c in sorted(s_cols))) for r in s_rows)
+        do = sorted(repr(tuple(_norm(r[d_cols.index(c)]) for c in sorted(d_cols))) for r in d_rows)
+        diff = [(a, b) for a, b in zip(so, do) if a != b][:1]
+        out["first_diff"] = [(a[:300], b[:300]) for a, b in diff]
+    elif sorted(s_cols) != sorted(d_cols):
+        out["cols"] = (sorted(s_cols), sorted(d_cols))
+    return out

@@ -1,0 +1,125 @@
+"""Translator plug-ins (U1, E5, E7, E12-E16 on the Python side).
+
+A translator is a picklable callable ``(text, target_lang) -> (text, usage)``.
+
+* ``ServiceTranslator`` builds the provider-shaped request body and hands it
+  to a caller-supplied ``post(provider, body) -> reply JSON``; the transport,
+  keys and endpoints stay with the caller (no SDKs are bundled). The reply is
+  read in the provider's shape.
+* ``get_translator`` is the registry: an unknown provider is an error.
+* ``EchoService`` / ``FlakyService`` are offline stand-ins for a service,
+  used by tests, the bench and the registered queries. They answer
+  ``[lang] text`` and report usage from the ceil(len/4) estimate.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from versio.functions.text import py_approx_tokens
+from versio.sources import dimensions as dims
+
+_STYLES = {name: (req, rep) for name, req, rep in dims.PROVIDERS}
+
+
+def py_user_message(text: str, lang: str) -> str:
+    return f"Translate to {lang}:\n{text}"
+
+
+def request_body(provider: str, model: str, text: str, lang: str, *,
+                 system_prompt: str = dims.SYSTEM_PROMPT) -> dict:
+    style = _STYLES[provider][0]
+    user = py_user_message(text, lang)
+    t, cap = dims.TEMPERATURE, dims.MAX_OUTPUT_TOKENS
+    if style == "chat":
+        return {"model": model, "messages": [{"role": "system", "content": system_prompt},
+                                             {"role": "user", "content": user}],
+                "temperature": t, "max_tokens": cap}
+    if style == "system_field":
+        return {"model": model, "max_tokens": cap, "temperature": t, "system": system_prompt,
+                "messages": [{"role": "user", "content": user}]}
+    return {"model": model, "contents": user,
+            "config": {"temperature": t, "max_output_tokens": cap, "system_instruction": system_prompt}}
+
+
+def read_reply(provider: str, reply: dict) -> tuple:
+    """(text, usage) from a reply in the provider's shape; raises when the
+    shape is wrong so the retry loop sees it."""
+    style = _STYLES[provider][1]
+    if style in ("choices", "choices_or_empty"):
+        content = reply["choices"][0]["message"]["content"]
+        usage = reply.get("usage") or {}
+        if style == "choices_or_empty":
+            content = content or ""
+            usage = {"prompt_tokens": usage.get("prompt_tokens", 0),
+                     "completion_tokens": usage.get("completion_tokens", 0)}
+        return content, usage
+    if style == "content_blocks":
+        usage = reply.get("usage") or {}
+        return reply["content"][0]["text"], {"input_tokens": usage.get("input_tokens", 0),
+                                             "output_tokens": usage.get("output_tokens", 0)}
+    return reply.get("text"), {}
+
+
+class ServiceTranslator:
+    """Provider adapter over a caller-supplied transport ``post(provider, body) -> str``."""
+
+    def __init__(self, provider: str, model: str, post: Callable[[str, dict], str]):
+        if provider not in _STYLES:
+            raise ValueError(f"unsupported provider: {provider}")
+        self.provider, self.model, self.post = provider, model, post
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        body = request_body(self.provider, self.model, text, lang)
+        return read_reply(self.provider, json.loads(self.post(self.provider, body)))
+
+
+def get_translator(provider: str, model: str, post: Callable[[str, dict], str]) -> ServiceTranslator:
+    """Registry lookup; unknown names raise ``ValueError``."""
+    return ServiceTranslator(provider, model, post)
+
+
+class EchoService:
+    """Offline stand-in: answers ``[lang] text``; usage in the given key style."""
+
+    def __init__(self, usage_style: str = "prompt_completion"):
+        self.usage_style = usage_style
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        out = f"[{lang}] {text}"
+        p = py_approx_tokens(py_user_message(text, lang))
+        c = py_approx_tokens(out)
+        if self.usage_style == "input_output":
+            return out, {"input_tokens": p, "output_tokens": c}
+        if self.usage_style == "none":
+            return out, {}
+        return out, {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}
+
+
+class FlakyService:
+    """Fails the first ``failures(text)`` calls for a text, then answers like
+    ``base``. A script longer than ``max_attempts`` ends after that many
+    failures (the dispatcher gives up), so a repeated text starts afresh.
+    Keep one request in flight per task when using it (the counter is local)."""
+
+    def __init__(self, base: Callable, failures: Callable[[str], int], max_attempts: int = dims.MAX_ATTEMPTS):
+        self.base, self.failures, self.max_attempts = base, failures, max_attempts
+        self._calls: dict = {}
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        key = (text, lang)
+        seen = self._calls.get(key, 0)
+        if seen < self.failures(text):
+            seen += 1
+            self._calls[key] = 0 if seen >= self.max_attempts else seen
+            raise RuntimeError(f"service unavailable (failing call {seen})")
+        self._calls.pop(key, None)
+        return self.base(text, lang)
+
+
+def failures_by_length(modulus: int = 4) -> Callable[[str], int]:
+    """Failure script used by the registered failure query: len(text) mod m."""
+    def rule(text: str) -> int:
+        return len(text) % modulus
+    return rule

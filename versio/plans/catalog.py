@@ -1,0 +1,263 @@
+"""Registered queries: one per operator group of the survey's inventory.
+
+Every query reads the driver's tables (or rows Spark derives from them) in
+full; none caps, samples or subsets rows. Each returns a DataFrame whose
+columns are aliased exactly like its SQL twin in ``oracle_sql.ORACLES``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from versio.functions.text import approx_tokens
+from versio.operators import checks, extract, request, response, usage
+from versio.operators.assemble import reassemble
+from versio.operators.chunk import chunk_counts, chunk_pages
+from versio.operators.dispatch import translate
+from versio.operators.pages import full_text_units, page_counts, split_pages
+from versio.operators.providers import EchoService, FlakyService, failures_by_length
+from versio.plans import standins as S
+from versio.plans.translate_job import translated_with_usage, with_targets
+from versio.sources.files import conversion_route, missing_files, validate_formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+STUB_LANG = "pt"
+CHUNK_COLS = ["doc_id", "page_idx", "chunk_idx", "chunk", "chunk_tokens"]
+TRANSLATION_COLS = ["doc_id", "page_idx", "chunk_idx", "target_lang", "translated", "status", "attempts",
+                    "prompt_tokens", "completion_tokens", "usage_reported"]
+
+
+# --- shared building blocks -------------------------------------------------
+
+def _doc_pages(spark, sf):
+    return split_pages(S.documents(spark, sf))
+
+
+def _doc_chunks(spark, sf, limit, native=False):
+    return chunk_pages(_doc_pages(spark, sf), limit, native=native)
+
+
+def _no_wait(_seconds: float) -> None:
+    """The stand-in service has no rate limit; waits are computed but not slept."""
+
+
+def _echo_translations(spark, sf, limit=2000):
+    tasks = with_targets(_doc_chunks(spark, sf, limit), [STUB_LANG])
+    return translate(tasks, EchoService(), concurrency=8, sleep=_no_wait)
+
+
+def _flaky_translations(spark, sf, limit=200):
+    tasks = with_targets(_doc_chunks(spark, sf, limit), [STUB_LANG])
+    svc = FlakyService(EchoService(), failures_by_length(4))
+    return translate(tasks, svc, concurrency=8, sleep=_no_wait)
+
+
+def _conv_marked(spark, sf):
+    conv = S.read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return extract.mark_pages(conv, key="conv_id", order="turn").withColumnRenamed("conv_id", "doc_id")
+
+
+# --- A: sources -------------------------------------------------------------
+
+def q_validate_formats(spark, sf):
+    v = validate_formats(S.file_manifest(spark, sf))
+    return v.select("doc_id", "path", "suffix", "stem", "format_ok")
+
+
+def q_conversion_route(spark, sf):
+    r = conversion_route(S.file_manifest(spark, sf))
+    return r.select("doc_id", "path", "route", "pdf_name")
+
+
+def q_missing_files(spark, sf):
+    m = S.file_manifest(spark, sf).withColumnRenamed("path", "name")
+    p = S.present_files(spark, sf).withColumnRenamed("path", "name")
+    return missing_files(m, p)
+
+
+# --- B: extraction ------------------------------------------------------------
+
+def _html(spark, sf):
+    return S.read(spark, sf, "pages").select("page_id", "html")
+
+
+def q_extract_candidates(spark, sf):
+    return extract.html_candidates(_html(spark, sf)).select("doc_id", "method", "priority", "text")
+
+
+def q_extract_best(spark, sf):
+    return extract.html_best(_html(spark, sf))
+
+
+def q_extraction_stats(spark, sf):
+    h = _html(spark, sf)
+    return extract.extraction_stats(extract.html_candidates(h), extract.html_best(h))
+
+
+def q_choose_best(spark, sf):
+    return extract.choose_best(extract.html_candidates(_html(spark, sf)))
+
+
+def q_mark_pages(spark, sf):
+    return _conv_marked(spark, sf)
+
+
+def q_document_status(spark, sf):
+    return checks.document_status(extract.html_best(_html(spark, sf)))
+
+
+# --- C: pages -------------------------------------------------------------------
+
+def q_split_pages(spark, sf):
+    return split_pages(_conv_marked(spark, sf))
+
+
+def q_page_counts(spark, sf):
+    return page_counts(_conv_marked(spark, sf))
+
+
+# --- D: chunking ----------------------------------------------------------------
+
+def q_approx_tokens(spark, sf):
+    d = S.documents(spark, sf)
+    return d.select("doc_id", approx_tokens("text").alias("tokens"))
+
+
+def _chunks_query(limit, native=False):
+    def q(spark, sf):
+        return _doc_chunks(spark, sf, limit, native).select(*CHUNK_COLS)
+    q.__doc__ = f"D1-D5: chunks of every document page at limit {limit}" + (" (JVM twin)" if native else "")
+    return q
+
+
+def q_chunk_stats(spark, sf):
+    return chunk_counts(_doc_pages(spark, sf), 200)
+
+
+def q_conversation_chunks(spark, sf):
+    return chunk_pages(split_pages(_conv_marked(spark, sf)), 200).select(*CHUNK_COLS)
+
+
+# --- E: requests, dispatch, replies ---------------------------------------------
+
+def q_build_requests(spark, sf):
+    d = S.documents(spark, sf).join(S.routes(spark), "lang")
+    pages = split_pages(d, carry=("target_lang", "provider"))
+    ch = chunk_pages(pages, 2000).withColumn("model", F.lit(""))
+    resolved = request.resolve_models(ch)
+    r = request.build_requests(resolved.withColumn("model", F.col("model_resolved")))
+    body_user = F.coalesce(F.get_json_object("body", "$.messages[1].content"),
+                           F.get_json_object("body", "$.messages[0].content"),
+                           F.get_json_object("body", "$.contents"))
+    return r.select("doc_id", "page_idx", "chunk_idx", "target_lang", "provider", "model", "request_style",
+                    "user", "temperature", "max_tokens",
+                    F.get_json_object("body", "$.model").alias("body_model"),
+                    body_user.alias("body_user"))
+
+
+def q_resolve_models(spark, sf):
+    r = request.resolve_models(S.model_specs(spark, sf))
+    return r.select("doc_id", "provider", "model", "provider_resolved", "model_resolved", "model_known", "status")
+
+
+def q_parse_responses(spark, sf):
+    p = response.parse_responses(S.raw_replies(spark, sf))
+    return p.select("doc_id", "reply_style", "translated", "status", "prompt_tokens", "completion_tokens",
+                    "usage_reported")
+
+
+def q_translate_stub(spark, sf):
+    return _echo_translations(spark, sf).select(*TRANSLATION_COLS)
+
+
+def q_translate_failures(spark, sf):
+    return _flaky_translations(spark, sf).select(*TRANSLATION_COLS)
+
+
+def q_full_text_mode(spark, sf):
+    units = with_targets(full_text_units(_conv_marked(spark, sf)), [STUB_LANG])
+    return translate(units, EchoService(), concurrency=8, sleep=_no_wait).select(*TRANSLATION_COLS)
+
+
+# --- G/F: reassembly, usage, cost --------------------------------------------------
+
+def q_reassemble(spark, sf):
+    return reassemble(_echo_translations(spark, sf))
+
+
+def q_usage_by_document(spark, sf):
+    return usage.usage_by_document(_flaky_translations(spark, sf))
+
+
+def q_usage_total(spark, sf):
+    return usage.usage_total(_flaky_translations(spark, sf))
+
+
+def q_chunks_per_page(spark, sf):
+    return usage.chunks_per_page(_doc_chunks(spark, sf, 20))
+
+
+def _priced(spark, sf):
+    u = usage.usage_by_document(_echo_translations(spark, sf))
+    return usage.estimate_cost(S.cost_specs(u))
+
+
+def q_estimate_cost(spark, sf):
+    return _priced(spark, sf).select("doc_id", "target_lang", "model", "cache", "prompt_tokens_total",
+                                     "completion_tokens_total", "cost_usd", "cost_status")
+
+
+def q_usage_report(spark, sf):
+    r = usage.usage_report(_priced(spark, sf))
+    return r.select("doc_id", "target_lang", "prompt_tokens_total", "completion_tokens_total",
+                    "total_tokens_total", "cost_status", "cost_text")
+
+
+def q_translate_documents(spark, sf):
+    """The whole run: documents -> pages -> chunks (2000) -> stand-in service ->
+    reassembled text with token totals, one aggregation."""
+    return translated_with_usage(_echo_translations(spark, sf))
+
+
+def q_preservation_check(spark, sf):
+    return checks.preservation_check(_echo_translations(spark, sf), _doc_chunks(spark, sf, 2000))
+
+
+QUERIES: dict[str, Query] = {
+    "validate_formats": q_validate_formats,
+    "conversion_route": q_conversion_route,
+    "missing_files": q_missing_files,
+    "extract_candidates": q_extract_candidates,
+    "extract_best": q_extract_best,
+    "choose_best": q_choose_best,
+    "extraction_stats": q_extraction_stats,
+    "mark_pages": q_mark_pages,
+    "document_status": q_document_status,
+    "split_pages": q_split_pages,
+    "page_counts": q_page_counts,
+    "approx_tokens": q_approx_tokens,
+    "chunks_2000": _chunks_query(2000),
+    "chunks_200": _chunks_query(200),
+    "chunks_20": _chunks_query(20),
+    "chunks_native_200": _chunks_query(200, native=True),
+    "chunk_stats": q_chunk_stats,
+    "conversation_chunks": q_conversation_chunks,
+    "build_requests": q_build_requests,
+    "resolve_models": q_resolve_models,
+    "parse_responses": q_parse_responses,
+    "translate_stub": q_translate_stub,
+    "translate_failures": q_translate_failures,
+    "full_text_mode": q_full_text_mode,
+    "reassemble": q_reassemble,
+    "usage_by_document": q_usage_by_document,
+    "usage_total": q_usage_total,
+    "chunks_per_page": q_chunks_per_page,
+    "estimate_cost": q_estimate_cost,
+    "usage_report": q_usage_report,
+    "translate_documents": q_translate_documents,
+    "preservation_check": q_preservation_check,
+}

@@ -102,3 +102,347 @@ ck AS (
 
 def with_(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+# --- shared pieces -------------------------------------------------------------
+
+NL = "chr(10)"
+SUFFIX_SQL = f"{NL} || '{MARK}' || {NL}"
+
+
+def lit_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def pick(xs, key: str = "doc_id") -> str:
+    """xs[key mod n] (DuckDB lists are 1-based)."""
+    return f"{lit_list(xs)}[{key} % {len(xs)} + 1]"
+
+
+def is_blank(expr: str) -> str:
+    return f"NOT regexp_matches({expr}, '[^{WS[1:-1]}]')"
+
+
+def kept_pages(expr: str) -> str:
+    return f"list_filter(list_transform(string_split({expr}, '{MARK}'), lambda p: {strip('p')}), lambda p: p <> '')"
+
+
+def conv_marked_cte() -> str:
+    return f"""cm AS (
+  SELECT conv_id AS doc_id,
+         string_agg({strip('text')} || {SUFFIX_SQL}, '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id
+)"""
+
+
+def echo_cte(source: str = "ck", lang: str = "pt", name: str = "tr") -> str:
+    user = f"'Translate to {lang}:' || {NL} || chunk"
+    out = f"'[{lang}] ' || chunk"
+    return f"""{name} AS (
+  SELECT doc_id, page_idx, chunk_idx, '{lang}' AS target_lang, {out} AS translated, 'ok' AS status,
+         CAST(1 AS INTEGER) AS attempts, {tokens(user)} AS prompt_tokens, {tokens(out)} AS completion_tokens,
+         true AS usage_reported
+  FROM {source}
+)"""
+
+
+def flaky_cte(source: str = "ck", lang: str = "pt", name: str = "tr") -> str:
+    user = f"'Translate to {lang}:' || {NL} || chunk"
+    out = f"'[{lang}] ' || chunk"
+    return f"""fl AS (SELECT *, length(chunk) % 4 AS nf FROM {source}),
+{name} AS (
+  SELECT doc_id, page_idx, chunk_idx, '{lang}' AS target_lang,
+         CASE WHEN nf < 3 THEN {out} ELSE '[CHUNK FAILED]' END AS translated,
+         CASE WHEN nf < 3 THEN 'ok' ELSE 'failed' END AS status,
+         CAST(least(nf + 1, 3) AS INTEGER) AS attempts,
+         CASE WHEN nf < 3 THEN {tokens(user)} ELSE 0 END AS prompt_tokens,
+         CASE WHEN nf < 3 THEN {tokens(out)} ELSE 0 END AS completion_tokens,
+         nf < 3 AS usage_reported
+  FROM fl
+)"""
+
+
+TR_COLS = ("doc_id, page_idx, chunk_idx, target_lang, translated, status, attempts, prompt_tokens, "
+           "completion_tokens, usage_reported")
+
+
+def doc_chunks(limit: int) -> list[str]:
+    return [split_pages_cte("documents"), chunks_cte(limit)]
+
+
+# --- file names ------------------------------------------------------------------
+
+def manifest_cte() -> str:
+    from versio.plans.standins import NAME_SHAPES
+
+    stem = "'doc_' || CAST(doc_id AS VARCHAR)"
+    shapes = ", ".join((f"{stem} || '{suf}'" if use else f"'{suf}'") for use, suf in NAME_SHAPES)
+    return f"""m AS (
+  SELECT doc_id, '/data/' || source || '/' || [{shapes}][doc_id % {len(NAME_SHAPES)} + 1] AS path
+  FROM documents
+),
+mv AS (
+  SELECT doc_id, path, regexp_extract(path, '[^/.][^/]*?(\\.[^./]+)$', 1) AS suf_raw,
+         regexp_extract(path, '([^/]*)$', 1) AS name
+  FROM m
+),
+fv AS (
+  SELECT doc_id, path, lower(suf_raw) AS suffix,
+         CASE WHEN suf_raw = '' THEN name ELSE substr(name, 1, length(name) - length(suf_raw)) END AS stem,
+         lower(suf_raw) IN ('.pdf', '.doc', '.docx', '.odt') AS format_ok
+  FROM mv
+)"""
+
+
+# --- HTML extraction ---------------------------------------------------------------
+
+def _decode(expr: str) -> str:
+    from versio.operators.extract import ENTITIES
+
+    for ent, ch in ENTITIES:
+        expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return expr
+
+
+def _visible(expr: str) -> str:
+    from versio.operators.extract import _LINE_BREAK
+
+    broken = f"regexp_replace({expr}, '{_LINE_BREAK}', {NL}, 'g')"
+    return _decode(f"regexp_replace({broken}, '<[^>]*>', '', 'g')")
+
+
+def _marked(list_expr: str) -> str:
+    return f"array_to_string(list_transform({list_expr}, lambda p: {strip('p')} || {SUFFIX_SQL}), '')"
+
+
+def html_cte() -> str:
+    from versio.operators.extract import _BLOCK_END, _NOISE
+
+    md = "body"
+    md = f"regexp_replace({md}, '(?s)<h1[^>]*>(.*?)</h1>', {NL} || '# \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?s)<h2[^>]*>(.*?)</h2>', {NL} || '## \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?s)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"
+    md = f"regexp_replace({md}, '<li[^>]*>', {NL} || '- ', 'g')"
+    return f"""hb0 AS (
+  SELECT page_id AS doc_id, html, regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS b FROM pages
+),
+hb AS (
+  SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{_NOISE}', '', 'g') AS body FROM hb0
+),
+cand AS (
+  SELECT doc_id, 'native' AS method, 1 AS priority,
+         {_marked(f"list_transform(regexp_split_to_array(body, '{_BLOCK_END}'), lambda x: {_visible('x')})")} AS text
+  FROM hb
+  UNION ALL
+  SELECT doc_id, 'article', 2,
+         {_marked("[" + _visible("regexp_extract(body, '(?s)<article[^>]*>(.*?)</article>', 1)") + "]")}
+  FROM hb
+  UNION ALL
+  SELECT doc_id, 'markdown', 3, {_visible(md)} FROM hb
+),
+best AS (
+  SELECT doc_id, method, text,
+         CASE WHEN {is_blank('text')} THEN 'empty_extraction' ELSE 'ok' END AS status
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length({strip('text')}) DESC, priority) AS rn
+        FROM cand)
+  WHERE rn = 1
+)"""
+
+
+def _models_sql():
+    from versio.sources import dimensions as d
+
+    dm = ", ".join(f"('{p}', '{m}')" for p, m in d.DEFAULT_MODELS)
+    prov = ", ".join(f"'{p}'" for p, _, _ in d.PROVIDERS)
+    styles = ", ".join(f"('{p}', '{s}')" for p, s, _ in d.PROVIDERS)
+    known = lit_list(d.OPENROUTER_MODELS)
+    return dm, prov, styles, known
+
+
+def _prices_sql():
+    from versio.sources.dimensions import PRICES
+
+    return ", ".join(f"('{m}', '{c}', {i!r}::DOUBLE, {o!r}::DOUBLE)" for m, c, i, o in PRICES)
+
+
+def _oracles() -> dict[str, str]:
+    from versio.operators.checks import PRESERVE_PATTERNS
+    from versio.plans.standins import COST_CACHES, COST_MODELS, MODEL_CHOICES, PROVIDER_CHOICES, ROUTES
+
+    o: dict[str, str] = {}
+    o["validate_formats"] = with_(manifest_cte()) + "SELECT doc_id, path, suffix, stem, format_ok FROM fv"
+    o["conversion_route"] = with_(manifest_cte()) + """SELECT doc_id, path,
+  CASE WHEN NOT format_ok THEN 'rejected' WHEN suffix = '.pdf' THEN 'passthrough' ELSE 'convert' END AS route,
+  CASE WHEN format_ok AND suffix <> '.pdf' THEN stem || '.pdf' END AS pdf_name
+FROM fv"""
+    o["missing_files"] = with_(manifest_cte()) + """SELECT path AS name, 'missing' AS status FROM m
+WHERE NOT EXISTS (SELECT 1 FROM m m2 JOIN labels l ON m2.doc_id = l.doc_id WHERE m2.path = m.path)"""
+
+    o["extract_candidates"] = with_(html_cte()) + "SELECT doc_id, method, priority, text FROM cand"
+    o["extract_best"] = with_(html_cte()) + "SELECT doc_id, method, text, status FROM best"
+    o["choose_best"] = o["extract_best"]
+    o["extraction_stats"] = with_(html_cte()) + f"""SELECT c.method, c.n_candidates, c.chars, c.stripped_chars,
+  coalesce(w.n_chosen, 0) AS n_chosen, CAST(coalesce(w.chosen_chars, 0) AS BIGINT) AS chosen_chars
+FROM (SELECT method, count(*) AS n_candidates, CAST(sum(length(text)) AS BIGINT) AS chars,
+             CAST(sum(length({strip('text')})) AS BIGINT) AS stripped_chars FROM cand GROUP BY method) c
+LEFT JOIN (SELECT method, count(*) AS n_chosen, CAST(sum(length(text)) AS BIGINT) AS chosen_chars
+           FROM best GROUP BY method) w ON c.method = w.method"""
+    o["mark_pages"] = with_(conv_marked_cte()) + "SELECT doc_id, text FROM cm"
+    o["document_status"] = with_(html_cte()) + f"""SELECT doc_id, len({kept_pages('text')}) AS n_pages,
+  CASE WHEN {is_blank('text')} THEN 'empty_extraction'
+       WHEN len({kept_pages('text')}) = 0 THEN 'no_pages' ELSE 'ok' END AS status
+FROM best"""
+
+    o["split_pages"] = with_(conv_marked_cte(), split_pages_cte("cm")) + "SELECT doc_id, page_idx, page FROM pg"
+    o["page_counts"] = with_(conv_marked_cte()) + f"SELECT doc_id, len({kept_pages('text')}) AS n_pages FROM cm"
+
+    o["approx_tokens"] = f"SELECT doc_id, {tokens('text')} AS tokens FROM documents"
+    for lim in (2000, 200, 20):
+        o[f"chunks_{lim}"] = with_(*doc_chunks(lim)) + \
+            f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
+    o["chunks_native_200"] = o["chunks_200"]
+    o["chunk_stats"] = with_(*doc_chunks(200)) + """SELECT pg.doc_id, pg.page_idx, coalesce(n, 0) AS n_chunks
+FROM pg LEFT JOIN (SELECT doc_id, page_idx, count(*) AS n FROM ck GROUP BY doc_id, page_idx) c
+  ON pg.doc_id = c.doc_id AND pg.page_idx = c.page_idx"""
+    o["conversation_chunks"] = with_(conv_marked_cte(), split_pages_cte("cm"), chunks_cte(200)) + \
+        f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
+
+    dm, prov, styles, known = _models_sql()
+    routes = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ROUTES)
+    o["build_requests"] = with_(*doc_chunks(2000)) + f"""SELECT ck.doc_id, ck.page_idx, ck.chunk_idx, r.target_lang,
+  r.provider, dm.m AS model, st.s AS request_style,
+  'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk AS "user",
+  0.0::DOUBLE AS temperature, CAST(8000 AS INTEGER) AS max_tokens,
+  dm.m AS body_model, 'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk AS body_user
+FROM ck JOIN documents d ON ck.doc_id = d.doc_id
+JOIN (VALUES {routes}) r(lang, target_lang, provider) ON d.lang = r.lang
+LEFT JOIN (VALUES {dm}) dm(p, m) ON r.provider = dm.p
+LEFT JOIN (VALUES {styles}) st(p, s) ON r.provider = st.p"""
+    o["resolve_models"] = f"""WITH s AS (
+  SELECT doc_id, {pick(PROVIDER_CHOICES)} AS provider, {pick(MODEL_CHOICES)} AS model FROM documents
+),
+r AS (
+  SELECT s.*, lower(provider) AS pr,
+         coalesce(nullif(model, ''), dm.m) AS model_resolved
+  FROM s LEFT JOIN (VALUES {dm}) dm(p, m) ON lower(s.provider) = dm.p
+)
+SELECT doc_id, provider, model, pr AS provider_resolved, model_resolved,
+  CASE WHEN pr = 'openrouter' THEN coalesce(list_contains({known}, model_resolved), false) ELSE true END
+    AS model_known,
+  CASE WHEN pr NOT IN ({prov}) THEN 'unknown_provider' WHEN model_resolved IS NULL THEN 'no_model'
+       ELSE 'ok' END AS status
+FROM r"""
+    o["parse_responses"] = _parse_sql()
+
+    o["translate_stub"] = with_(*doc_chunks(2000), echo_cte()) + f"SELECT {TR_COLS} FROM tr"
+    o["translate_failures"] = with_(*doc_chunks(200), flaky_cte()) + f"SELECT {TR_COLS} FROM tr"
+    o["full_text_mode"] = with_(
+        conv_marked_cte(),
+        "fu AS (SELECT doc_id, CAST(0 AS INTEGER) AS page_idx, CAST(0 AS INTEGER) AS chunk_idx, text AS chunk FROM cm)",
+        echo_cte("fu"),
+    ) + f"SELECT {TR_COLS} FROM tr"
+
+    sums = """CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens_total,
+  CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens_total,
+  CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens_total"""
+    o["reassemble"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT doc_id, target_lang,
+  'doc_' || CAST(doc_id AS VARCHAR) || '_' || target_lang || '.md' AS output_name,
+  string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content
+FROM tr GROUP BY doc_id, target_lang"""
+    o["usage_by_document"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT doc_id, target_lang, {sums},
+  count(*) AS n_chunks, count_if(status = 'failed') AS n_failed
+FROM tr GROUP BY doc_id, target_lang"""
+    o["usage_total"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT {sums},
+  count(*) AS n_chunks, count_if(status = 'failed') AS n_failed FROM tr"""
+    o["chunks_per_page"] = with_(*doc_chunks(20)) + \
+        "SELECT doc_id, page_idx, count(*) AS n_chunks FROM ck GROUP BY doc_id, page_idx"
+
+    priced = with_(*doc_chunks(2000), echo_cte(), f"""u AS (
+  SELECT doc_id, target_lang, {sums} FROM tr GROUP BY doc_id, target_lang
+),
+uc AS (SELECT *, {pick(COST_MODELS)} AS model, {pick(COST_CACHES)} AS cache FROM u),
+pr AS (
+  SELECT uc.*, p.i IS NOT NULL AS found,
+         prompt_tokens_total / 1000000 * p.i + completion_tokens_total / 1000000 * p.o AS cost
+  FROM uc LEFT JOIN (VALUES {_prices_sql()}) p(m, c, i, o) ON uc.model = p.m AND uc.cache = p.c
+)""")
+    o["estimate_cost"] = priced + """SELECT doc_id, target_lang, model, cache, prompt_tokens_total,
+  completion_tokens_total, CASE WHEN found THEN cost END AS cost_usd,
+  CASE WHEN found THEN 'ok' ELSE 'no_price' END AS cost_status
+FROM pr"""
+    o["usage_report"] = priced + """SELECT doc_id, target_lang, prompt_tokens_total, completion_tokens_total,
+  total_tokens_total, CASE WHEN found THEN 'ok' ELSE 'no_price' END AS cost_status,
+  CASE WHEN found THEN printf('$%.4f', cost) END AS cost_text
+FROM pr"""
+    o["translate_documents"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT doc_id, target_lang,
+  string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content, {sums},
+  count_if(status = 'failed') AS n_failed
+FROM tr GROUP BY doc_id, target_lang"""
+
+    cols = []
+    for name, pat in PRESERVE_PATTERNS.items():
+        src = f"regexp_extract_all(ck.chunk, '{pat}')"
+        dst = f"regexp_extract_all(tr.translated, '{pat}')"
+        cols.append(f"CAST(sum(len({src})) AS BIGINT) AS {name}_n")
+        cols.append(f"CAST(sum(len(list_distinct(list_filter({src}, lambda x: NOT list_contains({dst}, x))))) "
+                    f"AS BIGINT) AS {name}_lost")
+    o["preservation_check"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT tr.doc_id, tr.target_lang,
+  {", ".join(cols)}
+FROM tr JOIN ck ON tr.doc_id = ck.doc_id AND tr.page_idx = ck.page_idx AND tr.chunk_idx = ck.chunk_idx
+GROUP BY tr.doc_id, tr.target_lang"""
+    return o
+
+
+def _parse_sql() -> str:
+    from versio.plans.standins import REPLY_STYLES
+
+    n = len(REPLY_STYLES)
+    choice = "json_object('message', json_object('content', text))"
+    bodies = [
+        f"json_object('choices', json_array({choice}), 'usage', json_object('prompt_tokens', n_chars, "
+        f"'completion_tokens', doc_id + 1, 'total_tokens', n_chars + doc_id + 1))",
+        f"json_object('choices', json_array({choice}))",
+        "json_object('content', json_array(json_object('type', 'text', 'text', text)), 'usage', "
+        "json_object('input_tokens', n_chars, 'output_tokens', doc_id + 1))",
+        "json_object('choices', json_array(json_object('message', json_object('content', NULL))), 'usage', "
+        "json_object('prompt_tokens', n_chars, 'completion_tokens', 0))",
+        "json_object('text', text)",
+        "'{}'::JSON",
+    ]
+    body = "[" + ", ".join(f"CAST({b} AS VARCHAR)" for b in bodies) + f"][doc_id % {n} + 1]"
+    return f"""WITH r AS (
+  SELECT doc_id, {pick(REPLY_STYLES)} AS reply_style, {body} AS body FROM documents
+),
+j AS (
+  SELECT doc_id, reply_style, body,
+         json_extract_string(body, '$.choices[0].message.content') AS c0,
+         json_extract(body, '$.choices') AS ch,
+         json_extract_string(body, '$.content[0].text') AS b0,
+         json_extract_string(body, '$.text') AS tx,
+         json_extract(body, '$.usage') AS u,
+         CAST(json_extract(body, '$.usage.prompt_tokens') AS BIGINT) AS pt,
+         CAST(json_extract(body, '$.usage.completion_tokens') AS BIGINT) AS ct,
+         CAST(json_extract(body, '$.usage.input_tokens') AS BIGINT) AS it,
+         CAST(json_extract(body, '$.usage.output_tokens') AS BIGINT) AS ot
+  FROM r
+),
+t AS (
+  SELECT *, CASE reply_style
+      WHEN 'choices' THEN c0
+      WHEN 'choices_or_empty' THEN CASE WHEN ch IS NOT NULL AND json_array_length(ch) > 0
+                                        THEN coalesce(c0, '') END
+      WHEN 'content_blocks' THEN b0
+      WHEN 'text_only' THEN tx END AS translated
+  FROM j
+)
+SELECT doc_id, reply_style, translated,
+  CASE WHEN translated IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN translated IS NOT NULL AND reply_style <> 'text_only' THEN coalesce(pt, it, 0) ELSE 0 END
+    AS prompt_tokens,
+  CASE WHEN translated IS NOT NULL AND reply_style <> 'text_only' THEN coalesce(ct, ot, 0) ELSE 0 END
+    AS completion_tokens,
+  (translated IS NOT NULL AND reply_style <> 'text_only' AND u IS NOT NULL) AS usage_reported
+FROM t"""
+
+
+ORACLES = _oracles()
