@@ -61,7 +61,18 @@ def _re2(p: str) -> str:
 # RE2 syntax of the same class, for the DuckDB oracle queries.
 WS_CLASS_RE2 = _class(_re2)
 
-_STRIP_RE = f"\\A{WS_CLASS}+|{WS_CLASS}+\\z"
+
+def _chars_of_ranges() -> str:
+    out = []
+    for a, b in _WS_RANGES:
+        lo = int(a[2:], 16) if a[1] in "xu" else {"\\t": 9, "\\r": 13}[a]
+        hi = lo if b is None else (int(b[2:], 16) if b[1] in "xu" else {"\\t": 9, "\\r": 13}[b])
+        out.extend(chr(c) for c in range(lo, hi + 1))
+    return "".join(out)
+
+
+# The same 29 code points as a plain set, for trim(BOTH set FROM s): no regex.
+WS_CHARS = _chars_of_ranges()
 
 
 def col_of(c) -> Column:
@@ -69,8 +80,11 @@ def col_of(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col_of(c), _STRIP_RE, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    ``trim`` with an explicit character set (plain ``trim`` only removes
+    U+0020); equal to ``str.strip()`` on every BMP code point."""
+    return F.trim(col_of(c), F.lit(WS_CHARS))
 
 
 def words(c) -> Column:

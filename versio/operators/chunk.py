@@ -209,8 +209,13 @@ def chunk_pages(pages: DataFrame, limit: int = DEFAULT_CHUNK_TOKENS, *, page_col
     else:
         arr = pages.withColumn("__chunks", chunk_array(page_col, limit))
     keep = [c for c in pages.columns if c != page_col]
+    # posexplode_outer: a plain posexplode lets the optimizer infer a
+    # size(chunks) > 0 filter below the generator, which evaluates the chunk
+    # UDF a second time. The outer form emits one NULL row for a page without
+    # chunks, dropped right after.
     return (
-        arr.select(*keep, F.posexplode("__chunks").alias("chunk_idx", "chunk"))
+        arr.select(*keep, F.posexplode_outer("__chunks").alias("chunk_idx", "chunk"))
+        .where(F.col("chunk_idx").isNotNull())
         .withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
         .withColumn("chunk_tokens", approx_tokens("chunk"))
     )

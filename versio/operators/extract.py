@@ -75,20 +75,19 @@ def marked(pages: Column) -> Column:
     return F.array_join(F.transform(pages, lambda p: F.concat(strip(p), F.lit(PAGE_SUFFIX))), "")
 
 
-def native_text(html) -> Column:
-    body = body_of(html)
-    blocks = F.split(body, _BLOCK_END, -1)
+def native_text(body) -> Column:
+    blocks = F.split(col_of(body), _BLOCK_END, -1)
     # the text after the last block end is a page too (it may be blank)
     return marked(F.transform(blocks, visible_text))
 
 
-def article_text(html) -> Column:
-    art = F.regexp_extract(body_of(html), r"(?s)<article[^>]*>(.*?)</article>", 1)
+def article_text(body) -> Column:
+    art = F.regexp_extract(col_of(body), r"(?s)<article[^>]*>(.*?)</article>", 1)
     return marked(F.array(visible_text(art)))
 
 
-def markdown_text(html) -> Column:
-    x = body_of(html)
+def markdown_text(body) -> Column:
+    x = col_of(body)
     x = F.regexp_replace(x, r"(?s)<h1[^>]*>(.*?)</h1>", "\n# $1\n")
     x = F.regexp_replace(x, r"(?s)<h2[^>]*>(.*?)</h2>", "\n## $1\n")
     x = F.regexp_replace(x, r"(?s)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)")
@@ -99,28 +98,35 @@ def markdown_text(html) -> Column:
 _EXTRACTORS = {"native": native_text, "article": article_text, "markdown": markdown_text}
 
 
-def _candidate_array(html: str, methods=METHODS) -> Column:
+def _candidate_array(body: str, methods=METHODS) -> Column:
+    """All extractors over the cleaned body (computed once, in its own projection)."""
     return F.array(*[
         F.struct(F.lit(m).alias("method"), F.lit(p).alias("priority"),
-                 _EXTRACTORS[m](html).alias("text"), F.lit(None).cast("string").alias("error"))
+                 _EXTRACTORS[m](body).alias("text"), F.lit(None).cast("string").alias("error"))
         for m, p in methods
     ])
 
 
+def _bodies(pages: DataFrame, key: str, html: str) -> DataFrame:
+    return pages.select(F.col(key).alias("doc_id"), body_of(html).alias("__body"))
+
+
 def html_candidates(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """candidates(doc_id, method, priority, text, error), one scan."""
-    return pages.select(F.col(key).alias("doc_id"), F.inline(_candidate_array(html)))
+    return _bodies(pages, key, html).select("doc_id", F.inline(_candidate_array("__body")))
 
 
-def _score(c: Column) -> Column:
-    # longest stripped text first, then the earlier method
-    return F.struct(F.length(strip(c["text"])).alias("n"), (-c["priority"]).alias("p"))
+def _scored(cands: Column) -> Column:
+    """Candidates as (n = stripped length, neg_priority, method, text) so the
+    natural struct order is the choice order: longest first, then the earlier method."""
+    return F.transform(cands, lambda c: F.struct(
+        F.length(strip(c["text"])).alias("n"), (-c["priority"]).alias("neg_priority"),
+        c["method"].alias("method"), c["text"].alias("text")))
 
 
 def best_in_row(cands: Column) -> Column:
-    """B6 on an in-row candidate array: the maximum by (stripped length, -priority)."""
-    first = F.element_at(cands, 1)
-    return F.aggregate(cands, first, lambda acc, c: F.when(_score(c) > _score(acc), c).otherwise(acc))
+    """B6 on an in-row candidate array: ``array_max`` by (stripped length, -priority)."""
+    return F.array_max(_scored(cands))
 
 
 def _with_status(df: DataFrame) -> DataFrame:
@@ -131,8 +137,8 @@ def _with_status(df: DataFrame) -> DataFrame:
 
 def html_best(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """B6 + B7: extracted(doc_id, method, text, status) without any exchange."""
-    best = best_in_row(_candidate_array(html))
-    out = pages.select(F.col(key).alias("doc_id"), best["method"].alias("method"), best["text"].alias("text"))
+    chosen = _bodies(pages, key, html).select("doc_id", best_in_row(_candidate_array("__body")).alias("__b"))
+    out = chosen.select("doc_id", F.col("__b.method").alias("method"), F.col("__b.text").alias("text"))
     return _with_status(out)
 
 

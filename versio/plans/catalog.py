@@ -57,7 +57,7 @@ def _flaky_translations(spark, sf, limit=200):
 
 
 def _conv_marked(spark, sf):
-    conv = S.read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return extract.mark_pages(conv, key="conv_id", order="turn").withColumnRenamed("conv_id", "doc_id")
 
 
@@ -82,7 +82,7 @@ def q_missing_files(spark, sf):
 # --- B: extraction ------------------------------------------------------------
 
 def _html(spark, sf):
-    return S.read(spark, sf, "pages").select("page_id", "html")
+    return S.read(spark, sf, "pages", ["page_id", "html"])
 
 
 def q_extract_candidates(spark, sf):

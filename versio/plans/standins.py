@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versio.sources.tables import read_table
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def read(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    return read_table(spark, sf_dir, name, columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return read(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 # file-name shapes picked by doc_id mod 8: (starts with "doc_<id>", suffix)
@@ -35,7 +37,7 @@ def _name(doc_id) -> F.Column:
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path) - one file name per document, under its source folder."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    d = read(spark, sf_dir, "documents", ["doc_id", "source"])
     return d.select("doc_id", F.concat(F.lit("/data/"), F.col("source"), F.lit("/"),
                                        _name(F.col("doc_id"))).alias("path"))
 
@@ -43,7 +45,7 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def present_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path) - the files a listing found: those of the documents in ``labels``."""
     m = file_manifest(spark, sf_dir)
-    lab = read(spark, sf_dir, "labels").select("doc_id")
+    lab = read(spark, sf_dir, "labels", ["doc_id"])
     return m.join(lab, "doc_id", "left_semi").select("path")
 
 
@@ -53,7 +55,7 @@ MODEL_CHOICES = ["", "openai/gpt-4o-mini", "custom-model", ""]
 
 def model_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, provider, model) - a requested provider/model per document."""
-    d = read(spark, sf_dir, "documents").select("doc_id")
+    d = read(spark, sf_dir, "documents", ["doc_id"])
     pick = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]),
                                       (F.pmod(F.col("doc_id"), F.lit(m)) + 1).cast("int"))
     return d.select("doc_id", pick(PROVIDER_CHOICES, 7).alias("provider"),
@@ -67,7 +69,7 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, reply_style, body) - a service reply per document carrying the
     whole document text, in one of the reply shapes (incl. a reply without
     usage, a NULL content and an empty reply)."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    d = read(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
     k = F.pmod(F.col("doc_id"), F.lit(len(REPLY_STYLES))).cast("int")
     p = F.col("n_chars")
     c = F.col("doc_id") + 1
