@@ -1,0 +1,31 @@
+"""Driver contract and Spark-vs-DuckDB equality of every registered query."""
+
+import pytest
+
+import __spark_entry__ as E
+from oracle_compare import compare, duck
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    assert set(df.columns) >= {"doc_id", "target_lang", "content", "prompt_tokens_total"}
+    assert df.count() > 0
+
+
+def test_every_query_has_an_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_equals_oracle(spark, con, name):
+    r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
+    assert r["cols_match"], r
+    assert r["rows"][0] == r["rows"][1], r
+    assert r["hash_match"], r
