@@ -44,14 +44,18 @@ PRESERVE_PATTERNS = {
 }
 
 
-def preservation_check(translations: DataFrame, chunks: DataFrame,
+def preservation_check(translations: DataFrame, chunks: DataFrame | None = None,
                        keys=("doc_id", "page_idx", "chunk_idx")) -> DataFrame:
     """Per document and target language: how many protected items of each kind
     the source chunks hold, and how many of them are missing from the answer.
 
-    The chunk-grain join is on the full key (both sides are keyed by it); the
-    per-document counts are sums, partially aggregated before the exchange."""
-    j = translations.join(chunks.select(*keys, "chunk"), list(keys), "inner")
+    Best fed with translations that carry their source ``chunk`` (dispatch
+    with ``keep_text=True``): then it is a projection plus a sum aggregation
+    (partial aggregation before the exchange). Otherwise the chunks are joined
+    back on the full chunk key."""
+    j = translations
+    if "chunk" not in translations.columns:
+        j = translations.join(chunks.select(*keys, "chunk"), list(keys), "inner")
     cols = []
     for name, pat in PRESERVE_PATTERNS.items():
         src = F.regexp_extract_all("chunk", F.lit(pat), 0)

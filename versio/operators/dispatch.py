@@ -86,21 +86,25 @@ def translate(
     wait_max: float = WAIT_MAX_S,
     sleep: Callable[[float], None] = time.sleep,
     resume_from: DataFrame | None = None,
+    keep_text: bool = False,
 ) -> DataFrame:
     """tasks(keys, target_lang, chunk) -> translations(keys, target_lang, translated,
-    status, attempts, error, prompt_tokens, completion_tokens, usage_reported)."""
+    status, attempts, error, prompt_tokens, completion_tokens, usage_reported).
+
+    ``keep_text`` also carries the source text through, so checks that read
+    source and answer together need no join back to the chunks."""
     keys = list(keys)
     todo = tasks.select(*keys, lang_col, text_col)
     if resume_from is not None:
         todo = todo.join(resume_from.select(*keys, lang_col), [*keys, lang_col], "left_anti")
 
     key_types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
-    out_schema = ", ".join(f"{k} {key_types[k]}" for k in [*keys, lang_col]) + (
+    carry = [*keys, lang_col] + ([text_col] if keep_text else [])
+    out_schema = ", ".join(f"{k} {key_types[k]}" for k in carry) + (
         ", translated string, attempts int, error string, usage_json string"
     )
     opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
                 wait_max=wait_max, sleep=sleep)
-    carry = [*keys, lang_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None

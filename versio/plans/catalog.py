@@ -45,9 +45,9 @@ def _no_wait(_seconds: float) -> None:
     """The stand-in service has no rate limit; waits are computed but not slept."""
 
 
-def _echo_translations(spark, sf, limit=2000):
+def _echo_translations(spark, sf, limit=2000, keep_text=False):
     tasks = with_targets(_doc_chunks(spark, sf, limit), [STUB_LANG])
-    return translate(tasks, EchoService(), concurrency=8, sleep=_no_wait)
+    return translate(tasks, EchoService(), concurrency=8, sleep=_no_wait, keep_text=keep_text)
 
 
 def _flaky_translations(spark, sf, limit=200):
@@ -224,7 +224,7 @@ def q_translate_documents(spark, sf):
 
 
 def q_preservation_check(spark, sf):
-    return checks.preservation_check(_echo_translations(spark, sf), _doc_chunks(spark, sf, 2000))
+    return checks.preservation_check(_echo_translations(spark, sf, keep_text=True))
 
 
 QUERIES: dict[str, Query] = {

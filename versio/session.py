@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # pages can be long: 1000 rows per Arrow batch bounds Python worker memory
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", os.environ.get("VERSIO_DRIVER_MEMORY", "16g"))
         # a retried dispatch task must not race its own duplicate
         .config("spark.speculation", "false")

@@ -104,8 +104,14 @@ MAX_BROADCAST_ROWS = 10_000
 
 def _dim(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A dimension from driver-side literal rows, broadcast when its (known)
-    row count is within the bound; beyond it the planner picks the join."""
-    df = spark.createDataFrame(list(rows), schema)
+    row count is within the bound; beyond it the planner picks the join.
+
+    The rows are literals in the plan (folded to a local relation), so using
+    a dimension runs no job of its own."""
+    rows = list(rows)
+    fields = [f.strip().split() for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
+    df = spark.range(1).select(F.inline(F.array(*structs)))
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
 
 
