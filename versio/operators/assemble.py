@@ -65,3 +65,62 @@ def export_markdown(docs: DataFrame, directory: str) -> None:
                 fh.write(r["content"])
 
     docs.select("output_name", "content").foreachPartition(write_part)
+
+
+def export_markdown_parts(translations: DataFrame, directory: str, *, partitions: int | None = None,
+                          sep: str = JOIN_SEPARATOR) -> None:
+    """K1 for documents of any size, without gathering a document in one task.
+
+    Chunks are range-partitioned on (doc_id, target_lang, page_idx, chunk_idx)
+    - the sampled bounds split a giant document across tasks - and sorted
+    within each task. Each task writes, per document it holds, the part file
+    ``{output_name}.parts/part-{task:05d}``; concatenating a document's parts in
+    name order gives exactly the reassembled content (a part that does not start
+    at the document's first chunk starts with the separator). A retried task
+    rewrites the same files, so the export is idempotent. Expects complete
+    translations (chunk (0, 0) present for every document).
+    """
+    import os
+
+    from pyspark import TaskContext
+
+    n = int(partitions or translations.sparkSession.sparkContext.defaultParallelism)
+    order = ["doc_id", "target_lang", "page_idx", "chunk_idx"]
+    ordered = (translations.select(*order, F.coalesce("translated", F.lit(FAILED_MARKER)).alias("t"))
+               .repartitionByRange(n, *order).sortWithinPartitions(*order))
+
+    def write_part(rows):
+        part = f"part-{TaskContext.get().partitionId():05d}"
+        fh, current = None, None
+        try:
+            for r in rows:
+                doc = (r["doc_id"], r["target_lang"])
+                if doc != current:
+                    if fh:
+                        fh.close()
+                    folder = os.path.join(directory, f"doc_{doc[0]}_{doc[1]}.md.parts")
+                    os.makedirs(folder, exist_ok=True)
+                    fh = open(os.path.join(folder, part), "w", encoding="utf-8")
+                    current = doc
+                    if (r["page_idx"], r["chunk_idx"]) != (0, 0):
+                        fh.write(sep)
+                else:
+                    fh.write(sep)
+                fh.write(r["t"])
+        finally:
+            if fh:
+                fh.close()
+
+    ordered.foreachPartition(write_part)
+
+
+def read_markdown_parts(directory: str, output_name: str) -> str:
+    """Concatenate the parts of one exported document (small helper for readers/tests)."""
+    import os
+
+    folder = os.path.join(directory, output_name + ".parts")
+    out = []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as fh:
+            out.append(fh.read())
+    return "".join(out)

@@ -53,3 +53,64 @@ def full_text_units(docs: DataFrame, *, text_col: str = "text", key: str = "doc_
         F.lit(0).alias("page_idx"), F.lit(0).alias("chunk_idx"),
         F.col(text_col).alias("chunk"),
     )
+
+
+def dense_positions(df: DataFrame, key: str, order: str, out: str = "idx",
+                    partitions: int | None = None) -> DataFrame:
+    """0-based position of every row within its ``key`` in ``order`` (a dense
+    row_number), without gathering a key's rows in one task.
+
+    Rows are range-partitioned on (key, order): the sampled bounds split a key
+    holding a third of the data across many tasks. Each task numbers its rows
+    per key in sorted order. Only keys at a task's first or last row can
+    continue in another task; their per-task counts (at most 2 x partitions
+    rows) give the offsets, broadcast back with that proven bound. The staged
+    rows are checkpointed so both readers see the same task assignment.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    from versio.session import materialize
+
+    spark = df.sparkSession
+    n = int(partitions or spark.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
+    schema = T.StructType(df.schema.fields + [T.StructField("__pid", T.IntegerType()),
+                                              T.StructField("__pos", T.LongType())])
+
+    def number(batches):
+        pid = TaskContext.get().partitionId()
+        last, count = None, 0
+        for pdf in batches:
+            pos = []
+            for k in pdf[key].tolist():
+                if k != last:
+                    last, count = k, 0
+                pos.append(count)
+                count += 1
+            yield pdf.assign(__pid=pid, __pos=pos)
+
+    staged = materialize(ranged.mapInPandas(number, schema))
+    ends = staged.groupBy("__pid").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    edges = (ends.select("__pid", F.col("__lo").alias(key))
+             .union(ends.select("__pid", F.col("__hi").alias(key))).distinct())
+    counts = (staged.join(F.broadcast(edges), ["__pid", key])
+              .groupBy("__pid", key).agg(F.count(F.lit(1)).alias("__n")))
+    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (staged.join(F.broadcast(offsets), [key, "__pid"], "left")
+            .select(*df.columns, (F.col("__pos") + F.coalesce(F.col("__off"), F.lit(0))).alias(out)))
+
+
+def pages_from_rows(rows: DataFrame, *, key: str = "doc_id", order: str = "page_no", text: str = "text",
+                    partitions: int | None = None) -> DataFrame:
+    """B5 + C1 for documents stored as page rows: (key, order, text) ->
+    pages(doc_id, page_idx INT, page) with pages stripped, blank pages dropped
+    and a dense index in page order - the pages ``split_pages(mark_pages(rows))``
+    gives when no page text contains the marker, but without building one
+    string per document, so no document is ever gathered in one task."""
+    kept = rows.select(F.col(key).alias("doc_id"), F.col(order).alias("__order"),
+                       strip(text).alias("page")).where(F.col("page") != "")
+    ranked = dense_positions(kept, "doc_id", "__order", "page_idx", partitions)
+    return ranked.select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), "page")

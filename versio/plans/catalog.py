@@ -17,7 +17,7 @@ from versio.operators import checks, extract, request, response, usage
 from versio.operators.assemble import reassemble
 from versio.operators.chunk import chunk_counts, chunk_pages
 from versio.operators.dispatch import translate
-from versio.operators.pages import full_text_units, page_counts, split_pages
+from versio.operators.pages import full_text_units, page_counts, pages_from_rows, split_pages
 from versio.operators.providers import EchoService, FlakyService, failures_by_length
 from versio.plans import standins as S
 from versio.plans.translate_job import translated_with_usage, with_targets
@@ -116,6 +116,13 @@ def q_split_pages(spark, sf):
     return split_pages(_conv_marked(spark, sf))
 
 
+def q_page_rows(spark, sf):
+    """C1 on page rows: the same pages as ``split_pages`` of the marked text,
+    with the dense index computed without gathering a document in one task."""
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    return pages_from_rows(conv, key="conv_id", order="turn")
+
+
 def q_page_counts(spark, sf):
     return page_counts(_conv_marked(spark, sf))
 
@@ -238,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "mark_pages": q_mark_pages,
     "document_status": q_document_status,
     "split_pages": q_split_pages,
+    "page_rows": q_page_rows,
     "page_counts": q_page_counts,
     "approx_tokens": q_approx_tokens,
     "chunks_2000": _chunks_query(2000),

@@ -294,6 +294,7 @@ LEFT JOIN (SELECT method, count(*) AS n_chosen, CAST(sum(length(text)) AS BIGINT
 FROM best"""
 
     o["split_pages"] = with_(conv_marked_cte(), split_pages_cte("cm")) + "SELECT doc_id, page_idx, page FROM pg"
+    o["page_rows"] = o["split_pages"]
     o["page_counts"] = with_(conv_marked_cte()) + f"SELECT doc_id, len({kept_pages('text')}) AS n_pages FROM cm"
 
     o["approx_tokens"] = f"SELECT doc_id, {tokens('text')} AS tokens FROM documents"
