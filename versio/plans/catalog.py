@@ -230,6 +230,20 @@ def q_translate_documents(spark, sf):
     return translated_with_usage(_echo_translations(spark, sf))
 
 
+def q_sql_functions(spark, sf):
+    """U3/U4 from SQL: token estimate, chunk count and cost per document."""
+    from versio.functions.sql import register
+
+    register(spark)
+    S.documents(spark, sf).createOrReplaceTempView("versio_documents")
+    return spark.sql("""
+        SELECT doc_id,
+               approx_tokens(text) AS tokens,
+               CAST(size(chunk_text(text, 200)) AS BIGINT) AS n_chunks,
+               estimate_cost('deepseek-chat', approx_tokens(text), n_chars, 'miss') AS cost_usd
+        FROM versio_documents""")
+
+
 def q_preservation_check(spark, sf):
     return checks.preservation_check(_echo_translations(spark, sf, keep_text=True))
 
@@ -268,4 +282,5 @@ QUERIES: dict[str, Query] = {
     "usage_report": q_usage_report,
     "translate_documents": q_translate_documents,
     "preservation_check": q_preservation_check,
+    "sql_functions": q_sql_functions,
 }

@@ -380,6 +380,12 @@ FROM pr"""
   count_if(status = 'failed') AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""
 
+    o["sql_functions"] = with_(
+        "pg AS (SELECT doc_id, CAST(0 AS INTEGER) AS page_idx, text AS page FROM documents)", chunks_cte(200)
+    ) + f"""SELECT d.doc_id, {tokens('d.text')} AS tokens, coalesce(c.n, 0) AS n_chunks,
+  {tokens('d.text')} / 1000000 * 0.14::DOUBLE + d.n_chars / 1000000 * 1.1::DOUBLE AS cost_usd
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ck GROUP BY doc_id) c ON d.doc_id = c.doc_id"""
+
     cols = []
     for name, pat in PRESERVE_PATTERNS.items():
         src = f"regexp_extract_all(ck.chunk, '{pat}')"

@@ -16,9 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin a scan over ``target`` tasks (default: the session's
+    parallelism) when it has fewer splits than that, or when a small scan
+    comes from fewer files than that (a file smaller than a row group splits
+    into byte ranges of which only one holds rows). Large scans pass as they are."""
     want = target or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
-    return df.repartition(want) if have < want else df
+    if have < want or (have < 4 * want and len(df.inputFiles()) < want):
+        return df.repartition(want)
+    return df
 
 
 def read_table(spark: SparkSession, directory: str, name: str,
