@@ -104,3 +104,14 @@ def test_markdown_part_export_equals_reassembly(spark):
     docs = {r.output_name: r.content for r in reassemble(tr).collect()}
     assert all(read_markdown_parts(d, k) == v for k, v in docs.items())
     assert any(len(os.listdir(os.path.join(d, k + ".parts"))) > 1 for k in docs)
+
+
+def test_chosen_flag_in_row_equals_long_table(spark):
+    from versio.operators.extract import flag_chosen
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    c = html_candidates(pages)
+    in_row = {(r.doc_id, r.method): r.chosen for r in c.collect()}
+    long = {(r.doc_id, r.method): r.chosen for r in flag_chosen(c.drop("chosen")).collect()}
+    assert in_row == long
+    assert sum(in_row.values()) == pages.count()

@@ -112,8 +112,14 @@ def _bodies(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def html_candidates(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
-    """candidates(doc_id, method, priority, text, error), one scan."""
-    return _bodies(pages, key, html).select("doc_id", F.inline(_candidate_array("__body")))
+    """candidates(doc_id, method, priority, text, error, chosen), one scan.
+
+    ``chosen`` marks the candidate B6 picks, decided on the same row, so
+    per-method statistics need no second extraction pass and no join."""
+    arr = _bodies(pages, key, html).select("doc_id", _candidate_array("__body").alias("__c"))
+    best = arr.select("doc_id", "__c", best_in_row(F.col("__c"))["method"].alias("__best"))
+    return best.select("doc_id", F.inline("__c"), "__best").select(
+        "doc_id", "method", "priority", "text", "error", (F.col("method") == F.col("__best")).alias("chosen"))
 
 
 def _scored(cands: Column) -> Column:
@@ -151,24 +157,27 @@ def choose_best(candidates: DataFrame) -> DataFrame:
     return _with_status(out)
 
 
-def extraction_stats(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Per method, candidate count, characters (raw and stripped) and wins.
-
-    Wins are counted on ``chosen`` and joined on the method key: both sides are
-    pre-aggregated to one row per method before the join."""
-    per_method = candidates.groupBy("method").agg(
+def extraction_stats(candidates: DataFrame) -> DataFrame:
+    """Per method, candidate count, characters (raw and stripped), and how
+    often and with how many characters it was chosen (``chosen`` flag of
+    ``html_candidates``, or ``flag_chosen`` for any long table). One
+    aggregation on a handful of keys, partially aggregated in every task."""
+    chosen = F.col("chosen")
+    return candidates.groupBy("method").agg(
         F.count(F.lit(1)).alias("n_candidates"),
         F.sum(F.length("text")).cast("bigint").alias("chars"),
         F.sum(F.length(strip("text"))).cast("bigint").alias("stripped_chars"),
+        F.count_if(chosen).alias("n_chosen"),
+        F.coalesce(F.sum(F.when(chosen, F.length("text"))), F.lit(0)).cast("bigint").alias("chosen_chars"),
     )
-    wins = chosen.groupBy(F.col("method").alias("__m")).agg(
-        F.count(F.lit(1)).alias("n_chosen"),
-        F.sum(F.length("text")).cast("bigint").alias("chosen_chars"),
-    )
-    return (per_method.join(wins, per_method["method"] == wins["__m"], "left")
-            .select("method", "n_candidates", "chars", "stripped_chars",
-                    F.coalesce("n_chosen", F.lit(0).cast("bigint")).alias("n_chosen"),
-                    F.coalesce("chosen_chars", F.lit(0).cast("bigint")).alias("chosen_chars")))
+
+
+def flag_chosen(candidates: DataFrame) -> DataFrame:
+    """Adds ``chosen`` to a long candidates table: one ``max_by`` per document
+    joined back on (doc_id, method), both sides keyed by doc_id."""
+    best = choose_best(candidates).select("doc_id", F.col("method").alias("__best"))
+    return (candidates.join(best, "doc_id", "left")
+            .withColumn("chosen", F.col("method") == F.col("__best")).drop("__best"))
 
 
 def mark_pages(page_rows: DataFrame, *, key: str = "doc_id", order: str = "page_no",

@@ -94,8 +94,7 @@ def q_extract_best(spark, sf):
 
 
 def q_extraction_stats(spark, sf):
-    h = _html(spark, sf)
-    return extract.extraction_stats(extract.html_candidates(h), extract.html_best(h))
+    return extract.extraction_stats(extract.html_candidates(_html(spark, sf)))
 
 
 def q_choose_best(spark, sf):

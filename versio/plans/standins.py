@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from versio.sources.tables import read_table
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
-    return read_table(spark, sf_dir, name, columns)
+def read(spark: SparkSession, sf_dir: str, name: str, columns=None, balance: bool = True) -> DataFrame:
+    return read_table(spark, sf_dir, name, columns, balance=balance)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _name(doc_id) -> F.Column:
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path) - one file name per document, under its source folder."""
-    d = read(spark, sf_dir, "documents", ["doc_id", "source"])
+    d = read(spark, sf_dir, "documents", ["doc_id", "source"], balance=False)
     return d.select("doc_id", F.concat(F.lit("/data/"), F.col("source"), F.lit("/"),
                                        _name(F.col("doc_id"))).alias("path"))
 
@@ -45,7 +45,7 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def present_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path) - the files a listing found: those of the documents in ``labels``."""
     m = file_manifest(spark, sf_dir)
-    lab = read(spark, sf_dir, "labels", ["doc_id"])
+    lab = read(spark, sf_dir, "labels", ["doc_id"], balance=False)
     return m.join(lab, "doc_id", "left_semi").select("path")
 
 
@@ -55,7 +55,7 @@ MODEL_CHOICES = ["", "openai/gpt-4o-mini", "custom-model", ""]
 
 def model_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, provider, model) - a requested provider/model per document."""
-    d = read(spark, sf_dir, "documents", ["doc_id"])
+    d = read(spark, sf_dir, "documents", ["doc_id"], balance=False)
     pick = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]),
                                       (F.pmod(F.col("doc_id"), F.lit(m)) + 1).cast("int"))
     return d.select("doc_id", pick(PROVIDER_CHOICES, 7).alias("provider"),
