@@ -84,3 +84,28 @@ def test_each_chunk_is_sent_once_with_two_consumers(spark):
     tr.groupBy("doc_id").agg(F.max("translated")).count()
     with open(path) as fh:
         assert len(fh.readlines()) == 40
+
+
+def test_threads_per_task_give_same_answers(spark):
+    t = _tasks(spark, [f"text {i}" for i in range(50)])
+    a = sorted(map(tuple, translate(t, EchoService(), concurrency=2).collect()))
+    b = sorted(map(tuple, translate(t, EchoService(), concurrency=2, in_flight_per_task=4).collect()))
+    assert a == b
+
+
+def test_job_end_to_end_and_strict(spark):
+    import pytest
+
+    from versio.plans.translate_job import translate_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    run = translate_documents(docs, EchoService(), target_langs=["pt", "de"], limit=500, concurrency=4,
+                              model="deepseek-chat")
+    d = run.documents.collect()
+    assert len(d) == 2 * docs.count()
+    assert all(r.content.startswith(f"[{r.target_lang}] ") for r in d)
+    u = run.usage.collect()
+    assert all(r.cost_status == "ok" and r.cost_usd > 0 for r in u)
+    flaky = FlakyService(EchoService(), lambda text: 3)
+    with pytest.raises(Exception):
+        translate_documents(docs, flaky, target_langs=["pt"], limit=500, strict=True, sleep=lambda s: None)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versio.functions.text import DEFAULT_CHUNK_TOKENS
+from versio.operators import checks
 from versio.operators.assemble import reassemble
 from versio.operators.chunk import chunk_pages
 from versio.operators.dispatch import translate
@@ -60,11 +61,17 @@ def translate_documents(
     checkpoint: bool = True,
     model: str | None = None,
     cache: str = "miss",
+    strict: bool = False,
     **dispatch_opts,
 ) -> TranslationRun:
+    """The whole run. ``strict`` fails the job when any chunk failed (the
+    reference aborts on a failed full-text request); otherwise failed chunks
+    carry the failure marker and the run goes on."""
     chunks = plan_chunks(documents, limit=limit, full_text=full_text)
     tasks = with_targets(chunks, target_langs)
     translations = translate(tasks, translator, concurrency=concurrency, **dispatch_opts)
+    if strict:
+        translations = checks.strict(translations, F.col("status") == "failed", "a chunk failed to translate")
     if checkpoint:
         translations = materialize(translations)
     docs = reassemble(translations)
