@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from versio.operators.dispatch import backoff, call_with_retry, translate
-from versio.operators.providers import EchoService, FlakyService
+from versio.operators.services import EchoService, FlakyService
 from versio.operators.usage import usage_by_document
 from versio.session import materialize
 

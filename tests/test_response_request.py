@@ -2,7 +2,7 @@
 
 import json
 
-from versio.operators.providers import ServiceTranslator, get_translator
+from versio.operators.services import ServiceTranslator, get_translator
 from versio.operators.request import build_requests, resolve_models
 from versio.operators.response import parse_responses
 

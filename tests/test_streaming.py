@@ -3,7 +3,7 @@
 import tempfile
 
 from versio.operators.dispatch import translate
-from versio.operators.providers import EchoService
+from versio.operators.services import EchoService
 from versio.plans.translate_job import plan_chunks, with_targets
 from versio.streaming.incremental import document_stream, translate_stream
 

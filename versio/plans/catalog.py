@@ -18,7 +18,7 @@ from versio.operators.assemble import reassemble
 from versio.operators.chunk import chunk_counts, chunk_pages
 from versio.operators.dispatch import translate
 from versio.operators.pages import full_text_units, page_counts, pages_from_rows, split_pages
-from versio.operators.providers import EchoService, FlakyService, failures_by_length
+from versio.operators.services import EchoService, FlakyService, failures_by_length
 from versio.plans import standins as S
 from versio.plans.translate_job import translated_with_usage, with_targets
 from versio.sources.files import conversion_route, missing_files, validate_formats
