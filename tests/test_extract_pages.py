@@ -115,3 +115,22 @@ def test_chosen_flag_in_row_equals_long_table(spark):
     long = {(r.doc_id, r.method): r.chosen for r in flag_chosen(c.drop("chosen")).collect()}
     assert in_row == long
     assert sum(in_row.values()) == pages.count()
+
+
+def test_small_file_markdown_export(spark):
+    import os
+    import tempfile
+
+    from versio.operators.assemble import export_markdown, reassemble, write_documents
+    from versio.plans.catalog import _echo_translations
+
+    docs = reassemble(_echo_translations(spark, "/root/testdata/sf0.001", limit=2000))
+    d = tempfile.mkdtemp(prefix="versio-md-")
+    export_markdown(docs, d)
+    expected = {r.output_name: r.content for r in docs.collect()}
+    for name, content in expected.items():
+        with open(os.path.join(d, name), encoding="utf-8") as fh:
+            assert fh.read() == content
+    out = tempfile.mkdtemp(prefix="versio-pq-") + "/t"
+    write_documents(docs, out)
+    assert spark.read.parquet(out).where("target_lang = 'pt'").count() == len(expected)

@@ -5,8 +5,9 @@ The reference runs three extractors on one file and keeps the longest text
 
 * ``html_candidates`` - three built-in extractors over an HTML column, all
   computed in one projection of the scan (no union, no second scan):
-  ``native`` (priority 1): visible text of every top-level block, one page
-  per block, each page stripped and followed by the page marker;
+  ``native`` (priority 1): visible text, one page per stretch ended by a
+  closing nav/div/article/footer/section/header tag or an ``<hr>``, each page
+  stripped and followed by the page marker;
   ``article`` (priority 2): the ``<article>`` block only, one marked page;
   ``markdown`` (priority 3): headings, links and list items as Markdown,
   whole document, not stripped, no markers.

@@ -264,6 +264,7 @@ QUERIES: dict[str, Query] = {
     "chunks_2000": _chunks_query(2000),
     "chunks_200": _chunks_query(200),
     "chunks_20": _chunks_query(20),
+    "chunks_1": _chunks_query(1),
     "chunks_native_200": _chunks_query(200, native=True),
     "chunk_stats": q_chunk_stats,
     "conversation_chunks": q_conversation_chunks,

@@ -298,7 +298,7 @@ FROM best"""
     o["page_counts"] = with_(conv_marked_cte()) + f"SELECT doc_id, len({kept_pages('text')}) AS n_pages FROM cm"
 
     o["approx_tokens"] = f"SELECT doc_id, {tokens('text')} AS tokens FROM documents"
-    for lim in (2000, 200, 20):
+    for lim in (2000, 200, 20, 1):
         o[f"chunks_{lim}"] = with_(*doc_chunks(lim)) + \
             f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
     o["chunks_native_200"] = o["chunks_200"]
