@@ -109,3 +109,24 @@ def test_job_end_to_end_and_strict(spark):
     flaky = FlakyService(EchoService(), lambda text: 3)
     with pytest.raises(Exception):
         translate_documents(docs, flaky, target_langs=["pt"], limit=500, strict=True, sleep=lambda s: None)
+
+
+def test_identity_translation_reassembles_pages(spark):
+    from versio.functions.text import PAGE_SUFFIX
+    from versio.operators.assemble import reassemble
+    from versio.plans.translate_job import plan_chunks, with_targets
+
+    def identity(text, lang):
+        return text, {}
+
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    pages = {}
+    for r in conv.collect():
+        pages.setdefault(r.conv_id, []).append((r.turn, r.text.strip()))
+    docs = spark.createDataFrame(
+        [(k, "".join(t + PAGE_SUFFIX for _, t in sorted(v))) for k, v in pages.items()], "doc_id long, text string")
+    tr = translate(with_targets(plan_chunks(docs, limit=10 ** 9), ["xx"]), identity, concurrency=3)
+    got = {r.doc_id: r.content for r in reassemble(tr).collect()}
+    assert got == {k: "\n\n".join(t for _, t in sorted(v) if t) for k, v in pages.items()}
+    tot = usage_by_document(tr).collect()
+    assert all(r.total_tokens_total == r.prompt_tokens_total + r.completion_tokens_total for r in tot)
