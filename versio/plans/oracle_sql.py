@@ -351,10 +351,10 @@ FROM r"""
   string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content
 FROM tr GROUP BY doc_id, target_lang"""
     o["usage_by_document"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT doc_id, target_lang, {sums},
-  count(*) AS n_chunks, count_if(status = 'failed') AS n_failed
+  count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""
     o["usage_total"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT {sums},
-  count(*) AS n_chunks, count_if(status = 'failed') AS n_failed FROM tr"""
+  count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed FROM tr"""
     o["chunks_per_page"] = with_(*doc_chunks(20)) + \
         "SELECT doc_id, page_idx, count(*) AS n_chunks FROM ck GROUP BY doc_id, page_idx"
 
@@ -377,7 +377,7 @@ FROM pr"""
 FROM pr"""
     o["translate_documents"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT doc_id, target_lang,
   string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content, {sums},
-  count_if(status = 'failed') AS n_failed
+  CAST(count_if(status = 'failed') AS BIGINT) AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""
 
     o["sql_functions"] = with_(
