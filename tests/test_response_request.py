@@ -69,3 +69,34 @@ def test_service_translator_reads_each_shape():
     assert sent[0][1]["messages"][1]["content"] == "Translate to pt:\nx"
     with pytest.raises(ValueError):
         get_translator("nope", "m", post)
+
+
+def test_build_send_parse_round_trip(spark):
+    """E2 -> dispatch -> E12-E17 entirely table to table; a fake transport
+    answers in each provider's reply shape and fails one request for good."""
+    from versio.operators.dispatch import send_requests
+
+    def post(provider, body):
+        req = json.loads(body)
+        user = req["messages"][-1]["content"] if "messages" in req else req["contents"]
+        text = user.split("\n", 1)[1].upper()
+        if text == "BOOM":
+            raise ConnectionError("service down")
+        if provider == "anthropic":
+            return json.dumps({"content": [{"type": "text", "text": text}],
+                               "usage": {"input_tokens": 7, "output_tokens": 3}})
+        if provider == "gemini":
+            return json.dumps({"text": text})
+        return json.dumps({"choices": [{"message": {"content": text}}],
+                           "usage": {"prompt_tokens": 5, "completion_tokens": 2}})
+
+    rows = [(i, 0, 0, "pt", p, "m", t) for i, (p, t) in
+            enumerate([("deepseek", "abc"), ("anthropic", "def"), ("gemini", "ghi"), ("openai", "boom")])]
+    chunks = spark.createDataFrame(rows, "doc_id long, page_idx int, chunk_idx int, target_lang string, "
+                                         "provider string, model string, chunk string")
+    replies = send_requests(build_requests(chunks), post, concurrency=2, sleep=lambda s: None)
+    got = {r.doc_id: r for r in parse_responses(replies).collect()}
+    assert (got[0].translated, got[0].prompt_tokens, got[0].completion_tokens) == ("ABC", 5, 2)
+    assert (got[1].translated, got[1].prompt_tokens, got[1].completion_tokens) == ("DEF", 7, 3)
+    assert (got[2].translated, got[2].usage_reported) == ("GHI", False)
+    assert (got[3].status, got[3].attempts) == ("failed", 3) and "service down" in got[3].error

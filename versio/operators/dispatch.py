@@ -148,3 +148,60 @@ def normalise(raw: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         F.when(ok, completion).otherwise(F.lit(0).cast("bigint")).alias("completion_tokens"),
         (ok & reported).alias("usage_reported"),
     )
+
+
+def send_requests(
+    requests: DataFrame,
+    post: Callable[[str, str], str],
+    *,
+    keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang"),
+    concurrency: int = DEFAULT_CONCURRENCY,
+    in_flight_per_task: int = 1,
+    max_attempts: int = MAX_ATTEMPTS,
+    wait_multiplier: float = WAIT_MULTIPLIER,
+    wait_min: float = WAIT_MIN_S,
+    wait_max: float = WAIT_MAX_S,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Table-driven dispatch: requests(keys, provider, body) from
+    ``build_requests`` -> responses(keys, provider, reply_style, body, attempts,
+    error). ``post(provider, body_json) -> reply_json`` is the caller's
+    transport; the same in-flight cap and retry rules as ``translate`` apply.
+    Read the replies with ``response.parse_responses`` (in the JVM); an
+    exhausted request has a NULL body and parses as ``failed``."""
+    from versio.sources import dimensions as dims
+
+    keys = list(keys)
+    todo = requests.select(*keys, "provider", F.col("body").alias("request_body"))
+    key_types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
+    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + (
+        ", provider string, body string, attempts int, error string")
+    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
+                wait_max=wait_max, sleep=sleep)
+
+    def call(provider: str, body: str):
+        return post(provider, body), {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
+        try:
+            for pdf in batches:
+                pairs = list(zip(pdf["request_body"], pdf["provider"]))
+
+                def one(pair):
+                    return call_with_retry(lambda b, p: call(p, b), pair[0], pair[1], **opts)
+
+                res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
+                out = pdf[[*keys, "provider"]].copy()
+                out["body"] = [r[0] for r in res]
+                out["attempts"] = [r[2] for r in res]
+                out["error"] = [r[3] for r in res]
+                yield out
+        finally:
+            if pool:
+                pool.shutdown()
+
+    raw = todo.repartition(int(concurrency)).mapInPandas(run, schema)
+    styles = dims.providers(requests.sparkSession).select(F.col("provider").alias("__p"), "reply_style")
+    return (raw.join(styles, F.col("provider") == F.col("__p"), "left")
+            .select(*keys, "provider", "reply_style", "body", "attempts", "error"))

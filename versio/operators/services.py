@@ -123,3 +123,25 @@ def failures_by_length(modulus: int = 4) -> Callable[[str], int]:
     def rule(text: str) -> int:
         return len(text) % modulus
     return rule
+
+
+class EchoTransport:
+    """Offline stand-in for the providers' endpoints, for ``send_requests``:
+    reads the request body and answers ``[lang] text`` in the provider's reply
+    shape, with usage from the ceil(len/4) estimate (none for text-only replies)."""
+
+    def __call__(self, provider: str, body: str) -> str:
+        req = json.loads(body)
+        user = req["contents"] if "contents" in req else req["messages"][-1]["content"]
+        head, text = user.split("\n", 1)
+        lang = head[len("Translate to "):-1]
+        out = f"[{lang}] {text}"
+        p, c = py_approx_tokens(user), py_approx_tokens(out)
+        style = _STYLES[provider][1]
+        if style == "content_blocks":
+            return json.dumps({"content": [{"type": "text", "text": out}],
+                               "usage": {"input_tokens": p, "output_tokens": c}})
+        if style == "text_only":
+            return json.dumps({"text": out})
+        return json.dumps({"choices": [{"message": {"content": out}}],
+                           "usage": {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}})

@@ -165,6 +165,23 @@ def q_build_requests(spark, sf):
                     body_user.alias("body_user"))
 
 
+def q_send_requests(spark, sf):
+    """E2 -> table-driven dispatch -> E12-E17: routed requests for every chunk,
+    sent through an offline transport answering in each provider's shape, and
+    the raw replies parsed in the JVM."""
+    from versio.operators.dispatch import send_requests
+    from versio.operators.services import EchoTransport
+
+    d = S.documents(spark, sf).join(S.routes(spark), "lang")
+    ch = chunk_pages(split_pages(d, carry=("target_lang", "provider")), 2000)
+    resolved = request.resolve_models(ch.withColumn("model", F.lit("")))
+    reqs = request.build_requests(resolved.withColumn("model", F.col("model_resolved")))
+    replies = send_requests(reqs, EchoTransport(), concurrency=8, sleep=_no_wait)
+    return response.parse_responses(replies).select(
+        "doc_id", "page_idx", "chunk_idx", "target_lang", "provider", "translated", "status", "attempts",
+        "prompt_tokens", "completion_tokens", "usage_reported")
+
+
 def q_resolve_models(spark, sf):
     r = request.resolve_models(S.model_specs(spark, sf))
     return r.select("doc_id", "provider", "model", "provider_resolved", "model_resolved", "model_known", "status")
@@ -269,6 +286,7 @@ QUERIES: dict[str, Query] = {
     "chunk_stats": q_chunk_stats,
     "conversation_chunks": q_conversation_chunks,
     "build_requests": q_build_requests,
+    "send_requests": q_send_requests,
     "resolve_models": q_resolve_models,
     "parse_responses": q_parse_responses,
     "translate_stub": q_translate_stub,

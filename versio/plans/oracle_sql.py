@@ -319,6 +319,15 @@ FROM ck JOIN documents d ON ck.doc_id = d.doc_id
 JOIN (VALUES {routes}) r(lang, target_lang, provider) ON d.lang = r.lang
 LEFT JOIN (VALUES {dm}) dm(p, m) ON r.provider = dm.p
 LEFT JOIN (VALUES {styles}) st(p, s) ON r.provider = st.p"""
+    user = f"'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk"
+    out = "'[' || r.target_lang || '] ' || ck.chunk"
+    o["send_requests"] = with_(*doc_chunks(2000)) + f"""SELECT ck.doc_id, ck.page_idx, ck.chunk_idx, r.target_lang,
+  r.provider, {out} AS translated, 'ok' AS status, CAST(1 AS INTEGER) AS attempts,
+  CASE WHEN r.provider = 'gemini' THEN 0 ELSE {tokens(user)} END AS prompt_tokens,
+  CASE WHEN r.provider = 'gemini' THEN 0 ELSE {tokens(out)} END AS completion_tokens,
+  r.provider <> 'gemini' AS usage_reported
+FROM ck JOIN documents d ON ck.doc_id = d.doc_id
+JOIN (VALUES {routes}) r(lang, target_lang, provider) ON d.lang = r.lang"""
     o["resolve_models"] = f"""WITH s AS (
   SELECT doc_id, {pick(PROVIDER_CHOICES)} AS provider, {pick(MODEL_CHOICES)} AS model FROM documents
 ),

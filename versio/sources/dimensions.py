@@ -102,16 +102,26 @@ SYSTEM_PROMPT = (
 MAX_BROADCAST_ROWS = 10_000
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return str(v)
+
+
 def _dim(spark: SparkSession, rows, schema: str) -> DataFrame:
     """A dimension from driver-side literal rows, broadcast when its (known)
     row count is within the bound; beyond it the planner picks the join.
 
-    The rows are literals in the plan (folded to a local relation), so using
-    a dimension runs no job of its own."""
+    The rows are an inline ``VALUES`` table, i.e. a local relation in the
+    plan: broadcasting it runs no job of its own."""
     rows = list(rows)
     fields = [f.strip().split() for f in schema.split(",")]
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
-    df = spark.range(1).select(F.inline(F.array(*structs)))
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(n for n, _ in fields)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    df = df.select(*[F.col(n).cast(t).alias(n) for n, t in fields])
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
 
 
