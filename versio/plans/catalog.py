@@ -57,7 +57,8 @@ def _flaky_translations(spark, sf, limit=200):
 
 
 def _conv_marked(spark, sf):
-    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    # the first operator shuffles by document anyway: no spreading exchange before it
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"], balance=False)
     return extract.mark_pages(conv, key="conv_id", order="turn").withColumnRenamed("conv_id", "doc_id")
 
 
@@ -118,7 +119,7 @@ def q_split_pages(spark, sf):
 def q_page_rows(spark, sf):
     """C1 on page rows: the same pages as ``split_pages`` of the marked text,
     with the dense index computed without gathering a document in one task."""
-    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"], balance=False)
     return pages_from_rows(conv, key="conv_id", order="turn")
 
 
