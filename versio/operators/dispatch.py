@@ -71,6 +71,39 @@ def call_with_retry(translator: Translator, text: str, lang: str, *, max_attempt
     return None, None, max_attempts, f"{type(last).__name__}: {last}"
 
 
+def _dispatch(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str],
+              carry: Sequence[str], *, concurrency: int, in_flight_per_task: int, opts: dict) -> DataFrame:
+    """Run ``call(args[0], args[1]) -> (answer, usage)`` with retry for every row
+    of ``todo`` over exactly ``concurrency`` tasks; -> carry + answer, attempts,
+    error, usage_json."""
+    types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in carry) + (
+        ", answer string, attempts int, error string, usage_json string")
+    carry = list(carry)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
+        try:
+            for pdf in batches:
+                pairs = list(zip(pdf[args[0]], pdf[args[1]]))
+
+                def one(pair):
+                    return call_with_retry(call, pair[0], pair[1], **opts)
+
+                res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
+                out = pdf[carry].copy()
+                out["answer"] = [r[0] for r in res]
+                out["attempts"] = [r[2] for r in res]
+                out["error"] = [r[3] for r in res]
+                out["usage_json"] = [r[1] for r in res]
+                yield out
+        finally:
+            if pool:
+                pool.shutdown()
+
+    return todo.repartition(int(concurrency)).mapInPandas(run, schema)
+
+
 def translate(
     tasks: DataFrame,
     translator: Translator,
@@ -98,35 +131,11 @@ def translate(
     if resume_from is not None:
         todo = todo.join(resume_from.select(*keys, lang_col), [*keys, lang_col], "left_anti")
 
-    key_types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
     carry = [*keys, lang_col] + ([text_col] if keep_text else [])
-    out_schema = ", ".join(f"{k} {key_types[k]}" for k in carry) + (
-        ", translated string, attempts int, error string, usage_json string"
-    )
     opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
                 wait_max=wait_max, sleep=sleep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
-        try:
-            for pdf in batches:
-                pairs = list(zip(pdf[text_col], pdf[lang_col]))
-
-                def one(pair):
-                    return call_with_retry(translator, pair[0], pair[1], **opts)
-
-                res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
-                out = pdf[carry].copy()
-                out["translated"] = [r[0] for r in res]
-                out["attempts"] = [r[2] for r in res]
-                out["error"] = [r[3] for r in res]
-                out["usage_json"] = [r[1] for r in res]
-                yield out
-        finally:
-            if pool:
-                pool.shutdown()
-
-    raw = todo.repartition(int(concurrency)).mapInPandas(run, out_schema)
+    raw = _dispatch(todo, translator, (text_col, lang_col), carry, concurrency=concurrency,
+                    in_flight_per_task=in_flight_per_task, opts=opts).withColumnRenamed("answer", "translated")
     return normalise(raw, keys=carry)
 
 
@@ -173,35 +182,14 @@ def send_requests(
 
     keys = list(keys)
     todo = requests.select(*keys, "provider", F.col("body").alias("request_body"))
-    key_types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + (
-        ", provider string, body string, attempts int, error string")
     opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
                 wait_max=wait_max, sleep=sleep)
 
-    def call(provider: str, body: str):
+    def call(body: str, provider: str) -> tuple:
         return post(provider, body), {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
-        try:
-            for pdf in batches:
-                pairs = list(zip(pdf["request_body"], pdf["provider"]))
-
-                def one(pair):
-                    return call_with_retry(lambda b, p: call(p, b), pair[0], pair[1], **opts)
-
-                res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
-                out = pdf[[*keys, "provider"]].copy()
-                out["body"] = [r[0] for r in res]
-                out["attempts"] = [r[2] for r in res]
-                out["error"] = [r[3] for r in res]
-                yield out
-        finally:
-            if pool:
-                pool.shutdown()
-
-    raw = todo.repartition(int(concurrency)).mapInPandas(run, schema)
+    raw = _dispatch(todo, call, ("request_body", "provider"), [*keys, "provider"], concurrency=concurrency,
+                    in_flight_per_task=in_flight_per_task, opts=opts).withColumnRenamed("answer", "body")
     styles = dims.providers(requests.sparkSession).select(F.col("provider").alias("__p"), "reply_style")
     return (raw.join(styles, F.col("provider") == F.col("__p"), "left")
             .select(*keys, "provider", "reply_style", "body", "attempts", "error"))
