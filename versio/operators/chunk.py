@@ -30,7 +30,6 @@ from versio.functions.text import (
     DEFAULT_CHUNK_TOKENS,
     approx_tokens,
     col_of,
-    py_approx_tokens,
     split_lines,
     words,
 )
@@ -41,29 +40,36 @@ from versio.functions.text import (
 def _bin_starts(costs: list[int], limit: int) -> list[int]:
     """Offsets where greedy bins start; always begins with 0."""
     starts = [0]
+    append = starts.append
     used = 0
     for pos, cost in enumerate(costs):
-        if used + cost > limit:
-            starts.append(pos)
+        used += cost
+        if used > limit:
+            append(pos)
             used = cost
-        else:
-            used += cost
     return starts
 
 
 def _emit_bins(atoms: list[str], costs: list[int], limit: int, sep: str, out: list[str]) -> None:
     starts = _bin_starts(costs, limit)
-    ends = starts[1:] + [len(atoms)]
-    out.extend(sep.join(atoms[a:b]) for a, b in zip(starts, ends))
+    if len(starts) == 1:
+        out.append(sep.join(atoms))
+        return
+    ends = starts[1:]
+    ends.append(len(atoms))
+    out.extend([sep.join(atoms[a:b]) for a, b in zip(starts, ends)])
 
 
 def chunk_text_py(page: str, limit: int = DEFAULT_CHUNK_TOKENS) -> list[str]:
-    """Chunks of one page, in order (plain Python; used by the Arrow UDF)."""
+    """Chunks of one page, in order (plain Python; used by the Arrow UDF).
+
+    Costs use integer shifts: ceil(n/4) = (n+3)>>2 for a line and
+    ceil((n+1)/4) = (n+4)>>2 for a word."""
     out: list[str] = []
     run_lines: list[str] = []
     run_costs: list[int] = []
     for line in page.split("\n"):
-        cost = py_approx_tokens(line)
+        cost = (len(line) + 3) >> 2
         if cost < limit:
             run_lines.append(line)
             run_costs.append(cost)
@@ -73,7 +79,7 @@ def chunk_text_py(page: str, limit: int = DEFAULT_CHUNK_TOKENS) -> list[str]:
             run_lines, run_costs = [], []
         ws = line.split()
         if ws:
-            _emit_bins(ws, [-(-(len(w) + 1) // 4) for w in ws], limit, " ", out)
+            _emit_bins(ws, [(len(w) + 4) >> 2 for w in ws], limit, " ", out)
     if run_lines:
         _emit_bins(run_lines, run_costs, limit, "\n", out)
     return out
