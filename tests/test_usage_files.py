@@ -67,7 +67,7 @@ def test_money_rounds_like_python(spark):
     from versio.operators.usage import with_money
 
     vals = [0.03125, 0.00015, 1.23115, 2.96615, 3.02845, 1.12005, 0.0, 5e-05, 4.9999e-05, 8.59259248, 1e7 + 0.00005,
-            123.45675, -0.03125, 2.0 ** 53]
+            123.45675, -0.03125, 2.0 ** 53, 2.0 ** 52 - 0.5, 2.0 ** 51 + 0.25, 1e15 + 0.125, 2.0 ** -30]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r.s for r in with_money(df, "v", "s").collect()]
     assert got == [f"${v:.4f}" for v in vals]

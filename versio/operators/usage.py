@@ -106,13 +106,16 @@ def with_money(df: DataFrame, value: str, out: str) -> DataFrame:
     t = t.withColumn("__s0", F.col("__d") / F.pow(F.lit(2.0), F.col("__e0")))
     t = t.withColumn("__e", F.when(F.col("__s0") >= 2, F.col("__e0") + 1)
                      .when(F.col("__s0") < 1, F.col("__e0") - 1).otherwise(F.col("__e0")))
-    t = t.withColumn("__k", (F.lit(52) - F.col("__e")).cast("int"))
+    # clamped so discarded rows (0, tiny, >= 2**52) never divide by 0 or overflow
+    t = t.withColumn("__k", F.least(F.greatest(F.lit(52) - F.col("__e"), F.lit(1)), F.lit(124)).cast("int"))
     t = t.withColumn("__num", ((F.col("__d") / F.pow(F.lit(2.0), F.col("__e")) * F.lit(float(2 ** 52)))
                                .cast("bigint").cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)"))
                      .cast("decimal(38,0)"))
     t = t.withColumn("__den", _pow2(F.col("__k"))).withColumn("__half", _pow2(F.col("__k") - 1))
-    t = t.withColumn("__q", F.floor(F.col("__num") / F.col("__den")).cast("decimal(38,0)"))
-    t = t.withColumn("__rem", (F.col("__num") - F.col("__q") * F.col("__den")).cast("decimal(38,0)"))
+    # exact remainder first, then an exact division (a quotient rounded to the
+    # result scale could land on the next integer)
+    t = t.withColumn("__rem", (F.col("__num") % F.col("__den")).cast("decimal(38,0)"))
+    t = t.withColumn("__q", ((F.col("__num") - F.col("__rem")) / F.col("__den")).cast("decimal(38,0)"))
     up = (F.col("__rem") > F.col("__half")) | ((F.col("__rem") == F.col("__half")) & (F.pmod("__q", F.lit(2)) == 1))
     t = t.withColumn("__n", F.when(F.col("__d") < F.lit(1e-6), F.lit(0))
                      .otherwise(F.col("__q") + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)"))
