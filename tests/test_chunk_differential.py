@@ -5,7 +5,6 @@ import random
 
 import duckdb
 import pandas as pd
-from pyspark.sql import functions as F
 
 from versio.operators.chunk import chunk_array, chunk_array_native, chunk_text_py
 from versio.plans.oracle_sql import chunks_cte, with_

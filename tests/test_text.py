@@ -1,6 +1,5 @@
 """H1-H5: whitespace class, strip, words, token estimate."""
 
-from pyspark.sql import functions as F
 
 from versio.functions.text import WS_CHARS, approx_tokens, is_blank, strip, words
 

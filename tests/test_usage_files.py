@@ -5,7 +5,7 @@ import tempfile
 
 from versio.operators.usage import estimate_cost, usage_report
 from versio.sources.files import (conversion_route, file_stem, file_suffix, missing_files, parse_formats,
-                                  scan_files, validate_formats)
+                                  scan_files)
 
 COSTS = [  # FIXTURES.md section 8
     ("deepseek-chat", "miss", 1234567, 7654321, 8.59259248, "$8.5926"),
