@@ -130,3 +130,18 @@ def test_identity_translation_reassembles_pages(spark):
     assert got == {k: "\n\n".join(t for _, t in sorted(v) if t) for k, v in pages.items()}
     tot = usage_by_document(tr).collect()
     assert all(r.total_tokens_total == r.prompt_tokens_total + r.completion_tokens_total for r in tot)
+
+
+def test_page_rows_job_equals_marked_text_job(spark):
+    from versio.functions.text import PAGE_SUFFIX
+    from versio.plans.translate_job import translate_documents, translate_page_rows
+
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "text")
+    a = translate_page_rows(conv, EchoService(), key="conv_id", order="turn", target_langs=["fr"], limit=300)
+    marked = {}
+    for r in conv.collect():
+        marked.setdefault(r.conv_id, []).append((r.turn, r.text))
+    docs = spark.createDataFrame([(k, "".join(t.strip() + PAGE_SUFFIX for _, t in sorted(v))) for k, v in marked.items()],
+                                 "doc_id long, text string")
+    b = translate_documents(docs, EchoService(), target_langs=["fr"], limit=300)
+    assert sorted(map(tuple, a.documents.collect())) == sorted(map(tuple, b.documents.collect()))

@@ -23,7 +23,7 @@ from versio.operators import checks
 from versio.operators.assemble import reassemble
 from versio.operators.chunk import chunk_pages
 from versio.operators.dispatch import translate
-from versio.operators.pages import full_text_units, split_pages
+from versio.operators.pages import full_text_units, pages_from_rows, split_pages
 from versio.operators.usage import estimate_cost, usage_by_document
 from versio.session import materialize
 from versio.sources.dimensions import DEFAULT_CONCURRENCY
@@ -57,6 +57,37 @@ def translate_documents(
     target_langs: Sequence[str] = ("en",),
     limit: int = DEFAULT_CHUNK_TOKENS,
     full_text: bool = False,
+    **run_opts,
+) -> TranslationRun:
+    """The whole run for documents(doc_id, text) whose text carries page markers.
+    Options as ``run_chunks``."""
+    chunks = plan_chunks(documents, limit=limit, full_text=full_text)
+    return run_chunks(chunks, translator, target_langs=target_langs, **run_opts)
+
+
+def translate_page_rows(
+    rows: DataFrame,
+    translator,
+    *,
+    key: str = "doc_id",
+    order: str = "page_no",
+    text: str = "text",
+    target_langs: Sequence[str] = ("en",),
+    limit: int = DEFAULT_CHUNK_TOKENS,
+    **run_opts,
+) -> TranslationRun:
+    """The whole run for documents stored as page rows (key, order, text): the
+    pages come from ``pages_from_rows``, so no document is gathered in one task
+    before the reassembly. Options as ``run_chunks``."""
+    pages = pages_from_rows(rows, key=key, order=order, text=text)
+    return run_chunks(chunk_pages(pages, limit), translator, target_langs=target_langs, **run_opts)
+
+
+def run_chunks(
+    chunks: DataFrame,
+    translator,
+    *,
+    target_langs: Sequence[str] = ("en",),
     concurrency: int = DEFAULT_CONCURRENCY,
     checkpoint: bool = True,
     model: str | None = None,
@@ -64,10 +95,11 @@ def translate_documents(
     strict: bool = False,
     **dispatch_opts,
 ) -> TranslationRun:
-    """The whole run. ``strict`` fails the job when any chunk failed (the
-    reference aborts on a failed full-text request); otherwise failed chunks
-    carry the failure marker and the run goes on."""
-    chunks = plan_chunks(documents, limit=limit, full_text=full_text)
+    """chunks -> translations (checkpointed) -> documents + usage (+ cost).
+
+    ``strict`` fails the job when any chunk failed (the reference aborts on a
+    failed full-text request); otherwise failed chunks carry the failure marker
+    and the run goes on."""
     tasks = with_targets(chunks, target_langs)
     translations = translate(tasks, translator, concurrency=concurrency, **dispatch_opts)
     if strict:
