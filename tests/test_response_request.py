@@ -66,7 +66,7 @@ def test_service_translator_reads_each_shape():
     assert get_translator("deepseek", "deepseek-chat", post)("x", "pt") == ("a", {"prompt_tokens": 1, "completion_tokens": 2})
     assert ServiceTranslator("anthropic", "m", post)("x", "pt") == ("b", {"input_tokens": 3, "output_tokens": 4})
     assert ServiceTranslator("gemini", "m", post)("x", "pt") == ("c", {})
-    assert sent[0][1]["messages"][1]["content"] == "Translate to pt:\nx"
+    assert json.loads(sent[0][1])["messages"][1]["content"] == "Translate to pt:\nx"
     with pytest.raises(ValueError):
         get_translator("nope", "m", post)
 

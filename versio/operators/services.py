@@ -3,7 +3,8 @@
 A translator is a picklable callable ``(text, target_lang) -> (text, usage)``.
 
 * ``ServiceTranslator`` builds the provider-shaped request body and hands it
-  to a caller-supplied ``post(provider, body) -> reply JSON``; the transport,
+  as JSON to a caller-supplied ``post(provider, body_json) -> reply JSON`` (the
+  same transport signature ``dispatch.send_requests`` uses); the transport,
   keys and endpoints stay with the caller (no SDKs are bundled). The reply is
   read in the provider's shape.
 * ``get_translator`` is the registry: an unknown provider is an error.
@@ -63,19 +64,19 @@ def read_reply(provider: str, reply: dict) -> tuple:
 
 
 class ServiceTranslator:
-    """Provider adapter over a caller-supplied transport ``post(provider, body) -> str``."""
+    """Provider adapter over a caller-supplied transport ``post(provider, body_json) -> str``."""
 
-    def __init__(self, provider: str, model: str, post: Callable[[str, dict], str]):
+    def __init__(self, provider: str, model: str, post: Callable[[str, str], str]):
         if provider not in _STYLES:
             raise ValueError(f"unsupported provider: {provider}")
         self.provider, self.model, self.post = provider, model, post
 
     def __call__(self, text: str, lang: str) -> tuple:
         body = request_body(self.provider, self.model, text, lang)
-        return read_reply(self.provider, json.loads(self.post(self.provider, body)))
+        return read_reply(self.provider, json.loads(self.post(self.provider, json.dumps(body))))
 
 
-def get_translator(provider: str, model: str, post: Callable[[str, dict], str]) -> ServiceTranslator:
+def get_translator(provider: str, model: str, post: Callable[[str, str], str]) -> ServiceTranslator:
     """Registry lookup; unknown names raise ``ValueError``."""
     return ServiceTranslator(provider, model, post)
 
