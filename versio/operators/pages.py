@@ -1,15 +1,19 @@
 """Page handling (C1-C6): split an extracted text into pages, page counts,
-documents without pages, and the full-text (unsplit) mode.
-
-All operators here are narrow projections / generators: no exchange.
+documents without pages, and the full-text (unsplit) mode - narrow
+projections / generators, no exchange - plus ``pages_from_rows`` for documents
+stored as page rows, which ranks pages with one range exchange and offset
+tables bounded by the partition count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versio.functions.text import split_on_marker, strip
+from versio.session import materialize
 
 
 def split_pages(docs: DataFrame, *, text_col: str = "text", key: str = "doc_id",
@@ -67,12 +71,6 @@ def dense_positions(df: DataFrame, key: str, order: str, out: str = "idx",
     rows) give the offsets, broadcast back with that proven bound. The staged
     rows are checkpointed so both readers see the same task assignment.
     """
-    from pyspark import TaskContext
-    from pyspark.sql import Window
-    from pyspark.sql import types as T
-
-    from versio.session import materialize
-
     spark = df.sparkSession
     n = int(partitions or spark.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
