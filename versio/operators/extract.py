@@ -15,8 +15,9 @@ The reference runs three extractors on one file and keeps the longest text
   choosing needs no exchange; ``choose_best`` does the same for a long
   candidates table (any source) with one ``max_by`` aggregation.
 * ``extract_binary`` is the hook for binary files: caller-supplied Python
-  decoders run in ``mapInPandas`` and emit one row per page; an error keeps
-  the pages read so far (partial text) and records the message.
+  decoders run in ``mapInPandas`` and emit one candidate row per document and
+  method (pages marked in order); an error keeps the pages read so far
+  (partial text) and records the message.
 * ``mark_pages`` (B5) joins page rows into one marked text with an ordered
   ``listagg``.
 """

@@ -2,8 +2,8 @@
 
 The reference's inputs are files, CLI options and service replies; the
 driver's tables hold text. These builders only shape rows of the schema a
-job expects (file names, model specs, raw replies) from the tables, one row
-per source row, so the work of every job still grows with the tables. They
+job expects (file names, model specs, raw replies) from the tables, at most
+one row per source row, so the work of every job still grows with the tables. They
 do none of the jobs' work; the jobs take nothing from how these rows are made.
 Each has a SQL twin in ``oracle_sql``.
 """
