@@ -22,8 +22,12 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     into byte ranges of which only one holds rows). Large scans pass as they are."""
     want = target or df.sparkSession.sparkContext.defaultParallelism
     have = df.rdd.getNumPartitions()
-    if have < want or (have < 4 * want and len(df.inputFiles()) < want):
+    if have < want:
         return df.repartition(want)
+    if have < 4 * want:
+        files = df.inputFiles()
+        if files and len(files) < want:
+            return df.repartition(want)
     return df
 
 
