@@ -134,3 +134,25 @@ def test_small_file_markdown_export(spark):
     out = tempfile.mkdtemp(prefix="versio-pq-") + "/t"
     write_documents(docs, out)
     assert spark.read.parquet(out).where("target_lang = 'pt'").count() == len(expected)
+
+
+def test_markdown_part_export_hot_document(spark):
+    import os
+    import tempfile
+
+    from pyspark.sql import functions as F
+
+    from versio.operators.assemble import export_markdown_parts, read_markdown_parts, reassemble
+    from versio.plans.catalog import _echo_translations
+
+    tr = _echo_translations(spark, "/root/testdata/sf0.001", limit=50)
+    first = tr.agg(F.min("doc_id")).first()[0]
+    # every chunk of every document under one document id, pages kept in order
+    hot = tr.select(F.lit(7).cast("bigint").alias("doc_id"),
+                    ((F.col("doc_id") - first) * 1000 + F.col("page_idx")).cast("int").alias("page_idx"),
+                    "chunk_idx", "target_lang", "translated")
+    d = tempfile.mkdtemp(prefix="versio-hot-")
+    export_markdown_parts(hot, d, partitions=16)
+    content = reassemble(hot).first().content
+    assert read_markdown_parts(d, "doc_7_pt.md") == content
+    assert len(os.listdir(os.path.join(d, "doc_7_pt.md.parts"))) > 4
