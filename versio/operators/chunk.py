@@ -14,7 +14,8 @@ Two interchangeable implementations, same output:
 * ``chunk_array`` - Arrow-batched pandas UDF; the fold runs in a Python worker,
   one page per row, linear in the page length. Primary, fastest.
 * ``chunk_array_native`` - JVM only, built from ``aggregate``/``transform``
-  over arrays; no Python worker. Quadratic only in chunks per page.
+  over arrays; no Python worker. Quadratic only in bins within one long line
+  and in line chunks within one page.
 
 Both are row-local (no shuffle): scaling is by pages, and a page is one row.
 """
@@ -128,30 +129,40 @@ def _bins_of(costs: Column, limit: Column, make) -> Column:
     return F.aggregate(costs, init, step, finish)
 
 
-_DESC = "struct<w:boolean,i:int,a:int,b:int>"
+# A chunk descriptor; its natural struct order is the chunk order. Line chunks:
+# (start line, start line, end line, false); word bins of line i: (i, first
+# word, end word, true). A line chunk never starts on a long line, and the
+# empty bin of D4 is (i, 0, 0), before (i, 0, b).
+_DESC = "struct<pos:int,sa:int,sb:int,w:boolean>"
 
 
-def _desc(w: bool, i: Column, a: Column, b: Column) -> Column:
-    return F.struct(F.lit(w).alias("w"), i.cast("int").alias("i"), a.cast("int").alias("a"),
-                    b.cast("int").alias("b"))
+def _desc(pos: Column, a: Column, b: Column, w: bool) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), a.cast("int").alias("sa"), b.cast("int").alias("sb"),
+                    F.lit(w).alias("w"))
 
 
 def chunk_array_native(df: DataFrame, page: str, limit: int, out: str = "chunks") -> DataFrame:
     """Adds column ``out`` = ARRAY<STRING> of chunks, using JVM array functions only.
 
-    Step 1 materialises per-line arrays; step 2 folds them into chunk
-    descriptors (line range or word range); step 3 joins the text.
+    Per line: its estimate and, for a long line, its words. Word bins depend
+    only on their own line, so they come from an independent ``transform``;
+    only the short-line chunks need a fold across lines. The two descriptor
+    lists are merged by one ``array_sort`` and the text is joined at the end.
+    Cost: linear in lines, plus the square of bins within one long line and of
+    line chunks within one page (arrays are immutable, so a fold that appends
+    copies); the Arrow helper is linear throughout.
     """
     lim = F.lit(int(limit)).cast("bigint")
     tmp = df.withColumn("__lines", split_lines(page))
+    tmp = tmp.withColumn("__t", F.transform("__lines", lambda l: approx_tokens(l)))
     tmp = tmp.withColumn(
         "__ln",
         F.transform(
             "__lines",
             lambda l, i: F.struct(
                 i.alias("i"),
-                approx_tokens(l).alias("t"),
-                F.when(approx_tokens(l) >= lim, words(l))
+                F.element_at(F.col("__t"), i + 1).alias("t"),
+                F.when(F.element_at(F.col("__t"), i + 1) >= lim, words(l))
                 .otherwise(F.array().cast("array<string>")).alias("ws"),
             ),
         ),
@@ -161,19 +172,15 @@ def chunk_array_native(df: DataFrame, page: str, limit: int, out: str = "chunks"
 
     def word_bins(x):
         costs = F.transform(x["ws"], _word_cost)
-        bins = _bins_of(costs, lim, lambda a, b: _desc(True, x["i"], a, b))
+        bins = _bins_of(costs, lim, lambda a, b: _desc(x["i"], a, b, True))
         return F.when(F.size(x["ws"]) == 0, empty).otherwise(bins)
 
     def step(s, x):
         is_long = x["t"] >= lim
-        flush = F.when(s["open"] >= 0, F.array(_desc(False, F.lit(-1), s["open"], x["i"]))).otherwise(empty)
-        on_long = F.struct(
-            F.lit(0).cast("bigint").alias("used"), F.lit(-1).alias("open"),
-            F.concat(s["out"], flush, word_bins(x)).alias("out"),
-        )
-        on_full = F.struct(
-            x["t"].alias("used"), x["i"].alias("open"), F.concat(s["out"], flush).alias("out")
-        )
+        flush = F.when(s["open"] >= 0, F.array(_desc(s["open"], s["open"], x["i"], False))).otherwise(empty)
+        on_long = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(-1).alias("open"),
+                           F.concat(s["out"], flush).alias("out"))
+        on_full = F.struct(x["t"].alias("used"), x["i"].alias("open"), F.concat(s["out"], flush).alias("out"))
         on_add = F.struct(
             (s["used"] + x["t"]).alias("used"),
             F.when(s["open"] < 0, x["i"]).otherwise(s["open"]).alias("open"),
@@ -185,17 +192,20 @@ def chunk_array_native(df: DataFrame, page: str, limit: int, out: str = "chunks"
 
     def finish(s):
         tail = F.when(s["open"] >= 0,
-                      F.array(_desc(False, F.lit(-1), s["open"], F.size("__lines")))).otherwise(empty)
+                      F.array(_desc(s["open"], s["open"], F.size("__lines"), False))).otherwise(empty)
         return F.concat(s["out"], tail)
 
-    tmp = tmp.withColumn("__desc", F.aggregate("__ln", init, step, finish))
+    tmp = tmp.withColumn("__wb", F.flatten(F.transform("__ln", word_bins)))
+    tmp = tmp.withColumn("__lc", F.aggregate("__ln", init, step, finish))
+    tmp = tmp.withColumn("__desc", F.array_sort(F.concat("__lc", "__wb")))
 
     def text_of(d):
-        word_slice = F.slice(F.element_at(F.col("__ln"), d["i"] + 1)["ws"], d["a"] + 1, d["b"] - d["a"])
-        line_slice = F.slice(F.col("__lines"), d["a"] + 1, d["b"] - d["a"])
+        word_slice = F.slice(F.element_at(F.col("__ln"), d["pos"] + 1)["ws"], d["sa"] + 1, d["sb"] - d["sa"])
+        line_slice = F.slice(F.col("__lines"), d["sa"] + 1, d["sb"] - d["sa"])
         return F.when(d["w"], F.array_join(word_slice, " ")).otherwise(F.array_join(line_slice, "\n"))
 
-    return tmp.withColumn(out, F.transform("__desc", text_of)).drop("__lines", "__ln", "__desc")
+    return tmp.withColumn(out, F.transform("__desc", text_of)).drop("__lines", "__t", "__ln", "__wb", "__lc",
+                                                                     "__desc")
 
 
 # --- operators -----------------------------------------------------------------
