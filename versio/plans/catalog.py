@@ -284,6 +284,7 @@ QUERIES: dict[str, Query] = {
     "chunks_20": _chunks_query(20),
     "chunks_1": _chunks_query(1),
     "chunks_native_200": _chunks_query(200, native=True),
+    "chunks_native_20": _chunks_query(20, native=True),
     "chunk_stats": q_chunk_stats,
     "conversation_chunks": q_conversation_chunks,
     "build_requests": q_build_requests,
