@@ -145,3 +145,16 @@ def test_page_rows_job_equals_marked_text_job(spark):
                                  "doc_id long, text string")
     b = translate_documents(docs, EchoService(), target_langs=["fr"], limit=300)
     assert sorted(map(tuple, a.documents.collect())) == sorted(map(tuple, b.documents.collect()))
+
+
+def test_job_reports_documents_without_pages(spark):
+    from versio.functions.text import PAGE_SUFFIX
+    from versio.plans.translate_job import translate_documents, translate_page_rows
+
+    docs = spark.createDataFrame([(1, "hello"), (2, PAGE_SUFFIX * 3), (3, "  ")], "doc_id long, text string")
+    run = translate_documents(docs, EchoService(), target_langs=["pt"], limit=100)
+    assert {r.doc_id for r in run.documents.collect()} == {1}
+    assert {r.doc_id: r.status for r in run.status.collect()} == {1: "ok", 2: "no_pages", 3: "empty_extraction"}
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, " "), (2, 0, "  ")], "doc_id long, page_no long, text string")
+    run2 = translate_page_rows(rows, EchoService(), target_langs=["pt"], limit=100)
+    assert {r.doc_id: (r.n_pages, r.status) for r in run2.status.collect()} == {1: (1, "ok"), 2: (0, "no_pages")}

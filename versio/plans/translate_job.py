@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versio.functions.text import DEFAULT_CHUNK_TOKENS
+from versio.functions.text import DEFAULT_CHUNK_TOKENS, is_blank
 from versio.operators import checks
 from versio.operators.assemble import reassemble
 from versio.operators.chunk import chunk_pages
@@ -35,6 +35,9 @@ class TranslationRun:
     translations: DataFrame
     documents: DataFrame
     usage: DataFrame
+    # per input document: n_pages and status ok / no_pages / empty_extraction, so a
+    # document that yields no chunk (the reference raises) is reported, not lost
+    status: DataFrame | None = None
 
 
 def with_targets(units: DataFrame, target_langs: Sequence[str]) -> DataFrame:
@@ -62,7 +65,9 @@ def translate_documents(
     """The whole run for documents(doc_id, text) whose text carries page markers.
     Options as ``run_chunks``."""
     chunks = plan_chunks(documents, limit=limit, full_text=full_text)
-    return run_chunks(chunks, translator, target_langs=target_langs, **run_opts)
+    run = run_chunks(chunks, translator, target_langs=target_langs, **run_opts)
+    run.status = checks.document_status(documents.select("doc_id", "text"))
+    return run
 
 
 def translate_page_rows(
@@ -80,7 +85,11 @@ def translate_page_rows(
     pages come from ``pages_from_rows``, so no document is gathered in one task
     before the reassembly. Options as ``run_chunks``."""
     pages = pages_from_rows(rows, key=key, order=order, text=text)
-    return run_chunks(chunk_pages(pages, limit), translator, target_langs=target_langs, **run_opts)
+    run = run_chunks(chunk_pages(pages, limit), translator, target_langs=target_langs, **run_opts)
+    kept = F.count_if(~is_blank(text)).alias("n_pages")
+    run.status = (rows.groupBy(F.col(key).alias("doc_id")).agg(kept)
+                  .withColumn("status", F.when(F.col("n_pages") == 0, F.lit("no_pages")).otherwise(F.lit("ok"))))
+    return run
 
 
 def run_chunks(
