@@ -47,9 +47,12 @@ def _done(spark: SparkSession, sink_path: str, batch_id: int) -> DataFrame | Non
 
 def translate_stream(docs: DataFrame, translator, *, sink_path: str, checkpoint_location: str,
                      target_langs: Sequence[str] = ("en",), limit: int = DEFAULT_CHUNK_TOKENS,
-                     concurrency: int = 4, available_now: bool = True, **dispatch_opts) -> StreamingQuery:
+                     concurrency: int = 4, available_now: bool = True, trigger_interval: str = "30 seconds",
+                     **dispatch_opts) -> StreamingQuery:
     """Start the streaming job; chunks flow into ``sink_path`` (parquet,
-    partitioned by target language and batch id) as ``translations`` rows."""
+    partitioned by target language and batch id) as ``translations`` rows.
+    ``available_now`` processes what is there and stops; otherwise a
+    micro-batch runs every ``trigger_interval``."""
     chunks = with_targets(plan_chunks(docs.select("doc_id", "text"), limit=limit), target_langs)
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
@@ -61,5 +64,5 @@ def translate_stream(docs: DataFrame, translator, *, sink_path: str, checkpoint_
 
     writer = (chunks.writeStream.foreachBatch(run_batch)
               .option("checkpointLocation", checkpoint_location))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger_interval)
     return writer.start()
