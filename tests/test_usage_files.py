@@ -71,3 +71,29 @@ def test_money_rounds_like_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r.s for r in with_money(df, "v", "s").collect()]
     assert got == [f"${v:.4f}" for v in vals]
+
+
+def test_extract_files_front_half(spark):
+    from versio.operators.extract import PyExtractor
+    from versio.plans.translate_job import extract_files, translate_documents
+    from versio.operators.services import EchoService
+
+    d = tempfile.mkdtemp(prefix="versio-docs-")
+    for name, data in (("a.pdf", "page one\fpage two"), ("b.docx", "   "), ("c.txt", "not allowed")):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as fh:
+            fh.write(data)
+    ex = [PyExtractor("native", 1, lambda b: b.decode().split("\f")),
+          PyExtractor("markdown", 3, lambda b: [b.decode()], paged=False)]
+    res = extract_files(spark, d, ex)
+    routes = {os.path.basename(r.path): r.route for r in res.files.collect()}
+    assert routes == {"a.pdf": "passthrough", "b.docx": "convert", "c.txt": "rejected"}
+    assert [os.path.basename(r.path) for r in res.rejected.collect()] == ["c.txt"]
+    got = {r.doc_id: r for r in res.extracted.collect()}
+    # The blank file's paged text is only markers, which is not blank, so
+    # the extraction is "ok" and the document is reported as having no pages
+    assert sorted(r.status for r in got.values()) == ["ok", "ok"]
+    full = [r for r in got.values() if "page one" in r.text][0]
+    assert full.method == "native" and full.text.count("<<<PAGE_BREAK>>>") == 2
+    run = translate_documents(res.extracted, EchoService(), target_langs=["pt"], limit=100)
+    assert [r.content for r in run.documents.collect()] == ["[pt] page one\n\n[pt] page two"]
+    assert sorted(r.status for r in run.status.collect()) == ["no_pages", "ok"]

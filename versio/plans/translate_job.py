@@ -136,3 +136,28 @@ def translated_with_usage(translations: DataFrame) -> DataFrame:
         F.sum(p + c).cast("bigint").alias("total_tokens_total"),
         F.count_if(F.col("status") == "failed").alias("n_failed"),
     )
+
+
+@dataclass
+class Extraction:
+    extracted: DataFrame   # (doc_id, method, text, status) for accepted files
+    rejected: DataFrame    # (doc_id, path, suffix) for files of a format not allowed
+    files: DataFrame       # (doc_id, path, suffix, route, pdf_name)
+
+
+def extract_files(spark, directory: str, extractors, *, formats=None) -> Extraction:
+    """The reference's front half for a directory of files: list them with
+    ``binaryFile``, check the format, route (pass through / convert), run the
+    caller's decoders (``extract.PyExtractor``) on the accepted files, keep the
+    longest candidate and flag blank extractions. The converter itself is the
+    caller's: route ``convert`` files are decoded as they are."""
+    from versio.operators.extract import choose_best, extract_binary
+    from versio.sources.files import conversion_route, scan_files
+
+    scanned = scan_files(spark, directory, formats=formats)
+    routed = conversion_route(scanned.drop("suffix", "stem", "format_ok"), formats=formats)
+    accepted = routed.where(F.col("format_ok"))
+    extracted = choose_best(extract_binary(accepted.select("doc_id", "content"), extractors))
+    rejected = routed.where(~F.col("format_ok")).select("doc_id", "path", "suffix")
+    files = routed.select("doc_id", "path", "suffix", "route", "pdf_name")
+    return Extraction(extracted, rejected, files)
