@@ -156,3 +156,12 @@ def test_markdown_part_export_hot_document(spark):
     content = reassemble(hot).first().content
     assert read_markdown_parts(d, "doc_7_pt.md") == content
     assert len(os.listdir(os.path.join(d, "doc_7_pt.md.parts"))) > 4
+
+
+def test_tag_patterns_name_the_tag_exactly(spark):
+    html = ('<html><body><article><p class="x">a<pre>b</pre><param name="n">c<br/>d</p>'
+            '<ul><li>e</li></ul><link rel="s"></article></body></html>')
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    c = {r.method: r.text for r in html_candidates(df).collect()}
+    assert c["article"].split("<<<")[0].strip() == "abc\nd\ne"
+    assert c["markdown"].count("\n- ") == 1

@@ -49,8 +49,14 @@ ENTITIES = [
 METHODS = (("native", 1), ("article", 2), ("markdown", 3))
 
 _NOISE = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-_BLOCK_END = r"</nav>|</div>|</article>|</footer>|</section>|</header>|<hr[^>]*>"
-_LINE_BREAK = r"<br[^>]*>|</p>|</h[1-6]>|</li>|<p[^>]*>"
+# tag patterns name the tag exactly: "<p" must not match <pre> or <param>
+_ATTRS = r"(?:\s[^>]*)?"
+_BLOCK_END = rf"</nav>|</div>|</article>|</footer>|</section>|</header>|<hr{_ATTRS}/?>"
+_LINE_BREAK = rf"<br{_ATTRS}/?>|</p>|</h[1-6]>|</li>|<p{_ATTRS}>"
+_H1 = rf"(?s)<h1{_ATTRS}>(.*?)</h1>"
+_H2 = rf"(?s)<h2{_ATTRS}>(.*?)</h2>"
+_LINK = rf"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+_LI = rf"<li{_ATTRS}>"
 
 
 def decode_entities(c) -> Column:
@@ -61,7 +67,7 @@ def decode_entities(c) -> Column:
 
 
 def body_of(html) -> Column:
-    body = F.regexp_extract(col_of(html), r"(?s)<body[^>]*>(.*)</body>", 1)
+    body = F.regexp_extract(col_of(html), r"(?s)<body(?:\s[^>]*)?>(.*)</body>", 1)
     inner = F.when(body == "", col_of(html)).otherwise(body)
     return F.regexp_replace(inner, _NOISE, "")
 
@@ -84,16 +90,16 @@ def native_text(body) -> Column:
 
 
 def article_text(body) -> Column:
-    art = F.regexp_extract(col_of(body), r"(?s)<article[^>]*>(.*?)</article>", 1)
+    art = F.regexp_extract(col_of(body), r"(?s)<article(?:\s[^>]*)?>(.*?)</article>", 1)
     return marked(F.array(visible_text(art)))
 
 
 def markdown_text(body) -> Column:
     x = col_of(body)
-    x = F.regexp_replace(x, r"(?s)<h1[^>]*>(.*?)</h1>", "\n# $1\n")
-    x = F.regexp_replace(x, r"(?s)<h2[^>]*>(.*?)</h2>", "\n## $1\n")
-    x = F.regexp_replace(x, r"(?s)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)")
-    x = F.regexp_replace(x, r"<li[^>]*>", "\n- ")
+    x = F.regexp_replace(x, _H1, "\n# $1\n")
+    x = F.regexp_replace(x, _H2, "\n## $1\n")
+    x = F.regexp_replace(x, _LINK, "[$2]($1)")
+    x = F.regexp_replace(x, _LI, "\n- ")
     return visible_text(x)
 
 

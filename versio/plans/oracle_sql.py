@@ -216,15 +216,15 @@ def _marked(list_expr: str) -> str:
 
 
 def html_cte() -> str:
-    from versio.operators.extract import _BLOCK_END, _NOISE
+    from versio.operators.extract import _BLOCK_END, _H1, _H2, _LI, _LINK, _NOISE
 
     md = "body"
-    md = f"regexp_replace({md}, '(?s)<h1[^>]*>(.*?)</h1>', {NL} || '# \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '(?s)<h2[^>]*>(.*?)</h2>', {NL} || '## \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '(?s)<a[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"
-    md = f"regexp_replace({md}, '<li[^>]*>', {NL} || '- ', 'g')"
+    md = f"regexp_replace({md}, '{_H1}', {NL} || '# \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '{_H2}', {NL} || '## \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '{_LINK}', '[\\2](\\1)', 'g')"
+    md = f"regexp_replace({md}, '{_LI}', {NL} || '- ', 'g')"
     return f"""hb0 AS (
-  SELECT page_id AS doc_id, html, regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1) AS b FROM pages
+  SELECT page_id AS doc_id, html, regexp_extract(html, '(?s)<body(?:\\s[^>]*)?>(.*)</body>', 1) AS b FROM pages
 ),
 hb AS (
   SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{_NOISE}', '', 'g') AS body FROM hb0
@@ -235,7 +235,7 @@ cand AS (
   FROM hb
   UNION ALL
   SELECT doc_id, 'article', 2,
-         {_marked("[" + _visible("regexp_extract(body, '(?s)<article[^>]*>(.*?)</article>', 1)") + "]")}
+         {_marked("[" + _visible("regexp_extract(body, '(?s)<article(?:\\s[^>]*)?>(.*?)</article>', 1)") + "]")}
   FROM hb
   UNION ALL
   SELECT doc_id, 'markdown', 3, {_visible(md)} FROM hb
