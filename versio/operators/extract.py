@@ -48,7 +48,6 @@ ENTITIES = [
 
 METHODS = (("native", 1), ("article", 2), ("markdown", 3))
 
-_NOISE = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 # tag patterns name the tag exactly: "<p" must not match <pre> or <param>
 _ATTRS = r"(?:\s[^>]*)?"
 _BLOCK_END = rf"</nav>|</div>|</article>|</footer>|</section>|</header>|<hr{_ATTRS}/?>"
@@ -57,6 +56,7 @@ _H1 = rf"(?s)<h1{_ATTRS}>(.*?)</h1>"
 _H2 = rf"(?s)<h2{_ATTRS}>(.*?)</h2>"
 _LINK = rf"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 _LI = rf"<li{_ATTRS}>"
+_NOISE = rf"(?s)<script{_ATTRS}>.*?</script>|<style{_ATTRS}>.*?</style>|<!--.*?-->"
 
 
 def decode_entities(c) -> Column:
