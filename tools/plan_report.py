@@ -38,6 +38,12 @@ def main() -> None:
     for name, q in QUERIES.items():
         s = summary(q(spark, sf))
         print(f"| `{name}` | {s['shuffles']} | {s['broadcasts']} | {s['python']} | `{s['scans']}` |")
+    flagship = "translate_documents"
+    plan = QUERIES[flagship](spark, sf)._jdf.queryExecution().executedPlan().treeString()
+    print(f"\n## `{flagship}` physical plan (before adaptive re-planning)\n")
+    print("```")
+    print(plan.rstrip())
+    print("```")
 
 
 if __name__ == "__main__":
