@@ -158,3 +158,16 @@ def test_job_reports_documents_without_pages(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, " "), (2, 0, "  ")], "doc_id long, page_no long, text string")
     run2 = translate_page_rows(rows, EchoService(), target_langs=["pt"], limit=100)
     assert {r.doc_id: (r.n_pages, r.status) for r in run2.status.collect()} == {1: (1, "ok"), 2: (0, "no_pages")}
+
+
+def test_language_expansion_inside_dispatch(spark):
+    from versio.plans.translate_job import with_targets
+
+    t = _tasks(spark, [f"text {i}" for i in range(20)]).drop("target_lang")
+    langs = ["pt", "de", "fr"]
+    inside = sorted(map(tuple, translate(t, EchoService(), concurrency=3, langs=langs).collect()))
+    exploded = sorted(map(tuple, translate(with_targets(t, langs), EchoService(), concurrency=3).collect()))
+    assert inside == exploded and len(inside) == 60
+    done = translate(with_targets(t.where("doc_id < 5"), ["de"]), EchoService(), concurrency=2)
+    rest = translate(t, EchoService(), concurrency=2, langs=langs, resume_from=done)
+    assert rest.count() == 60 - 5

@@ -72,19 +72,29 @@ def call_with_retry(translator: Translator, text: str, lang: str, *, max_attempt
 
 
 def _dispatch(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str],
-              carry: Sequence[str], *, concurrency: int, in_flight_per_task: int, opts: dict) -> DataFrame:
+              carry: Sequence[str], *, concurrency: int, in_flight_per_task: int, opts: dict,
+              langs: Sequence[str] | None = None) -> DataFrame:
     """Run ``call(args[0], args[1]) -> (answer, usage)`` with retry for every row
     of ``todo`` over exactly ``concurrency`` tasks; -> carry + answer, attempts,
-    error, usage_json."""
+    error, usage_json. With ``langs``, ``todo`` has no ``args[1]`` column: each
+    row is sent once per language and ``args[1]`` is added to the output, so the
+    exchange moves every text once however many languages there are."""
     types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
+    if langs is not None:
+        types[args[1]] = "string"
     schema = ", ".join(f"{c} {types[c]}" for c in carry) + (
         ", answer string, attempts int, error string, usage_json string")
     carry = list(carry)
+    langs = list(langs) if langs is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
         try:
             for pdf in batches:
+                if langs is not None:
+                    n = len(pdf)
+                    pdf = pdf.loc[pdf.index.repeat(len(langs))].reset_index(drop=True)
+                    pdf[args[1]] = langs * n
                 pairs = list(zip(pdf[args[0]], pdf[args[1]]))
 
                 def one(pair):
@@ -120,14 +130,25 @@ def translate(
     sleep: Callable[[float], None] = time.sleep,
     resume_from: DataFrame | None = None,
     keep_text: bool = False,
+    langs: Sequence[str] | None = None,
 ) -> DataFrame:
     """tasks(keys, target_lang, chunk) -> translations(keys, target_lang, translated,
     status, attempts, error, prompt_tokens, completion_tokens, usage_reported).
 
-    ``keep_text`` also carries the source text through, so checks that read
-    source and answer together need no join back to the chunks."""
+    ``langs`` sends every task once per listed language instead (tasks then
+    need no language column): the chunk text crosses the exchange once, not
+    once per language. With ``resume_from`` the languages are expanded before
+    the anti join. ``keep_text`` also carries the source text through, so
+    checks that read source and answer together need no join back to the
+    chunks."""
     keys = list(keys)
-    todo = tasks.select(*keys, lang_col, text_col)
+    if langs is not None and resume_from is not None:
+        tasks = tasks.withColumn(lang_col, F.explode(F.array(*[F.lit(x) for x in langs])))
+        langs = None
+    if langs is not None:
+        todo = tasks.select(*keys, text_col)
+    else:
+        todo = tasks.select(*keys, lang_col, text_col)
     if resume_from is not None:
         todo = todo.join(resume_from.select(*keys, lang_col), [*keys, lang_col], "left_anti")
 
@@ -135,7 +156,8 @@ def translate(
     opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
                 wait_max=wait_max, sleep=sleep)
     raw = _dispatch(todo, translator, (text_col, lang_col), carry, concurrency=concurrency,
-                    in_flight_per_task=in_flight_per_task, opts=opts).withColumnRenamed("answer", "translated")
+                    in_flight_per_task=in_flight_per_task, opts=opts,
+                    langs=langs).withColumnRenamed("answer", "translated")
     return normalise(raw, keys=carry)
 
 

@@ -46,8 +46,8 @@ def _no_wait(_seconds: float) -> None:
 
 
 def _echo_translations(spark, sf, limit=2000, keep_text=False):
-    tasks = with_targets(_doc_chunks(spark, sf, limit), [STUB_LANG])
-    return translate(tasks, EchoService(), concurrency=8, sleep=_no_wait, keep_text=keep_text)
+    return translate(_doc_chunks(spark, sf, limit), EchoService(), concurrency=8, sleep=_no_wait,
+                     keep_text=keep_text, langs=[STUB_LANG])
 
 
 def _flaky_translations(spark, sf, limit=200):

@@ -109,8 +109,9 @@ def run_chunks(
     ``strict`` fails the job when any chunk failed (the reference aborts on a
     failed full-text request); otherwise failed chunks carry the failure marker
     and the run goes on."""
-    tasks = with_targets(chunks, target_langs)
-    translations = translate(tasks, translator, concurrency=concurrency, **dispatch_opts)
+    # languages are expanded inside the dispatch: each chunk crosses the exchange once
+    translations = translate(chunks, translator, concurrency=concurrency, langs=list(target_langs),
+                             **dispatch_opts)
     if strict:
         translations = checks.strict(translations, F.col("status") == "failed", "a chunk failed to translate")
     if checkpoint:
