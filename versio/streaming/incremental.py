@@ -25,7 +25,7 @@ from pyspark.sql.utils import AnalysisException
 
 from versio.functions.text import DEFAULT_CHUNK_TOKENS
 from versio.operators.dispatch import translate
-from versio.plans.translate_job import plan_chunks, with_targets
+from versio.plans.translate_job import plan_chunks
 
 DOCUMENT_SCHEMA = "doc_id BIGINT, text STRING"
 
@@ -53,11 +53,12 @@ def translate_stream(docs: DataFrame, translator, *, sink_path: str, checkpoint_
     partitioned by target language and batch id) as ``translations`` rows.
     ``available_now`` processes what is there and stops; otherwise a
     micro-batch runs every ``trigger_interval``."""
-    chunks = with_targets(plan_chunks(docs.select("doc_id", "text"), limit=limit), target_langs)
+    chunks = plan_chunks(docs.select("doc_id", "text"), limit=limit)
+    langs = list(target_langs)
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        out = translate(batch, translator, concurrency=concurrency,
+        out = translate(batch, translator, concurrency=concurrency, langs=langs,
                         resume_from=_done(spark, sink_path, epoch), **dispatch_opts)
         (out.withColumn("batch_id", F.lit(epoch).cast("bigint"))
          .write.mode("append").partitionBy("target_lang", "batch_id").parquet(sink_path))
