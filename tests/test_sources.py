@@ -20,3 +20,14 @@ def test_dimensions_are_small_local_relations(spark):
     assert dims.known_models(spark).count() == 27
     plan = dims.pricing(spark)._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation" in plan
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from versio.session import ensure_checkpoint_dir, materialize
+
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    d = ensure_checkpoint_dir(spark)
+    assert d
+    if conf:
+        assert conf.split(":", 1)[-1].rstrip("/") in d
+    assert materialize(spark.range(10)).count() == 10
