@@ -39,3 +39,18 @@ def test_replayed_batch_sends_nothing_twice(spark):
     again = translate(tasks, EchoService(), concurrency=2, resume_from=_done(spark, sink, 3))
     assert again.count() == 0
     assert translate(tasks, EchoService(), concurrency=2, resume_from=_done(spark, sink, 4)).count() == tasks.count()
+
+
+def test_stream_two_languages(spark):
+    src = tempfile.mkdtemp(prefix="versio-src2-")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.repartition(2).write.mode("overwrite").parquet(src + "/in")
+    sink = tempfile.mkdtemp(prefix="versio-sink2-") + "/out"
+    q = translate_stream(document_stream(spark, src + "/in", max_files_per_trigger=1), EchoService(),
+                         sink_path=sink, checkpoint_location=tempfile.mkdtemp(prefix="versio-ck2-"),
+                         target_langs=["de", "pt"], limit=500, concurrency=2)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    n_chunks = plan_chunks(docs, limit=500).count()
+    assert out.count() == 2 * n_chunks
+    assert out.select("doc_id", "page_idx", "chunk_idx", "target_lang").distinct().count() == 2 * n_chunks
