@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versio.llm import chat, exact_dedup, mixing, simhash
+from versio.llm import bpe, cdc_dedup, chat, exact_dedup, knn, langid, mixing, simhash, toxicity, warc
+from versio.llm.common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, max_bits=2)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that documents with smaller ids hold."""
+    return cdc_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document and whether it is toxic."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best neighbours of every twentieth vector."""
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, F.col("vec_id") % 20 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents replicated so that a source's expected share is that of the square root of its size."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -34,6 +50,43 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs, carry=("text_sha256",)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of their decoded text."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def arc_of_pages(pages: DataFrame) -> DataFrame:
+    """The pages as ARC records: an HTTP response that names the page, dated by its number."""
+    html = F.coalesce("html", F.lit(""))
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), number, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    when = F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000)))
+    return pages.select(F.coalesce("url", F.concat(F.lit("urn:page:"), number)).alias("url"), F.date_format(when, "yyyyMMddHHmmss").alias("date"), F.lit("text/html").alias("mime"), F.concat(head, html).alias("block"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC and read back."""
+    arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    warc.write_arc(arc_of_pages(_table(spark, sf_dir, "pages")), arc)
+    warc.convert(spark, arc, out, key_header="X-Page-Id")
+    back = warc.read_warc(spark, out).where(F.col("type").isin("response", "revisit"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by models that never saw a fifth of them."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=("held_out",))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 formatted, then read back from the formatted text."""
     own = r"\### Assistant: </turn> ok"
@@ -49,9 +102,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-    "op5_mixing": op5_mixing,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op10_chat": op10_chat,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash, op2_substring_dedup, op3_toxicity, op4_knn, op5_mixing, op6_exact_dedup, op7_bpe, op8_warc, op9_langid, op10_chat)}
