@@ -40,6 +40,8 @@ SAMPLE_ROWS = 8000
 #: Features that the models use, at most.
 MAX_FEATURES = 6000
 FOLDS = 4
+#: Weight of the squared coefficients in the loss.
+L2 = 1e-4
 
 
 def features(text: str) -> set[str]:
@@ -86,12 +88,12 @@ def fit_rows(places: Sequence[Sequence[int]], labels: np.ndarray, dims: int, fol
     fold = np.arange(n) % folds
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
-        models.append(fit_logistic(rows, cols, before, y, dims))
+        models.append(fit_logistic(rows, cols, before, y, dims, l2=L2))
         p = np.zeros(n)
         for f in range(folds):
             fit, test = fold != f, fold == f
             where, seen = np.cumsum(fit) - 1, fit[rows]
-            w, v, b = fit_logistic(where[rows[seen]], cols[seen], before[fit], y[fit], dims)
+            w, v, b = fit_logistic(where[rows[seen]], cols[seen], before[fit], y[fit], dims, l2=L2)
             z = np.bincount(rows, w[cols], n) + before @ v + b
             p[test] = sigmoid(z[test])
         held_out.append(p)
@@ -99,12 +101,12 @@ def fit_rows(places: Sequence[Sequence[int]], labels: np.ndarray, dims: int, fol
     return models, np.stack(held_out, 1) if held_out else np.zeros((n, 0))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least_rows: int = 3, least_z: float = 4.0) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least_rows: int = 3, least_share: float = 0.001, least_z: float = 5.0) -> Chain:
     """Fit the chain in the order of ``categories``, which maps names to boolean columns of ``labels``.
 
     A row counts as labelled if every category is known; labels that repeat an id count once, true if one
-    of them is. ``least_rows`` and ``least_z`` say how many sample rows a feature needs, and how many
-    standard deviations from its expected count in a category. Without labelled rows every probability
+    of them is. A feature needs ``least_rows`` sample rows and ``least_share`` of them, and a count that is
+    ``least_z`` standard deviations from what is expected in a category. Without labelled rows every probability
     is that of the constant model.
     """
     names = list(categories)
@@ -125,7 +127,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
     counts = seen.select("ys", F.explode("found").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("ys")[k]).alias(f"y{k}") for k in range(len(names))])
     z = [F.abs(F.col(f"y{k}") - F.col("n") * (p := (yes[k] or 0) / max(total, 1))) / F.sqrt(F.col("n") * max(p * (1 - p), 1e-9)) for k in range(len(names))]
     far = F.greatest(*z, F.lit(0.0)) if z else F.lit(0.0)
-    kept = counts.where((F.col("n") >= least_rows) & (far >= least_z)).orderBy(far.desc(), "feature").limit(max_features).select("feature").collect()  # bounded
+    kept = counts.where((F.col("n") >= max(least_rows, least_share * total)) & (far >= least_z)).orderBy(far.desc(), "feature").limit(max_features).select("feature").collect()  # bounded
     places = {f: k for k, f in enumerate(sorted(r.feature for r in kept))}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
