@@ -28,11 +28,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest id. Rows without an id stay, since a
-    component does not name them; rows that share an id are one document and stay or go together."""
+    component does not name them; rows that share an id stay or go together, and of those that also
+    share their text one stays."""
     found = simhash.simhash_components(docs, words=3, max_bits=2)
     own = fresh(docs.columns, "_id")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own))
-    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
