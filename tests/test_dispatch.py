@@ -5,8 +5,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from versio.operators.dispatch import backoff, call_with_retry, translate
-from versio.operators.services import EchoService, FlakyService
+from versio.operators.dispatch import answer_units, backoff, call_with_retry, read_answers, translate, usage_counts
+from versio.plans.standins import EchoService, FlakyService
 from versio.operators.usage import usage_by_document
 from versio.session import materialize
 
@@ -171,3 +171,123 @@ def test_language_expansion_inside_dispatch(spark):
     done = translate(with_targets(t.where("doc_id < 5"), ["de"]), EchoService(), concurrency=2)
     rest = translate(t, EchoService(), concurrency=2, langs=langs, resume_from=done)
     assert rest.count() == 60 - 5
+
+
+def test_usage_never_costs_a_second_call(spark):
+    from decimal import Decimal
+
+    calls = []
+
+    def service(text, lang):
+        calls.append(text)
+        return "answer", {"prompt_tokens": Decimal("7"), "completion_tokens": object()}
+
+    got = call_with_retry(service, "x", "de", max_attempts=3, multiplier=1, wait_min=0, wait_max=0, sleep=lambda s: None)
+    assert got[0] == "answer" and got[2] == 1 and calls == ["x"]
+    assert usage_counts(got[1]) == (7, 0, True)
+    assert usage_counts(None) == usage_counts({}) == usage_counts("many") == (0, 0, False)
+    assert usage_counts({"input_tokens": 3, "output_tokens": None}) == (3, 0, True)
+
+
+def test_a_call_that_hangs_is_given_up():
+    import threading
+
+    never = threading.Event()
+    got = call_with_retry(lambda text, lang: never.wait(), "x", "de", max_attempts=2, multiplier=1, wait_min=0, wait_max=0,
+                          sleep=lambda s: None, timeout=0.05)
+    assert got[0] is None and got[2] == 2 and "TimeoutError" in got[3]
+
+
+def test_failed_chunks_are_sent_again_on_resume(spark):
+    t = _tasks(spark, ["a", "b", "c"])
+    bad = FlakyService(EchoService(), lambda text: 3 if text == "b" else 0)
+    first = materialize(translate(t, bad, concurrency=2, sleep=lambda s: None))
+    assert [r.doc_id for r in first.where("status = 'failed'").collect()] == [1]
+    second = translate(t, EchoService(), concurrency=2, resume_from=first).collect()
+    assert [(r.doc_id, r.status) for r in second] == [(1, "ok")]
+
+
+def test_open_requests_are_capped_whatever_the_number_of_tasks(spark):
+    class Watching:
+        """Counts the calls that are open at the same time with one file each."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def __call__(self, text, lang):
+            import time
+            import uuid
+
+            name = os.path.join(self.folder, uuid.uuid4().hex)
+            open(name, "w").close()
+            n = len(os.listdir(self.folder))
+            time.sleep(0.01)
+            os.remove(name)
+            return str(n), {}
+
+    folder = tempfile.mkdtemp(prefix="versio-open-")
+    out = translate(_tasks(spark, [f"t{i}" for i in range(60)]), Watching(folder), concurrency=3, in_flight_per_task=2, partitions=8)
+    assert max(int(r.translated) for r in out.collect()) <= 3
+    plan = translate(_tasks(spark, ["x"]), EchoService(), concurrency=3)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(8)" in plan and "RoundRobinPartitioning(3)" not in plan
+
+
+def test_a_worker_that_dies_costs_one_unit(spark):
+    """A run whose worker dies late keeps the units before; the next run sends the rest."""
+    class Dying:
+        def __init__(self, log, fatal):
+            self.log, self.fatal = log, fatal
+
+        def __call__(self, text, lang):
+            with open(self.log, "a") as fh:
+                fh.write(text + "\n")
+            if self.fatal and text == "text 77":
+                raise SystemExit("the worker dies")
+            return EchoService()(text, lang)
+
+    folder = tempfile.mkdtemp(prefix="versio-dying-")
+    log, sink = os.path.join(folder, "calls"), os.path.join(folder, "sink")
+    t = _tasks(spark, [f"text {i}" for i in range(200)]).drop("target_lang")
+    failed = False
+    try:
+        answer_units(t, Dying(log, True), sink, unit_rows=20, langs=["de"], partitions=2)
+    except Exception:
+        failed = True
+    with open(log) as fh:
+        first = len(fh.readlines())
+    done = read_answers(spark, sink)
+    n_done = 0 if done is None else done.count()
+    out = answer_units(t, Dying(log, False), sink, unit_rows=20, langs=["de"], partitions=2)
+    with open(log) as fh:
+        calls = len(fh.readlines())
+    assert out.count() == 200 and out.where("status <> 'ok'").count() == 0
+    if failed:  # what was not committed is at most a unit; Spark may have tried it more than once
+        assert calls - first == 200 - n_done
+    else:
+        assert calls == 200 or calls == 202  # the error was retried as a failed call
+
+
+def test_unposted_and_malformed_requests(spark):
+    from versio.operators.dispatch import send_requests
+    from versio.operators.response import parse_responses
+
+    rows = [(1, 0, 0, "de", "openai", "{}"), (2, 0, 0, "de", "nope", None), (3, 0, 0, "de", "openai", "bad")]
+    reqs = spark.createDataFrame(rows, "doc_id long, page_idx int, chunk_idx int, target_lang string, provider string, body string")
+
+    def post(provider, body):
+        return '{"oops": 1}' if body == "bad" else '{"choices": [{"message": {"content": "x"}}]}'
+
+    got = {r.doc_id: r for r in parse_responses(send_requests(reqs, post, sleep=lambda s: None)).collect()}
+    assert (got[1].status, got[1].attempts, got[1].usage_reported) == ("ok", 1, False)
+    assert (got[2].status, got[2].attempts, got[2].error) == ("failed", 0, "not sent")
+    assert (got[3].status, got[3].attempts) == ("failed", 3) and "KeyError" in got[3].error
+
+
+def test_a_reply_is_parsed_once(spark):
+    from versio.operators.response import parse_responses
+
+    raw = spark.createDataFrame([("choices", "{}")], "reply_style string, body string")
+    plan = parse_responses(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1
+    df = translate(_tasks(spark, ["x"]), EchoService(), concurrency=1)
+    assert "from_json" not in df._jdf.queryExecution().executedPlan().toString()

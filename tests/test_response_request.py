@@ -2,7 +2,7 @@
 
 import json
 
-from versio.operators.services import ServiceTranslator, get_translator
+from versio.operators.services import ProviderAdapter, get_service
 from versio.operators.request import build_requests, resolve_models
 from versio.operators.response import parse_responses
 
@@ -53,7 +53,7 @@ def test_request_bodies(spark):
     assert got["gemini"]["contents"] == user and got["gemini"]["config"]["max_output_tokens"] == 8000
 
 
-def test_service_translator_reads_each_shape():
+def test_adapter_reads_each_shape():
     replies = {"deepseek": {"choices": [{"message": {"content": "a"}}], "usage": {"prompt_tokens": 1, "completion_tokens": 2}},
                "anthropic": {"content": [{"type": "text", "text": "b"}], "usage": {"input_tokens": 3, "output_tokens": 4}},
                "gemini": {"text": "c"}}
@@ -63,12 +63,12 @@ def test_service_translator_reads_each_shape():
         sent.append((provider, body))
         return json.dumps(replies[provider])
 
-    assert get_translator("deepseek", "deepseek-chat", post)("x", "pt") == ("a", {"prompt_tokens": 1, "completion_tokens": 2})
-    assert ServiceTranslator("anthropic", "m", post)("x", "pt") == ("b", {"input_tokens": 3, "output_tokens": 4})
-    assert ServiceTranslator("gemini", "m", post)("x", "pt") == ("c", {})
+    assert get_service("deepseek", "deepseek-chat", post)("x", "pt") == ("a", {"prompt_tokens": 1, "completion_tokens": 2})
+    assert ProviderAdapter("anthropic", "m", post)("x", "pt") == ("b", {"input_tokens": 3, "output_tokens": 4})
+    assert ProviderAdapter("gemini", "m", post)("x", "pt") == ("c", {})
     assert json.loads(sent[0][1])["messages"][1]["content"] == "Translate to pt:\nx"
     with pytest.raises(ValueError):
-        get_translator("nope", "m", post)
+        get_service("nope", "m", post)
 
 
 def test_build_send_parse_round_trip(spark):

@@ -1,0 +1,122 @@
+"""Sinks, page numbering, extraction content and file scans on inputs the tables do not hold."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from versio.operators import extract
+from versio.operators.assemble import (export_markdown, ordered_chunks, read_documents, read_markdown, reassemble,
+                                       write_documents)
+from versio.operators.checks import document_status, preservation_check
+from versio.operators.chunk import chunk_documents, chunk_pages
+from versio.operators.pages import dense_positions, full_text_units, no_page_documents, pages_from_rows, split_pages
+
+DOCS = "doc_id long, target_lang string, output_name string, content string"
+
+
+def test_writing_one_document_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    write_documents(spark.createDataFrame([(1, "pt", "a", "old"), (2, "fr", "b", "two"), (3, "pt", "c", "three")], DOCS), path)
+    write_documents(spark.createDataFrame([(1, "pt", "a", "new")], DOCS), path)
+    write_documents(spark.createDataFrame([(1, "fr", "a", "un")], DOCS), path)
+    got = sorted((r.doc_id, r.target_lang, r.content) for r in read_documents(spark, path).collect())
+    assert got == [(1, "fr", "un"), (1, "pt", "new"), (2, "fr", "two"), (3, "pt", "three")]
+
+
+def answers(spark):
+    rows = [(d, p, c, lang, None if (d, p, c) == (2, 1, 0) else f"{lang} {d}.{p}.{c}\nline é")
+            for d in (1, 2, 7) for p in range(3) for c in range(9) for lang in ("de", "pt")]
+    return spark.createDataFrame(rows, "doc_id long, page_idx int, chunk_idx int, target_lang string, translated string")
+
+
+def test_export_reads_back_whatever_the_number_of_parts(spark, tmp_path):
+    tr = answers(spark)
+    stems = spark.createDataFrame([(1, "report"), (2, "")], "doc_id long, stem string")
+    want = {(r.doc_id, r.target_lang): (r.output_name, r.content) for r in reassemble(tr, stems).collect()}
+    assert want[1, "de"][0] == "report_de.md" and want[2, "pt"][0] == "doc_2_pt.md" and want[7, "pt"][0] == "doc_7_pt.md"
+    for n in (4, 2, 7):
+        export_markdown(tr, str(tmp_path), stems=stems, partitions=n)
+        got = {(r.doc_id, r.target_lang): (r.output_name, r.content) for r in read_markdown(spark, str(tmp_path)).collect()}
+        assert got == want
+    with pytest.raises(FileNotFoundError):
+        read_markdown(spark, str(tmp_path / "none"))
+
+
+def test_pieces_in_order_are_the_document(spark):
+    tr = answers(spark)
+    whole = {}
+    for r in ordered_chunks(tr, 5).collect():
+        whole[r.doc_id, r.target_lang] = whole.get((r.doc_id, r.target_lang), "") + r.piece
+    assert whole == {(r.doc_id, r.target_lang): r.content for r in reassemble(tr).collect()}
+
+
+def test_numbering_with_every_row_under_one_key(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("doc_id"), (F.col("id") * 3).alias("page_no"), F.concat(F.lit("p"), "id").alias("text"))
+    got = {r.page: r.page_idx for r in pages_from_rows(rows).collect()}
+    assert got == {f"p{k}": k for k in range(5000)}
+    df = spark.createDataFrame([(None, 2, "b"), (None, 1, "a"), (5, None, "x"), (5, 1, "y"), (5, 1, "y"), (5, -7, "w")], "k long, o long, t string")
+    got = sorted((r.k is None, r.k, r.idx, r.t) for r in dense_positions(df, "k", "o").collect())
+    assert got == [(False, 5, 0, "x"), (False, 5, 1, "w"), (False, 5, 2, "y"), (False, 5, 3, "y"), (True, None, 0, "a"), (True, None, 1, "b")]
+
+
+def test_null_blank_and_marker_documents_are_reported_and_not_sent(spark):
+    df = spark.createDataFrame([(1, None), (2, " \n"), (3, "<<<PAGE_BREAK>>> <<<PAGE_BREAK>>>"), (4, "x")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_pages, r.status) for r in document_status(df).collect()} == {
+        1: (0, "empty_extraction"), 2: (0, "empty_extraction"), 3: (0, "no_pages"), 4: (1, "ok")}
+    assert sorted(r.doc_id for r in no_page_documents(df).collect()) == [1, 2, 3]
+    assert [r.doc_id for r in full_text_units(df).collect()] == [4]
+    assert [r.doc_id for r in chunk_documents(df, 10).collect()] == [4]
+
+
+def test_fused_chunker_equals_split_then_chunk(spark):
+    texts = ["a\n\nb" + "<<<PAGE_BREAK>>>" + " c d " * 30, "", None, "x" * 200 + " y", "<<<PAGE_BREAK>>>only\u00a0", "\u2003 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (1, 5, 20, 2000):
+        want = chunk_pages(split_pages(df), limit).collect()
+        assert sorted(map(tuple, chunk_documents(df, limit).collect())) == sorted(map(tuple, want))
+
+
+HTML = """<HTML><BODY class="x"><SCRIPT type="a">var hidden;</SCRIPT><NAV>menu</NAV><ARTICLE>first &#65;&#x42;&amp;lt; &#0;&#xD800;&#9999999;</ARTICLE>
+<P>between</P><article id="2">second &#x1F600;&#39;s</article></BODY></HTML>"""
+
+
+def test_html_content(spark):
+    pages = spark.createDataFrame([(1, HTML), (2, None), (3, "")], "page_id long, html string")
+    got = {(r.doc_id, r.method): r.text for r in extract.html_candidates(pages).collect()}
+    art = got[1, "article"]
+    assert "first AB&lt; &#0;&#xD800;&#9999999;" in art and "second \U0001f600's" in art and art.count("<<<PAGE_BREAK>>>") == 2
+    assert "between" not in art and "hidden" not in got[1, "native"] and "menu" in got[1, "native"]
+    assert {r.doc_id: r.status for r in extract.html_best(pages).collect()}[2] == "empty_extraction"
+
+
+def test_candidates_run_each_extractor_once(spark):
+    pages = spark.createDataFrame([(1, HTML)], "page_id long, html string").repartition(2)
+    plan = extract.html_candidates(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "size(array" not in plan
+
+
+def test_protected_items_are_counted_with_repeats(spark):
+    rows = [(1, 0, 0, "de", "http://a.b http://a.b $x$ 10.1234/abc", "http://a.b $x$")]
+    tr = spark.createDataFrame(rows, "doc_id long, page_idx int, chunk_idx int, target_lang string, chunk string, translated string")
+    r = preservation_check(tr).first()
+    assert (r.url_n, r.url_lost, r.doi_n, r.doi_lost, r.inline_math_lost) == (2, 1, 1, 1, 0)
+
+
+def test_rejected_files_are_never_read(spark, tmp_path):
+    from versio.plans.standins import EchoService
+    from versio.plans.translate_job import translate_files
+
+    for name, data in (("a.PDF", b"one\x0ctwo"), ("b.docx", b"  "), ("big.txt", b"x" * 5000), ("sub/a.pdf", b"other")):
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        ex = [extract.PyExtractor("native", 1, lambda b: b.decode().split("\x0c"))]
+        found, run = translate_files(spark, str(tmp_path), ex, EchoService(), target_langs=["pt"])
+        names = {os.path.relpath(r.doc_id.removeprefix("file:"), tmp_path): (r.output_name, r.content) for r in run.documents.collect()}
+        assert names == {"a.PDF": ("a_pt.md", "[pt] one\n\n[pt] two"), "sub/a.pdf": ("a_pt.md", "[pt] other")}
+        assert sorted(r.status for r in run.status.collect()) == ["no_pages", "ok", "ok"]
+        assert [os.path.basename(r.path) for r in found.rejected.collect()] == ["big.txt"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

@@ -1,17 +1,13 @@
-"""Scan spreading and fixed dimensions."""
+"""Scans and fixed dimensions."""
 
 from versio.sources import dimensions as dims
-from versio.sources.tables import read_table, spread
+from versio.sources.tables import read_table
 
 
-def test_spread_only_where_needed(spark):
-    want = spark.sparkContext.defaultParallelism
-    one_file = read_table(spark, "/root/testdata/sf0.001", "documents", ["doc_id", "text"])
-    assert one_file.rdd.getNumPartitions() == want
-    wide = spark.range(0, 1000, 1, 4 * want)
-    assert spread(wide) is wide
-    narrow = spark.range(0, 1000, 1, 1)
-    assert spread(narrow).rdd.getNumPartitions() == want
+def test_read_table_prunes_columns_and_adds_no_exchange(spark):
+    df = read_table(spark, "/root/testdata/sf0.001", "documents", ["doc_id", "text"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "lang" not in plan.split("ReadSchema")[1]
 
 
 def test_dimensions_are_small_local_relations(spark):

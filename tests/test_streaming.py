@@ -3,7 +3,7 @@
 import tempfile
 
 from versio.operators.dispatch import translate
-from versio.operators.services import EchoService
+from versio.plans.standins import EchoService
 from versio.plans.translate_job import plan_chunks, with_targets
 from versio.streaming.incremental import document_stream, translate_stream
 
@@ -25,20 +25,23 @@ def test_stream_equals_batch(spark):
 
 
 def test_replayed_batch_sends_nothing_twice(spark):
-    """A batch whose output is already in the sink (replay after the write
-    committed) adds no rows."""
-    from versio.streaming.incremental import _done
+    """A batch whose answers are in the sink (replay after a failure) is not sent again; its failed chunks are."""
+    from versio.operators.dispatch import answer_units
+    from versio.plans.standins import FlakyService
 
-    sink = tempfile.mkdtemp(prefix="versio-sink-") + "/out"
+    sink = tempfile.mkdtemp(prefix="versio-sink-") + "/out/batch_id=3"
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    tasks = with_targets(plan_chunks(docs, limit=500), ["de"])
-    first = translate(tasks, EchoService(), concurrency=2)
-    from pyspark.sql import functions as F
-
-    first.withColumn("batch_id", F.lit(3).cast("bigint")).write.partitionBy("target_lang", "batch_id").parquet(sink)
-    again = translate(tasks, EchoService(), concurrency=2, resume_from=_done(spark, sink, 3))
-    assert again.count() == 0
-    assert translate(tasks, EchoService(), concurrency=2, resume_from=_done(spark, sink, 4)).count() == tasks.count()
+    tasks = plan_chunks(docs, limit=500)
+    bad = FlakyService(EchoService(), lambda text: 3 * (len(text) % 7 == 0))
+    first = answer_units(tasks, bad, sink, unit_rows=100, langs=["de"], sleep=lambda s: None)
+    failed = first.where("status = 'failed'").count()
+    assert failed > 0 and first.count() == tasks.count()
+    before = spark.read.parquet(sink).count()
+    again = answer_units(tasks, EchoService(), sink, unit_rows=100, langs=["de"])
+    assert spark.read.parquet(sink).count() == before + failed
+    assert again.count() == tasks.count() and again.where("status <> 'ok'").count() == 0
+    assert answer_units(tasks, EchoService(), sink, langs=["de"]).count() == tasks.count()
+    assert spark.read.parquet(sink).count() == before + failed
 
 
 def test_stream_two_languages(spark):

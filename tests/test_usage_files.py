@@ -5,7 +5,7 @@ import tempfile
 
 from versio.operators.usage import estimate_cost, usage_report
 from versio.sources.files import (conversion_route, file_stem, file_suffix, missing_files, parse_formats,
-                                  scan_files)
+                                  list_files, scan_files)
 
 COSTS = [  # FIXTURES.md section 8
     ("deepseek-chat", "miss", 1234567, 7654321, 8.59259248, "$8.5926"),
@@ -56,10 +56,12 @@ def test_scan_and_missing(spark):
             fh.write(data)
     files = scan_files(spark, d)
     rows = {os.path.basename(r.path): r for r in files.collect()}
-    assert rows["a.pdf"].format_ok and rows["b.docx"].format_ok and not rows["c.txt"].format_ok
+    assert set(rows) == {"a.pdf", "b.docx"} and all(r.format_ok and r.doc_id == r.path for r in rows.values())
+    assert {os.path.basename(r.path): r.format_ok for r in list_files(spark, d).collect()} == {"a.pdf": True, "b.docx": True, "c.txt": False}
+    assert [os.path.basename(r.path) for r in scan_files(spark, d, formats=" .TXT ,.md").collect()] == ["c.txt"]
     assert bytes(rows["a.pdf"].content) == b"%PDF"
     manifest = spark.createDataFrame([("a.pdf",), ("z.pdf",)], "name string")
-    present = files.select(file_stem("path").alias("s"), file_suffix("path").alias("x")).selectExpr("concat(s, x) AS name")
+    present = list_files(spark, d).select(file_stem("path").alias("s"), file_suffix("path").alias("x")).selectExpr("concat(s, x) AS name")
     assert [r.name for r in missing_files(manifest, present).collect()] == ["z.pdf"]
 
 
@@ -76,7 +78,7 @@ def test_money_rounds_like_python(spark):
 def test_extract_files_front_half(spark):
     from versio.operators.extract import PyExtractor
     from versio.plans.translate_job import extract_files, translate_documents
-    from versio.operators.services import EchoService
+    from versio.plans.standins import EchoService
 
     d = tempfile.mkdtemp(prefix="versio-docs-")
     for name, data in (("a.pdf", "page one\fpage two"), ("b.docx", "   "), ("c.txt", "not allowed")):

@@ -13,7 +13,12 @@ document); a document row is bounded by its source row. ``translations``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER, JOIN_SEPARATOR, col_of
@@ -34,93 +39,107 @@ def output_name(stem, lang) -> Column:
     return F.concat(col_of(stem), F.lit("_"), col_of(lang), F.lit(".md"))
 
 
-def reassemble(translations: DataFrame) -> DataFrame:
+def reassemble(translations: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """translations(doc_id, page_idx, chunk_idx, target_lang, translated, ...) ->
     translated_documents(doc_id, target_lang, output_name, content).
 
-    The output name is keyed by ``doc_id`` (``doc_<id>_<lang>.md``) so two
-    sources with the same stem cannot overwrite each other (X19)."""
-    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    return (
-        translations.groupBy("doc_id", "target_lang")
-        .agg(ordered_join().alias("content"))
-        .select("doc_id", "target_lang", output_name(stem, "target_lang").alias("output_name"), "content")
-    )
-
-
-def write_documents(docs: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """K1: parquet table partitioned by target language (partition pruning on read)."""
-    docs.write.mode(mode).partitionBy("target_lang").parquet(path)
-
-
-def export_markdown(docs: DataFrame, directory: str) -> None:
-    """K1 (optional small-file export): one UTF-8 ``output_name`` file per row,
-    written by the executors into a shared ``directory``; rewrites overwrite."""
-    import os
-
-    def write_part(rows):
-        os.makedirs(directory, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(directory, r["output_name"]), "w", encoding="utf-8") as fh:
-                fh.write(r["content"])
-
-    docs.select("output_name", "content").foreachPartition(write_part)
-
-
-def export_markdown_parts(translations: DataFrame, directory: str, *, partitions: int | None = None,
-                          sep: str = JOIN_SEPARATOR) -> None:
-    """K1 for documents of any size, without gathering a document in one task.
-
-    Chunks are range-partitioned on (doc_id, target_lang, page_idx, chunk_idx)
-    - the sampled bounds split a giant document across tasks - and sorted
-    within each task. Each task writes, per document it holds, the part file
-    ``{output_name}.parts/part-{task:05d}``; concatenating a document's parts in
-    name order gives exactly the reassembled content (a part that does not start
-    at the document's first chunk starts with the separator). A retried task
-    rewrites the same files, so the export is idempotent. Expects complete
-    translations (chunk (0, 0) present for every document).
-    """
-    import os
-
-    from pyspark import TaskContext
-
-    n = int(partitions or translations.sparkSession.sparkContext.defaultParallelism)
+    With ``stems`` (doc_id, stem), as ``scan_files`` gives them, the output is named
+    ``<stem>_<lang>.md`` (H12); a document without one, or no ``stems``, is named
+    ``doc_<id>_<lang>.md``. Names need not be unique (X19): documents of different folders
+    may share a stem, so tables keep ``doc_id`` and ``export_markdown`` writes a folder each."""
+    own = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    done = translations.groupBy("doc_id", "target_lang").agg(ordered_join().alias("content"))
+    if stems is not None:
+        done = done.join(stems.select("doc_id", F.nullif("stem", F.lit("")).alias("__stem")), "doc_id", "left")
+        own = F.coalesce("__stem", own)
+    return done.select("doc_id", "target_lang", output_name(own, "target_lang").alias("output_name"), "content")
+
+
+def ordered_chunks(translations: DataFrame, partitions: int | None = None) -> DataFrame:
+    """G1 at chunk grain, for documents of any size: (doc_id, target_lang, page_idx, chunk_idx, piece),
+    range-partitioned and sorted, where the pieces of a document in this order are its content.
+    No task holds a whole document: the sampled bounds split a large one."""
     order = ["doc_id", "target_lang", "page_idx", "chunk_idx"]
-    ordered = (translations.select(*order, F.coalesce("translated", F.lit(FAILED_MARKER)).alias("t"))
-               .repartitionByRange(n, *order).sortWithinPartitions(*order))
-
-    def write_part(rows):
-        part = f"part-{TaskContext.get().partitionId():05d}"
-        fh, current = None, None
-        try:
-            for r in rows:
-                doc = (r["doc_id"], r["target_lang"])
-                if doc != current:
-                    if fh:
-                        fh.close()
-                    folder = os.path.join(directory, f"doc_{doc[0]}_{doc[1]}.md.parts")
-                    os.makedirs(folder, exist_ok=True)
-                    fh = open(os.path.join(folder, part), "w", encoding="utf-8")
-                    current = doc
-                    if (r["page_idx"], r["chunk_idx"]) != (0, 0):
-                        fh.write(sep)
-                else:
-                    fh.write(sep)
-                fh.write(r["t"])
-        finally:
-            if fh:
-                fh.close()
-
-    ordered.foreachPartition(write_part)
-
-
-def read_markdown_parts(directory: str, output_name: str) -> str:
-    """Concatenate the parts of one exported document (small helper for readers/tests)."""
-    import os
-
-    folder = os.path.join(directory, output_name + ".parts")
-    out = []
-    for name in sorted(os.listdir(folder)):
-        with open(os.path.join(folder, name), encoding="utf-8") as fh:
-            out.append(fh.read())
-    return "".join(out)
+    text = F.coalesce("translated", F.lit(FAILED_MARKER))
+    opening = (F.col("page_idx") == 0) & (F.col("chunk_idx") == 0)
+    rows = translations.select(*order, F.concat(F.when(opening, "").otherwise(JOIN_SEPARATOR), text).alias("piece"))
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
+
+
+def _version() -> str:
+    """A name that sorts by time."""
+    now = time.time_ns()
+    return f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime(now // 10**9))}.{now % 10**9:09d}-{uuid.uuid4().hex[:8]}"
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """K1: add translated documents to the Parquet table at ``path``, as a version of their own.
+
+    Nothing that another call wrote is touched: a document or language that is not in ``docs`` stays,
+    one that is gets a newer version (``read_documents`` shows the newest)."""
+    docs.write.partitionBy("target_lang").parquet(f"{path.rstrip('/')}/version={_version()}")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of each document and language in a table of ``write_documents``."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    # the versions are compared without the texts; a key has one row per version
+    newest = rows.groupBy("doc_id", "target_lang").agg(F.max(F.col("version").cast("string")).alias("__newest"))
+    joined = rows.join(newest, ["doc_id", "target_lang"])
+    return joined.where(F.col("version").cast("string") == F.col("__newest")).drop("version", "__newest")
+
+
+def export_markdown(translations: DataFrame, path: str, *, stems: DataFrame | None = None,
+                    partitions: int | None = None) -> None:
+    """K1: the documents as UTF-8 files of Spark's text writer, so ``path`` may be in any store.
+
+    A document has the folder ``doc_id=<id>/target_lang=<lang>/output_name=<name>``; its part files,
+    in the order of their numbers, are its content and a final line feed. A task
+    holds what it writes of one document, which for a large one is a range of its chunks. Each call writes a folder of its own below ``path``, which counts
+    once it is complete, so an earlier call leaves nothing behind in a later one. Expects complete
+    translations (chunk (0, 0) of every document)."""
+    own = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    named = translations
+    if stems is not None:
+        named = translations.join(stems.select("doc_id", F.nullif("stem", F.lit("")).alias("__stem")), "doc_id", "left")
+        own = F.coalesce("__stem", own)
+    # the writer ends each row with a line feed; one more makes the separator of two line feeds
+    first = (F.col("page_idx") == 0) & (F.col("chunk_idx") == 0)
+    piece = F.concat(F.when(first, "").otherwise("\n"), F.coalesce("translated", F.lit(FAILED_MARKER)))
+    order = ["doc_id", "target_lang", "output_name", "page_idx", "chunk_idx"]
+    rows = named.withColumn("output_name", output_name(own, "target_lang")).select(*order, piece.alias("piece"))
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    parts = ranged.sortWithinPartitions(*order).select(*order[:3], "piece")
+
+    def one_row_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What the task has of each document as one row: the partitioned writer sorts rows by folder,
+        which need not keep the order of several."""
+        held, document = [], None
+        for pdf in batches:
+            for *own, piece in pdf.itertuples(index=False, name=None):
+                if own != document and held:
+                    yield pd.DataFrame([[*document, "\n".join(held)]], columns=pdf.columns)
+                    held = []
+                document = own
+                held.append(piece)
+        if held:
+            yield pd.DataFrame([[*document, "\n".join(held)]], columns=[*order[:3], "piece"])
+
+    joined = parts.mapInPandas(one_row_each, parts.schema)
+    joined.write.partitionBy(*order[:3]).text(f"{path.rstrip('/')}/run={_version()}")
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, target_lang, output_name, content) of the newest complete export below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/run=*/_SUCCESS")
+    runs = sorted(str(f.getPath().getParent()) for f in fs.globStatus(done))
+    if not runs:
+        raise FileNotFoundError(f"no complete export below {path}")
+    parts = spark.read.text(runs[-1], wholetext=True)
+    number = F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).cast("bigint")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "value"))), lambda p: p["value"]), "")
+    joined = parts.withColumn("number", number).groupBy("doc_id", "target_lang", "output_name").agg(whole.alias("__text"))
+    return joined.select("doc_id", "target_lang", "output_name", F.expr("substring(__text, 1, length(__text) - 1)").alias("content"))

@@ -7,7 +7,7 @@ problem set into an error with ``raise_error`` inside the job (no collect).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versio.functions.text import is_blank, split_on_marker, strip
@@ -15,11 +15,12 @@ from versio.functions.text import is_blank, split_on_marker, strip
 
 def document_status(extracted: DataFrame, *, text_col: str = "text") -> DataFrame:
     """extracted(doc_id, text) -> (doc_id, n_pages, status) where status is
-    ``empty_extraction`` (B7: blank text), ``no_pages`` (C2: only markers and
+    ``empty_extraction`` (B7: blank or NULL text), ``no_pages`` (C2: only markers and
     blanks, X10) or ``ok``. Row-local: no exchange."""
-    kept = F.filter(F.transform(split_on_marker(text_col), strip), lambda p: p != F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = F.filter(F.transform(split_on_marker(text), strip), lambda p: p != F.lit(""))
     n = F.size(kept).cast("bigint")
-    status = (F.when(is_blank(text_col), F.lit("empty_extraction"))
+    status = (F.when(is_blank(text), F.lit("empty_extraction"))
               .when(n == 0, F.lit("no_pages"))
               .otherwise(F.lit("ok")))
     return extracted.select("doc_id", n.alias("n_pages"), status.alias("status"))
@@ -44,10 +45,23 @@ PRESERVE_PATTERNS = {
 }
 
 
+def _missing(src: Column, dst: Column) -> Column:
+    """How many items of ``src`` have no counterpart in ``dst``, repeats counted."""
+    def short(item: Column) -> Column:
+        def times(items: Column) -> Column:
+            return F.size(F.filter(items, lambda x: x == item))
+        return F.greatest(times(src) - times(dst), F.lit(0))
+
+    # most chunks hold none
+    lost = F.aggregate(F.transform(F.array_distinct(src), short), F.lit(0), lambda a, b: a + b)
+    return F.when(F.size(src) > 0, lost).otherwise(0)
+
+
 def preservation_check(translations: DataFrame, chunks: DataFrame | None = None,
                        keys=("doc_id", "page_idx", "chunk_idx")) -> DataFrame:
     """Per document and target language: how many protected items of each kind
-    the source chunks hold, and how many of them are missing from the answer.
+    the source chunks hold, and how many of them are missing from the answer (an item
+    that the source repeats has to be repeated as often).
 
     Best fed with translations that carry their source ``chunk`` (dispatch
     with ``keep_text=True``): then it is a projection plus a sum aggregation
@@ -58,9 +72,9 @@ def preservation_check(translations: DataFrame, chunks: DataFrame | None = None,
         j = translations.join(chunks.select(*keys, "chunk"), list(keys), "inner")
     cols = []
     for name, pat in PRESERVE_PATTERNS.items():
-        src = F.regexp_extract_all("chunk", F.lit(pat), 0)
-        dst = F.regexp_extract_all("translated", F.lit(pat), 0)
-        cols += [F.size(src).alias(f"{name}_n"), F.size(F.array_except(src, dst)).alias(f"{name}_lost")]
+        src = F.regexp_extract_all("chunk", F.lit(pat), F.lit(0))
+        dst = F.regexp_extract_all("translated", F.lit(pat), F.lit(0))
+        cols += [F.size(src).alias(f"{name}_n"), _missing(src, dst).alias(f"{name}_lost")]
     per_chunk = j.select("doc_id", "target_lang", *cols)
     sums = [F.sum(c).cast("bigint").alias(c) for c in per_chunk.columns[2:]]
     return per_chunk.groupBy("doc_id", "target_lang").agg(*sums)

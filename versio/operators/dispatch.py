@@ -1,69 +1,145 @@
 """Dispatch of translation requests.
 
-A translator is any picklable callable ``(text, target_lang) -> (text, usage)``
+A service is any picklable callable ``(text, target_lang) -> (text, usage)``
 where ``usage`` is a dict in one of the providers' key styles (or ``{}``).
 ``translate`` runs it inside ``mapInPandas``:
 
-* in-flight cap: ``repartition(concurrency)`` makes exactly ``concurrency``
-  tasks, each sending one request at a time (``in_flight_per_task`` threads
-  per task if wanted), so at most ``concurrency * in_flight_per_task``
-  requests are open, however many executors there are;
+* the number of partitions follows the data (``partitions``, default the
+  session's shuffle partitions), never the cap on open requests;
+* in-flight cap: a request is sent while its task holds one of ``concurrency``
+  locks of its machine, so at most that many are open on each machine
+  whatever the number of tasks; ``in_flight_per_task`` threads may wait for
+  answers in one task. The lock files hold no data and are freed by the
+  system if a worker dies;
 * retry: up to ``max_attempts`` calls per chunk with exponential wait
   ``clamp(multiplier * 2**(attempt-1), wait_min, wait_max)`` via an injected
-  ``sleep``; an exhausted chunk gets the failure marker, zero usage and the
-  last error, and the rest of the document goes on;
+  ``sleep``; a call that takes longer than ``timeout`` seconds counts as
+  failed. Reading the reply's text belongs to the call and is retried, its
+  usage is read afterwards: an answer that was paid for is never sent again
+  because of its usage. An exhausted chunk gets the failure marker, zero usage
+  and the last error, and the rest of the document goes on;
 * keys travel with each row, so completion order does not matter;
-* ``resume_from`` anti-joins chunks already answered (a written
-  ``translations`` table), so a restarted job never re-sends them.
+* ``resume_from`` leaves out chunks that were answered (status ``ok``); failed
+  ones are sent again.
 
-Usage is returned raw as JSON and normalised with ``from_json`` in the JVM
-(E17), so both key styles (prompt/completion, input/output) are counted.
+``answer_units`` commits answers in small units, so that a run that dies loses
+at most the calls of one unit.
 """
 
 from __future__ import annotations
 
-import json
+import fcntl
+import os
+import tempfile
+import threading
 import time
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER
+from versio.session import ensure_checkpoint_dir
 from versio.sources.dimensions import (
     DEFAULT_CONCURRENCY,
     MAX_ATTEMPTS,
+    REQUEST_TIMEOUT_S,
     WAIT_MAX_S,
     WAIT_MIN_S,
     WAIT_MULTIPLIER,
 )
 
-Translator = Callable[[str, str], tuple]
+Service = Callable[[str, str], tuple]
 
 DEFAULT_KEYS = ("doc_id", "page_idx", "chunk_idx")
 
-USAGE_SCHEMA = ("prompt_tokens BIGINT, completion_tokens BIGINT, "
-                "input_tokens BIGINT, output_tokens BIGINT")
-
 
 def backoff(attempt: int, multiplier: float, wait_min: float, wait_max: float) -> float:
     """Wait after failed call number ``attempt`` (1-based)."""
     return min(max(multiplier * 2 ** (attempt - 1), wait_min), wait_max)
 
 
-def call_with_retry(translator: Translator, text: str, lang: str, *, max_attempts: int,
-                    multiplier: float, wait_min: float, wait_max: float,
-                    sleep: Callable[[float], None]) -> tuple:
-    """-> (translated | None, usage_json | None, attempts, error | None)."""
+@contextmanager
+def machine_slot(slots: int, poll: float = 0.005) -> Iterator[None]:
+    """Hold one of this machine's ``slots`` locks while a request is open."""
+    folder = os.path.join(tempfile.gettempdir(), f"versio-open-requests-{slots}")
+    os.makedirs(folder, exist_ok=True)
+    first = threading.get_ident() + os.getpid()
+    while True:
+        for k in range(slots):
+            fd = os.open(os.path.join(folder, str((first + k) % slots)), os.O_CREAT | os.O_RDWR)
+            try:
+                fcntl.flock(fd, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                os.close(fd)
+                continue
+            try:
+                yield
+            finally:
+                os.close(fd)  # frees the lock
+            return
+        time.sleep(poll)
+
+
+def in_time(call: Callable[[], tuple], timeout: float | None) -> tuple:
+    """``call()``, given up after ``timeout`` seconds (its thread is left behind)."""
+    if not timeout:
+        return call()
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((call(), None))
+        except BaseException as exc:
+            box.append((None, exc))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(timeout)
+    if not box:
+        raise TimeoutError(f"no reply within {timeout:g} s")
+    out, exc = box[0]
+    if exc is not None:
+        raise exc
+    return out
+
+
+def usage_counts(usage: object) -> tuple[int, int, bool]:
+    """(prompt tokens, completion tokens, reported) of either key style; a value
+    that is no number counts as absent."""
+    def whole(*keys: str) -> int | None:
+        for k in keys:
+            try:
+                return int(usage[k])
+            except (KeyError, TypeError, ValueError, OverflowError):
+                continue
+        return None
+
+    if not isinstance(usage, Mapping):
+        return 0, 0, False
+    p, c = whole("prompt_tokens", "input_tokens"), whole("completion_tokens", "output_tokens")
+    return p or 0, c or 0, p is not None or c is not None
+
+
+def call_with_retry(service: Service, text: str, lang: str, *, max_attempts: int, multiplier: float,
+                    wait_min: float, wait_max: float, sleep: Callable[[float], None],
+                    timeout: float | None = None, slots: int | None = None) -> tuple:
+    """-> (answer | None, usage, attempts, error | None)."""
     last = None
     for attempt in range(1, max_attempts + 1):
         try:
-            out, usage = translator(text, lang)
+            if slots:
+                with machine_slot(slots):
+                    out, usage = in_time(lambda: service(text, lang), timeout)
+            else:
+                out, usage = in_time(lambda: service(text, lang), timeout)
             if out is None:
                 raise ValueError("reply has no text")
-            return out, json.dumps(usage or {}), attempt, None
+            return out, usage, attempt, None
         except Exception as exc:  # every error is retried, as in the reference
             last = exc
             if attempt < max_attempts:
@@ -72,18 +148,19 @@ def call_with_retry(translator: Translator, text: str, lang: str, *, max_attempt
 
 
 def _dispatch(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str],
-              carry: Sequence[str], *, concurrency: int, in_flight_per_task: int, opts: dict,
+              carry: Sequence[str], *, in_flight_per_task: int, opts: dict, partitions: int | None,
               langs: Sequence[str] | None = None) -> DataFrame:
-    """Run ``call(args[0], args[1]) -> (answer, usage)`` with retry for every row
-    of ``todo`` over exactly ``concurrency`` tasks; -> carry + answer, attempts,
-    error, usage_json. With ``langs``, ``todo`` has no ``args[1]`` column: each
-    row is sent once per language and ``args[1]`` is added to the output, so the
-    exchange moves every text once however many languages there are."""
+    """Run ``call(args[0], args[1]) -> (answer, usage)`` with retry for every row of ``todo``
+    -> carry + answer, attempts, error, prompt_tokens, completion_tokens, usage_reported.
+    With ``langs``, ``todo`` has no ``args[1]`` column: each row is sent once per language
+    and ``args[1]`` is added to the output, so the exchange moves every text once however
+    many languages there are."""
     types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
     if langs is not None:
         types[args[1]] = "string"
     schema = ", ".join(f"{c} {types[c]}" for c in carry) + (
-        ", answer string, attempts int, error string, usage_json string")
+        ", answer string, attempts int, error string, prompt_tokens bigint, completion_tokens bigint, "
+        "usage_reported boolean")
     carry = list(carry)
     langs = list(langs) if langs is not None else None
 
@@ -101,32 +178,45 @@ def _dispatch(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[st
                     return call_with_retry(call, pair[0], pair[1], **opts)
 
                 res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
+                counts = [usage_counts(r[1]) for r in res]
                 out = pdf[carry].copy()
                 out["answer"] = [r[0] for r in res]
                 out["attempts"] = [r[2] for r in res]
                 out["error"] = [r[3] for r in res]
-                out["usage_json"] = [r[1] for r in res]
+                out["prompt_tokens"] = [c[0] for c in counts]
+                out["completion_tokens"] = [c[1] for c in counts]
+                out["usage_reported"] = [c[2] for c in counts]
                 yield out
         finally:
             if pool:
                 pool.shutdown()
 
-    return todo.repartition(int(concurrency)).mapInPandas(run, schema)
+    n = int(partitions or todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return todo.repartition(n).mapInPandas(run, schema)
+
+
+def unanswered(tasks: DataFrame, answers: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Tasks without an answer of status ``ok``."""
+    if answers is None:
+        return tasks
+    return tasks.join(answers.where(F.col("status") == "ok").select(*keys), list(keys), "left_anti")
 
 
 def translate(
     tasks: DataFrame,
-    translator: Translator,
+    service: Service,
     *,
     text_col: str = "chunk",
     lang_col: str = "target_lang",
     keys: Sequence[str] = DEFAULT_KEYS,
     concurrency: int = DEFAULT_CONCURRENCY,
     in_flight_per_task: int = 1,
+    partitions: int | None = None,
     max_attempts: int = MAX_ATTEMPTS,
     wait_multiplier: float = WAIT_MULTIPLIER,
     wait_min: float = WAIT_MIN_S,
     wait_max: float = WAIT_MAX_S,
+    timeout: float | None = REQUEST_TIMEOUT_S,
     sleep: Callable[[float], None] = time.sleep,
     resume_from: DataFrame | None = None,
     keep_text: bool = False,
@@ -135,12 +225,11 @@ def translate(
     """tasks(keys, target_lang, chunk) -> translations(keys, target_lang, translated,
     status, attempts, error, prompt_tokens, completion_tokens, usage_reported).
 
-    ``langs`` sends every task once per listed language instead (tasks then
-    need no language column): the chunk text crosses the exchange once, not
-    once per language. With ``resume_from`` the languages are expanded before
-    the anti join. ``keep_text`` also carries the source text through, so
-    checks that read source and answer together need no join back to the
-    chunks."""
+    ``concurrency`` caps the open requests of each machine. ``langs`` sends every task
+    once per listed language instead (tasks then need no language column): the chunk text
+    crosses the exchange once, not once per language. With ``resume_from`` the languages
+    are expanded before the anti join. ``keep_text`` also carries the source text through,
+    so checks that read source and answer together need no join back to the chunks."""
     keys = list(keys)
     if langs is not None and resume_from is not None:
         tasks = tasks.withColumn(lang_col, F.explode(F.array(*[F.lit(x) for x in langs])))
@@ -148,39 +237,73 @@ def translate(
     if langs is not None:
         todo = tasks.select(*keys, text_col)
     else:
-        todo = tasks.select(*keys, lang_col, text_col)
-    if resume_from is not None:
-        todo = todo.join(resume_from.select(*keys, lang_col), [*keys, lang_col], "left_anti")
+        todo = unanswered(tasks.select(*keys, lang_col, text_col), resume_from, [*keys, lang_col])
 
     carry = [*keys, lang_col] + ([text_col] if keep_text else [])
-    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
-                wait_max=wait_max, sleep=sleep)
-    raw = _dispatch(todo, translator, (text_col, lang_col), carry, concurrency=concurrency,
-                    in_flight_per_task=in_flight_per_task, opts=opts,
-                    langs=langs).withColumnRenamed("answer", "translated")
+    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min, wait_max=wait_max,
+                sleep=sleep, timeout=timeout, slots=int(concurrency))
+    raw = _dispatch(todo, service, (text_col, lang_col), carry, in_flight_per_task=in_flight_per_task, opts=opts,
+                    partitions=partitions, langs=langs).withColumnRenamed("answer", "translated")
     return normalise(raw, keys=carry)
 
 
 def normalise(raw: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """E10 + E17: failure marker, zero usage on failure, both usage key styles."""
-    u = F.from_json("usage_json", USAGE_SCHEMA)
+    """Failure marker and zero usage on failure."""
     ok = F.col("translated").isNotNull()
-    prompt = F.coalesce(u["prompt_tokens"], u["input_tokens"], F.lit(0).cast("bigint"))
-    completion = F.coalesce(u["completion_tokens"], u["output_tokens"], F.lit(0).cast("bigint"))
-    reported = (u["prompt_tokens"].isNotNull() | u["input_tokens"].isNotNull()
-                | u["completion_tokens"].isNotNull() | u["output_tokens"].isNotNull())
+    zero = F.lit(0).cast("bigint")
     return raw.select(
         *keys,
         F.when(ok, F.col("translated")).otherwise(F.lit(FAILED_MARKER)).alias("translated"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
         "attempts",
         "error",
-        F.when(ok, prompt).otherwise(F.lit(0).cast("bigint")).alias("prompt_tokens"),
-        F.when(ok, completion).otherwise(F.lit(0).cast("bigint")).alias("completion_tokens"),
-        (ok & reported).alias("usage_reported"),
+        F.when(ok, F.col("prompt_tokens")).otherwise(zero).alias("prompt_tokens"),
+        F.when(ok, F.col("completion_tokens")).otherwise(zero).alias("completion_tokens"),
+        (ok & F.col("usage_reported")).alias("usage_reported"),
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_answers(spark: SparkSession, sink: str, keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang")) -> DataFrame | None:
+    """The answers in a sink of ``answer_units``, one row per key: an ``ok`` row if there is one,
+    else the latest. None if nothing was written yet."""
+    if not _exists(spark, sink):
+        return None
+    rows = spark.read.option("basePath", sink).parquet(sink)
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(F.col("status") == "ok", F.col("run").cast("string")))
+    return rows.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*").drop("run", "unit", "batch_id")
+
+
+def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: int = 100_000, langs: Sequence[str] | None = None,
+                 keys: Sequence[str] = DEFAULT_KEYS, lang_col: str = "target_lang", text_col: str = "chunk", **options) -> DataFrame | None:
+    """Answer ``tasks`` into the Parquet folder ``sink`` in units of about ``unit_rows`` requests, each
+    committed as a folder of its own before the next is sent, and return ``read_answers``.
+
+    What ``sink`` holds with status ``ok`` is not sent again, whichever run wrote it; failed chunks are.
+    Pending requests are written to the shared checkpoint folder once, dealt over the units by hash.
+    """
+    spark, keys = tasks.sparkSession, list(keys)
+    if langs is not None:
+        tasks = tasks.withColumn(lang_col, F.explode(F.array(*[F.lit(x) for x in langs])))
+    every = [*keys, lang_col]
+    todo = unanswered(tasks.select(*every, text_col), read_answers(spark, sink, every), every)
+    pending = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pending-{uuid.uuid4().hex}"
+    # buckets finer than a unit: the count of pending requests is known only once they are written
+    todo = todo.withColumn("bucket", F.pmod(F.xxhash64(*every), F.lit(1 << 20)))
+    todo.write.parquet(pending)
+    todo = spark.read.schema(todo.schema).parquet(pending)
+    units = -(-todo.count() // unit_rows)
+    run = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
+    for k in range(units):  # a job for each unit
+        part = todo.where(F.pmod(F.col("bucket"), F.lit(units)) == k).drop("bucket")
+        translate(part, service, keys=keys, lang_col=lang_col, text_col=text_col, **options).write.parquet(f"{sink}/run={run}/unit={k}")
+    return read_answers(spark, sink, every)
+
+
 def send_requests(
     requests: DataFrame,
     post: Callable[[str, str], str],
@@ -188,30 +311,40 @@ def send_requests(
     keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang"),
     concurrency: int = DEFAULT_CONCURRENCY,
     in_flight_per_task: int = 1,
+    partitions: int | None = None,
     max_attempts: int = MAX_ATTEMPTS,
     wait_multiplier: float = WAIT_MULTIPLIER,
     wait_min: float = WAIT_MIN_S,
     wait_max: float = WAIT_MAX_S,
+    timeout: float | None = REQUEST_TIMEOUT_S,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
-    """Table-driven dispatch: requests(keys, provider, body) from
-    ``build_requests`` -> responses(keys, provider, reply_style, body, attempts,
-    error). ``post(provider, body_json) -> reply_json`` is the caller's
-    transport; the same in-flight cap and retry rules as ``translate`` apply.
-    Read the replies with ``response.parse_responses`` (in the JVM); an
-    exhausted request has a NULL body and parses as ``failed``."""
+    """Table-driven dispatch: requests(keys, provider, body) from ``build_requests``
+    -> responses(keys, provider, reply_style, body, attempts, error).
+
+    ``post(provider, body_json) -> reply_json`` is the caller's transport; cap and retry
+    are those of ``translate``, and a reply that does not read as one of the provider's is
+    retried like an error. A row without a body (its provider is unknown) is not posted: it
+    comes back with 0 attempts and the error ``not sent``. Read the replies with
+    ``response.parse_responses`` (in the JVM); a NULL body parses as ``failed``."""
+    from versio.operators.services import check_reply
     from versio.sources import dimensions as dims
 
     keys = list(keys)
     todo = requests.select(*keys, "provider", F.col("body").alias("request_body"))
-    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min,
-                wait_max=wait_max, sleep=sleep)
+    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min, wait_max=wait_max,
+                sleep=sleep, timeout=timeout, slots=int(concurrency))
 
     def call(body: str, provider: str) -> tuple:
-        return post(provider, body), {}
+        reply = post(provider, body)
+        check_reply(provider, reply)
+        return reply, {}
 
-    raw = _dispatch(todo, call, ("request_body", "provider"), [*keys, "provider"], concurrency=concurrency,
-                    in_flight_per_task=in_flight_per_task, opts=opts).withColumnRenamed("answer", "body")
+    sent = todo.where(F.col("request_body").isNotNull())
+    raw = _dispatch(sent, call, ("request_body", "provider"), [*keys, "provider"], in_flight_per_task=in_flight_per_task,
+                    opts=opts, partitions=partitions).select(*keys, "provider", F.col("answer").alias("body"), "attempts", "error")
+    held = todo.where(F.col("request_body").isNull()).select(
+        *keys, "provider", F.lit(None).cast("string").alias("body"), F.lit(0).alias("attempts"), F.lit("not sent").alias("error"))
     styles = dims.providers(requests.sparkSession).select(F.col("provider").alias("__p"), "reply_style")
-    return (raw.join(styles, F.col("provider") == F.col("__p"), "left")
+    return (raw.union(held).join(styles, F.col("provider") == F.col("__p"), "left")
             .select(*keys, "provider", "reply_style", "body", "attempts", "error"))

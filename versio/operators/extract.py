@@ -8,7 +8,7 @@ The reference runs three extractors on one file and keeps the longest text
   ``native`` (priority 1): visible text, one page per stretch ended by a
   closing nav/div/article/footer/section/header tag or an ``<hr>``, each page
   stripped and followed by the page marker;
-  ``article`` (priority 2): the ``<article>`` block only, one marked page;
+  ``article`` (priority 2): the ``<article>`` blocks only, a marked page each;
   ``markdown`` (priority 3): headings, links and list items as Markdown,
   whole document, not stripped, no markers.
 * ``best_in_row`` picks the winner with array functions on the same row, so
@@ -38,7 +38,6 @@ ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
-    ("&#39;", "'"),
     ("&nbsp;", " "),
     ("&copy;", "©"),
     ("&middot;", "·"),
@@ -48,26 +47,48 @@ ENTITIES = [
 
 METHODS = (("native", 1), ("article", 2), ("markdown", 3))
 
-# tag patterns name the tag exactly: "<p" must not match <pre> or <param>
+# tag patterns name the tag exactly: "<p" must not match <pre> or <param>; tags have any case
 _ATTRS = r"(?:\s[^>]*)?"
-_BLOCK_END = rf"</nav>|</div>|</article>|</footer>|</section>|</header>|<hr{_ATTRS}/?>"
-_LINE_BREAK = rf"<br{_ATTRS}/?>|</p>|</h[1-6]>|</li>|<p{_ATTRS}>"
-_H1 = rf"(?s)<h1{_ATTRS}>(.*?)</h1>"
-_H2 = rf"(?s)<h2{_ATTRS}>(.*?)</h2>"
-_LINK = rf"(?s)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
-_LI = rf"<li{_ATTRS}>"
-_NOISE = rf"(?s)<script{_ATTRS}>.*?</script>|<style{_ATTRS}>.*?</style>|<!--.*?-->"
+_BLOCK_END = rf"(?i)</nav>|</div>|</article>|</footer>|</section>|</header>|<hr{_ATTRS}/?>"
+_LINE_BREAK = rf"(?i)<br{_ATTRS}/?>|</p>|</h[1-6]>|</li>|<p{_ATTRS}>"
+_H1 = rf"(?is)<h1{_ATTRS}>(.*?)</h1>"
+_H2 = rf"(?is)<h2{_ATTRS}>(.*?)</h2>"
+_LINK = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+_LI = rf"(?i)<li{_ATTRS}>"
+_NOISE = rf"(?is)<script{_ATTRS}>.*?</script>|<style{_ATTRS}>.*?</style>|<!--.*?-->"
+_BODY = rf"(?is)<body{_ATTRS}>(.*)</body>"
+_ARTICLE = rf"(?is)<article{_ATTRS}>(.*?)</article>"
+
+
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a code point written in ``base``; NULL when there is none."""
+    n = F.conv(digits, base, 10).cast("bigint")
+    valid = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+
+def decode_numeric(text: Column) -> Column:
+    """``&#65;`` and ``&#x41;`` to their characters; a reference to no character stays as it is."""
+    def piece(x: Column) -> Column:
+        dec, hexa = F.regexp_extract(x, "^([0-9]{1,7});", 1), F.regexp_extract(x, "^[xX]([0-9a-fA-F]{1,6});", 1)
+        char = F.when(dec != "", _code_point(dec, 10)).when(hexa != "", _code_point(hexa, 16))
+        end = F.when(char.isNotNull(), F.locate(";", x)).otherwise(0)
+        return F.concat(F.coalesce(char, F.lit("&#")), F.substring(x, end + 1, F.length(x)))
+
+    parts = F.split(text, "&#", -1)
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
+    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def decode_entities(c) -> Column:
-    out = col_of(c)
+    out = decode_numeric(col_of(c))
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
 
 
 def body_of(html) -> Column:
-    body = F.regexp_extract(col_of(html), r"(?s)<body(?:\s[^>]*)?>(.*)</body>", 1)
+    body = F.regexp_extract(col_of(html), _BODY, 1)
     inner = F.when(body == "", col_of(html)).otherwise(body)
     return F.regexp_replace(inner, _NOISE, "")
 
@@ -90,8 +111,10 @@ def native_text(body) -> Column:
 
 
 def article_text(body) -> Column:
-    art = F.regexp_extract(col_of(body), r"(?s)<article(?:\s[^>]*)?>(.*?)</article>", 1)
-    return marked(F.array(visible_text(art)))
+    found = F.regexp_extract_all(col_of(body), F.lit(_ARTICLE), F.lit(1))
+    # without an article there is one empty page, without a body (NULL) none
+    articles = F.when(F.size(found) > 0, found).when(found.isNotNull(), F.array(F.lit("")))
+    return marked(F.transform(articles, visible_text))
 
 
 def markdown_text(body) -> Column:
@@ -126,7 +149,8 @@ def html_candidates(pages: DataFrame, *, key: str = "page_id", html: str = "html
     per-method statistics need no second extraction pass and no join."""
     arr = _bodies(pages, key, html).select("doc_id", _candidate_array("__body").alias("__c"))
     best = arr.select("doc_id", "__c", best_in_row(F.col("__c"))["method"].alias("__best"))
-    return best.select("doc_id", F.inline("__c"), "__best").select(
+    # the outer form: for a plain ``inline`` the optimizer adds a size filter that runs all extractors again
+    return best.select("doc_id", F.inline_outer("__c"), "__best").select(
         "doc_id", "method", "priority", "text", "error", (F.col("method") == F.col("__best")).alias("chosen"))
 
 
@@ -145,7 +169,7 @@ def best_in_row(cands: Column) -> Column:
 
 def _with_status(df: DataFrame) -> DataFrame:
     return df.withColumn(
-        "status", F.when(is_blank("text"), F.lit("empty_extraction")).otherwise(F.lit("ok"))
+        "status", F.when(F.coalesce(is_blank("text"), F.lit(True)), F.lit("empty_extraction")).otherwise(F.lit("ok"))
     )
 
 
@@ -215,18 +239,22 @@ class PyExtractor:
 
 
 def extract_binary(files: DataFrame, extractors: Sequence[PyExtractor], *, key: str = "doc_id",
-                   content: str = "content") -> DataFrame:
-    """B1-B4 for binary documents -> candidates(doc_id, method, priority, text, error)."""
+                   content: str = "content", long: bool = True) -> DataFrame:
+    """B1-B4 for binary documents -> candidates(doc_id, method, priority, text, error), or with
+    ``long=False`` one row (doc_id, candidates ARRAY<STRUCT>) per document, from which
+    ``binary_best`` chooses without an exchange. NULL content has no pages."""
     exs = list(extractors)
+    types = {f.name: f.dataType.simpleString() for f in files.schema.fields}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for k, blob in zip(pdf[key], pdf[content]):
+                cands = []
                 for ex in exs:
                     parts, err = [], None
                     try:
-                        for page in ex.pages(bytes(blob)):
+                        for page in ex.pages(bytes(blob)) if blob is not None else ():
                             parts.append(page)
                     except Exception as exc:  # keep the partial text
                         err = f"{type(exc).__name__}: {exc}"
@@ -234,9 +262,19 @@ def extract_binary(files: DataFrame, extractors: Sequence[PyExtractor], *, key:
                         text = "".join(p.strip() + PAGE_SUFFIX for p in parts)
                     else:
                         text = "" if err else "".join(parts)
-                    rows.append((k, ex.method, ex.priority, text, err))
-            yield pd.DataFrame(rows, columns=["doc_id", "method", "priority", "text", "error"])
-
-    key_type = dict((f.name, f.dataType.simpleString()) for f in files.schema.fields)[key]
-    schema = f"doc_id {key_type}, method string, priority int, text string, error string"
-    return files.select(key, content).mapInPandas(run, schema)
+                    cands.append({"method": ex.method, "priority": ex.priority, "text": text, "error": err})
+                rows.append((k, cands))
+            yield pd.DataFrame(rows, columns=["doc_id", "candidates"])
+
+    schema = (f"doc_id {types[key]}, "
+              "candidates array<struct<method: string, priority: int, text: string, error: string>>")
+    found = files.select(key, content).mapInPandas(run, schema)
+    return found.select("doc_id", F.inline_outer("candidates")).where(F.col("method").isNotNull()) if long else found
+
+
+def binary_best(files: DataFrame, extractors: Sequence[PyExtractor], *, key: str = "doc_id",
+                content: str = "content") -> DataFrame:
+    """B6 + B7 for binary documents: extracted(doc_id, method, text, status), chosen in the row."""
+    found = extract_binary(files, extractors, key=key, content=content, long=False)
+    best = found.select("doc_id", best_in_row(F.col("candidates")).alias("__b"))
+    return _with_status(best.select("doc_id", F.col("__b.method").alias("method"), F.col("__b.text").alias("text")))

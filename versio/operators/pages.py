@@ -1,19 +1,15 @@
 """Page handling (C1-C6): split an extracted text into pages, page counts,
 documents without pages, and the full-text (unsplit) mode - narrow
 projections / generators, no exchange - plus ``pages_from_rows`` for documents
-stored as page rows, which ranks pages with one range exchange and offset
-tables bounded by the partition count.
+stored as page rows, which numbers a document's pages block by block.
 """
 
 from __future__ import annotations
 
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from versio.functions.text import split_on_marker, strip
-from versio.session import materialize
+from versio.functions.text import PAGE_MARKER, is_blank, split_on_marker, strip
 
 
 def split_pages(docs: DataFrame, *, text_col: str = "text", key: str = "doc_id",
@@ -32,7 +28,8 @@ def split_pages(docs: DataFrame, *, text_col: str = "text", key: str = "doc_id",
 
 def page_counts(docs: DataFrame, *, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """Number of non-blank pages per document (0 included), without exploding."""
-    kept = F.filter(F.transform(split_on_marker(text_col), strip), lambda p: p != F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit(""))  # a NULL text has no page
+    kept = F.filter(F.transform(split_on_marker(text), strip), lambda p: p != F.lit(""))
     return docs.select(F.col(key), F.size(kept).cast("bigint").alias("n_pages"))
 
 
@@ -51,58 +48,38 @@ def no_page_documents(docs: DataFrame, *, text_col: str = "text", key: str = "do
 
 def full_text_units(docs: DataFrame, *, text_col: str = "text", key: str = "doc_id",
                     carry: tuple[str, ...] = ()) -> DataFrame:
-    """One translation unit per document, markers included, no split."""
-    return docs.select(
+    """One translation unit per document, markers included, no split. A document without a
+    non-blank page (NULL, blank, markers only) is no unit; ``no_page_documents`` reports it."""
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(PAGE_MARKER), F.lit(""))
+    return docs.where(~is_blank(text)).select(
         F.col(key), *carry,
         F.lit(0).alias("page_idx"), F.lit(0).alias("chunk_idx"),
         F.col(text_col).alias("chunk"),
     )
 
 
-def dense_positions(df: DataFrame, key: str, order: str, out: str = "idx",
-                    partitions: int | None = None) -> DataFrame:
-    """0-based position of every row within its ``key`` in ``order`` (a dense
-    row_number), without gathering a key's rows in one task.
+#: Order values that make one block of a key.
+ORDER_BLOCK = 1024
 
-    Rows are range-partitioned on (key, order): the sampled bounds split a key
-    holding a third of the data across many tasks. Each task numbers its rows
-    per key in sorted order. Only keys at a task's first or last row can
-    continue in another task; their per-task counts (at most 2 x partitions
-    rows) give the offsets, broadcast back with that proven bound. The staged
-    rows are checkpointed so both readers see the same task assignment.
-    """
-    spark = df.sparkSession
-    n = int(partitions or spark.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
-    schema = T.StructType(df.schema.fields + [T.StructField("__pid", T.IntegerType()),
-                                              T.StructField("__pos", T.LongType())])
-
-    def number(batches):
-        pid = TaskContext.get().partitionId()
-        last, count = None, 0
-        for pdf in batches:
-            pos = []
-            for k in pdf[key].tolist():
-                if k != last:
-                    last, count = k, 0
-                pos.append(count)
-                count += 1
-            yield pdf.assign(__pid=pid, __pos=pos)
-
-    staged = materialize(ranged.mapInPandas(number, schema))
-    ends = staged.groupBy("__pid").agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    edges = (ends.select("__pid", F.col("__lo").alias(key))
-             .union(ends.select("__pid", F.col("__hi").alias(key))).distinct())
-    counts = (staged.join(F.broadcast(edges), ["__pid", key])
-              .groupBy("__pid", key).agg(F.count(F.lit(1)).alias("__n")))
-    before = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (staged.join(F.broadcast(offsets), [key, "__pid"], "left")
-            .select(*df.columns, (F.col("__pos") + F.coalesce(F.col("__off"), F.lit(0))).alias(out)))
-
-
-def pages_from_rows(rows: DataFrame, *, key: str = "doc_id", order: str = "page_no", text: str = "text",
-                    partitions: int | None = None) -> DataFrame:
+
+def dense_positions(df: DataFrame, key: str, order: str, out: str = "idx", block: int = ORDER_BLOCK) -> DataFrame:
+    """0-based position of every row within its ``key`` in the numeric ``order`` (a dense row_number).
+
+    A key is cut into blocks of ``block`` order values. Rows are numbered within their block, so one
+    key's rows are dealt over many tasks, and the rows of earlier blocks are added from the blocks'
+    counts (one narrow row per block). Rows that share key and order are ranked by a hash of their
+    columns. NULL keys form one key, NULL orders come first."""
+    cols, at = df.columns, F.floor(F.col(order) / F.lit(block))
+    counts = df.groupBy(F.col(key).alias("__k"), at.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__k", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    within = Window.partitionBy(key, "__at").orderBy(order, F.xxhash64(*cols))
+    numbered = df.withColumn("__at", at).withColumn("__pos", F.row_number().over(within) - 1)
+    same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__at").eqNullSafe(F.col("__b"))
+    return numbered.join(offsets, same).select(*cols, (F.col("__pos") + F.col("__off")).alias(out))
+
+
+def pages_from_rows(rows: DataFrame, *, key: str = "doc_id", order: str = "page_no", text: str = "text") -> DataFrame:
     """B5 + C1 for documents stored as page rows: (key, order, text) ->
     pages(doc_id, page_idx INT, page) with pages stripped, blank pages dropped
     and a dense index in page order - the pages ``split_pages(mark_pages(rows))``
@@ -110,5 +87,5 @@ def pages_from_rows(rows: DataFrame, *, key: str = "doc_id", order: str = "page_
     string per document, so no document is ever gathered in one task."""
     kept = rows.select(F.col(key).alias("doc_id"), F.col(order).alias("__order"),
                        strip(text).alias("page")).where(F.col("page") != "")
-    ranked = dense_positions(kept, "doc_id", "__order", "page_idx", partitions)
+    ranked = dense_positions(kept, "doc_id", "__order", "page_idx")
     return ranked.select("doc_id", F.col("page_idx").cast("int").alias("page_idx"), "page")

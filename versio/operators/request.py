@@ -55,11 +55,13 @@ def build_requests(chunks: DataFrame, *, provider_col: str = "provider", model_c
                    system_prompt: str = dims.SYSTEM_PROMPT, temperature: float = dims.TEMPERATURE,
                    max_tokens: int = dims.MAX_OUTPUT_TOKENS) -> DataFrame:
     """Adds system, user, temperature, max_tokens, request_style and the JSON
-    ``body`` in the provider's request shape (one branch per style)."""
+    ``body`` in the provider's request shape (one branch per style). Provider names match
+    whatever their case; an unknown provider (E5) or a missing target language gives a NULL
+    body, which ``send_requests`` reports and does not post."""
     spark = chunks.sparkSession
     styled = chunks.join(
         dims.providers(spark).select(F.col("provider").alias("__p"), "request_style"),
-        F.col(provider_col) == F.col("__p"), "left",
+        F.lower(F.col(provider_col)) == F.col("__p"), "left",
     ).drop("__p")
     system = F.lit(system_prompt)
     user = user_message(text_col, lang_col)

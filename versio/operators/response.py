@@ -1,7 +1,7 @@
 """Parsing raw provider replies.
 
 One wide JSON schema reads every reply shape; absent fields come back NULL,
-so a single ``from_json`` serves all providers and the choice of field is a
+so a single ``from_json`` serves all providers (each body is parsed once) and the choice of field is a
 ``CASE`` on the reply style. Runs in the JVM, no Python worker.
 """
 
@@ -28,7 +28,9 @@ def parse_responses(raw: DataFrame, *, body_col: str = "body", style_col: str =
     (first block's text; input/output usage keys), ``text_only`` (``text``;
     the service reports no usage). A reply without text is ``failed``.
     """
-    j = F.from_json(F.col(body_col), REPLY_SCHEMA)
+    # the generator keeps the parsed struct: without it every field read below would parse the body again
+    parsed = raw.select("*", F.explode_outer(F.array(F.from_json(F.col(body_col), REPLY_SCHEMA))).alias("__reply"))
+    j = F.col("__reply")
     style = F.col(style_col)
     first_choice = F.try_element_at(j["choices"], F.lit(1))["message"]["content"]
     text = (
@@ -43,12 +45,14 @@ def parse_responses(raw: DataFrame, *, body_col: str = "body", style_col: str =
     counted = style != F.lit("text_only")
     prompt = F.when(counted, F.coalesce(u["prompt_tokens"], u["input_tokens"], zero)).otherwise(zero)
     completion = F.when(counted, F.coalesce(u["completion_tokens"], u["output_tokens"], zero)).otherwise(zero)
+    reported = (u["prompt_tokens"].isNotNull() | u["completion_tokens"].isNotNull()
+                | u["input_tokens"].isNotNull() | u["output_tokens"].isNotNull())
     ok = text.isNotNull()
-    return raw.select(
-        "*",
+    return parsed.select(
+        *raw.columns,
         text.alias("translated"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
         F.when(ok, prompt).otherwise(zero).alias("prompt_tokens"),
         F.when(ok, completion).otherwise(zero).alias("completion_tokens"),
-        (ok & counted & u.isNotNull()).alias("usage_reported"),
+        (ok & counted & F.coalesce(reported, F.lit(False))).alias("usage_reported"),
     )

@@ -1,16 +1,13 @@
-"""Translator plug-ins (U1, E5, E7, E12-E16 on the Python side).
+"""Service plug-ins (U1, E5, E7, E12-E16 on the Python side).
 
-A translator is a picklable callable ``(text, target_lang) -> (text, usage)``.
+A service is a picklable callable ``(text, target_lang) -> (text, usage)``.
 
-* ``ServiceTranslator`` builds the provider-shaped request body and hands it
+* ``ProviderAdapter`` builds the provider-shaped request body and hands it
   as JSON to a caller-supplied ``post(provider, body_json) -> reply JSON`` (the
   same transport signature ``dispatch.send_requests`` uses); the transport,
   keys and endpoints stay with the caller (no SDKs are bundled). The reply is
   read in the provider's shape.
-* ``get_translator`` is the registry: an unknown provider is an error.
-* ``EchoService`` / ``FlakyService`` are offline stand-ins for a service,
-  used by tests, the bench and the registered queries. They answer
-  ``[lang] text`` and report usage from the ceil(len/4) estimate.
+* ``get_service`` is the registry: an unknown provider is an error.
 """
 
 from __future__ import annotations
@@ -18,7 +15,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from versio.functions.text import py_approx_tokens
 from versio.sources import dimensions as dims
 
 _STYLES = {name: (req, rep) for name, req, rep in dims.PROVIDERS}
@@ -50,20 +46,21 @@ def read_reply(provider: str, reply: dict) -> tuple:
     style = _STYLES[provider][1]
     if style in ("choices", "choices_or_empty"):
         content = reply["choices"][0]["message"]["content"]
+        # a reply without usage reports none, on this path as in ``parse_responses``
         usage = reply.get("usage") or {}
-        if style == "choices_or_empty":
-            content = content or ""
-            usage = {"prompt_tokens": usage.get("prompt_tokens", 0),
-                     "completion_tokens": usage.get("completion_tokens", 0)}
-        return content, usage
+        return (content or "") if style == "choices_or_empty" else content, usage
     if style == "content_blocks":
-        usage = reply.get("usage") or {}
-        return reply["content"][0]["text"], {"input_tokens": usage.get("input_tokens", 0),
-                                             "output_tokens": usage.get("output_tokens", 0)}
+        return reply["content"][0]["text"], reply.get("usage") or {}
     return reply.get("text"), {}
 
 
-class ServiceTranslator:
+def check_reply(provider: str, reply: str) -> None:
+    """Raise unless ``reply`` is JSON in the provider's shape with a text."""
+    if read_reply(provider, json.loads(reply))[0] is None:
+        raise ValueError("reply has no text")
+
+
+class ProviderAdapter:
     """Provider adapter over a caller-supplied transport ``post(provider, body_json) -> str``."""
 
     def __init__(self, provider: str, model: str, post: Callable[[str, str], str]):
@@ -76,73 +73,6 @@ class ServiceTranslator:
         return read_reply(self.provider, json.loads(self.post(self.provider, json.dumps(body))))
 
 
-def get_translator(provider: str, model: str, post: Callable[[str, str], str]) -> ServiceTranslator:
+def get_service(provider: str, model: str, post: Callable[[str, str], str]) -> ProviderAdapter:
     """Registry lookup; unknown names raise ``ValueError``."""
-    return ServiceTranslator(provider, model, post)
-
-
-class EchoService:
-    """Offline stand-in: answers ``[lang] text``; usage in the given key style."""
-
-    def __init__(self, usage_style: str = "prompt_completion"):
-        self.usage_style = usage_style
-
-    def __call__(self, text: str, lang: str) -> tuple:
-        out = f"[{lang}] {text}"
-        p = py_approx_tokens(py_user_message(text, lang))
-        c = py_approx_tokens(out)
-        if self.usage_style == "input_output":
-            return out, {"input_tokens": p, "output_tokens": c}
-        if self.usage_style == "none":
-            return out, {}
-        return out, {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}
-
-
-class FlakyService:
-    """Fails the first ``failures(text)`` calls for a text, then answers like
-    ``base``. A script longer than ``max_attempts`` ends after that many
-    failures (the dispatcher gives up), so a repeated text starts afresh.
-    Keep one request in flight per task when using it (the counter is local)."""
-
-    def __init__(self, base: Callable, failures: Callable[[str], int], max_attempts: int = dims.MAX_ATTEMPTS):
-        self.base, self.failures, self.max_attempts = base, failures, max_attempts
-        self._calls: dict = {}
-
-    def __call__(self, text: str, lang: str) -> tuple:
-        key = (text, lang)
-        seen = self._calls.get(key, 0)
-        if seen < self.failures(text):
-            seen += 1
-            self._calls[key] = 0 if seen >= self.max_attempts else seen
-            raise RuntimeError(f"service unavailable (failing call {seen})")
-        self._calls.pop(key, None)
-        return self.base(text, lang)
-
-
-def failures_by_length(modulus: int = 4) -> Callable[[str], int]:
-    """Failure script used by the registered failure query: len(text) mod m."""
-    def rule(text: str) -> int:
-        return len(text) % modulus
-    return rule
-
-
-class EchoTransport:
-    """Offline stand-in for the providers' endpoints, for ``send_requests``:
-    reads the request body and answers ``[lang] text`` in the provider's reply
-    shape, with usage from the ceil(len/4) estimate (none for text-only replies)."""
-
-    def __call__(self, provider: str, body: str) -> str:
-        req = json.loads(body)
-        user = req["contents"] if "contents" in req else req["messages"][-1]["content"]
-        head, text = user.split("\n", 1)
-        lang = head[len("Translate to "):-1]
-        out = f"[{lang}] {text}"
-        p, c = py_approx_tokens(user), py_approx_tokens(out)
-        style = _STYLES[provider][1]
-        if style == "content_blocks":
-            return json.dumps({"content": [{"type": "text", "text": out}],
-                               "usage": {"input_tokens": p, "output_tokens": c}})
-        if style == "text_only":
-            return json.dumps({"text": out})
-        return json.dumps({"choices": [{"message": {"content": out}}],
-                           "usage": {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}})
+    return ProviderAdapter(provider, model, post)

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from versio.functions.text import approx_tokens
 from versio.operators import checks, extract, request, response, usage
 from versio.operators.assemble import reassemble
-from versio.operators.chunk import chunk_counts, chunk_pages
+from versio.operators.chunk import chunk_counts, chunk_documents, chunk_pages
 from versio.operators.dispatch import translate
-from versio.operators.pages import full_text_units, page_counts, pages_from_rows, split_pages
-from versio.operators.services import EchoService, FlakyService, failures_by_length
+from versio.operators.pages import full_text_units, no_page_documents, page_counts, pages_from_rows, split_pages
+from versio.plans.standins import EchoService, FlakyService, failures_by_length
 from versio.plans import standins as S
 from versio.plans.translate_job import translated_with_usage, with_targets
+from versio.session import materialize
 from versio.sources.files import conversion_route, missing_files, validate_formats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +38,8 @@ def _doc_pages(spark, sf):
     return split_pages(S.documents(spark, sf))
 
 
-def _doc_chunks(spark, sf, limit, native=False):
-    return chunk_pages(_doc_pages(spark, sf), limit, native=native)
+def _doc_chunks(spark, sf, limit):
+    return chunk_documents(S.documents(spark, sf), limit)
 
 
 def _no_wait(_seconds: float) -> None:
@@ -57,8 +58,7 @@ def _flaky_translations(spark, sf, limit=200):
 
 
 def _conv_marked(spark, sf):
-    # the first operator shuffles by document anyway: no spreading exchange before it
-    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"], balance=False)
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return extract.mark_pages(conv, key="conv_id", order="turn").withColumnRenamed("conv_id", "doc_id")
 
 
@@ -74,6 +74,12 @@ def q_conversion_route(spark, sf):
     return r.select("doc_id", "path", "route", "pdf_name")
 
 
+def q_custom_formats(spark, sf):
+    """A6 + H15: a comma list of formats, blanks and upper case allowed."""
+    v = validate_formats(S.file_manifest(spark, sf), formats=" .PDF, .txt,,.Gz ")
+    return v.select("doc_id", "path", "suffix", "format_ok")
+
+
 def q_missing_files(spark, sf):
     m = S.file_manifest(spark, sf).withColumnRenamed("path", "name")
     p = S.present_files(spark, sf).withColumnRenamed("path", "name")
@@ -102,6 +108,15 @@ def q_choose_best(spark, sf):
     return extract.choose_best(extract.html_candidates(_html(spark, sf)))
 
 
+def q_extract_binary(spark, sf):
+    """The decoder hook on the pages' bytes: a paged and an unpaged decoder, the longer text wins."""
+    files = S.read(spark, sf, "pages", ["page_id", "html"]).select(
+        F.col("page_id").alias("doc_id"), F.encode("html", "UTF-8").alias("content"))
+    decoders = [extract.PyExtractor("paragraphs", 1, S.paragraphs),
+                extract.PyExtractor("head", 2, S.head_and_title, paged=False)]
+    return extract.binary_best(files, decoders)
+
+
 def q_mark_pages(spark, sf):
     return _conv_marked(spark, sf)
 
@@ -113,18 +128,28 @@ def q_document_status(spark, sf):
 # --- C: pages -------------------------------------------------------------------
 
 def q_split_pages(spark, sf):
-    return split_pages(_conv_marked(spark, sf))
+    return split_pages(S.marked_documents(spark, sf))
 
 
 def q_page_rows(spark, sf):
     """C1 on page rows: the same pages as ``split_pages`` of the marked text,
     with the dense index computed without gathering a document in one task."""
-    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"], balance=False)
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
     return pages_from_rows(conv, key="conv_id", order="turn")
 
 
 def q_page_counts(spark, sf):
-    return page_counts(_conv_marked(spark, sf))
+    return page_counts(S.marked_documents(spark, sf))
+
+
+def q_no_page_documents(spark, sf):
+    """Documents without a non-blank page, NULL and blank texts included."""
+    return no_page_documents(S.uneven_documents(spark, sf))
+
+
+def q_uneven_status(spark, sf):
+    """B7 + C2: the status of every document, sent or not."""
+    return checks.document_status(S.uneven_documents(spark, sf))
 
 
 # --- D: chunking ----------------------------------------------------------------
@@ -136,7 +161,9 @@ def q_approx_tokens(spark, sf):
 
 def _chunks_query(limit, native=False):
     def q(spark, sf):
-        return _doc_chunks(spark, sf, limit, native).select(*CHUNK_COLS)
+        if native:
+            return chunk_pages(_doc_pages(spark, sf), limit, native=True).select(*CHUNK_COLS)
+        return _doc_chunks(spark, sf, limit).select(*CHUNK_COLS)
     q.__doc__ = f"D1-D5: chunks of every document page at limit {limit}" + (" (JVM twin)" if native else "")
     return q
 
@@ -146,43 +173,58 @@ def q_chunk_stats(spark, sf):
 
 
 def q_conversation_chunks(spark, sf):
-    return chunk_pages(split_pages(_conv_marked(spark, sf)), 200).select(*CHUNK_COLS)
+    """Chunks of conversations, a page per turn, without gathering a conversation in one task."""
+    conv = S.read(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    return chunk_pages(pages_from_rows(conv, key="conv_id", order="turn"), 200).select(*CHUNK_COLS)
+
+
+def q_chunk_edges(spark, sf):
+    """Blank lines, tabs, no-break spaces and very long words."""
+    return chunk_documents(S.edge_documents(spark, sf), 20).select(*CHUNK_COLS)
 
 
 # --- E: requests, dispatch, replies ---------------------------------------------
 
+def _requests(spark, sf):
+    """Routed chunks with the resolved provider and model, and the request body."""
+    ch = chunk_documents(S.routed_documents(spark, sf), 2000, carry=("target_lang", "provider", "model"))
+    r = request.resolve_models(ch)
+    return request.build_requests(r.withColumns({"provider": F.col("provider_resolved"), "model": F.col("model_resolved")}))
+
+
 def q_build_requests(spark, sf):
-    d = S.documents(spark, sf).join(S.routes(spark), "lang")
-    pages = split_pages(d, carry=("target_lang", "provider"))
-    ch = chunk_pages(pages, 2000).withColumn("model", F.lit(""))
-    resolved = request.resolve_models(ch)
-    r = request.build_requests(resolved.withColumn("model", F.col("model_resolved")))
-    body_user = F.coalesce(F.get_json_object("body", "$.messages[1].content"),
-                           F.get_json_object("body", "$.messages[0].content"),
-                           F.get_json_object("body", "$.contents"))
-    return r.select("doc_id", "page_idx", "chunk_idx", "target_lang", "provider", "model", "request_style",
-                    "user", "temperature", "max_tokens",
-                    F.get_json_object("body", "$.model").alias("body_model"),
-                    body_user.alias("body_user"))
+    """Every chunk's request; chunks without a route or with an unknown provider have a NULL body."""
+    body = F.from_json("body", "model STRING, max_tokens INT, temperature DOUBLE, system STRING, contents STRING, "
+                       "messages ARRAY<STRUCT<role: STRING, content: STRING>>, "
+                       "config STRUCT<temperature: DOUBLE, max_output_tokens: INT, system_instruction: STRING>")
+    r = _requests(spark, sf).select("*", F.explode_outer(F.array(body)).alias("b"))
+    return r.select("doc_id", "page_idx", "chunk_idx", "target_lang", "provider", "model", "status", "request_style",
+                    "user", "temperature", "max_tokens", F.col("b.model").alias("body_model"),
+                    F.coalesce(F.element_at("b.messages", -1)["content"], "b.contents").alias("body_user"),
+                    F.coalesce(F.when(F.size("b.messages") > 1, F.col("b.messages")[0]["content"]), "b.system", "b.config.system_instruction").alias("body_system"),
+                    F.coalesce("b.temperature", "b.config.temperature").alias("body_temperature"),
+                    F.coalesce("b.max_tokens", "b.config.max_output_tokens").alias("body_max_tokens"))
 
 
 def q_send_requests(spark, sf):
-    """E2 -> table-driven dispatch -> E12-E17: routed requests for every chunk,
-    sent through an offline transport answering in each provider's shape, and
-    the raw replies parsed in the JVM."""
+    """E2 -> table-driven dispatch -> E12-E17: requests for every chunk sent through an offline
+    transport answering in each provider's shape, and the raw replies parsed in the JVM. Requests
+    without a body are not posted and come back as failed after 0 attempts."""
     from versio.operators.dispatch import send_requests
-    from versio.operators.services import EchoTransport
+    from versio.plans.standins import EchoTransport
 
-    d = S.documents(spark, sf).join(S.routes(spark), "lang")
-    ch = chunk_pages(split_pages(d, carry=("target_lang", "provider")), 2000)
-    resolved = request.resolve_models(ch.withColumn("model", F.lit("")))
-    reqs = request.build_requests(resolved.withColumn("model", F.col("model_resolved")))
-    replies = send_requests(reqs, EchoTransport(), concurrency=8, sleep=_no_wait)
+    replies = send_requests(_requests(spark, sf), EchoTransport(), concurrency=8, sleep=_no_wait)
     return response.parse_responses(replies).select(
         "doc_id", "page_idx", "chunk_idx", "target_lang", "provider", "translated", "status", "attempts",
         "prompt_tokens", "completion_tokens", "usage_reported")
 
 
+def q_resolve_aliases(spark, sf):
+    """Model specs with the caller's alias list."""
+    r = request.resolve_models(S.model_specs(spark, sf), aliases=S.ALIASES)
+    return r.select("doc_id", "provider", "model", "provider_resolved", "model_resolved", "model_known", "status")
+
+
 def q_resolve_models(spark, sf):
     r = request.resolve_models(S.model_specs(spark, sf))
     return r.select("doc_id", "provider", "model", "provider_resolved", "model_resolved", "model_known", "status")
@@ -203,14 +245,38 @@ def q_translate_failures(spark, sf):
 
 
 def q_full_text_mode(spark, sf):
-    units = with_targets(full_text_units(_conv_marked(spark, sf)), [STUB_LANG])
+    """Whole documents, markers included, one request each; those without a page are not sent."""
+    units = with_targets(full_text_units(S.marked_documents(spark, sf)), [STUB_LANG])
     return translate(units, EchoService(), concurrency=8, sleep=_no_wait).select(*TRANSLATION_COLS)
 
 
+def q_full_text_failures(spark, sf):
+    """E11 + C6: full-text requests of which some fail for good, with the documents that were not sent."""
+    docs = S.uneven_documents(spark, sf)
+    svc = FlakyService(EchoService(), S.failures_by_key(lambda text: len(text) % 5 == 0))
+    sent = translate(with_targets(full_text_units(docs), [STUB_LANG]), svc, concurrency=8, sleep=_no_wait)
+    answers = sent.select("doc_id", F.col("status").alias("answer"), "translated", "attempts", "prompt_tokens")
+    state = checks.document_status(docs)
+    return state.join(answers, "doc_id", "left").select(
+        "doc_id", F.when(F.col("status") == "ok", F.col("answer")).otherwise(F.col("status")).alias("status"),
+        "translated", "attempts", "prompt_tokens")
+
+
+def q_resume_failed(spark, sf):
+    """The chunks that a first pass failed are answered by a second one; the others are not sent again."""
+    first = materialize(_flaky_translations(spark, sf))
+    tasks = with_targets(_doc_chunks(spark, sf, 200), [STUB_LANG])
+    second = translate(tasks, EchoService(), concurrency=8, sleep=_no_wait, resume_from=first)
+    both = first.where("status = 'ok'").withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
+    return both.select(*TRANSLATION_COLS, "pass")
+
+
 # --- G/F: reassembly, usage, cost --------------------------------------------------
 
 def q_reassemble(spark, sf):
-    return reassemble(_echo_translations(spark, sf))
+    """G1 + H12: documents named by the stem of their file."""
+    stems = validate_formats(S.file_manifest(spark, sf)).select("doc_id", "stem")
+    return reassemble(_echo_translations(spark, sf), stems)
 
 
 def q_usage_by_document(spark, sf):
@@ -252,13 +318,12 @@ def q_sql_functions(spark, sf):
     from versio.functions.sql import register
 
     register(spark)
-    S.documents(spark, sf).createOrReplaceTempView("versio_documents")
     return spark.sql("""
         SELECT doc_id,
                approx_tokens(text) AS tokens,
                CAST(size(chunk_text(text, 200)) AS BIGINT) AS n_chunks,
                estimate_cost('deepseek-chat', approx_tokens(text), n_chars, 'miss') AS cost_usd
-        FROM versio_documents""")
+        FROM {docs}""", docs=S.documents(spark, sf))
 
 
 def q_preservation_check(spark, sf):
@@ -268,16 +333,20 @@ def q_preservation_check(spark, sf):
 QUERIES: dict[str, Query] = {
     "validate_formats": q_validate_formats,
     "conversion_route": q_conversion_route,
+    "custom_formats": q_custom_formats,
     "missing_files": q_missing_files,
     "extract_candidates": q_extract_candidates,
     "extract_best": q_extract_best,
     "choose_best": q_choose_best,
     "extraction_stats": q_extraction_stats,
+    "extract_binary": q_extract_binary,
     "mark_pages": q_mark_pages,
     "document_status": q_document_status,
     "split_pages": q_split_pages,
     "page_rows": q_page_rows,
     "page_counts": q_page_counts,
+    "no_page_documents": q_no_page_documents,
+    "uneven_status": q_uneven_status,
     "approx_tokens": q_approx_tokens,
     "chunks_2000": _chunks_query(2000),
     "chunks_200": _chunks_query(200),
@@ -287,13 +356,17 @@ QUERIES: dict[str, Query] = {
     "chunks_native_20": _chunks_query(20, native=True),
     "chunk_stats": q_chunk_stats,
     "conversation_chunks": q_conversation_chunks,
+    "chunk_edges": q_chunk_edges,
     "build_requests": q_build_requests,
     "send_requests": q_send_requests,
     "resolve_models": q_resolve_models,
+    "resolve_aliases": q_resolve_aliases,
     "parse_responses": q_parse_responses,
     "translate_stub": q_translate_stub,
     "translate_failures": q_translate_failures,
     "full_text_mode": q_full_text_mode,
+    "full_text_failures": q_full_text_failures,
+    "resume_failed": q_resume_failed,
     "reassemble": q_reassemble,
     "usage_by_document": q_usage_by_document,
     "usage_total": q_usage_total,

@@ -135,6 +135,29 @@ def conv_marked_cte() -> str:
 )"""
 
 
+def marked_cte(name: str = "md") -> str:
+    return f"{name} AS (SELECT doc_id, replace(text, {NL}, {SUFFIX_SQL}) AS text FROM documents)"
+
+
+def uneven_cte(name: str = "ud") -> str:
+    return f"""{name} AS (
+  SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN ' ' || {NL} || chr(9)
+                 WHEN 2 THEN {SUFFIX_SQL} || {SUFFIX_SQL} WHEN 3 THEN '' ELSE text END AS text
+  FROM documents
+)"""
+
+
+def edge_cte(name: str = "ed") -> str:
+    return f"""{name} AS (
+  SELECT doc_id, CASE doc_id % 4
+    WHEN 0 THEN replace(text, {NL}, {NL} || {NL} || ' ' || {NL} || {NL})
+    WHEN 1 THEN replace(replace(text, ' ', chr(9)), {NL}, chr(160) || {NL})
+    WHEN 2 THEN replace(text, ' ', '')
+    ELSE {NL} || {NL} || chr(8195) || replace(text, ' ', chr(160) || ' ') || {NL} || ' ' || {NL} END AS text
+  FROM documents
+)"""
+
+
 def echo_cte(source: str = "ck", lang: str = "pt", name: str = "tr") -> str:
     user = f"'Translate to {lang}:' || {NL} || chunk"
     out = f"'[{lang}] ' || chunk"
@@ -196,18 +219,31 @@ fv AS (
 
 # --- HTML extraction ---------------------------------------------------------------
 
-def _decode(expr: str) -> str:
-    from versio.operators.extract import ENTITIES
+# The HTML rules are stated here on their own, in RE2 syntax: tags of any case, named exactly.
+SQL_BLOCK_END = "(?i)</(?:nav|div|article|footer|section|header)>|<hr(?:\\s[^>]*)?/?>"
+SQL_LINE_BREAK = "(?i)<br(?:\\s[^>]*)?/?>|</p>|</h[1-6]>|</li>|<p(?:\\s[^>]*)?>"
+SQL_NOISE = "(?is)<script(?:\\s[^>]*)?>.*?</script>|<style(?:\\s[^>]*)?>.*?</style>|<!--.*?-->"
+SQL_NAMED = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")]
+
 
-    for ent, ch in ENTITIES:
-        expr = f"replace({expr}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+def _decode(expr: str) -> str:
+    """Numeric references by the pieces after '&#', then the named ones, '&amp;' last."""
+    def code(part: str, base: str) -> str:
+        return f"try_cast({base}regexp_extract({part}, '{{}}', 1) AS BIGINT)"
+
+    dec = code("x", "").format("^([0-9]{1,7});")
+    hexa = code("x", "'0x' || ").format("^[xX]([0-9a-fA-F]{1,6});")
+    n = f"coalesce({dec}, {hexa})"
+    ok = f"({n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111)"
+    piece = f"CASE WHEN {ok} THEN chr({n}::INT) || substr(x, instr(x, ';') + 1) ELSE '&#' || x END"
+    expr = f"(string_split({expr}, '&#')[1] || array_to_string(list_transform(string_split({expr}, '&#')[2:], lambda x: {piece}), ''))"
+    for name, ch in SQL_NAMED:
+        expr = f"replace({expr}, '&{name};', '{ch}')"
     return expr
 
 
 def _visible(expr: str) -> str:
-    from versio.operators.extract import _LINE_BREAK
-
-    broken = f"regexp_replace({expr}, '{_LINE_BREAK}', {NL}, 'g')"
+    broken = f"regexp_replace({expr}, '{SQL_LINE_BREAK}', {NL}, 'g')"
     return _decode(f"regexp_replace({broken}, '<[^>]*>', '', 'g')")
 
 
@@ -216,26 +252,25 @@ def _marked(list_expr: str) -> str:
 
 
 def html_cte() -> str:
-    from versio.operators.extract import _BLOCK_END, _H1, _H2, _LI, _LINK, _NOISE
-
     md = "body"
-    md = f"regexp_replace({md}, '{_H1}', {NL} || '# \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '{_H2}', {NL} || '## \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '{_LINK}', '[\\2](\\1)', 'g')"
-    md = f"regexp_replace({md}, '{_LI}', {NL} || '- ', 'g')"
+    md = f"regexp_replace({md}, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', {NL} || '# \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?is)<h2(?:\\s[^>]*)?>(.*?)</h2>', {NL} || '## \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?is)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"
+    md = f"regexp_replace({md}, '(?i)<li(?:\\s[^>]*)?>', {NL} || '- ', 'g')"
+    articles = "regexp_extract_all(body, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1)"
+    articles = f"CASE WHEN len({articles}) > 0 THEN {articles} ELSE [''] END"
     return f"""hb0 AS (
-  SELECT page_id AS doc_id, html, regexp_extract(html, '(?s)<body(?:\\s[^>]*)?>(.*)</body>', 1) AS b FROM pages
+  SELECT page_id AS doc_id, html, regexp_extract(html, '(?is)<body(?:\\s[^>]*)?>(.*)</body>', 1) AS b FROM pages
 ),
 hb AS (
-  SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{_NOISE}', '', 'g') AS body FROM hb0
+  SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{SQL_NOISE}', '', 'g') AS body FROM hb0
 ),
 cand AS (
   SELECT doc_id, 'native' AS method, 1 AS priority,
-         {_marked(f"list_transform(regexp_split_to_array(body, '{_BLOCK_END}'), lambda x: {_visible('x')})")} AS text
+         {_marked(f"list_transform(regexp_split_to_array(body, '{SQL_BLOCK_END}'), lambda blk: {_visible('blk')})")} AS text
   FROM hb
   UNION ALL
-  SELECT doc_id, 'article', 2,
-         {_marked("[" + _visible("regexp_extract(body, '(?s)<article(?:\\s[^>]*)?>(.*?)</article>', 1)") + "]")}
+  SELECT doc_id, 'article', 2, {_marked(f"list_transform({articles}, lambda art: {_visible('art')})")}
   FROM hb
   UNION ALL
   SELECT doc_id, 'markdown', 3, {_visible(md)} FROM hb
@@ -266,8 +301,8 @@ def _prices_sql():
 
 
 def _oracles() -> dict[str, str]:
-    from versio.operators.checks import PRESERVE_PATTERNS
-    from versio.plans.standins import COST_CACHES, COST_MODELS, MODEL_CHOICES, PROVIDER_CHOICES, ROUTES
+    from versio.plans.standins import COST_CACHES, COST_MODELS, MODEL_CHOICES, PROVIDER_CHOICES
+    from versio.sources.dimensions import SYSTEM_PROMPT
 
     o: dict[str, str] = {}
     o["validate_formats"] = with_(manifest_cte()) + "SELECT doc_id, path, suffix, stem, format_ok FROM fv"
@@ -293,9 +328,30 @@ LEFT JOIN (SELECT method, count(*) AS n_chosen, CAST(sum(length(text)) AS BIGINT
        WHEN len({kept_pages('text')}) = 0 THEN 'no_pages' ELSE 'ok' END AS status
 FROM best"""
 
-    o["split_pages"] = with_(conv_marked_cte(), split_pages_cte("cm")) + "SELECT doc_id, page_idx, page FROM pg"
-    o["page_rows"] = o["split_pages"]
-    o["page_counts"] = with_(conv_marked_cte()) + f"SELECT doc_id, len({kept_pages('text')}) AS n_pages FROM cm"
+    o["split_pages"] = with_(marked_cte(), split_pages_cte("md")) + "SELECT doc_id, page_idx, page FROM pg"
+    o["page_rows"] = with_(conv_marked_cte(), split_pages_cte("cm")) + "SELECT doc_id, page_idx, page FROM pg"
+    o["page_counts"] = with_(marked_cte()) + f"SELECT doc_id, len({kept_pages('text')}) AS n_pages FROM md"
+    n_pages = f"len({kept_pages("coalesce(text, '')")})"
+    o["no_page_documents"] = with_(uneven_cte()) + f"SELECT doc_id, 'no_pages' AS status FROM ud WHERE {n_pages} = 0"
+    state = f"""CASE WHEN {is_blank("coalesce(text, '')")} THEN 'empty_extraction'
+       WHEN {n_pages} = 0 THEN 'no_pages' ELSE 'ok' END"""
+    o["uneven_status"] = with_(uneven_cte()) + f"SELECT doc_id, {n_pages} AS n_pages, {state} AS status FROM ud"
+    o["full_text_failures"] = with_(uneven_cte(), f"us AS (SELECT *, {state} AS state, length(text) % 5 = 0 AS bad FROM ud)") + f"""SELECT doc_id,
+  CASE WHEN state <> 'ok' THEN state WHEN bad THEN 'failed' ELSE 'ok' END AS status,
+  CASE WHEN state <> 'ok' THEN NULL WHEN bad THEN '[CHUNK FAILED]' ELSE '[pt] ' || text END AS translated,
+  CASE WHEN state <> 'ok' THEN NULL WHEN bad THEN 3 ELSE 1 END::INTEGER AS attempts,
+  CASE WHEN state <> 'ok' THEN NULL WHEN bad THEN 0 ELSE {tokens(f"'Translate to pt:' || {NL} || text")} END AS prompt_tokens
+FROM us"""
+    o["chunk_edges"] = with_(edge_cte(), split_pages_cte("ed"), chunks_cte(20)) + \
+        f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
+    o["extract_binary"] = f"""WITH c AS (
+  SELECT page_id AS doc_id, 'paragraphs' AS method, 1 AS priority, {_marked("string_split(html, '<p>')")} AS text FROM pages
+  UNION ALL SELECT page_id, 'head', 2, 'decoded: ' || html FROM pages
+)
+SELECT doc_id, method, text, CASE WHEN {is_blank('text')} THEN 'empty_extraction' ELSE 'ok' END AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length({strip('text')}) DESC, priority) AS rn FROM c)
+WHERE rn = 1"""
+    o["custom_formats"] = with_(manifest_cte()) + "SELECT doc_id, path, suffix, suffix IN ('.pdf', '.txt', '.gz') AS format_ok FROM fv"
 
     o["approx_tokens"] = f"SELECT doc_id, {tokens('text')} AS tokens FROM documents"
     for lim in (2000, 200, 20, 1):
@@ -310,25 +366,55 @@ FROM pg LEFT JOIN (SELECT doc_id, page_idx, count(*) AS n FROM ck GROUP BY doc_i
         f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
 
     dm, prov, styles, known = _models_sql()
-    routes = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in ROUTES)
-    o["build_requests"] = with_(*doc_chunks(2000)) + f"""SELECT ck.doc_id, ck.page_idx, ck.chunk_idx, r.target_lang,
-  r.provider, dm.m AS model, st.s AS request_style,
-  'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk AS "user",
-  0.0::DOUBLE AS temperature, CAST(8000 AS INTEGER) AS max_tokens,
-  dm.m AS body_model, 'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk AS body_user
-FROM ck JOIN documents d ON ck.doc_id = d.doc_id
-JOIN (VALUES {routes}) r(lang, target_lang, provider) ON d.lang = r.lang
-LEFT JOIN (VALUES {dm}) dm(p, m) ON r.provider = dm.p
-LEFT JOIN (VALUES {styles}) st(p, s) ON r.provider = st.p"""
-    user = f"'Translate to ' || r.target_lang || ':' || {NL} || ck.chunk"
-    out = "'[' || r.target_lang || '] ' || ck.chunk"
-    o["send_requests"] = with_(*doc_chunks(2000)) + f"""SELECT ck.doc_id, ck.page_idx, ck.chunk_idx, r.target_lang,
-  r.provider, {out} AS translated, 'ok' AS status, CAST(1 AS INTEGER) AS attempts,
-  CASE WHEN r.provider = 'gemini' THEN 0 ELSE {tokens(user)} END AS prompt_tokens,
-  CASE WHEN r.provider = 'gemini' THEN 0 ELSE {tokens(out)} END AS completion_tokens,
-  r.provider <> 'gemini' AS usage_reported
-FROM ck JOIN documents d ON ck.doc_id = d.doc_id
-JOIN (VALUES {routes}) r(lang, target_lang, provider) ON d.lang = r.lang"""
+    routed = f"""rt AS (
+  SELECT d.doc_id, r.target_lang,
+         lower(CASE WHEN d.doc_id % 3 = 0 AND r.provider IS NOT NULL THEN {pick(PROVIDER_CHOICES, "d.doc_id")} ELSE r.provider END) AS provider,
+         CASE WHEN d.doc_id % 3 = 0 THEN {pick(MODEL_CHOICES, "d.doc_id")} ELSE '' END AS asked
+  FROM documents d LEFT JOIN (VALUES ('en', 'pt', 'deepseek'), ('fr', 'en', 'OpenAI'), ('de', 'en', 'anthropic')) r(lang, target_lang, provider)
+    ON d.lang = r.lang
+),
+rm AS (
+  SELECT rt.*, coalesce(nullif(asked, ''), dm.m) AS model, st.s AS request_style,
+         CASE WHEN st.s IS NULL THEN 'unknown_provider' WHEN coalesce(nullif(asked, ''), dm.m) IS NULL THEN 'no_model' ELSE 'ok' END AS status
+  FROM rt LEFT JOIN (VALUES {dm}) dm(p, m) ON rt.provider = dm.p LEFT JOIN (VALUES {styles}) st(p, s) ON rt.provider = st.p
+),
+rq AS (
+  SELECT ck.doc_id, ck.page_idx, ck.chunk_idx, ck.chunk, rm.* EXCLUDE (doc_id, asked),
+         'Translate to ' || rm.target_lang || ':' || {NL} || ck.chunk AS ask
+  FROM ck JOIN rm ON ck.doc_id = rm.doc_id
+)"""
+    system = SYSTEM_PROMPT.replace("'", "''")
+    o["build_requests"] = with_(*doc_chunks(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider, model,
+  status, request_style, ask AS "user", 0.0::DOUBLE AS temperature, CAST(8000 AS INTEGER) AS max_tokens,
+  CASE WHEN request_style IS NOT NULL THEN model END AS body_model,
+  CASE WHEN request_style IS NOT NULL THEN ask END AS body_user,
+  CASE WHEN request_style IS NOT NULL THEN '{system}' END AS body_system,
+  CASE WHEN request_style IS NOT NULL THEN 0.0::DOUBLE END AS body_temperature,
+  CASE WHEN request_style IS NOT NULL THEN CAST(8000 AS INTEGER) END AS body_max_tokens
+FROM rq"""
+    out = "'[' || target_lang || '] ' || chunk"
+    counted = "request_style IS NOT NULL AND provider <> 'gemini'"
+    o["send_requests"] = with_(*doc_chunks(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider,
+  CASE WHEN request_style IS NOT NULL THEN {out} END AS translated,
+  CASE WHEN request_style IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN request_style IS NOT NULL THEN 1 ELSE 0 END::INTEGER AS attempts,
+  CASE WHEN {counted} THEN {tokens('ask')} ELSE 0 END AS prompt_tokens,
+  CASE WHEN {counted} THEN {tokens(out)} ELSE 0 END AS completion_tokens,
+  coalesce({counted}, false) AS usage_reported
+FROM rq"""
+    o["resolve_aliases"] = f"""WITH s AS (
+  SELECT doc_id, {pick(PROVIDER_CHOICES)} AS provider, {pick(MODEL_CHOICES)} AS model FROM documents
+),
+a AS (SELECT *, CASE lower(provider) WHEN 'mistral' THEN 'openrouter' WHEN 'gpt' THEN 'openai' ELSE lower(provider) END AS pr FROM s),
+r AS (SELECT a.*, coalesce(nullif(model, ''), dm.m) AS model_resolved FROM a LEFT JOIN (VALUES {dm}) dm(p, m) ON a.pr = dm.p)
+SELECT doc_id, provider, model, pr AS provider_resolved, model_resolved,
+  CASE WHEN pr = 'openrouter' THEN coalesce(list_contains({known}, model_resolved), false) ELSE true END AS model_known,
+  CASE WHEN pr NOT IN ({prov}) THEN 'unknown_provider' WHEN model_resolved IS NULL THEN 'no_model' ELSE 'ok' END AS status
+FROM r"""
+    o["resume_failed"] = with_(*doc_chunks(200), flaky_cte(), echo_cte(name="te")) + f"""SELECT {TR_COLS}, 1 AS pass FROM tr WHERE status = 'ok'
+UNION ALL
+SELECT {TR_COLS}, 2 FROM te WHERE EXISTS (SELECT 1 FROM tr WHERE tr.status = 'failed' AND tr.doc_id = te.doc_id
+  AND tr.page_idx = te.page_idx AND tr.chunk_idx = te.chunk_idx)"""
     o["resolve_models"] = f"""WITH s AS (
   SELECT doc_id, {pick(PROVIDER_CHOICES)} AS provider, {pick(MODEL_CHOICES)} AS model FROM documents
 ),
@@ -348,18 +434,18 @@ FROM r"""
     o["translate_stub"] = with_(*doc_chunks(2000), echo_cte()) + f"SELECT {TR_COLS} FROM tr"
     o["translate_failures"] = with_(*doc_chunks(200), flaky_cte()) + f"SELECT {TR_COLS} FROM tr"
     o["full_text_mode"] = with_(
-        conv_marked_cte(),
-        "fu AS (SELECT doc_id, CAST(0 AS INTEGER) AS page_idx, CAST(0 AS INTEGER) AS chunk_idx, text AS chunk FROM cm)",
+        marked_cte(),
+        "fu AS (SELECT doc_id, CAST(0 AS INTEGER) AS page_idx, CAST(0 AS INTEGER) AS chunk_idx, text AS chunk FROM md)",
         echo_cte("fu"),
     ) + f"SELECT {TR_COLS} FROM tr"
 
     sums = """CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens_total,
   CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens_total,
   CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens_total"""
-    o["reassemble"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT doc_id, target_lang,
-  'doc_' || CAST(doc_id AS VARCHAR) || '_' || target_lang || '.md' AS output_name,
+    o["reassemble"] = with_(*doc_chunks(2000), echo_cte(), manifest_cte()) + f"""SELECT doc_id, target_lang,
+  coalesce(nullif(any_value(stem), ''), 'doc_' || CAST(doc_id AS VARCHAR)) || '_' || target_lang || '.md' AS output_name,
   string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content
-FROM tr GROUP BY doc_id, target_lang"""
+FROM tr JOIN fv USING (doc_id) GROUP BY doc_id, target_lang"""
     o["usage_by_document"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT doc_id, target_lang, {sums},
   count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""
@@ -397,12 +483,14 @@ FROM tr GROUP BY doc_id, target_lang"""
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ck GROUP BY doc_id) c ON d.doc_id = c.doc_id"""
 
     cols = []
-    for name, pat in PRESERVE_PATTERNS.items():
+    for name, pat in (("url", r"https?://[^ \t\n\r<>\"]+"), ("doi", r"10\.[0-9]{4,9}/[^ \t\n\r<>\"]+"),
+                      ("display_math", r"\$\$[^$]+\$\$"), ("inline_math", r"\$[^$]+\$")):
         src = f"regexp_extract_all(ck.chunk, '{pat}')"
         dst = f"regexp_extract_all(tr.translated, '{pat}')"
         cols.append(f"CAST(sum(len({src})) AS BIGINT) AS {name}_n")
-        cols.append(f"CAST(sum(len(list_distinct(list_filter({src}, lambda x: NOT list_contains({dst}, x))))) "
-                    f"AS BIGINT) AS {name}_lost")
+        times = "len(list_filter({}, lambda y: y = x))"
+        short = f"list_transform(list_distinct({src}), lambda x: greatest({times.format(src)} - {times.format(dst)}, 0))"
+        cols.append(f"CAST(sum(coalesce(list_sum({short}), 0)) AS BIGINT) AS {name}_lost")
     o["preservation_check"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT tr.doc_id, tr.target_lang,
   {", ".join(cols)}
 FROM tr JOIN ck ON tr.doc_id = ck.doc_id AND tr.page_idx = ck.page_idx AND tr.chunk_idx = ck.chunk_idx
@@ -458,7 +546,7 @@ SELECT doc_id, reply_style, translated,
     AS prompt_tokens,
   CASE WHEN translated IS NOT NULL AND reply_style <> 'text_only' THEN coalesce(ct, ot, 0) ELSE 0 END
     AS completion_tokens,
-  (translated IS NOT NULL AND reply_style <> 'text_only' AND u IS NOT NULL) AS usage_reported
+  (translated IS NOT NULL AND reply_style <> 'text_only' AND (pt IS NOT NULL OR ct IS NOT NULL OR it IS NOT NULL OR ot IS NOT NULL)) AS usage_reported
 FROM t"""
 
 

@@ -10,20 +10,50 @@ Each has a SQL twin in ``oracle_sql``.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versio.functions.text import PAGE_SUFFIX, py_approx_tokens
+from versio.operators.services import _STYLES, py_user_message
+from versio.sources import dimensions as dims
 from versio.sources.tables import read_table
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, columns=None, balance: bool = True) -> DataFrame:
-    return read_table(spark, sf_dir, name, columns, balance=balance)
+def read(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    return read_table(spark, sf_dir, name, columns)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 
+def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) - the documents with a page marker at every line end."""
+    return documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit(PAGE_SUFFIX)).alias("text"))
+
+
+def uneven_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) - the documents, some of them NULL, blank, or page markers alone."""
+    shapes = [F.lit(None).cast("string"), F.lit(" \n\t"), F.lit(PAGE_SUFFIX + PAGE_SUFFIX), F.lit("")]
+    text, k = F.col("text"), F.pmod(F.col("doc_id"), F.lit(9))
+    for n, shape in enumerate(shapes):
+        text = F.when(k == n, shape).otherwise(text)
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) - the documents with blank lines, tabs and no-break spaces, or very long words."""
+    k = F.pmod(F.col("doc_id"), F.lit(4))
+    text = (F.when(k == 0, F.replace("text", F.lit("\n"), F.lit("\n\n \n\n")))
+            .when(k == 1, F.replace(F.replace("text", F.lit(" "), F.lit("\t")), F.lit("\n"), F.lit("\u00a0\n")))
+            .when(k == 2, F.replace("text", F.lit(" "), F.lit("")))
+            .otherwise(F.concat(F.lit("\n\n\u2003"), F.replace("text", F.lit(" "), F.lit("\u00a0 ")), F.lit("\n \n"))))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
 # file-name shapes picked by doc_id mod 8: (starts with "doc_<id>", suffix)
 NAME_SHAPES = [(True, ".pdf"), (True, ".DOCX"), (True, ".txt"), (True, ".odt"), (True, ""),
                (True, ".tar.gz"), (False, ".pdf"), (True, ".v2.Doc")]
@@ -37,7 +67,7 @@ def _name(doc_id) -> F.Column:
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path) - one file name per document, under its source folder."""
-    d = read(spark, sf_dir, "documents", ["doc_id", "source"], balance=False)
+    d = read(spark, sf_dir, "documents", ["doc_id", "source"])
     return d.select("doc_id", F.concat(F.lit("/data/"), F.col("source"), F.lit("/"),
                                        _name(F.col("doc_id"))).alias("path"))
 
@@ -45,17 +75,19 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def present_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path) - the files a listing found: those of the documents in ``labels``."""
     m = file_manifest(spark, sf_dir)
-    lab = read(spark, sf_dir, "labels", ["doc_id"], balance=False)
+    lab = read(spark, sf_dir, "labels", ["doc_id"])
     return m.join(lab, "doc_id", "left_semi").select("path")
 
 
 PROVIDER_CHOICES = ["deepseek", "OpenAI", "anthropic", "gemini", "openrouter", "mistral", "Gemini"]
+# the caller's alias list for the aliased queries
+ALIASES = [("mistral", "openrouter"), ("gpt", "openai")]
 MODEL_CHOICES = ["", "openai/gpt-4o-mini", "custom-model", ""]
 
 
 def model_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, provider, model) - a requested provider/model per document."""
-    d = read(spark, sf_dir, "documents", ["doc_id"], balance=False)
+    d = read(spark, sf_dir, "documents", ["doc_id"])
     pick = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]),
                                       (F.pmod(F.col("doc_id"), F.lit(m)) + 1).cast("int"))
     return d.select("doc_id", pick(PROVIDER_CHOICES, 7).alias("provider"),
@@ -91,14 +123,26 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", style.alias("reply_style"), body.alias("body"))
 
 
-# Target language and provider per source language (a 4-row routing table).
-ROUTES = [("en", "pt", "deepseek"), ("fr", "en", "openai"), ("de", "en", "anthropic"), ("es", "en", "gemini")]
+# Target language and provider per source language (a routing table; other languages have no route).
+ROUTES = [("en", "pt", "deepseek"), ("fr", "en", "OpenAI"), ("de", "en", "anthropic")]
 
 
 def routes(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(ROUTES, "lang string, target_lang string, provider string"))
 
 
+def routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, target_lang, provider, model) - documents with the route of their language, or
+    none, and for every third one the provider and model that ``model_specs`` asks for."""
+    d = documents(spark, sf_dir).join(routes(spark), "lang", "left")
+    own = F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    pick = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]),
+                                      (F.pmod(F.col("doc_id"), F.lit(m)) + 1).cast("int"))
+    return d.select("doc_id", "text", "target_lang",
+                    F.when(own & F.col("provider").isNotNull(), pick(PROVIDER_CHOICES, 7)).otherwise(F.col("provider")).alias("provider"),
+                    F.when(own, pick(MODEL_CHOICES, 4)).otherwise("").alias("model"))
+
+
 COST_MODELS = ["deepseek-chat", "deepseek-reasoner", "deepseek-chat", "unknown-model"]
 COST_CACHES = ["miss", "hit", "other"]
 
@@ -110,3 +154,89 @@ def cost_specs(usage: DataFrame) -> DataFrame:
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]),
                                    (F.pmod(F.col("doc_id"), F.lit(len(xs))) + 1).cast("int"))
     return usage.select("*", pick(models).alias("model"), pick(caches).alias("cache"))
+
+
+# --- offline services ------------------------------------------------------------
+
+def failures_by_key(bad: Callable[[str], bool], calls: int = dims.MAX_ATTEMPTS) -> Callable[[str], int]:
+    """Failure script: texts for which ``bad`` holds fail ``calls`` times."""
+    def rule(text: str) -> int:
+        return calls if bad(text) else 0
+    return rule
+
+
+class EchoService:
+    """Offline stand-in: answers ``[lang] text``; usage in the given key style."""
+
+    def __init__(self, usage_style: str = "prompt_completion"):
+        self.usage_style = usage_style
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        out = f"[{lang}] {text}"
+        p = py_approx_tokens(py_user_message(text, lang))
+        c = py_approx_tokens(out)
+        if self.usage_style == "input_output":
+            return out, {"input_tokens": p, "output_tokens": c}
+        if self.usage_style == "none":
+            return out, {}
+        return out, {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}
+
+
+class FlakyService:
+    """Fails the first ``failures(text)`` calls for a text, then answers like
+    ``base``. A script longer than ``max_attempts`` ends after that many
+    failures (the dispatcher gives up), so a repeated text starts afresh.
+    Keep one request in flight per task when using it (the counter is local)."""
+
+    def __init__(self, base: Callable, failures: Callable[[str], int], max_attempts: int = dims.MAX_ATTEMPTS):
+        self.base, self.failures, self.max_attempts = base, failures, max_attempts
+        self._calls: dict = {}
+
+    def __call__(self, text: str, lang: str) -> tuple:
+        key = (text, lang)
+        seen = self._calls.get(key, 0)
+        if seen < self.failures(text):
+            seen += 1
+            self._calls[key] = 0 if seen >= self.max_attempts else seen
+            raise RuntimeError(f"service unavailable (failing call {seen})")
+        self._calls.pop(key, None)
+        return self.base(text, lang)
+
+
+def paragraphs(content: bytes) -> list[str]:
+    """Decoder of the hook's query: the text between paragraph tags, a page each."""
+    return content.decode().split("<p>")
+
+
+def head_and_title(content: bytes) -> list[str]:
+    """Decoder of the hook's query: a text with a short preface, as it is."""
+    return ["decoded: ", content.decode()]
+
+
+def failures_by_length(modulus: int = 4) -> Callable[[str], int]:
+    """Failure script used by the registered failure query: len(text) mod m."""
+    def rule(text: str) -> int:
+        return len(text) % modulus
+    return rule
+
+
+class EchoTransport:
+    """Offline stand-in for the providers' endpoints, for ``send_requests``:
+    reads the request body and answers ``[lang] text`` in the provider's reply
+    shape, with usage from the ceil(len/4) estimate (none for text-only replies)."""
+
+    def __call__(self, provider: str, body: str) -> str:
+        req = json.loads(body)
+        user = req["contents"] if "contents" in req else req["messages"][-1]["content"]
+        head, text = user.split("\n", 1)
+        lang = head[len("Translate to "):-1]
+        out = f"[{lang}] {text}"
+        p, c = py_approx_tokens(user), py_approx_tokens(out)
+        style = _STYLES[provider][1]
+        if style == "content_blocks":
+            return json.dumps({"content": [{"type": "text", "text": out}],
+                               "usage": {"input_tokens": p, "output_tokens": c}})
+        if style == "text_only":
+            return json.dumps({"text": out})
+        return json.dumps({"choices": [{"message": {"content": out}}],
+                           "usage": {"prompt_tokens": p, "completion_tokens": c, "total_tokens": p + c}})

@@ -1,13 +1,14 @@
 """End-to-end document translation job (the reference's CLI run, for a table).
 
-documents -> split_pages -> chunk_pages -> target languages -> translate
+documents -> chunk_documents -> target languages -> translate
 -> materialise translations -> reassemble + usage (+ cost)
 
-Exchanges: one ``repartition(concurrency)`` before dispatch (the in-flight
-cap), one hash aggregation by (doc_id, target_lang) for reassembly and one
-for usage. Translations are checkpointed to ``spark.checkpoint.dir`` before
-their two consumers, so every chunk is sent once even though two results read
-it, and a lost executor after the checkpoint costs no resend.
+Exchanges: one round-robin over the session's shuffle partitions before dispatch
+(calls take long, so tasks should be alike), one hash aggregation by
+(doc_id, target_lang) for reassembly and one for usage. Translations are
+checkpointed to ``spark.checkpoint.dir`` before their consumers, so every chunk is
+sent once even though several results read it. With ``sink`` the answers are
+committed there in units instead, and a run that died goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from versio.functions.text import DEFAULT_CHUNK_TOKENS, is_blank
 from versio.operators import checks
-from versio.operators.assemble import reassemble
-from versio.operators.chunk import chunk_pages
-from versio.operators.dispatch import translate
-from versio.operators.pages import full_text_units, pages_from_rows, split_pages
+from versio.operators.assemble import ordered_chunks, reassemble
+from versio.operators.chunk import chunk_documents, chunk_pages
+from versio.operators.dispatch import answer_units, translate
+from versio.operators.pages import full_text_units, pages_from_rows
 from versio.operators.usage import estimate_cost, usage_by_document
 from versio.session import materialize
 from versio.sources.dimensions import DEFAULT_CONCURRENCY
@@ -38,6 +39,8 @@ class TranslationRun:
     # per input document: n_pages and status ok / no_pages / empty_extraction, so a
     # document that yields no chunk (the reference raises) is reported, not lost
     status: DataFrame | None = None
+    # the documents' text at chunk grain, range-partitioned and in order
+    pieces: DataFrame | None = None
 
 
 def with_targets(units: DataFrame, target_langs: Sequence[str]) -> DataFrame:
@@ -46,16 +49,16 @@ def with_targets(units: DataFrame, target_langs: Sequence[str]) -> DataFrame:
 
 
 def plan_chunks(documents: DataFrame, *, limit: int = DEFAULT_CHUNK_TOKENS, full_text: bool = False,
-                text_col: str = "text", native: bool = False) -> DataFrame:
+                text_col: str = "text") -> DataFrame:
     """documents(doc_id, text) -> chunks(doc_id, page_idx, chunk_idx, chunk, ...)."""
     if full_text:
         return full_text_units(documents, text_col=text_col)
-    return chunk_pages(split_pages(documents, text_col=text_col), limit, native=native)
+    return chunk_documents(documents, limit, text_col=text_col)
 
 
 def translate_documents(
     documents: DataFrame,
-    translator,
+    service,
     *,
     target_langs: Sequence[str] = ("en",),
     limit: int = DEFAULT_CHUNK_TOKENS,
@@ -65,14 +68,14 @@ def translate_documents(
     """The whole run for documents(doc_id, text) whose text carries page markers.
     Options as ``run_chunks``."""
     chunks = plan_chunks(documents, limit=limit, full_text=full_text)
-    run = run_chunks(chunks, translator, target_langs=target_langs, **run_opts)
+    run = run_chunks(chunks, service, target_langs=target_langs, **run_opts)
     run.status = checks.document_status(documents.select("doc_id", "text"))
     return run
 
 
 def translate_page_rows(
     rows: DataFrame,
-    translator,
+    service,
     *,
     key: str = "doc_id",
     order: str = "page_no",
@@ -82,10 +85,11 @@ def translate_page_rows(
     **run_opts,
 ) -> TranslationRun:
     """The whole run for documents stored as page rows (key, order, text): the
-    pages come from ``pages_from_rows``, so no document is gathered in one task
-    before the reassembly. Options as ``run_chunks``."""
+    pages come from ``pages_from_rows``, so no document is gathered in one task.
+    ``run.pieces`` is the result at chunk grain, in order; ``run.documents`` joins
+    it to one string per document when it is read. Options as ``run_chunks``."""
     pages = pages_from_rows(rows, key=key, order=order, text=text)
-    run = run_chunks(chunk_pages(pages, limit), translator, target_langs=target_langs, **run_opts)
+    run = run_chunks(chunk_pages(pages, limit), service, target_langs=target_langs, **run_opts)
     kept = F.count_if(~is_blank(text)).alias("n_pages")
     run.status = (rows.groupBy(F.col(key).alias("doc_id")).agg(kept)
                   .withColumn("status", F.when(F.col("n_pages") == 0, F.lit("no_pages")).otherwise(F.lit("ok"))))
@@ -94,33 +98,43 @@ def translate_page_rows(
 
 def run_chunks(
     chunks: DataFrame,
-    translator,
+    service,
     *,
     target_langs: Sequence[str] = ("en",),
     concurrency: int = DEFAULT_CONCURRENCY,
     checkpoint: bool = True,
+    sink: str | None = None,
+    unit_rows: int = 100_000,
+    stems: DataFrame | None = None,
     model: str | None = None,
     cache: str = "miss",
     strict: bool = False,
     **dispatch_opts,
 ) -> TranslationRun:
-    """chunks -> translations (checkpointed) -> documents + usage (+ cost).
+    """chunks -> translations (checkpointed, or committed to ``sink`` in units) -> documents
+    (named by ``stems``) + usage (+ cost).
 
     ``strict`` fails the job when any chunk failed (the reference aborts on a
     failed full-text request); otherwise failed chunks carry the failure marker
     and the run goes on."""
     # languages are expanded inside the dispatch: each chunk crosses the exchange once
-    translations = translate(chunks, translator, concurrency=concurrency, langs=list(target_langs),
-                             **dispatch_opts)
+    if sink is not None:
+        translations = answer_units(chunks, service, sink, unit_rows=unit_rows, concurrency=concurrency,
+                                    langs=list(target_langs), **dispatch_opts)
+        if translations is None:  # no chunk at all
+            translations = translate(chunks, service, concurrency=concurrency, langs=list(target_langs), **dispatch_opts)
+    else:
+        translations = translate(chunks, service, concurrency=concurrency, langs=list(target_langs),
+                                 **dispatch_opts)
     if strict:
         translations = checks.strict(translations, F.col("status") == "failed", "a chunk failed to translate")
-    if checkpoint:
+    if checkpoint and sink is None:
         translations = materialize(translations)
-    docs = reassemble(translations)
+    docs = reassemble(translations, stems)
     usage = usage_by_document(translations)
     if model is not None:
         usage = estimate_cost(usage.withColumn("model", F.lit(model)).withColumn("cache", F.lit(cache)))
-    return TranslationRun(chunks, translations, docs, usage)
+    return TranslationRun(chunks, translations, docs, usage, pieces=ordered_chunks(translations))
 
 
 def translated_with_usage(translations: DataFrame) -> DataFrame:
@@ -143,22 +157,34 @@ def translated_with_usage(translations: DataFrame) -> DataFrame:
 class Extraction:
     extracted: DataFrame   # (doc_id, method, text, status) for accepted files
     rejected: DataFrame    # (doc_id, path, suffix) for files of a format not allowed
-    files: DataFrame       # (doc_id, path, suffix, route, pdf_name)
+    files: DataFrame       # (doc_id, path, suffix, stem, route, pdf_name)
 
 
 def extract_files(spark, directory: str, extractors, *, formats=None) -> Extraction:
-    """The reference's front half for a directory of files: list them with
-    ``binaryFile``, check the format, route (pass through / convert), run the
-    caller's decoders (``extract.PyExtractor``) on the accepted files, keep the
-    longest candidate and flag blank extractions. The converter itself is the
-    caller's: route ``convert`` files are decoded as they are."""
-    from versio.operators.extract import choose_best, extract_binary
-    from versio.sources.files import conversion_route, scan_files
-
-    scanned = scan_files(spark, directory, formats=formats)
-    routed = conversion_route(scanned.drop("suffix", "stem", "format_ok"), formats=formats)
-    accepted = routed.where(F.col("format_ok"))
-    extracted = choose_best(extract_binary(accepted.select("doc_id", "content"), extractors))
+    """The reference's front half for a directory of files: list them, check the format, route (pass
+    through / convert), run the caller's decoders (``extract.PyExtractor``) on the accepted files, keep
+    the longest candidate of each (chosen in its row) and flag blank extractions. Rejected files are
+    listed and never read. The converter itself is the caller's: route ``convert`` files are decoded as
+    they are. Documents are named by their path."""
+    from versio.operators.extract import binary_best
+    from versio.sources.files import conversion_route, list_files, scan_files
+
+    listed = list_files(spark, directory, formats=formats).withColumn("doc_id", F.col("path"))
+    routed = conversion_route(listed.drop("suffix", "stem", "format_ok"), formats=formats)
+    extracted = binary_best(scan_files(spark, directory, formats=formats), extractors)
     rejected = routed.where(~F.col("format_ok")).select("doc_id", "path", "suffix")
-    files = routed.select("doc_id", "path", "suffix", "route", "pdf_name")
+    files = routed.select("doc_id", "path", "suffix", "stem", "route", "pdf_name")
     return Extraction(extracted, rejected, files)
+
+
+def translate_files(spark, directory: str, extractors, service, *, formats=None, full_text: bool = False,
+                    limit: int = DEFAULT_CHUNK_TOKENS, **run_opts) -> tuple[Extraction, TranslationRun]:
+    """The whole run from a directory of files to documents named ``<stem>_<lang>.md``: ``extract_files``,
+    then the translation of what it found. Options as ``run_chunks``; every accepted file has a row in
+    ``run.status``, and files with blank or no pages are not sent."""
+    found = extract_files(spark, directory, extractors, formats=formats)
+    found.extracted = materialize(found.extracted)  # the decoders run once
+    stems = found.files.where("route <> 'rejected'").select("doc_id", "stem")
+    run = run_chunks(plan_chunks(found.extracted, limit=limit, full_text=full_text), service, stems=stems, **run_opts)
+    run.status = checks.document_status(found.extracted.select("doc_id", "text"))
+    return found, run

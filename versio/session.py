@@ -23,7 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # pages can be long: 1000 rows per Arrow batch bounds Python worker memory
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        .config("spark.driver.memory", os.environ.get("VERSIO_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("VERSIO_DRIVER_MEMORY", "8g"))
         # a retried dispatch task must not race its own duplicate
         .config("spark.speculation", "false")
     )
@@ -38,7 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Uses ``spark.checkpoint.dir`` (the shared folder a cluster names) when set.
     Only a local-mode session with nothing configured gets a fresh temporary
-    folder; on a cluster a missing setting is an error, never a local path.
+    folder; on a cluster a missing setting is an error, never a local path. A
+    ``file:`` folder is accepted there, as a mounted share may be one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()

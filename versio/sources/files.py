@@ -1,7 +1,8 @@
 """Document sources and file checks.
 
 ``scan_files`` reads a directory of documents with Spark's ``binaryFile``
-source (path glob filter pushed into the listing). The name checks are column
+source; the allowed formats are its file-name glob, so other files are listed
+(``list_files``) and never read. The name checks are column
 expressions, so they run on a listing of millions of paths without a job of
 their own; ``missing_files`` is one anti join of a manifest against the scan.
 """
@@ -63,16 +64,32 @@ def conversion_route(files: DataFrame, *, path_col: str = "path", formats=None)
     return v.select("*", route.alias("route"), target.alias("pdf_name"))
 
 
+def format_glob(formats=None) -> str:
+    """A file-name glob for the allowed suffixes, in any case."""
+    def any_case(suffix: str) -> str:
+        return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and len(c.upper()) == 1 else c for c in suffix)
+
+    return "{" + ",".join(f"*{any_case(x)}" for x in parse_formats(formats)) + "}"
+
+
+def list_files(spark: SparkSession, directory: str, *, formats=None, recursive: bool = True) -> DataFrame:
+    """Every file below a directory -> (path, length, suffix, stem, format_ok); no content is read."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+          .load(directory).select("path", "length"))
+    return validate_formats(df, path_col="path", formats=formats)
+
+
 def scan_files(spark: SparkSession, directory: str, *, formats=None, recursive: bool = True) -> DataFrame:
-    """A1: documents from a directory -> (doc_id, path, length, content, suffix, format_ok).
+    """A1: documents of the allowed formats -> (doc_id, path, length, content, suffix, stem, format_ok).
 
-    ``doc_id`` is ``xxhash64(path)``: stable across runs, no coordination."""
+    The formats are pushed into the listing as a file-name glob, so the bytes of other files are never
+    read (``list_files`` names them). ``doc_id`` is the path: stable, and no two files share it."""
     df = (spark.read.format("binaryFile")
           .option("recursiveFileLookup", str(recursive).lower())
+          .option("pathGlobFilter", format_glob(formats))
           .load(directory))
-    v = validate_formats(df, path_col="path", formats=formats)
-    return v.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content", "suffix", "stem",
-                    "format_ok")
+    v = validate_formats(df, path_col="path", formats=formats).where("format_ok")
+    return v.select(F.col("path").alias("doc_id"), "path", "length", "content", "suffix", "stem", "format_ok")
 
 
 def missing_files(manifest: DataFrame, present: DataFrame, *, key: str = "name") -> DataFrame:

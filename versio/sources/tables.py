@@ -1,11 +1,9 @@
 """Table sources.
 
-``read_table`` scans parquet with the columns a job needs (pruned at the
-scan). The heavy stages here are row-local (chunking, extraction), so their
-parallelism is the scan's partition count. A small table stored as a single
-row group scans as one task; ``spread`` then deals its rows round-robin over
-the session's parallelism, once, right after the scan. A large input already
-has at least that many splits and is left untouched (no extra exchange).
+``read_table`` scans parquet with the columns a job needs (pruned at the scan).
+The heavy stages here are row-local (chunking, extraction), so their parallelism
+is that of the scan; ``spark.sql.files.maxPartitionBytes`` sizes its splits, and
+a caller with one large row group may ``repartition`` what it reads.
 """
 
 from __future__ import annotations
@@ -15,25 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin a scan over ``target`` tasks (default: the session's
-    parallelism) when it has fewer splits than that, or when a small scan
-    comes from fewer files than that (a file smaller than a row group splits
-    into byte ranges of which only one holds rows). Large scans pass as they are."""
-    want = target or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have < want:
-        return df.repartition(want)
-    if have < 4 * want:
-        files = df.inputFiles()
-        if files and len(files) < want:
-            return df.repartition(want)
-    return df
-
-
-def read_table(spark: SparkSession, directory: str, name: str,
-               columns: Sequence[str] | None = None, *, balance: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, directory: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(f"{directory}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    return spread(df) if balance else df
+    return df.select(*columns) if columns else df

@@ -1,17 +1,11 @@
 """Incremental translation of documents that keep arriving.
 
 Page split and chunking are stateless row-local projections, so they run
-unchanged on a ``readStream`` source. Dispatch runs per micro-batch in
-``foreachBatch`` and appends to a parquet sink partitioned by target language
-and batch id. Only a replay of the same batch can collide with earlier output,
-so each batch is anti-joined against its own sink partition (partition
-pruning: the check reads one batch's keys, not the whole sink): a batch
-replayed after a failure sends and writes only what is missing. No state store
-is needed; the sink is the record of what was done.
-
-The same entry bounds the work a failure can lose in a very large batch run:
-point it at the document files with ``max_files_per_trigger`` and each
-micro-batch becomes a checkpointed wave.
+unchanged on a ``readStream`` source. Each micro-batch goes through
+``answer_units`` into a folder of its own below the sink: answers are committed
+in small units, and a batch that is replayed after a failure reads that folder
+alone and sends what is not answered yet. No state store is needed; the sink is
+the record of what was done.
 """
 
 from __future__ import annotations
@@ -19,12 +13,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from versio.functions.text import DEFAULT_CHUNK_TOKENS
-from versio.operators.dispatch import translate
+from versio.operators.dispatch import answer_units, read_answers
 from versio.plans.translate_job import plan_chunks
 
 DOCUMENT_SCHEMA = "doc_id BIGINT, text STRING"
@@ -38,30 +30,25 @@ def document_stream(spark: SparkSession, source_dir: str, schema: str = DOCUMENT
     return reader.parquet(source_dir)
 
 
-def _done(spark: SparkSession, sink_path: str, batch_id: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(sink_path).where(F.col("batch_id") == batch_id)
-    except AnalysisException:  # nothing written yet
-        return None
+def read_stream(spark: SparkSession, sink_path: str) -> DataFrame | None:
+    """The answers of all batches, one row per chunk and language (None before the first)."""
+    return read_answers(spark, sink_path)
 
 
-def translate_stream(docs: DataFrame, translator, *, sink_path: str, checkpoint_location: str,
+def translate_stream(docs: DataFrame, service, *, sink_path: str, checkpoint_location: str,
                      target_langs: Sequence[str] = ("en",), limit: int = DEFAULT_CHUNK_TOKENS,
-                     concurrency: int = 4, available_now: bool = True, trigger_interval: str = "30 seconds",
+                     concurrency: int = 4, unit_rows: int = 100_000, available_now: bool = True, trigger_interval: str = "30 seconds",
                      **dispatch_opts) -> StreamingQuery:
-    """Start the streaming job; chunks flow into ``sink_path`` (parquet,
-    partitioned by target language and batch id) as ``translations`` rows.
+    """Start the streaming job; chunks flow into ``sink_path`` (parquet, a
+    folder per batch, run and unit of about ``unit_rows`` requests) as ``translations`` rows.
     ``available_now`` processes what is there and stops; otherwise a
     micro-batch runs every ``trigger_interval``."""
     chunks = plan_chunks(docs.select("doc_id", "text"), limit=limit)
     langs = list(target_langs)
 
     def run_batch(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        out = translate(batch, translator, concurrency=concurrency, langs=langs,
-                        resume_from=_done(spark, sink_path, epoch), **dispatch_opts)
-        (out.withColumn("batch_id", F.lit(epoch).cast("bigint"))
-         .write.mode("append").partitionBy("target_lang", "batch_id").parquet(sink_path))
+        answer_units(batch, service, f"{sink_path}/batch_id={epoch}", langs=langs, unit_rows=unit_rows,
+                     concurrency=concurrency, **dispatch_opts)
 
     writer = (chunks.writeStream.foreachBatch(run_batch)
               .option("checkpointLocation", checkpoint_location))
