@@ -22,9 +22,9 @@ HEADLINE = [
     "chunks_2000",
     "chunks_200",
     "chunks_20",
-    "chunks_native_200",
     "split_pages",
     "extract_best",
+    "extract_candidates",
     "build_requests",
     "translate_failures",
     "reassemble",
@@ -43,15 +43,14 @@ def chunk_stage(spark, sf_dir: str, cpus: int, repeats: int) -> dict:
     chunks as the action, best of the timed passes after a warm-up."""
     from pyspark.sql import functions as F
 
-    from versio.operators.chunk import chunk_pages
-    from versio.operators.pages import split_pages
+    from versio.operators.chunk import chunk_documents
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(cpus).cache()
     docs.count()
     out = {}
     def stage(limit):
         # a fresh DataFrame per pass: re-collecting one object would reuse its shuffle output
-        return chunk_pages(split_pages(docs), limit).agg(F.count(F.lit(1)), F.sum(F.length("chunk")))
+        return chunk_documents(docs, limit).agg(F.count(F.lit(1)), F.sum(F.length("chunk")))
 
     for limit in (20, 200, 2000):
         stage(limit).collect()
