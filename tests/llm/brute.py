@@ -1,0 +1,69 @@
+"""Plain Python versions of what the operators compute."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import xxhash
+
+
+def simhash(text, words):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    shingles = [" ".join(w[i:i + words]) for i in range(len(w) - words + 1)] if len(w) >= words else [" ".join(w)] * bool(w)
+    if not shingles:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, bits):
+    """Smallest id reachable over links of at most ``bits`` differing bits."""
+    ids = sorted(prints)
+    f = np.array([prints[i] for i in ids], np.uint64)
+    up = list(range(len(ids)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]) <= bits).tolist():
+            a, b = find(i), find(j)
+            up[max(a, b)] = min(a, b)
+    return {ids[i]: ids[find(i)] for i in range(len(ids))}
+
+
+def shared_words(docs, n):
+    """Documents with a passage of n words, spacing included, that one with a smaller id has."""
+    first, found = {}, {}
+    for d in sorted(docs):
+        own = set()
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", d[1] or "")]
+        for a, b in zip(at, at[n - 1:], strict=False):
+            own.add(hash(d[1][a[0]:b[1]]))
+        if any(h in first for h in own):
+            found[d[0]] = True
+        for h in own:
+            first.setdefault(h, d[0])
+    return found
+
+
+def poisson_copies(docs, doc, seed=42):
+    """Copies of a document when the target share of a source is that of the square root of its size."""
+    counts = Counter(d[3] for d in docs)
+    rate = math.sqrt(counts[doc[3]]) / sum(math.sqrt(n) for n in counts.values()) * len(docs) / counts[doc[3]]
+    pieces, out = max(1, math.ceil(rate / 16)), 0
+    for j in range(1, pieces + 1):
+        u = (int(hashlib.sha256(f"{seed}:{doc[0]}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        p = c = math.exp(-rate / pieces)
+        k = 0
+        while c < u:
+            k += 1
+            p *= rate / pieces / k
+            c += p
+            out += 1
+    return out

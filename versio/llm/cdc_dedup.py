@@ -10,9 +10,10 @@ document form a span.
 
 A repeated passage begins and ends within chunks, whose remainders differ. A
 span is therefore reported when the words of its whole chunks and of the two
-chunks beside it reach ``least_words``: no passage of that length that the
-chunks show is left out, at the price of spans that are shorter by up to the
-words of these two.
+chunks beside it (up to NEIGHBOUR_WORDS of each) reach ``least_words``: a passage
+of that length is found, at the price of some that are shorter by a few words.
+A text without variety (one word again and again) has no such ends; it is cut
+from the start of the chunk at a fixed length, which resists no insertion.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LONGEST = 1024
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 LEAST_WORDS = 50
+#: Words of the chunk beside a span that may belong to the passage, at most: three times the usual chunk.
+NEIGHBOUR_WORDS = 16
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -94,7 +97,8 @@ def chunk_table(text: bytes) -> tuple[np.ndarray, ...]:
     begun[1:] &= blank[:-1]
     upto = np.concatenate([[0], np.cumsum(begun)])
     words = upto[ends] - upto[starts]
-    before, after = np.concatenate([[0], words[:-1]])[:len(words)], np.concatenate([words[1:], [0]])[:len(words)]
+    held = np.minimum(words, NEIGHBOUR_WORDS)
+    before, after = np.concatenate([[0], held[:-1]])[:len(words)], np.concatenate([held[1:], [0]])[:len(words)]
     return digest, starts, ends - starts, words, before, after
 
 
@@ -154,7 +158,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = again.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(place))
     parts = runs.groupBy("id", "run", "first").agg(F.sum("words").alias("words"), F.min(F.struct("start", "before")).alias("head"), F.max(F.struct((F.col("start") + F.col("size")).alias("end"), F.col("after"))).alias("tail"))
     spans = parts.groupBy("id", "run").agg(F.sum("words").alias("words"), F.min("head").alias("head"), F.max("tail").alias("tail"), F.max(F.struct(F.col("words"), (-F.col("first")).alias("back"))).alias("most"))
-    spans = spans.where(F.col("words") + F.col("head.before") + F.col("tail.after") >= least_words)
+    # two more words may begin or end within a chunk of another text
+    spans = spans.where(F.col("words") + F.col("head.before") + F.col("tail.after") + 2 >= least_words)
     start = F.col("head.start")
     return spans.select(F.col("id").alias(id_col), (-F.col("most.back")).alias("first_doc_id"), start.alias("span_start"), (F.col("tail.end") - start).alias("span_bytes"), F.col("words").alias("n_words"))
 

@@ -61,5 +61,5 @@ def join_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt_by: C
         return rows.join(F.broadcast(small), on, how).drop(*right.values())
     left_salt, right_salt = fresh(names, "_salt"), fresh(names, "_salt_right")
     salted = rows.withColumn(left_salt, F.pmod(salt_by, F.lit(SALTS)))
-    small = small.withColumn(right_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    small = small.withColumn(right_salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(small, [*on, F.col(left_salt) == F.col(right_salt)], how).drop(left_salt, right_salt, *right.values())

@@ -52,11 +52,11 @@ def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str | None,
         for source, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(weight)
         counts = counts.withColumn("weight", weight)
-    sums = counts.agg(F.sum("weight").alias("all_weights"), F.sum("n").alias("all_rows"))  # one row
-    size = F.lit(float(total)) if total is not None else F.col("all_rows").cast("double")
-    target = F.when(F.col("all_weights") > 0, F.col("weight") / F.col("all_weights")).otherwise(0.0)
-    joined = counts.join(F.broadcast(sums)).withColumn("target", target)
-    return joined.select("source", "n", "target", (F.col("target") * size / F.col("n")).alias("rate"))
+    all_weights, all_rows = counts.agg(F.sum("weight"), F.sum("n")).first()  # one row of two numbers
+    size = float(total) if total is not None else float(all_rows or 0)
+    target = F.col("weight") / F.lit(all_weights) if all_weights else F.lit(0.0)
+    counts = counts.withColumn("target", target)
+    return counts.select("source", "n", "target", (F.col("target") * F.lit(size) / F.col("n")).alias("rate"))
 
 
 def poisson_cdf(rate: Column) -> Column:

@@ -40,6 +40,8 @@ SAMPLE_ROWS = 8000
 #: Features that the models use, at most.
 MAX_FEATURES = 6000
 FOLDS = 4
+#: Probability over which a text is toxic.
+THRESHOLD = 0.4
 #: Weight of the squared coefficients in the loss.
 L2 = 1e-4
 
@@ -85,7 +87,7 @@ def fit_rows(places: Sequence[Sequence[int]], labels: np.ndarray, dims: int, fol
     rows = np.repeat(np.arange(n), [len(p) for p in places])
     cols = np.array([c for p in places for c in p], np.int64)
     before, models, held_out = np.zeros((n, 0)), [], []
-    fold = np.arange(n) % folds
+    fold = np.random.default_rng(0).permutation(n) % folds  # whatever order the rows come in
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(float)
         models.append(fit_logistic(rows, cols, before, y, dims, l2=L2))
@@ -101,7 +103,7 @@ def fit_rows(places: Sequence[Sequence[int]], labels: np.ndarray, dims: int, fol
     return models, np.stack(held_out, 1) if held_out else np.zeros((n, 0))
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least_rows: int = 3, least_share: float = 0.001, least_z: float = 5.0) -> Chain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column], id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least_rows: int = 3, least_share: float = 0.001, least_z: float = 4.0) -> Chain:
     """Fit the chain in the order of ``categories``, which maps names to boolean columns of ``labels``.
 
     A row counts as labelled if every category is known; labels that repeat an id count once, true if one
@@ -162,7 +164,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, categories: Mapping[str, str] = CATEGORIES, threshold: float = 0.5, **fit: object) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, categories: Mapping[str, str] = CATEGORIES, threshold: float = THRESHOLD, **fit: object) -> DataFrame:
     """One row for each row of ``docs``: the id, ``p_<category>`` for each category of the chain, and
     ``toxic``: whether the last category's probability is over ``threshold``.
 
@@ -174,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, chain, id_col, text_col).withColumn("toxic", F.col(f"p_{chain.categories[-1]}") > threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, categories: Mapping[str, str] = CATEGORIES, threshold: float = 0.5, **fit: object) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, categories: Mapping[str, str] = CATEGORIES, threshold: float = THRESHOLD, **fit: object) -> DataFrame:
     """The rows of ``docs`` that ``toxicity`` does not reject, with all their columns, scored in place."""
     chain = fit_chain(docs, labels, {k: F.expr(c) for k, c in categories.items()}, id_col, text_col, **fit)
     shared = docs.sparkSession.sparkContext.broadcast((chain.categories, chain.places, chain.models))

@@ -89,8 +89,8 @@ class _Feed:
 
 def _scan(spark: SparkSession, path: str, end: str, parse: Callable, schema: str) -> DataFrame:
     """``parse(file name, feed)`` yields the rows of each file below ``path``."""
-    def lines(options: dict, separator: bytes) -> DataFrame:
-        rows = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    def lines(names_like: str, separator: bytes, **how: object) -> DataFrame:
+        rows = spark.read.option("pathGlobFilter", names_like).text(path, **how).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
         names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +108,8 @@ def _scan(spark: SparkSession, path: str, end: str, parse: Callable, schema: str
         types = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
         return rows.mapInArrow(run, schema)
 
-    streamed = lines({"pathGlobFilter": "*.gz", "lineSep": end}, end.encode())
-    whole = lines({"pathGlobFilter": "*.{arc,warc}", "wholetext": "true"}, b"")
+    streamed = lines("*.gz", end.encode(), lineSep=end)
+    whole = lines("*.{arc,warc}", b"", wholetext=True)
     return streamed.union(whole)
 
 
