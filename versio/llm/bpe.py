@@ -1,10 +1,11 @@
 """BPE encoding and decoding with a public tokenizer's vocabulary file.
 
 Words are merged with a segment tree over the ranks of adjacent pairs: a leaf
-holds the rank of the pair that starts at its symbol, an inner node the
-smallest leaf below it, the leftmost on a tie. The root names the next merge;
-a merge changes three leaves, each updated in logarithmic time, until the root
-holds no rank. A word of n symbols so costs n log n, however long it is.
+holds the rank of the pair that starts at its symbol, an inner node (of FAN
+children) the smallest leaf below it, the leftmost on a tie. The root names the
+next merge; a merge changes three leaves, each updated in logarithmic time,
+until the root holds no rank. A word of n symbols so costs n log n, however
+long it is.
 
 The file (JSON of the tokenizers library) is read on the driver and broadcast:
 its size is that of the vocabulary. Each Python worker parses it once and keeps
@@ -17,19 +18,22 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Children of a node of the segment tree.
+FAN = 16
 #: No pair.
 NONE = 1 << 62
 _LOW = (1 << 32) - 1
-#: Words whose ids a worker keeps: two generations of this many.
-KEPT_WORDS = 150_000
-#: Longest word that is kept.
-KEPT_LENGTH = 64
+#: Words whose ids a worker keeps: two generations, each begun when the one before has this many characters.
+KEPT_CHARS = 2_500_000
+#: Words of a text that are looked up at a time.
+BLOCK = 50_000
 
 
 def byte_chars() -> list[str]:
@@ -41,51 +45,49 @@ def byte_chars() -> list[str]:
 
 
 def merge(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
-    """Merge a word's symbols. ``ranks``: (left id << 32 | right id) to (rank, merged id)."""
+    """Merge a word's symbols. ``ranks``: (left id << 32 | right id) to (rank, merged id).
+
+    The leaves of the tree are numbers (rank << 32 | place), so that the smallest is the leftmost of
+    the lowest rank; every node above holds the smallest of its FAN children."""
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
-    get, none = ranks.get, (0, 0)
-    tree = [NONE] * (2 * size)
-    for i in range(n - 1):
-        if found := get(symbols[i] << 32 | symbols[i + 1]):
-            tree[size + i] = found[0] << 32 | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        if tree[k] == value:
-            return
-        tree[k] = value
-        while k > 1:
-            a, b = tree[k], tree[k ^ 1]
-            k >>= 1
-            least = a if a < b else b
-            if tree[k] == least:
+    get = ranks.get
+    leaves = [found[0] << 32 | i if (found := get(symbols[i] << 32 | symbols[i + 1])) else NONE for i in range(n - 1)]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[k:k + FAN]) for k in range(0, len(below), FAN)])
+    top, above = levels[-1], list(zip(levels, levels[1:], strict=False))
+
+    def lift(i: int) -> None:
+        for below, level in above:
+            i //= FAN
+            least = min(below[i * FAN:(i + 1) * FAN])
+            if level[i] == least:
                 return
-            tree[k] = least
+            level[i] = least
 
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (least := tree[1]) < NONE:
+    while (least := min(top)) < NONE:
         i = least & _LOW
         j = after[i]
-        symbols[i] = get(symbols[i] << 32 | symbols[j], none)[1]
+        left = symbols[i] = ranks[symbols[i] << 32 | symbols[j]][1]
         symbols[j] = -1
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            found = get(symbols[i] << 32 | symbols[k])
-            put(i, found[0] << 32 | i if found else NONE)
-        else:
-            put(i, NONE)
-        if j < n - 1:
-            put(j, NONE)
+            found = get(left << 32 | symbols[k])
+            leaves[i] = found[0] << 32 | i if found else NONE
+            leaves[j] = NONE
+        else:  # no pair starts at the last symbol
+            leaves[i] = NONE
         if (p := before[i]) >= 0:
-            found = get(symbols[p] << 32 | symbols[i])
-            put(p, found[0] << 32 | p if found else NONE)
+            found = get(symbols[p] << 32 | left)
+            leaves[p] = found[0] << 32 | p if found else NONE
+        if above:  # else the root is right above the leaves
+            for at in {i, min(j, n - 2), max(p, 0)}:
+                lift(at)
     return [s for s in symbols if s >= 0]
 
 
@@ -126,32 +128,31 @@ class WordBpe:
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
+        self.chars = 0
 
     def _merged(self, raw: bytes) -> list[int]:
         symbols = [self.inner[b] for b in raw]
         symbols[-1] = self.last[raw[-1]]
         return merge(symbols, self.ranks)
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self._merged(word.encode())
-        if len(word) <= KEPT_LENGTH:
-            if len(self.young) >= KEPT_WORDS:
-                self.young, self.old = {}, self.young
-            self.young[word] = ids
-        return ids
+    def _learn(self, words: list[str]) -> None:
+        """Have the ids of all ``words`` in the younger generation."""
+        if self.chars >= KEPT_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        young, old = self.young, self.old
+        for word in set(words).difference(young):
+            ids = old.get(word)
+            young[word] = self._merged(word.encode()) if ids is None else ids
+            self.chars += len(word)
 
     def _plain(self, text: str, out: list[int]) -> None:
         """Append the ids of a text without special tokens."""
         if self.simple and not _OTHER.search(text):
-            get = self.young.get
-            for word in _SIMPLE.findall(text.lower()):
-                ids = get(word)
-                if ids is None:
-                    ids = self._word(word)
-                    get = self.young.get
-                out += ids
+            words = _SIMPLE.findall(text.lower())
+            for at in range(0, len(words), BLOCK):
+                part = words[at:at + BLOCK]
+                self._learn(part)
+                out.extend(chain.from_iterable(map(self.young.__getitem__, part)))
         elif text:
             for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):
                 out += self._merged(bytes(self.byte_of[c] for c in word))
