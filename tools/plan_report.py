@@ -31,8 +31,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
     print("# Physical plans of the registered queries\n")
-    print(f"Generated by `tools/plan_report.py` on `{os.path.basename(sf)}` (`local[8]`). On a large input the")
-    print("`RoundRobin` spread after the scan disappears (enough splits); every other exchange is listed as planned.\n")
+    print(f"Generated by `tools/plan_report.py` on `{os.path.basename(sf)}` (`local[8]`).\n")
     print("| query | shuffles | broadcasts | Python stages | scan columns |")
     print("| --- | --- | --- | --- | --- |")
     for name, q in QUERIES.items():

@@ -284,7 +284,8 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     committed as a folder of its own before the next is sent, and return ``read_answers``.
 
     What ``sink`` holds with status ``ok`` is not sent again, whichever run wrote it; failed chunks are.
-    Pending requests are written to the shared checkpoint folder once, dealt over the units by hash.
+    Pending requests are written to the shared checkpoint folder once, ordered by a hash of their keys; a
+    unit is a range of it, so reading one skips the files of the others.
     """
     spark, keys = tasks.sparkSession, list(keys)
     if langs is not None:
@@ -292,14 +293,16 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     every = [*keys, lang_col]
     todo = unanswered(tasks.select(*every, text_col), read_answers(spark, sink, every), every)
     pending = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pending-{uuid.uuid4().hex}"
-    # buckets finer than a unit: the count of pending requests is known only once they are written
-    todo = todo.withColumn("bucket", F.pmod(F.xxhash64(*every), F.lit(1 << 20)))
-    todo.write.parquet(pending)
+    # buckets are finer than units, whose number is known only once the pending requests are written
+    files, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20
+    todo = todo.withColumn("bucket", F.pmod(F.xxhash64(*every), F.lit(buckets)))
+    share = F.floor(F.col("bucket") * files / F.lit(float(buckets))).cast("int")
+    todo.repartitionById(files, share).sortWithinPartitions("bucket").write.parquet(pending)
     todo = spark.read.schema(todo.schema).parquet(pending)
     units = -(-todo.count() // unit_rows)
     run = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
     for k in range(units):  # a job for each unit
-        part = todo.where(F.pmod(F.col("bucket"), F.lit(units)) == k).drop("bucket")
+        part = todo.where(F.col("bucket").between(k * buckets // units, (k + 1) * buckets // units - 1)).drop("bucket")
         translate(part, service, keys=keys, lang_col=lang_col, text_col=text_col, **options).write.parquet(f"{sink}/run={run}/unit={k}")
     return read_answers(spark, sink, every)
 
