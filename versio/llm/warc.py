@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versio.llm.common import BROADCAST_ROWS, written
+
 #: What ends a record: a line feed after an ARC record, two CR LF after a WARC record.
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 #: The header line's fields for each ARC version; fixed values of the format.
@@ -233,10 +235,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, key_header: s
 
     Version blocks become warcinfo records, HTTP records responses or revisits, others resources. The
     files are scanned twice: for digests alone, by which revisits are decided, and for the contents.
+    Up to BROADCAST_ROWS revisits are broadcast; more are joined by a shuffle of the records.
     """
-    known = revisits(read_arc(spark, arc_path, key_header=key_header, payloads=False), least_bytes)
+    known = written(revisits(read_arc(spark, arc_path, key_header=key_header, payloads=False), least_bytes), "revisits")
     rows = read_arc(spark, arc_path, key_header=key_header)
-    joined = rows.join(known, rows["record_id"] == known["revisit_id"], "left")
+    joined = rows.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, rows["record_id"] == known["revisit_id"], "left")
     text = joined.select(warc_text(F.col("revisit_id").isNotNull()).alias("value"))
     text.write.options(lineSep=WARC_END, **GZIP).text(warc_path)
 
