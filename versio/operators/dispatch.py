@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER
+from versio.functions.worker import worker_state
 from versio.session import ensure_checkpoint_dir
 from versio.sources.dimensions import (
     DEFAULT_CONCURRENCY,
@@ -63,24 +64,33 @@ def backoff(attempt: int, multiplier: float, wait_min: float, wait_max: float) -
     return min(max(multiplier * 2 ** (attempt - 1), wait_min), wait_max)
 
 
+def _slot_files(slots: int) -> list[int]:
+    """This thread's descriptors of the machine's lock files, opened once."""
+    kept, key = worker_state("lock files"), (os.getpid(), threading.get_ident(), slots)
+    if key not in kept:
+        folder = os.path.join(tempfile.gettempdir(), f"versio-open-requests-{slots}")
+        os.makedirs(folder, exist_ok=True)
+        kept[key] = [os.open(os.path.join(folder, str(k)), os.O_CREAT | os.O_RDWR) for k in range(slots)]
+    return kept[key]
+
+
 @contextmanager
 def machine_slot(slots: int, poll: float = 0.005) -> Iterator[None]:
     """Hold one of this machine's ``slots`` locks while a request is open."""
-    folder = os.path.join(tempfile.gettempdir(), f"versio-open-requests-{slots}")
-    os.makedirs(folder, exist_ok=True)
-    first = threading.get_ident() + os.getpid()
+    files = _slot_files(slots)
+    at = threading.get_native_id()
     while True:
-        for k in range(slots):
-            fd = os.open(os.path.join(folder, str((first + k) % slots)), os.O_CREAT | os.O_RDWR)
+        for _ in range(slots):
+            fd = files[at % slots]
             try:
                 fcntl.flock(fd, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except OSError:
-                os.close(fd)
+            except BlockingIOError:
+                at += 1
                 continue
             try:
                 yield
             finally:
-                os.close(fd)  # frees the lock
+                fcntl.flock(fd, fcntl.LOCK_UN)
             return
         time.sleep(poll)
 

@@ -75,9 +75,13 @@ def decode_numeric(text: Column) -> Column:
         end = F.when(char.isNotNull(), F.locate(";", x)).otherwise(0)
         return F.concat(F.coalesce(char, F.lit("&#")), F.substring(x, end + 1, F.length(x)))
 
-    parts = F.split(text, "&#", -1)
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    def whole(t: Column) -> Column:
+        parts = F.split(t, "&#", -1)
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
+        return F.when(F.contains(t, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
+
+    # as a lambda's argument the text is computed once, however often it is used
+    return F.transform(F.array(text), whole)[0]
 
 
 def decode_entities(c) -> Column:
