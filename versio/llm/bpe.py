@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versio.functions.worker import worker_state
+
 #: Children of a node of the segment tree.
 FAN = 16
 #: No pair.
@@ -181,16 +183,12 @@ class WordBpe:
         return raw.decode(errors="replace")
 
 
-_MODELS: dict[str, WordBpe] = {}
-
-
 def model_of(content: bytes) -> WordBpe:
     """The model of a file's content, parsed once in each worker process."""
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = WordBpe(content.decode())
-    return _MODELS[key]
+    kept, key = worker_state("bpe"), hashlib.sha256(content).hexdigest()
+    if kept.get("key") != key:
+        kept.update(key=key, model=WordBpe(content.decode()))
+    return kept["model"]
 
 
 def _mapped(docs: DataFrame, columns: list, schema: str, path: str, row: Callable) -> DataFrame:
