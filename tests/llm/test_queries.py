@@ -133,3 +133,23 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
         assert out.count() > 0
+
+
+def test_stages_on_empty_tables_and_nulls(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    schema = docs.schema
+    rows = [(None, None, None, None, None), (None, "a text without an id", "en", None, 1), (1, None, None, "s", None), (2, "", "en", "s", 0),
+            (3, "some words here", "en", "s", 5), (3, "some words here", "en", "s", 5), (4, "Some  words here", "en", "t", 5), (5, "w " * 100_000, "en", "t", 5)]
+    some = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    left = {name: stage(spark, some, SF).collect() for name, stage in P.STAGES[:4]}
+    assert len(left["toxicity"]) == 8
+    # null, empty and absent texts are equal; so are the two texts of three words but for white space
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left["exact dedup"]) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
+    near = [r.doc_id for r in left["SimHash near-dedup"]]
+    assert near.count(3) == 1 and 4 not in near and near.count(None) == 2 and 1 in near and 2 not in near
+    assert all(r.doc_id is None or r.doc_id <= 5 for r in left["mixing sources"])
+    assert P.STAGES[4][1](spark, some, SF).count() == 8
