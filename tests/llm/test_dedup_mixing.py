@@ -134,3 +134,37 @@ def test_substring_cases(spark):
 def test_uniform_is_between_0_and_1(spark):
     r = spark.range(1000).select(mixing.uniform(F.lit(1), F.col("id")).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 < r[0] and r[1] < 1 and abs(r[2] - 0.5) < 0.05
+
+
+def test_substring_passages_just_over_the_least_length(spark):
+    import random
+
+    rng = random.Random(11)
+
+    def words(n, low, high):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high))) for _ in range(n))
+
+    rows, want, k = [], {}, 0
+    for low, high in ((2, 9), (3, 6), (1, 5), (1, 3), (1, 1)):
+        for n in (49, 50, 51, 55):
+            for _ in range(20):
+                passage = words(n, low, high)
+                rows += [(k, f"{words(9, 2, 9)} a{k}a {passage} b{k}b {words(9, 2, 9)}"), (k + 1, f"{words(30, 2, 9)} c{k}c {passage} d{k}d")]
+                if n >= 50:
+                    want[k + 1] = (k, len(rows[-1][1].split(passage)[0]), len(passage), n)
+                k += 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in cdc_dedup.repeated_spans(df).collect()}
+    assert got == want
+    less = words(20, 1, 1)
+    df = spark.createDataFrame([(1, f"first {less} ends"), (2, f"the second {less} stops")], "doc_id bigint, text string")
+    assert [tuple(r) for r in cdc_dedup.repeated_spans(df, least_words=20).collect()] == [(2, 1, 11, 39, 20)]
+
+
+def test_substring_passages_of_one_word_and_of_common_phrases(spark):
+    # every phrase of the passage of 4 and 5 is in a smaller document too, the passage is not
+    phrases = [f"phrase number {k} of the many that all of these texts hold in common" for k in range(5)]
+    rows = [(k, f"x{k}x {p} y{k}y") for k, p in enumerate(phrases[:4])] + [(4, "u " + " ".join(phrases)), (5, "v " + " ".join(phrases) + " w")]
+    rows += [(6, "one " + "again " * 60 + "six"), (7, "two " + "again " * 51 + "seven")]
+    got = {r.doc_id: tuple(r)[1:] for r in cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: (4, 2, len(" ".join(phrases)), 70), 7: (6, 4, 6 * 51 - 1, 51)}

@@ -1,19 +1,20 @@
 """Substring deduplication by content-defined chunking.
 
 A gear rolling hash runs over the bytes of every text (a byte counts for 32
-positions). A chunk ends where the hash is smaller than at the ``reach``
-positions on either side, so ends depend on nearby bytes alone: an insertion
-moves the chunks behind it but does not change them. Chunks of all documents
-are grouped by digest. A chunk that several documents hold is a repeat in all
-of them but the one with the smallest id, and neighbouring repeats of a
-document form a span.
-
-A repeated passage begins and ends within chunks, whose remainders differ. A
-span is therefore reported when the words of its whole chunks and of the two
-chunks beside it (up to NEIGHBOUR_WORDS of each) reach ``least_words``: a passage
-of that length is found, at the price of some that are shorter by a few words.
-A text without variety (one word again and again) has no such ends; it is cut
-from the start of the chunk at a fixed length, which resists no insertion.
+positions). A chunk ends at the smallest hash of every ``WINDOW`` positions
+(winnowing), so ends depend on nearby bytes alone: an insertion moves the
+chunks behind it but does not change them. The key of a chunk is the digest of
+the 32 bytes at its end. ``LEAST_WORDS`` words with what is between them are at
+least 99 bytes, which hold a whole window: of a passage that two documents
+share, each has a chunk end in every window, with the same keys, so it lies
+within a run of shared keys and a margin on either side.
+
+Runs whose words, margins included, reach ``least_words`` are looked at word by
+word: every passage of exactly ``least_words`` words that begins in them is
+hashed as it stands in the text, spacing included. One that several documents
+hold is a repeat in all of them but the one with the smallest id, and repeats
+that overlap form a span. The runs only say where to look; a span is made of
+whole repeated passages.
 """
 
 from __future__ import annotations
@@ -26,21 +27,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versio.llm.common import fresh
+from versio.llm.common import fresh, written
 
 #: Random 32-bit number of each byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
 #: Bytes over which the hash reaches.
 HASHED = 32
-#: A chunk ends where the hash is the smallest within this many positions on either side (a power of two).
-REACH = 16
-#: Longest chunk in bytes: a longer one (of a text without variety) is cut from its start.
+LEAST_WORDS = 50
+#: Positions of which the one with the smallest hash ends a chunk: with the bytes hashed at the first
+#: of them they fit into the shortest passage (words of one byte).
+WINDOW = 2 * LEAST_WORDS - HASHED
+#: Longest chunk in bytes; ends are WINDOW positions apart at most, and 3 bytes more between characters.
 LONGEST = 1024
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
-LEAST_WORDS = 50
-#: Words of the chunk beside a span that may belong to the passage, at most: three times the usual chunk.
-NEIGHBOUR_WORDS = 16
+#: Bytes by which a passage may begin before the first end of a chunk in it, and go on after the last one.
+BEFORE, AFTER = HASHED + WINDOW + 3, WINDOW + 3
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -54,56 +56,75 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each n neighbours (a power of two), by doubling."""
-    step = 1
-    while step < n:
+    """Minimum of each n neighbours, by doubling."""
+    step, size = 1, len(h) - n + 1
+    while 2 * step <= n:
         h = np.minimum(h[:-step], h[step:])
         step *= 2
-    return h
-
-
-def cuts(data: np.ndarray) -> np.ndarray:
+    return np.minimum(h[:size], h[n - step:n - step + size])
+
+
+def _thinned(ends: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """``ends`` without those in a row that have the same bytes before them, as far as every window
+    keeps one of them: a text without variety has an end at every repetition otherwise."""
+    grams = np.lib.stride_tricks.sliding_window_view(data, HASHED)
+    same = np.zeros(len(ends) + 1, bool)
+    for lo in range(1, len(ends), PIECE):
+        hi = min(lo + PIECE, len(ends))
+        same[lo:hi] = (grams[ends[lo:hi] - HASHED] == grams[ends[lo - 1:hi - 1] - HASHED]).all(axis=1)
+    inner = same[:-1] & same[1:]
+    if not inner.any():
+        return ends
+    kept, last, at = np.ones(len(ends), bool), 0, ends.tolist()
+    for k in np.flatnonzero(inner).tolist():
+        last = at[k - 1] if kept[k - 1] else last
+        kept[k] = at[k + 1] - last > window
+    return ends[kept]
+
+
+def cuts(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions at which chunks end, the length of the data included."""
-    n, found = len(data), [np.zeros(1, np.int64)]
-    for lo in range(0, n, PIECE):
-        start, end = max(0, lo - HASHED - REACH), min(n, lo + PIECE + REACH)
-        h = gear_hash(data[start:end])
-        if len(h) <= 2 * REACH:
-            continue
-        low = _least(h, REACH)  # low[i]: minimum of h[i : i + REACH]
-        here = h[REACH:len(h) - REACH]
-        at = np.flatnonzero((here < low[:len(here)]) & (here <= low[REACH + 1:REACH + 1 + len(here)])) + REACH + start
-        found.append(at[(at >= max(lo, HASHED - 1)) & (at < lo + PIECE)] + 1)
-    ends = np.concatenate(found)
+    n, found = len(data), [np.zeros(0, np.int64)]
+    for lo in range(HASHED - 1, n - window + 1, PIECE):  # of windows that begin at lo and after
+        start, end = lo - HASHED + 1, min(n, lo + PIECE + window - 1)
+        h = gear_hash(data[start:end])[HASHED - 1:].astype(np.uint64)
+        # of equal hashes the last one is the smallest
+        least = _least((h << np.uint64(32)) | np.arange(len(h), 0, -1).astype(np.uint64), window)
+        found.append(lo + len(h) - (np.unique(least) & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1)
+    ends = np.unique(np.concatenate(found))
+    if len(ends):
+        ends = _thinned(ends, data, window)
     for _ in range(3):  # no character is cut
         inside = (ends < n) & ((data[np.minimum(ends, n - 1)] & 0xC0) == 0x80) if n else np.zeros(len(ends), bool)
         ends = ends + inside
     ends = np.unique(np.append(ends, n))
-    sizes = np.diff(ends)
-    if len(sizes) and sizes.max() > LONGEST:
-        more = [np.arange(a + LONGEST, b, LONGEST) for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a > LONGEST]
-        ends = np.unique(np.concatenate([ends, *more]))
-    return ends[1:] if n else ends[:0]
+    return ends if n else ends[:0]
+
 
+def _begun(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a word begins, and whether one ends, at each byte (the last byte of the word)."""
+    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins, stops = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    stops[:-1] &= ~word[1:]
+    return begins, stops
 
-def chunk_table(text: bytes) -> tuple[np.ndarray, ...]:
-    """Digest, start, size, words, words of the chunk before, words of the chunk after, of each chunk."""
+
+def chunk_table(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Key, end, size, words, words up to BEFORE bytes before the end and up to AFTER bytes behind it, of
+    each chunk. A text that is shorter than any passage has none."""
     data = np.frombuffer(text, np.uint8)
-    ends = cuts(data)
+    ends = cuts(data, window) if len(data) >= HASHED + window - 1 else np.zeros(0, np.int64)
+    key = np.fromiter((xxhash.xxh3_64_intdigest(text[e - HASHED:e]) for e in ends.tolist()), np.uint64, len(ends))
+    upto = np.concatenate([[0], np.cumsum(_begun(data)[0])])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    begun = ~blank
-    begun[1:] &= blank[:-1]
-    upto = np.concatenate([[0], np.cumsum(begun)])
-    words = upto[ends] - upto[starts]
-    held = np.minimum(words, NEIGHBOUR_WORDS)
-    before, after = np.concatenate([[0], held[:-1]])[:len(words)], np.concatenate([held[1:], [0]])[:len(words)]
-    return digest, starts, ends - starts, words, before, after
+    before = upto[ends] - upto[np.maximum(ends - BEFORE, 0)]
+    after = upto[np.minimum(ends + AFTER, len(data))] - upto[ends]
+    return key, ends, ends - starts, upto[ends] - upto[starts], before, after
 
 
-#: Bits of start, size, words, words before and after in the long that carries a chunk's place.
-_WIDTHS = (31, 11, 9, 6, 6)
+#: Bits of end, size, words, words before and after in the long that carries a chunk's place.
+_WIDTHS = (31, 8, 7, 7, 7)
 
 
 def _packed(values: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -115,20 +136,20 @@ def _packed(values: tuple[np.ndarray, ...]) -> np.ndarray:
 
 def _unpacked(place: Column) -> dict[str, Column]:
     out, below = {}, sum(_WIDTHS)
-    for name, width in zip(("start", "size", "words", "before", "after"), _WIDTHS, strict=True):
+    for name, width in zip(("end", "size", "words", "before", "after"), _WIDTHS, strict=True):
         below -= width
         out[name] = F.shiftright(place, below).bitwiseAND(F.lit((1 << width) - 1))
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``id``, ``digest``, ``place`` for each chunk (``place`` packs start, size and word counts)."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row ``id``, ``digest``, ``place`` for each chunk (``place`` packs end, size and word counts)."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                digest, *place = chunk_table(batch.column(1)[k].as_py() or b"")
+                digest, *place = chunk_table(batch.column(1)[k].as_py() or b"", window)
                 held.append((k, digest, _packed(tuple(place))))
                 if sum(len(x[1]) for x in held) > 50_000 or k == batch.num_rows - 1:
                     which = np.repeat([x[0] for x in held], [len(x[1]) for x in held]).astype(np.int64)
@@ -139,29 +160,82 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest bigint, place bigint")
 
 
+def _looked_at(found: DataFrame, least_words: int) -> DataFrame:
+    """One row ``own``, ``parts`` for each id with runs of shared chunks that may hold a passage: where
+    these begin and end. Rows that repeat an id are looked at in the runs of all of them."""
+    shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest")
+    place = Window.partitionBy("id").orderBy("place")  # by end, since that is in the upper bits
+    held = found.join(shared, "digest").select("id", "place").withColumn("past", F.lag("place").over(place))
+    held = held.select("id", "place", _unpacked(F.col("past"))["end"].alias("past"), *[c.alias(k) for k, c in _unpacked(F.col("place")).items()])
+    begins = F.coalesce(F.col("past") < F.col("end") - F.col("size"), F.lit(True))
+    runs = held.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(place))
+    # the words of the first chunk are counted twice: too many is safe
+    words = F.sum("words") + F.max(F.when(F.col("begins") == 1, F.col("before"))) + F.max("after")
+    parts = runs.groupBy("id", "run").agg(words.alias("words"), F.min("end").alias("lo"), F.max("end").alias("hi")).where(F.col("words") >= least_words)
+    return parts.groupBy(F.col("id").alias("own")).agg(F.sort_array(F.collect_list(F.struct(F.col("lo") - BEFORE, F.col("hi") + AFTER))).alias("parts"))
+
+
+def _passages(text: bytes, parts: list[tuple[int, int]], least_words: int) -> tuple[np.ndarray, ...]:
+    """Digest, number of the first word, start and end of each passage of least_words words in the parts."""
+    begins, stops = map(np.flatnonzero, _begun(np.frombuffer(text, np.uint8)))
+    first, last = begins[:max(0, len(begins) - least_words + 1)], stops[least_words - 1:] + 1
+    taken = np.zeros(len(first) + 1, np.int64)
+    for lo, hi in parts:
+        a, b = np.searchsorted(first, lo), np.searchsorted(last, hi, side="right")
+        if a < b:
+            taken[a] += 1
+            taken[b] -= 1
+    nth = np.flatnonzero(np.cumsum(taken)[:-1] > 0)
+    first, last = first[nth], last[nth]
+    return np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(nth)).view(np.int64), nth, first, last
+
+
+def passages(docs: DataFrame, looked_at: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """One row ``id``, ``row`` (tells apart texts of one id), ``digest``, ``nth``, ``start``, ``stop`` for each
+    passage of ``least_words`` words in the parts to look at."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.join(looked_at, F.col("id") == F.col("own")).select("id", "text", "parts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = batch.column(1)[k].as_py() or b""
+                parts = [tuple(p.values()) for p in batch.column(2)[k].as_py()]
+                found = _passages(text, parts, least_words)
+                n = len(found[0])
+                row = np.full(n, xxhash.xxh3_64_intdigest(text), np.uint64).view(np.int64)
+                out = [batch.column(0).take(pa.array(np.full(n, k, np.int64))), pa.array(row), *[pa.array(x, pa.int64()) for x in found]]
+                yield pa.RecordBatch.from_arrays(out, ["id", "row", "digest", "nth", "start", "stop"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row bigint, digest bigint, nth bigint, start bigint, stop bigint")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each span of a document that documents with smaller ids hold: the id, ``first_doc_id``
-    (the smallest id that holds most of its words), ``span_start`` and ``span_bytes`` (UTF-8, from 0) and
-    ``n_words`` (of whole chunks).
-
-    Only repeats across documents count: rows that repeat an id are one document, and rows with a null
-    id take no part. Null, empty and short texts have no spans; texts of any length are chunked whole.
-    Chunks are told apart by 64 bits, and a span needs several in a row. An empty table gives no rows;
-    other columns are not read.
+    (the smallest id that holds most of its passages), ``span_start`` and ``span_bytes`` (UTF-8, from 0)
+    and ``n_words``.
+
+    A span is made of all passages of ``least_words`` whole words, spacing included, that a document with
+    a smaller id holds and that overlap; below 17 words, passages of less than HASHED bytes are not found. Only repeats across documents
+    count: rows that repeat an id are one document, and rows with a null id take no part. Null, empty and
+    short texts have no spans; texts of any length are looked at whole. Passages are told apart by 64
+    bits. An empty table gives no rows; other columns are not read.
     """
-    found = chunks(docs, id_col, text_col)
+    window = max(1, min(WINDOW, 2 * least_words - HASHED))
+    looked_at = _looked_at(chunks(docs, id_col, text_col, window), least_words)
+    found = written(passages(docs, looked_at, id_col, text_col, least_words), "passages")
     shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    # several copies of a chunk in a row that repeats an id are one
-    again = found.join(shared, "digest").where("id <> first").select("id", "first", *[c.alias(k) for k, c in _unpacked(F.col("place")).items()]).distinct()
-    place = Window.partitionBy("id").orderBy("start", "size")
-    begins = F.coalesce(F.lag(F.col("start") + F.col("size")).over(place) < F.col("start"), F.lit(True))
+    again = found.join(shared, "digest").where("id <> first").select("id", "row", "first", "nth", "start", "stop")
+    place = Window.partitionBy("id", "row").orderBy("nth")  # copies of a row only repeat each number
+    begins = F.coalesce(F.lag("nth").over(place) + least_words <= F.col("nth"), F.lit(True))
     runs = again.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(place))
-    parts = runs.groupBy("id", "run", "first").agg(F.sum("words").alias("words"), F.min(F.struct("start", "before")).alias("head"), F.max(F.struct((F.col("start") + F.col("size")).alias("end"), F.col("after"))).alias("tail"))
-    spans = parts.groupBy("id", "run").agg(F.sum("words").alias("words"), F.min("head").alias("head"), F.max("tail").alias("tail"), F.max(F.struct(F.col("words"), (-F.col("first")).alias("back"))).alias("most"))
-    # two more words may begin or end within a chunk of another text
-    spans = spans.where(F.col("words") + F.col("head.before") + F.col("tail.after") + 2 >= least_words)
-    start = F.col("head.start")
-    return spans.select(F.col("id").alias(id_col), (-F.col("most.back")).alias("first_doc_id"), start.alias("span_start"), (F.col("tail.end") - start).alias("span_bytes"), F.col("words").alias("n_words"))
+    ends = [F.min("nth").alias("nth"), F.max("nth").alias("until"), F.min("start").alias("start"), F.max("stop").alias("stop")]
+    parts = runs.groupBy("id", "row", "run", "first").agg(F.count(F.lit(1)).alias("n"), *ends)
+    most = F.max(F.struct(F.col("n"), (-F.col("first")).alias("back"))).alias("most")
+    ends = [F.min("nth").alias("nth"), F.max("until").alias("until"), F.min("start").alias("start"), F.max("stop").alias("stop")]
+    spans = parts.groupBy("id", "row", "run").agg(*ends, most)
+    words = F.col("until") - F.col("nth") + least_words
+    return spans.select(F.col("id").alias(id_col), (-F.col("most.back")).alias("first_doc_id"), F.col("start").alias("span_start"), (F.col("stop") - F.col("start")).alias("span_bytes"), words.alias("n_words")).distinct()
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
