@@ -168,3 +168,12 @@ def test_substring_passages_of_one_word_and_of_common_phrases(spark):
     rows += [(6, "one " + "again " * 60 + "six"), (7, "two " + "again " * 51 + "seven")]
     got = {r.doc_id: tuple(r)[1:] for r in cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {5: (4, 2, len(" ".join(phrases)), 70), 7: (6, 4, 6 * 51 - 1, 51)}
+
+
+def test_exact_tells_apart_texts_of_one_id_and_one_length(spark):
+    rows = [(0, "abcd"), (0, "abce"), (0, "wxyz"), (None, "abcd"), (None, "abcf"), (None, "abcg"), (1, "q" * 9), (1, "r" * 9), (1, "r" * 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id is None, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(df).collect() if r.doc_id is not None)
+    assert got == [(False, 0, 0, 1, True), (False, 0, 0, 1, True), (False, 0, 0, 2, True), (False, 1, 1, 1, True), (False, 1, 1, 2, False), (False, 1, 1, 2, True)]
+    want = [(0, "abcd"), (0, "abce"), (0, "wxyz"), (1, "q" * 9), (1, "r" * 9), (None, "abcf"), (None, "abcg")]
+    assert sorted(map(str, map(tuple, keep_first(df).collect()))) == sorted(map(str, want))

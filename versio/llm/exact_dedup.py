@@ -63,11 +63,11 @@ def refine(texts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each id and distinct text: ``id``, ``mark`` (tells apart texts without an id), ``points``,
+    """A row for each id and distinct text: ``id``, ``mark`` (tells apart the texts of an id), ``points``,
     ``full``, ``n`` (rows that are alike), ``keep``, ``size``, ``first`` and a struct ``carried``."""
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0))
     norm = normalised(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), _mark(F.col(id_col), norm).alias("mark"), F.length(F.coalesce(text_col, F.lit(""))).alias("points"), norm.alias("norm"), carried.alias("carried"))
+    texts = docs.select(F.col(id_col).alias("id"), _mark(norm).alias("mark"), F.length(F.coalesce(text_col, F.lit(""))).alias("points"), norm.alias("norm"), carried.alias("carried"))
     keys = ["id", "mark", "points", "carried"]
     rows = refine(texts, keys).groupBy(*keys, "len", "full").agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows, "refined")
@@ -82,8 +82,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
     return grouped.select(names).union(lone.select(names))
 
 
-def _mark(id_: Column, norm: Column) -> Column:
-    return F.when(id_.isNull(), F.xxhash64(norm).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint"))
+def _mark(norm: Column) -> Column:
+    return F.xxhash64(norm)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -106,14 +106,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names. Of rows that repeat an id with equal texts of one length any one stays; rows
     with different texts stay whatever their ids."""
     names = docs.columns
-    id_, mark, kept, points, full = (fresh(names, f"_{x}") for x in ("id", "mark", "kept", "points", "full"))
+    id_, unnamed, mark, points = key = [fresh(names, f"_{x}") for x in ("id", "unnamed", "mark", "points")]
     nothing = F.lit("0").cast(docs.schema[id_col].dataType)
-    stays = _decided(docs, id_col, text_col).where("first").groupBy(F.coalesce("id", nothing).alias(id_), F.col("mark").alias(mark))
-    stays = stays.agg(F.collect_list(F.struct("points", "full")).alias(kept))
-    norm = normalised(F.col(text_col))
-    keyed = docs.withColumns({id_: F.coalesce(F.col(id_col), nothing), mark: _mark(F.col(id_col), norm)})
-    joined = keyed.join(stays, [id_, mark]).withColumn(points, F.length(F.coalesce(text_col, F.lit(""))))
-    decided_by_hash = F.exists(kept, lambda k: k["full"].isNotNull())
-    joined = joined.withColumn(full, F.when(decided_by_hash, F.sha2(norm, 256)))
-    held = F.exists(kept, lambda k: (k["points"] == F.col(points)) & (k["full"].isNull() | (k["full"] == F.col(full))))
-    return joined.where(held).dropDuplicates([id_, mark, points, full]).select(*names)
+    stays = _decided(docs, id_col, text_col).where("first")
+    stays = stays.select(F.coalesce("id", nothing).alias(id_), F.col("id").isNull().alias(unnamed), F.col("mark").alias(mark), F.col("points").alias(points))
+    named = {id_: F.coalesce(F.col(id_col), nothing), unnamed: F.col(id_col).isNull()}
+    keyed = docs.withColumns({**named, mark: _mark(normalised(F.col(text_col))), points: F.length(F.coalesce(text_col, F.lit("")))})
+    return keyed.join(stays, key).dropDuplicates(key).select(*names)
