@@ -27,13 +27,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id. Rows without an id stay, since a
-    component does not name them; rows that share an id stay or go together, and of those that also
-    share their text one stays."""
-    found = simhash.simhash_components(docs, words=3, max_bits=2)
-    own = fresh(docs.columns, "_id")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own))
-    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each SimHash component: that with the smallest id, and of rows that share it that
+    with the smallest text hash. Each row is decided alone, by its id and the hash of its text, so rows
+    that share an id need not go together; rows without an id come last. Of rows with equal id and text
+    one stays. A row with neither id nor text stays, since there is nothing to tell what it copies."""
+    unnamed, own, mark = key = [fresh(docs.columns, x) for x in ("_unnamed", "_id", "_mark")]
+    nothing = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    keyed = docs.withColumns({unnamed: F.col("doc_id").isNull(), own: F.coalesce("doc_id", nothing), mark: F.xxhash64("text")})
+    rows = keyed.where("doc_id is not null or text is not null").select(F.struct(*key).alias("row"), "text")
+    found = simhash.simhash_components(rows, "row", words=3, max_bits=2)
+    gone = found.where("row <> component_id").select("row.*")
+    return keyed.join(gone, key, "left_anti").dropDuplicates(key).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,3 +153,17 @@ def test_stages_on_empty_tables_and_nulls(spark):
     assert near.count(3) == 1 and 4 not in near and near.count(None) == 2 and 1 in near and 2 not in near
     assert all(r.doc_id is None or r.doc_id <= 5 for r in left["mixing sources"])
     assert P.STAGES[4][1](spark, some, SF).count() == 8
+
+
+def test_near_copies_are_decided_row_by_row(spark):
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(7)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(4))
+    # texts that differ in white space or case alone have one fingerprint
+    rows = [(1, a), (5, a + " "), (5, b), (5, b.upper()), (5, c), (None, c + "  "), (None, d), (None, d.upper()), (None, d)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    left = [(r.doc_id, r.text.lower().strip()) for r in P.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, a), (5, b), (5, c), (None, d)], key=str)
