@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versio.llm import bpe, cdc_dedup, chat, exact_dedup, knn, langid, mixing, simhash, toxicity, warc
+from versio.llm import bpe, byte_bpe, cdc_dedup, chat, exact_dedup, knn, langid, mixing, periodic, repair, simhash, toxicity, warc
 from versio.llm.common import scratch_path
 
 
@@ -102,5 +102,68 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by a hash of its id goes on from some word with the words from there
+    over and over. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    root = F.slice("words", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    planted = F.array_join(F.concat(F.slice(F.col("words"), F.lit(1), a), tail), " ")
+    return words.select("doc_id", F.when(F.coalesce(n, F.lit(0)) > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, planted ones included, and digests of what is left."""
+    found = periodic.periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    facts = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), periodic.best_run(F.col("runs")).alias("best"),
+                         F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return facts.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        "runs_sha256", "collapsed_sha256")
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) with faults made by a hash of conversation and turn."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = turns.select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")), (F.crc32(key) % 20).alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("fault") == 0, 0).when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("again")).drop("again")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults, the cheapest repair and a digest of the repaired turns."""
+    turns = _table(spark, sf_dir, "conversations")
+    summary, standing = repair.repair_conversations(damaged_turns(turns))
+    lines = standing.select("conv_id", "number", F.concat_ws(":", "role", "text").alias("line"))
+    digests = repair.digest_lines(lines, "conv_id", "number", "line", "repaired_sha256").withColumnRenamed("conv_id", "digest_id")
+    found = summary.withColumnRenamed("conv_id", "found_id")
+    every = turns.select("conv_id").distinct()
+    whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")) & F.col("audit").isNotNull(), "left").join(
+        digests, F.col("conv_id").eqNullSafe(F.col("digest_id")) & F.col("repaired_sha256").isNotNull(), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return whole.select("conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the byte-level ids of every document and of their decoded bytes."""
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), *file)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    decoded = byte_bpe.decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), "ids"), *file, keep=("n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_simhash, op2_substring_dedup, op3_toxicity, op4_knn, op5_mixing, op6_exact_dedup, op7_bpe, op8_warc, op9_langid, op10_chat)}
+    op1_simhash, op2_substring_dedup, op3_toxicity, op4_knn, op5_mixing, op6_exact_dedup, op7_bpe, op8_warc, op9_langid, op10_chat,
+    op11_periodic_runs, op12_repair, op13_byte_bpe)}
