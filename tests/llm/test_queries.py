@@ -19,7 +19,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", ["op4_knn", "op5_mixing", "op6_exact_dedup", "op8_warc", "op10_chat"])
+@pytest.mark.parametrize("name", ["op4_knn", "op5_mixing", "op6_exact_dedup", "op8_warc", "op10_chat", "op12_repair"])
 def test_query_equals_sql(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
     assert r["cols_match"] and r["rows"][0] == r["rows"][1] and r["hash_match"], r
@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_is_registered():
     names = list(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 

@@ -129,6 +129,14 @@ def _insertions() -> Matrix:
 
 
 INSERTIONS = _insertions()
+#: What a way in state i needs at most to go on as one in state j does: the cost, and the insertions after which the
+#: same edits follow (None where one of them may differ: a system turn that is kept there is deleted here).
+FOLLOW = {
+    (START, SYSTEM): (0, ""), (START, USER): (INSERT, "I"), (START, ASSISTANT): (0, ""),
+    (SYSTEM, START): (2 * INSERT + DELETE, None), (SYSTEM, USER): (INSERT, "I"), (SYSTEM, ASSISTANT): (2 * INSERT, "II"),
+    (USER, START): (INSERT + DELETE, None), (USER, SYSTEM): (INSERT, "I"), (USER, ASSISTANT): (INSERT, "I"),
+    (ASSISTANT, START): (DELETE, None), (ASSISTANT, SYSTEM): (0, ""), (ASSISTANT, USER): (INSERT, "I"),
+}
 
 
 def symbol_matrix(symbol: str) -> Matrix:
@@ -248,9 +256,16 @@ class Joiner:
                 way = (self.ways[i][0] + cost, self.ways[i][1] + audit)
                 if j not in ways or way < ways[j]:
                     ways[j], steps[j] = way, (i, audit)
-        # a way that another one and insertions after it reach as well or better is left to that one
-        self.ways = {j: way for j, way in ways.items() if not any(
-            (other[0] + INSERTIONS[i][j][0], other[1] + str(INSERTIONS[i][j][1])) < way for i, other in ways.items() if i != j and INSERTIONS[i][j] is not None)}
+        # a way goes if another one can follow it from here on and comes out better whatever is to come
+        def beaten(j: int) -> bool:
+            for i, (cost, audit) in ways.items():
+                if i != j:
+                    more, first = FOLLOW[i, j]
+                    if cost + more < ways[j][0] or (first is not None and (cost + more, audit + first) < ways[j]):
+                        return True
+            return False
+
+        self.ways = {j: way for j, way in ways.items() if not beaten(j)}
         self.roots = {j: self.roots[steps[j][0]] if self.open else j for j in self.ways}
         self.open.append((block, steps))
         return self._settle() if len(set(self.roots.values())) == 1 else []
