@@ -3,9 +3,10 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from versio.operators.dispatch import answer_units, backoff, call_with_retry, read_answers, translate, usage_counts
+from versio.operators.dispatch import answer_units, answers, backoff, read_answers, tasks_at_once, translate, usage_counts
 from versio.plans.standins import EchoService, FlakyService
 from versio.operators.usage import usage_by_document
 from versio.session import materialize
@@ -16,13 +17,33 @@ def test_backoff_matches_reference_schedule():
     assert [backoff(n, 1.0, 4.0, 10.0) for n in range(1, 6)] == [4.0, 4.0, 4.0, 8.0, 10.0]
 
 
-def test_retry_waits_are_injected():
+def test_the_driver_waits_between_rounds(spark):
     waits = []
-    svc = FlakyService(EchoService(), lambda t: 2)
-    out = call_with_retry(svc, "x", "de", max_attempts=3, multiplier=1, wait_min=4, wait_max=10,
-                          sleep=waits.append)
-    assert out[0] == "[de] x" and out[2] == 3 and out[3] is None
-    assert waits == [4, 4]
+    svc = FlakyService(EchoService(), lambda t: 2 if t == "late" else 0)
+    out = {r.doc_id: r for r in translate(_tasks(spark, ["late", "now"]), svc, sleep=waits.append).collect()}
+    assert out[0].translated == "[de] late" and out[0].attempts == 3 and out[1].attempts == 1
+    assert len(waits) == 2 and all(0 < w <= 4.0 for w in waits)  # the time that the round took counts
+
+
+def test_only_what_failed_is_sent_again(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    class Logging(FlakyService):
+        def attempt(self, number):
+            call = super().attempt(number)
+
+            def logged(text, lang):
+                with open(log, "a") as fh:
+                    fh.write(f"{number} {text}\n")
+                return call(text, lang)
+            return logged
+
+    svc = Logging(EchoService(), lambda t: int(t[1:]) % 4)
+    out = translate(_tasks(spark, [f"t{i}" for i in range(40)]), svc, concurrency=4, sleep=lambda s: None).collect()
+    with open(log) as fh:
+        calls = sorted(fh.read().split("\n")[:-1])
+    assert calls == sorted(f"{n} t{i}" for i in range(40) for n in range(1, min(i % 4 + 1, 3) + 1))
+    assert all((r.status == "ok") == (r.doc_id % 4 < 3) and r.attempts == min(r.doc_id % 4 + 1, 3) for r in out)
 
 
 def _tasks(spark, texts):
@@ -94,8 +115,6 @@ def test_threads_per_task_give_same_answers(spark):
 
 
 def test_job_end_to_end_and_strict(spark):
-    import pytest
-
     from versio.plans.translate_job import translate_documents
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
@@ -182,20 +201,36 @@ def test_usage_never_costs_a_second_call(spark):
         calls.append(text)
         return "answer", {"prompt_tokens": Decimal("7"), "completion_tokens": object()}
 
-    got = call_with_retry(service, "x", "de", max_attempts=3, multiplier=1, wait_min=0, wait_max=0, sleep=lambda s: None)
-    assert got[0] == "answer" and got[2] == 1 and calls == ["x"]
+    [got] = answers(service, [("x", "de")], 1, None)
+    assert got[0] == "answer" and got[2] is None and calls == ["x"]
     assert usage_counts(got[1]) == (7, 0, True)
     assert usage_counts(None) == usage_counts({}) == usage_counts("many") == (0, 0, False)
     assert usage_counts({"input_tokens": 3, "output_tokens": None}) == (3, 0, True)
 
 
-def test_a_call_that_hangs_is_given_up():
+def test_a_call_that_hangs_is_given_up_and_counts_until_it_ends():
     import threading
+    import time
+
+    open_now, most, lock = 0, 0, threading.Lock()
+
+    def service(text, lang):
+        nonlocal open_now, most
+        with lock:
+            open_now += 1
+            most = max(most, open_now)
+        time.sleep(0.15 if text == "slow" else 0.01)
+        with lock:
+            open_now -= 1
+        return text, {}
 
-    never = threading.Event()
-    got = call_with_retry(lambda text, lang: never.wait(), "x", "de", max_attempts=2, multiplier=1, wait_min=0, wait_max=0,
-                          sleep=lambda s: None, timeout=0.05)
-    assert got[0] is None and got[2] == 2 and "TimeoutError" in got[3]
+    for in_flight in (1, 3):
+        most = 0
+        texts = ["a", "slow", "b", "slow", "c", "d", "e"]
+        got = list(answers(service, [(t, "de") for t in texts], in_flight, 0.1))
+        assert [g[0] for g in got] == [None if t == "slow" else t for t in texts]
+        assert all("TimeoutError" in g[2] for g, t in zip(got, texts) if t == "slow")
+        assert most <= in_flight and open_now == 0  # the last one was waited for
 
 
 def test_failed_chunks_are_sent_again_on_resume(spark):
@@ -226,10 +261,10 @@ def test_open_requests_are_capped_whatever_the_number_of_tasks(spark):
             return str(n), {}
 
     folder = tempfile.mkdtemp(prefix="versio-open-")
-    out = translate(_tasks(spark, [f"t{i}" for i in range(60)]), Watching(folder), concurrency=3, in_flight_per_task=2, partitions=8)
-    assert max(int(r.translated) for r in out.collect()) <= 3
-    plan = translate(_tasks(spark, ["x"]), EchoService(), concurrency=3)._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning(8)" in plan and "RoundRobinPartitioning(3)" not in plan
+    for in_flight in (1, 2, 3, 5):
+        out = translate(_tasks(spark, [f"t{i}" for i in range(60)]), Watching(folder), concurrency=3, in_flight_per_task=in_flight, partitions=8)
+        assert max(int(r.translated) for r in out.collect()) <= 3
+    assert (tasks_at_once(7, 2), tasks_at_once(4, 4), tasks_at_once(2, 3)) == (3, 1, 1)
 
 
 def test_a_worker_that_dies_costs_one_unit(spark):
@@ -264,7 +299,7 @@ def test_a_worker_that_dies_costs_one_unit(spark):
     if failed:  # what was not committed is at most a unit; Spark may have tried it more than once
         assert calls - first == 200 - n_done
     else:
-        assert calls == 200 or calls == 202  # the error was retried as a failed call
+        assert calls in (200, 201, 202)  # the error was retried as a failed call
 
 
 def test_unposted_and_malformed_requests(spark):

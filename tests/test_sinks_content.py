@@ -30,17 +30,67 @@ def answers(spark):
     return spark.createDataFrame(rows, "doc_id long, page_idx int, chunk_idx int, target_lang string, translated string")
 
 
-def test_export_reads_back_whatever_the_number_of_parts(spark, tmp_path):
+def files_below(folder):
+    return {os.path.relpath(os.path.join(d, f), folder) for d, _, names in os.walk(folder) for f in names if not f.endswith(".crc")}
+
+
+def test_export_is_one_file_for_each_document_and_language(spark, tmp_path):
     tr = answers(spark)
     stems = spark.createDataFrame([(1, "report"), (2, "")], "doc_id long, stem string")
-    want = {(r.doc_id, r.target_lang): (r.output_name, r.content) for r in reassemble(tr, stems).collect()}
-    assert want[1, "de"][0] == "report_de.md" and want[2, "pt"][0] == "doc_2_pt.md" and want[7, "pt"][0] == "doc_7_pt.md"
-    for n in (4, 2, 7):
+    want = {r.output_name: r.content for r in reassemble(tr, stems).collect()}
+    assert set(want) == {"report_de.md", "report_pt.md", "doc_2_de.md", "doc_2_pt.md", "doc_7_de.md", "doc_7_pt.md"}
+    for n in (4, 1, 7):
         export_markdown(tr, str(tmp_path), stems=stems, partitions=n)
-        got = {(r.doc_id, r.target_lang): (r.output_name, r.content) for r in read_markdown(spark, str(tmp_path)).collect()}
-        assert got == want
-    with pytest.raises(FileNotFoundError):
-        read_markdown(spark, str(tmp_path / "none"))
+        assert files_below(tmp_path) == set(want)
+        assert {r.output_name: r.content for r in read_markdown(spark, str(tmp_path)).collect()} == want
+        assert {f: (tmp_path / f).read_text() for f in want} == want
+    assert read_markdown(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_export_replaces_its_own_files_alone(spark, tmp_path):
+    path = "file:" + str(tmp_path)
+    tr = answers(spark)
+    export_markdown(tr, path)
+    (tmp_path / "other.md").write_text("left alone")
+    kept = (tmp_path / "doc_7_de.md").stat().st_mtime_ns
+    export_markdown(tr.where("doc_id = 1 and target_lang = 'pt'").withColumn("translated", F.lit("new")), path)
+    got = {r.output_name: r.content for r in read_markdown(spark, path).collect()}
+    assert got["doc_1_pt.md"] == "\n\n".join(["new"] * 27) and got["other.md"] == "left alone" and len(got) == 7
+    assert (tmp_path / "doc_7_de.md").stat().st_mtime_ns == kept
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    tr = answers(spark)
+    export_markdown(tr.where("doc_id = 1"), str(tmp_path))
+    before = {f: (tmp_path / f).read_text() for f in files_below(tmp_path)}
+    bad = tr.withColumn("translated", F.when((F.col("doc_id") == 7) & (F.col("page_idx") == 2), F.raise_error(F.lit("lost"))).otherwise("x"))
+    with pytest.raises(Exception, match="lost"):
+        export_markdown(bad, str(tmp_path), partitions=3)
+    assert {f: (tmp_path / f).read_text() for f in files_below(tmp_path)} == before
+
+
+def test_what_a_dead_driver_left_is_published_later(spark, tmp_path):
+    from versio.sources import named_files
+
+    rows = spark.createDataFrame([("a.md", "old")], "name string, piece string")
+    spark.dataSource.register(named_files.NamedFiles)
+    rows.write.format(named_files.FORMAT).option("run", "20200101T000000-x").mode("append").save(str(tmp_path))
+    assert read_markdown(spark, str(tmp_path)).count() == 0  # committed, but not yet under its name
+    one = spark.createDataFrame([("b.md", "1"), ("b.md", "2")], "name string, piece string").coalesce(1)
+    named_files.write_files(one, str(tmp_path))
+    assert {r.output_name: r.content for r in read_markdown(spark, str(tmp_path)).collect()} == {"a.md": "old", "b.md": "12"}
+    assert files_below(tmp_path) == {"a.md", "b.md"} and named_files.publish(spark, str(tmp_path)) == 0
+
+
+def test_documents_of_one_name(spark, tmp_path):
+    tr = answers(spark)
+    stems = spark.createDataFrame([(1, "same"), (2, "same"), (7, "a/b")], "doc_id long, stem string")
+    with pytest.raises(ValueError, match="same_"):
+        export_markdown(tr, str(tmp_path), stems=stems)
+    assert files_below(tmp_path) == set()
+    export_markdown(tr, str(tmp_path), stems=stems, clash="last")
+    got = {r.output_name: r.content for r in read_markdown(spark, str(tmp_path)).collect()}
+    assert set(got) == {"same_de.md", "same_pt.md", "a%2Fb_de.md", "a%2Fb_pt.md"} and got["same_de.md"].startswith("de 2.0.0")
 
 
 def test_pieces_in_order_are_the_document(spark):

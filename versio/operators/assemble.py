@@ -15,13 +15,12 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER, JOIN_SEPARATOR, col_of
+from versio.sources.named_files import read_files, write_files
 
 
 def ordered_join(text: str = "translated", order: tuple[str, ...] = ("page_idx", "chunk_idx"),
@@ -46,7 +45,7 @@ def reassemble(translations: DataFrame, stems: DataFrame | None = None) -> DataF
     With ``stems`` (doc_id, stem), as ``scan_files`` gives them, the output is named
     ``<stem>_<lang>.md`` (H12); a document without one, or no ``stems``, is named
     ``doc_<id>_<lang>.md``. Names need not be unique (X19): documents of different folders
-    may share a stem, so tables keep ``doc_id`` and ``export_markdown`` writes a folder each."""
+    may share a stem, so tables keep ``doc_id``."""
     own = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     done = translations.groupBy("doc_id", "target_lang").agg(ordered_join().alias("content"))
     if stems is not None:
@@ -90,56 +89,45 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return joined.where(F.col("version").cast("string") == F.col("__newest")).drop("version", "__newest")
 
 
-def export_markdown(translations: DataFrame, path: str, *, stems: DataFrame | None = None,
-                    partitions: int | None = None) -> None:
-    """K1: the documents as UTF-8 files of Spark's text writer, so ``path`` may be in any store.
-
-    A document has the folder ``doc_id=<id>/target_lang=<lang>/output_name=<name>``; its part files,
-    in the order of their numbers, are its content and a final line feed. A task
-    holds what it writes of one document, which for a large one is a range of its chunks. Each call writes a folder of its own below ``path``, which counts
-    once it is complete, so an earlier call leaves nothing behind in a later one. Expects complete
-    translations (chunk (0, 0) of every document)."""
-    own = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    named = translations
+def file_name(stems: DataFrame | None, translations: DataFrame) -> DataFrame:
+    """``translations`` with ``output_name``, the file's stem and language (H12); a document without a stem is
+    named by its id. A name is one path component: a slash in it is written %2F."""
+    own, named = F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), translations
     if stems is not None:
         named = translations.join(stems.select("doc_id", F.nullif("stem", F.lit("")).alias("__stem")), "doc_id", "left")
         own = F.coalesce("__stem", own)
-    # the writer ends each row with a line feed; one more makes the separator of two line feeds
-    first = (F.col("page_idx") == 0) & (F.col("chunk_idx") == 0)
-    piece = F.concat(F.when(first, "").otherwise("\n"), F.coalesce("translated", F.lit(FAILED_MARKER)))
-    order = ["doc_id", "target_lang", "output_name", "page_idx", "chunk_idx"]
-    rows = named.withColumn("output_name", output_name(own, "target_lang")).select(*order, piece.alias("piece"))
-    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    parts = ranged.sortWithinPartitions(*order).select(*order[:3], "piece")
-
-    def one_row_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What the task has of each document as one row: the partitioned writer sorts rows by folder,
-        which need not keep the order of several."""
-        held, document = [], None
-        for pdf in batches:
-            for *own, piece in pdf.itertuples(index=False, name=None):
-                if own != document and held:
-                    yield pd.DataFrame([[*document, "\n".join(held)]], columns=pdf.columns)
-                    held = []
-                document = own
-                held.append(piece)
-        if held:
-            yield pd.DataFrame([[*document, "\n".join(held)]], columns=[*order[:3], "piece"])
-
-    joined = parts.mapInPandas(one_row_each, parts.schema)
-    joined.write.partitionBy(*order[:3]).text(f"{path.rstrip('/')}/run={_version()}")
+    return named.withColumn("output_name", F.replace(output_name(own, "target_lang"), F.lit("/"), F.lit("%2F"))).drop("__stem")
+
+
+def export_markdown(translations: DataFrame, path: str, *, stems: DataFrame | None = None, partitions: int | None = None,
+                    clash: str = "fail") -> None:
+    """K1: one UTF-8 file ``{stem}_{lang}.md`` per document and language in the folder ``path`` of any store.
+
+    A file of the same name is replaced, no other is touched; a failed run leaves nothing (see
+    ``sources.named_files``). A file is written chunk by chunk in one task, so its size is bounded by the store
+    alone. Documents of different folders may have one name (X19): ``clash="fail"`` refuses them before anything
+    is written, ``clash="last"`` keeps the document with the largest id, as runs one after the other would.
+    """
+    if clash not in ("fail", "last"):
+        raise ValueError("clash is 'fail' or 'last'")
+    named = file_name(stems, translations)
+    names = named.groupBy("output_name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("target_lang").alias("lang"))
+    shared = names.where("first <> last")
+    if clash == "fail":
+        some = [r.output_name for r in shared.select("output_name").take(5)]
+        if some:
+            raise ValueError(f"several documents have one file name, such as {some}")
+    else:  # a document that holds a shared name is the last one, or goes; most hold a name of their own
+        kept = names.select(F.col("last").alias("doc_id"), F.col("lang").alias("target_lang"))
+        named = named.join(kept, ["doc_id", "target_lang"], "left_semi")
+    opening = (F.col("page_idx") == 0) & (F.col("chunk_idx") == 0)
+    piece = F.concat(F.when(opening, "").otherwise(JOIN_SEPARATOR), F.coalesce("translated", F.lit(FAILED_MARKER)))
+    order = ["output_name", "page_idx", "chunk_idx"]
+    rows = named.select(*order, piece.alias("piece"))
+    dealt = rows.repartition(partitions, "output_name") if partitions else rows.repartition("output_name")
+    write_files(dealt.sortWithinPartitions(*order).select("output_name", "piece"), path)
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, target_lang, output_name, content) of the newest complete export below ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/run=*/_SUCCESS")
-    runs = sorted(str(f.getPath().getParent()) for f in fs.globStatus(done))
-    if not runs:
-        raise FileNotFoundError(f"no complete export below {path}")
-    parts = spark.read.text(runs[-1], wholetext=True)
-    number = F.regexp_extract("_metadata.file_name", r"^part-([0-9]+)", 1).cast("bigint")
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "value"))), lambda p: p["value"]), "")
-    joined = parts.withColumn("number", number).groupBy("doc_id", "target_lang", "output_name").agg(whole.alias("__text"))
-    return joined.select("doc_id", "target_lang", "output_name", F.expr("substring(__text, 1, length(__text) - 1)").alias("content"))
+    """(output_name, content) of every file of ``export_markdown`` in the folder ``path``."""
+    return read_files(spark, path).withColumnRenamed("name", "output_name")

@@ -1,49 +1,49 @@
 """Dispatch of translation requests.
 
 A service is any picklable callable ``(text, target_lang) -> (text, usage)``
-where ``usage`` is a dict in one of the providers' key styles (or ``{}``).
-``translate`` runs it inside ``mapInPandas``:
-
-* the number of partitions follows the data (``partitions``, default the
-  session's shuffle partitions), never the cap on open requests;
-* in-flight cap: a request is sent while its task holds one of ``concurrency``
-  locks of its machine, so at most that many are open on each machine
-  whatever the number of tasks; ``in_flight_per_task`` threads may wait for
-  answers in one task. The lock files hold no data and are freed by the
-  system if a worker dies;
-* retry: up to ``max_attempts`` calls per chunk with exponential wait
-  ``clamp(multiplier * 2**(attempt-1), wait_min, wait_max)`` via an injected
-  ``sleep``; a call that takes longer than ``timeout`` seconds counts as
-  failed. Reading the reply's text belongs to the call and is retried, its
-  usage is read afterwards: an answer that was paid for is never sent again
-  because of its usage. An exhausted chunk gets the failure marker, zero usage
-  and the last error, and the rest of the document goes on;
+where ``usage`` is a dict in one of the providers' key styles (or ``{}``). A
+service with a method ``attempt(n)`` is asked for the callable of each row's
+attempt. Requests are sent in rounds, a Spark job each:
+
+* cap: a round has ``concurrency // in_flight_per_task`` tasks, each with at most
+  ``in_flight_per_task`` requests open, so at most ``concurrency`` are open in the
+  whole cluster however many machines it has. With a ``ResourceProfile`` (stage-level
+  scheduling, where the cluster has it) Spark's task slots are the cap instead and the
+  number of tasks may follow the data. A call that was given up after ``timeout``
+  seconds keeps its place until it ends;
+* retry: up to ``max_attempts`` calls per chunk. A round does not wait: a row that
+  failed comes back with the time when it is due, after
+  ``clamp(multiplier * 2**(attempt-1), wait_min, wait_max)`` seconds, and goes with
+  the first round from then on, together with rows that are new. Only the driver
+  waits, when nothing else is left to send. Reading the reply's text belongs to the
+  call and is retried, its usage is read afterwards: an answer that was paid for is
+  never sent again because of its usage. An exhausted chunk gets the failure marker,
+  zero usage and the last error, and the rest of the document goes on;
+* each round is a written table, so later consumers never send anything again;
 * keys travel with each row, so completion order does not matter;
 * ``resume_from`` leaves out chunks that were answered (status ``ok``); failed
   ones are sent again.
 
 ``answer_units`` commits answers in small units, so that a run that dies loses
-at most the calls of one unit.
+at most the calls of one unit; retries of a unit go with the units after it.
 """
 
 from __future__ import annotations
 
-import fcntl
-import os
-import tempfile
 import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER
-from versio.functions.worker import worker_state
 from versio.session import ensure_checkpoint_dir
 from versio.sources.dimensions import (
     DEFAULT_CONCURRENCY,
@@ -64,58 +64,42 @@ def backoff(attempt: int, multiplier: float, wait_min: float, wait_max: float) -
     return min(max(multiplier * 2 ** (attempt - 1), wait_min), wait_max)
 
 
-def _slot_files(slots: int) -> list[int]:
-    """This thread's descriptors of the machine's lock files, opened once."""
-    kept, key = worker_state("lock files"), (os.getpid(), threading.get_ident(), slots)
-    if key not in kept:
-        folder = os.path.join(tempfile.gettempdir(), f"versio-open-requests-{slots}")
-        os.makedirs(folder, exist_ok=True)
-        kept[key] = [os.open(os.path.join(folder, str(k)), os.O_CREAT | os.O_RDWR) for k in range(slots)]
-    return kept[key]
+def answers(call: Callable, rows: Iterable[tuple], in_flight: int, timeout: float | None) -> Iterator[tuple]:
+    """(answer | None, usage, error | None) of ``call(*row)`` for each row, in order, with at most ``in_flight`` calls
+    open. A call that takes longer than ``timeout`` seconds is given up; it counts as open until it ends, and the
+    last ones are waited for, ``timeout`` seconds more at most."""
+    free, pool = threading.Semaphore(in_flight), ThreadPoolExecutor(in_flight)
 
-
-@contextmanager
-def machine_slot(slots: int, poll: float = 0.005) -> Iterator[None]:
-    """Hold one of this machine's ``slots`` locks while a request is open."""
-    files = _slot_files(slots)
-    at = threading.get_native_id()
-    while True:
-        for _ in range(slots):
-            fd = files[at % slots]
-            try:
-                fcntl.flock(fd, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except BlockingIOError:
-                at += 1
-                continue
-            try:
-                yield
-            finally:
-                fcntl.flock(fd, fcntl.LOCK_UN)
-            return
-        time.sleep(poll)
-
-
-def in_time(call: Callable[[], tuple], timeout: float | None) -> tuple:
-    """``call()``, given up after ``timeout`` seconds (its thread is left behind)."""
-    if not timeout:
-        return call()
-    box: list = []
-
-    def run() -> None:
+    def guarded(row: tuple) -> tuple:
         try:
-            box.append((call(), None))
-        except BaseException as exc:
-            box.append((None, exc))
+            out, usage = call(*row)
+            if out is None:
+                raise ValueError("reply has no text")
+            return out, usage, None
+        except Exception as exc:  # every error is retried, as in the reference
+            return None, None, f"{type(exc).__name__}: {exc}"
+        finally:
+            free.release()
 
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(timeout)
-    if not box:
-        raise TimeoutError(f"no reply within {timeout:g} s")
-    out, exc = box[0]
-    if exc is not None:
-        raise exc
-    return out
+    def outcome(begun: float, future: Future) -> tuple:
+        try:
+            return future.result(None if not timeout else max(0.0, begun + timeout - time.monotonic()))
+        except TimeoutError:
+            return None, None, f"TimeoutError: no reply within {timeout:g} s"
+
+    waiting: deque = deque()
+    try:
+        for row in rows:
+            if len(waiting) == in_flight:
+                yield outcome(*waiting.popleft())
+            free.acquire()
+            waiting.append((time.monotonic(), pool.submit(guarded, row)))
+        while waiting:
+            yield outcome(*waiting.popleft())
+        for _ in range(in_flight):
+            free.acquire(timeout=timeout or None)
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
 def usage_counts(usage: object) -> tuple[int, int, bool]:
@@ -135,74 +119,93 @@ def usage_counts(usage: object) -> tuple[int, int, bool]:
     return p or 0, c or 0, p is not None or c is not None
 
 
-def call_with_retry(service: Service, text: str, lang: str, *, max_attempts: int, multiplier: float,
-                    wait_min: float, wait_max: float, sleep: Callable[[float], None],
-                    timeout: float | None = None, slots: int | None = None) -> tuple:
-    """-> (answer | None, usage, attempts, error | None)."""
-    last = None
-    for attempt in range(1, max_attempts + 1):
-        try:
-            if slots:
-                with machine_slot(slots):
-                    out, usage = in_time(lambda: service(text, lang), timeout)
-            else:
-                out, usage = in_time(lambda: service(text, lang), timeout)
-            if out is None:
-                raise ValueError("reply has no text")
-            return out, usage, attempt, None
-        except Exception as exc:  # every error is retried, as in the reference
-            last = exc
-            if attempt < max_attempts:
-                sleep(backoff(attempt, multiplier, wait_min, wait_max))
-    return None, None, max_attempts, f"{type(last).__name__}: {last}"
-
-
-def _dispatch(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str],
-              carry: Sequence[str], *, in_flight_per_task: int, opts: dict, partitions: int | None,
-              langs: Sequence[str] | None = None) -> DataFrame:
-    """Run ``call(args[0], args[1]) -> (answer, usage)`` with retry for every row of ``todo``
-    -> carry + answer, attempts, error, prompt_tokens, completion_tokens, usage_reported.
-    With ``langs``, ``todo`` has no ``args[1]`` column: each row is sent once per language
-    and ``args[1]`` is added to the output, so the exchange moves every text once however
-    many languages there are."""
+def tasks_at_once(concurrency: int, in_flight_per_task: int) -> int:
+    """Tasks of a round: with so many, at most ``concurrency`` requests are open."""
+    return max(1, concurrency // in_flight_per_task)
+
+
+def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], *, langs: Sequence[str] | None,
+          max_attempts: int, wait: tuple[float, float, float], timeout: float | None, in_flight_per_task: int, partitions: int,
+          profile: ResourceProfile | None) -> DataFrame:
+    """One call for every row of ``todo`` (carry, args, attempt) -> carry + answer, attempts, error, prompt_tokens,
+    completion_tokens, usage_reported, due, held.
+
+    ``due`` is the time (seconds) from which a failed row may be sent again and ``held`` what is sent then; both
+    are null for answers and for rows out of attempts. A row whose ``args[1]`` is null is sent once for each of
+    ``langs``, so the exchange moves every text once however many languages there are."""
     types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
-    if langs is not None:
-        types[args[1]] = "string"
     schema = ", ".join(f"{c} {types[c]}" for c in carry) + (
         ", answer string, attempts int, error string, prompt_tokens bigint, completion_tokens bigint, "
-        "usage_reported boolean")
-    carry = list(carry)
-    langs = list(langs) if langs is not None else None
+        "usage_reported boolean, due double, held string")
+    carry, langs, first = list(carry), list(langs or ()), args[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(in_flight_per_task) if in_flight_per_task > 1 else None
-        try:
-            for pdf in batches:
-                if langs is not None:
-                    n = len(pdf)
-                    pdf = pdf.loc[pdf.index.repeat(len(langs))].reset_index(drop=True)
-                    pdf[args[1]] = langs * n
-                pairs = list(zip(pdf[args[0]], pdf[args[1]]))
-
-                def one(pair):
-                    return call_with_retry(call, pair[0], pair[1], **opts)
-
-                res = list(pool.map(one, pairs)) if pool else [one(p) for p in pairs]
-                counts = [usage_counts(r[1]) for r in res]
-                out = pdf[carry].copy()
-                out["answer"] = [r[0] for r in res]
-                out["attempts"] = [r[2] for r in res]
-                out["error"] = [r[3] for r in res]
-                out["prompt_tokens"] = [c[0] for c in counts]
-                out["completion_tokens"] = [c[1] for c in counts]
-                out["usage_reported"] = [c[2] for c in counts]
-                yield out
-        finally:
-            if pool:
-                pool.shutdown()
-
-    n = int(partitions or todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return todo.repartition(n).mapInPandas(run, schema)
+        at = getattr(call, "attempt", None)
+
+        def one(attempt: int, text: str, other: str) -> tuple:
+            return (at(attempt) if at else call)(text, other)
+
+        for pdf in batches:
+            if langs and pdf[args[1]].isna().any():
+                new = pdf[pdf[args[1]].isna()]
+                each = new.loc[new.index.repeat(len(langs))]
+                each[args[1]] = langs * len(new)
+                pdf = pd.concat([pdf[pdf[args[1]].notna()], each], ignore_index=True)
+            got = list(answers(one, zip(pdf["attempt"].tolist(), pdf[first], pdf[args[1]], strict=True), in_flight_per_task, timeout))
+            now = time.time()
+            again = [e is not None and n < max_attempts for (_, _, e), n in zip(got, pdf["attempt"], strict=True)]
+            counts = [usage_counts(u) for _, u, _ in got]
+            out = pdf[carry].copy()
+            out["answer"] = [a for a, _, _ in got]
+            out["attempts"] = pdf["attempt"].astype("int32").to_numpy()
+            out["error"] = [e for _, _, e in got]
+            out["prompt_tokens"], out["completion_tokens"], out["usage_reported"] = ([c[k] for c in counts] for k in range(3)) if len(pdf) else ([], [], [])
+            out["due"] = [now + backoff(int(n), *wait) if x else None for x, n in zip(again, pdf["attempt"], strict=True)]
+            out["held"] = [t if x else None for x, t in zip(again, pdf[first], strict=True)]
+            yield out
+
+    return todo.repartition(partitions).mapInPandas(run, schema, profile=profile)
+
+
+def _rounds(units: Iterable[DataFrame], call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], folder: Callable[[int], str], *,
+            langs: Sequence[str] | None = None, concurrency: int = DEFAULT_CONCURRENCY, in_flight_per_task: int = 1, partitions: int | None = None,
+            profile: ResourceProfile | None = None, max_attempts: int = MAX_ATTEMPTS, wait_multiplier: float = WAIT_MULTIPLIER,
+            wait_min: float = WAIT_MIN_S, wait_max: float = WAIT_MAX_S, timeout: float | None = REQUEST_TIMEOUT_S,
+            sleep: Callable[[float], None] = time.sleep, finish: Callable[[DataFrame], DataFrame] = lambda table: table) -> list[str]:
+    """Send ``units`` (carry and args) and what failed of them, round by round; round k is the Parquet table
+    ``folder(k)``. Returns the folders."""
+    in_flight_per_task = min(in_flight_per_task, concurrency)
+    at_once = tasks_at_once(concurrency, in_flight_per_task)
+    n = partitions or at_once if profile is not None else min(partitions or at_once, at_once)
+    fresh, waiting, paths = iter(units), [], []  # waiting: (time from which all its rows may be sent, rows)
+    columns = list(dict.fromkeys([*carry, *args]))
+    skipped = 0.0  # what an injected sleep did not wait
+    while True:
+        unit = next(fresh, None)
+        now = time.time() + skipped
+        if unit is None:
+            if not waiting:
+                return paths
+            first = min(due for due, _ in waiting)
+            if first > now:
+                sleep(first - now)
+                skipped = max(skipped, first - time.time())
+                now = first
+        batch = [rows for due, rows in waiting if due <= now]
+        waiting = [x for x in waiting if x[0] > now]
+        if unit is not None:
+            batch.insert(0, unit.withColumn("attempt", F.lit(1)).select(*columns, "attempt"))
+        todo = reduce(DataFrame.unionByName, batch)
+        raw = _send(todo, call, args, carry, langs=langs, max_attempts=max_attempts, wait=(wait_multiplier, wait_min, wait_max), timeout=timeout,
+                    in_flight_per_task=in_flight_per_task, partitions=n, profile=profile)
+        paths.append(folder(len(paths)))
+        raw = finish(raw)
+        raw.write.parquet(paths[-1])
+        table = todo.sparkSession.read.schema(raw.schema).parquet(paths[-1]).where("due is not null")
+        due = table.agg(F.max("due")).first()[0]
+        if due is not None:
+            again = table.withColumnRenamed("held", args[0]) if args[0] not in carry else table
+            waiting.append((due, again.withColumn("attempt", F.col("attempts") + 1).select(*columns, "attempt")))
 
 
 def unanswered(tasks: DataFrame, answers: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -219,45 +222,44 @@ def translate(
     text_col: str = "chunk",
     lang_col: str = "target_lang",
     keys: Sequence[str] = DEFAULT_KEYS,
-    concurrency: int = DEFAULT_CONCURRENCY,
-    in_flight_per_task: int = 1,
-    partitions: int | None = None,
-    max_attempts: int = MAX_ATTEMPTS,
-    wait_multiplier: float = WAIT_MULTIPLIER,
-    wait_min: float = WAIT_MIN_S,
-    wait_max: float = WAIT_MAX_S,
-    timeout: float | None = REQUEST_TIMEOUT_S,
-    sleep: Callable[[float], None] = time.sleep,
     resume_from: DataFrame | None = None,
     keep_text: bool = False,
     langs: Sequence[str] | None = None,
+    **options,
 ) -> DataFrame:
     """tasks(keys, target_lang, chunk) -> translations(keys, target_lang, translated,
     status, attempts, error, prompt_tokens, completion_tokens, usage_reported).
 
-    ``concurrency`` caps the open requests of each machine. ``langs`` sends every task
-    once per listed language instead (tasks then need no language column): the chunk text
-    crosses the exchange once, not once per language. With ``resume_from`` the languages
-    are expanded before the anti join. ``keep_text`` also carries the source text through,
-    so checks that read source and answer together need no join back to the chunks."""
+    The requests are sent by this call, and the result is read from the written tables of the
+    rounds. ``langs`` sends every task once per listed language (tasks then need no language
+    column): the chunk text crosses the exchange once, not once per language. With
+    ``resume_from`` the languages are expanded before the anti join. ``keep_text`` also carries
+    the source text through, so checks that read source and answer together need no join back
+    to the chunks. Options are those of the rounds: ``concurrency``, ``in_flight_per_task``,
+    ``partitions``, ``profile``, ``max_attempts``, ``wait_multiplier``, ``wait_min``,
+    ``wait_max``, ``timeout``, ``sleep``."""
     keys = list(keys)
     if langs is not None and resume_from is not None:
         tasks = tasks.withColumn(lang_col, F.explode(F.array(*[F.lit(x) for x in langs])))
         langs = None
     if langs is not None:
-        todo = tasks.select(*keys, text_col)
+        todo = tasks.select(*keys, F.lit(None).cast("string").alias(lang_col), text_col)
     else:
         todo = unanswered(tasks.select(*keys, lang_col, text_col), resume_from, [*keys, lang_col])
 
+    spark, base = tasks.sparkSession, _scratch(tasks.sparkSession, "answers")
     carry = [*keys, lang_col] + ([text_col] if keep_text else [])
-    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min, wait_max=wait_max,
-                sleep=sleep, timeout=timeout, slots=int(concurrency))
-    raw = _dispatch(todo, service, (text_col, lang_col), carry, in_flight_per_task=in_flight_per_task, opts=opts,
-                    partitions=partitions, langs=langs).withColumnRenamed("answer", "translated")
+    paths = _rounds([todo], service, (text_col, lang_col), carry, lambda k: f"{base}/round={k}", langs=langs, **options)
+    raw = spark.read.parquet(*paths).where("due is null").withColumnRenamed("answer", "translated")
     return normalise(raw, keys=carry)
 
 
-def normalise(raw: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+def _scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def normalise(raw: DataFrame, *, keys: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
     """Failure marker and zero usage on failure."""
     ok = F.col("translated").isNotNull()
     zero = F.lit(0).cast("bigint")
@@ -270,6 +272,7 @@ def normalise(raw: DataFrame, *, keys: Sequence[str]) -> DataFrame:
         F.when(ok, F.col("prompt_tokens")).otherwise(zero).alias("prompt_tokens"),
         F.when(ok, F.col("completion_tokens")).otherwise(zero).alias("completion_tokens"),
         (ok & F.col("usage_reported")).alias("usage_reported"),
+        *also,
     )
 
 
@@ -280,11 +283,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_answers(spark: SparkSession, sink: str, keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang")) -> DataFrame | None:
     """The answers in a sink of ``answer_units``, one row per key: an ``ok`` row if there is one,
-    else the latest. None if nothing was written yet."""
+    else the latest attempt. None if nothing was written yet."""
     if not _exists(spark, sink):
         return None
-    rows = spark.read.option("basePath", sink).parquet(sink)
-    best = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(F.col("status") == "ok", F.col("run").cast("string")))
+    rows = spark.read.option("basePath", sink).parquet(sink).drop("due", "held")
+    latest = F.struct(F.col("status") == "ok", F.col("run").cast("string"), "attempts")
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), latest)
     return rows.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*").drop("run", "unit", "batch_id")
 
 
@@ -293,7 +297,8 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     """Answer ``tasks`` into the Parquet folder ``sink`` in units of about ``unit_rows`` requests, each
     committed as a folder of its own before the next is sent, and return ``read_answers``.
 
-    What ``sink`` holds with status ``ok`` is not sent again, whichever run wrote it; failed chunks are.
+    What ``sink`` holds with status ``ok`` is not sent again, whichever run wrote it; failed chunks are. A row
+    that is to be tried again stands in the sink as failed, until a later unit has its next attempt.
     Pending requests are written to the shared checkpoint folder once, ordered by a hash of their keys; a
     unit is a range of it, so reading one skips the files of the others.
     """
@@ -302,7 +307,7 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
         tasks = tasks.withColumn(lang_col, F.explode(F.array(*[F.lit(x) for x in langs])))
     every = [*keys, lang_col]
     todo = unanswered(tasks.select(*every, text_col), read_answers(spark, sink, every), every)
-    pending = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pending-{uuid.uuid4().hex}"
+    pending = _scratch(spark, "pending")
     # buckets are finer than units, whose number is known only once the pending requests are written
     files, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20
     todo = todo.withColumn("bucket", F.pmod(F.xxhash64(*every), F.lit(buckets)))
@@ -311,31 +316,20 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     todo = spark.read.schema(todo.schema).parquet(pending)
     units = -(-todo.count() // unit_rows)
     run = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
-    for k in range(units):  # a job for each unit
-        part = todo.where(F.col("bucket").between(k * buckets // units, (k + 1) * buckets // units - 1)).drop("bucket")
-        translate(part, service, keys=keys, lang_col=lang_col, text_col=text_col, **options).write.parquet(f"{sink}/run={run}/unit={k}")
+    parts = (todo.where(F.col("bucket").between(k * buckets // units, (k + 1) * buckets // units - 1)).drop("bucket") for k in range(units))
+
+    def finish(raw: DataFrame) -> DataFrame:
+        return normalise(raw.withColumnRenamed("answer", "translated"), keys=every, also=("due", "held"))
+
+    _rounds(parts, service, (text_col, lang_col), every, lambda k: f"{sink}/run={run}/unit={k}", finish=finish, **options)
     return read_answers(spark, sink, every)
 
 
-def send_requests(
-    requests: DataFrame,
-    post: Callable[[str, str], str],
-    *,
-    keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang"),
-    concurrency: int = DEFAULT_CONCURRENCY,
-    in_flight_per_task: int = 1,
-    partitions: int | None = None,
-    max_attempts: int = MAX_ATTEMPTS,
-    wait_multiplier: float = WAIT_MULTIPLIER,
-    wait_min: float = WAIT_MIN_S,
-    wait_max: float = WAIT_MAX_S,
-    timeout: float | None = REQUEST_TIMEOUT_S,
-    sleep: Callable[[float], None] = time.sleep,
-) -> DataFrame:
+def send_requests(requests: DataFrame, post: Callable[[str, str], str], *, keys: Sequence[str] = (*DEFAULT_KEYS, "target_lang"), **options) -> DataFrame:
     """Table-driven dispatch: requests(keys, provider, body) from ``build_requests``
     -> responses(keys, provider, reply_style, body, attempts, error).
 
-    ``post(provider, body_json) -> reply_json`` is the caller's transport; cap and retry
+    ``post(provider, body_json) -> reply_json`` is the caller's transport; cap, rounds and options
     are those of ``translate``, and a reply that does not read as one of the provider's is
     retried like an error. A row without a body (its provider is unknown) is not posted: it
     comes back with 0 attempts and the error ``not sent``. Read the replies with
@@ -343,10 +337,8 @@ def send_requests(
     from versio.operators.services import check_reply
     from versio.sources import dimensions as dims
 
-    keys = list(keys)
+    keys, spark = list(keys), requests.sparkSession
     todo = requests.select(*keys, "provider", F.col("body").alias("request_body"))
-    opts = dict(max_attempts=max_attempts, multiplier=wait_multiplier, wait_min=wait_min, wait_max=wait_max,
-                sleep=sleep, timeout=timeout, slots=int(concurrency))
 
     def call(body: str, provider: str) -> tuple:
         reply = post(provider, body)
@@ -354,10 +346,11 @@ def send_requests(
         return reply, {}
 
     sent = todo.where(F.col("request_body").isNotNull())
-    raw = _dispatch(sent, call, ("request_body", "provider"), [*keys, "provider"], in_flight_per_task=in_flight_per_task,
-                    opts=opts, partitions=partitions).select(*keys, "provider", F.col("answer").alias("body"), "attempts", "error")
+    base = _scratch(spark, "replies")
+    paths = _rounds([sent], call, ("request_body", "provider"), [*keys, "provider"], lambda k: f"{base}/round={k}", **options)
+    raw = spark.read.parquet(*paths).where("due is null").select(*keys, "provider", F.col("answer").alias("body"), "attempts", "error")
     held = todo.where(F.col("request_body").isNull()).select(
         *keys, "provider", F.lit(None).cast("string").alias("body"), F.lit(0).alias("attempts"), F.lit("not sent").alias("error"))
-    styles = dims.providers(requests.sparkSession).select(F.col("provider").alias("__p"), "reply_style")
+    styles = dims.providers(spark).select(F.col("provider").alias("__p"), "reply_style")
     return (raw.union(held).join(styles, F.col("provider") == F.col("__p"), "left")
             .select(*keys, "provider", "reply_style", "body", "attempts", "error"))

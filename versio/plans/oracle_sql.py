@@ -141,9 +141,10 @@ def marked_cte(name: str = "md") -> str:
 
 def uneven_cte(name: str = "ud") -> str:
     return f"""{name} AS (
-  SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN ' ' || {NL} || chr(9)
-                 WHEN 2 THEN {SUFFIX_SQL} || {SUFFIX_SQL} WHEN 3 THEN '' ELSE text END AS text
-  FROM documents
+  SELECT doc_id, text FROM documents
+  UNION ALL
+  SELECT -1 - doc_id, CASE doc_id % 9 WHEN 1 THEN ' ' || {NL} || chr(9) WHEN 2 THEN {SUFFIX_SQL} || {SUFFIX_SQL} WHEN 3 THEN '' END
+  FROM documents WHERE doc_id % 9 < 4
 )"""
 
 
@@ -366,11 +367,13 @@ FROM pg LEFT JOIN (SELECT doc_id, page_idx, count(*) AS n FROM ck GROUP BY doc_i
         f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
 
     dm, prov, styles, known = _models_sql()
+    third = "((d.doc_id % 3) + 3) % 3 = 0"
+    once_more = "rd AS (SELECT doc_id, text, lang FROM documents UNION ALL SELECT -1 - doc_id, text, 'xx' FROM documents WHERE doc_id % 7 = 0)"
     routed = f"""rt AS (
   SELECT d.doc_id, r.target_lang,
-         lower(CASE WHEN d.doc_id % 3 = 0 AND r.provider IS NOT NULL THEN {pick(PROVIDER_CHOICES, "d.doc_id")} ELSE r.provider END) AS provider,
-         CASE WHEN d.doc_id % 3 = 0 THEN {pick(MODEL_CHOICES, "d.doc_id")} ELSE '' END AS asked
-  FROM documents d LEFT JOIN (VALUES ('en', 'pt', 'deepseek'), ('fr', 'en', 'OpenAI'), ('de', 'en', 'anthropic')) r(lang, target_lang, provider)
+         lower(CASE WHEN {third} AND r.provider IS NOT NULL THEN {pick(PROVIDER_CHOICES, "d.doc_id")} ELSE r.provider END) AS provider,
+         CASE WHEN {third} THEN {lit_list(MODEL_CHOICES)}[((d.doc_id % 4) + 4) % 4 + 1] ELSE '' END AS asked
+  FROM rd d LEFT JOIN (VALUES ('en', 'pt', 'deepseek'), ('fr', 'en', 'OpenAI'), ('de', 'en', 'anthropic'), ('es', 'en', 'gemini')) r(lang, target_lang, provider)
     ON d.lang = r.lang
 ),
 rm AS (
@@ -384,7 +387,7 @@ rq AS (
   FROM ck JOIN rm ON ck.doc_id = rm.doc_id
 )"""
     system = SYSTEM_PROMPT.replace("'", "''")
-    o["build_requests"] = with_(*doc_chunks(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider, model,
+    o["build_requests"] = with_(once_more, split_pages_cte("rd"), chunks_cte(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider, model,
   status, request_style, ask AS "user", 0.0::DOUBLE AS temperature, CAST(8000 AS INTEGER) AS max_tokens,
   CASE WHEN request_style IS NOT NULL THEN model END AS body_model,
   CASE WHEN request_style IS NOT NULL THEN ask END AS body_user,
@@ -394,7 +397,7 @@ rq AS (
 FROM rq"""
     out = "'[' || target_lang || '] ' || chunk"
     counted = "request_style IS NOT NULL AND provider <> 'gemini'"
-    o["send_requests"] = with_(*doc_chunks(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider,
+    o["send_requests"] = with_(once_more, split_pages_cte("rd"), chunks_cte(2000), routed) + f"""SELECT doc_id, page_idx, chunk_idx, target_lang, provider,
   CASE WHEN request_style IS NOT NULL THEN {out} END AS translated,
   CASE WHEN request_style IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
   CASE WHEN request_style IS NOT NULL THEN 1 ELSE 0 END::INTEGER AS attempts,

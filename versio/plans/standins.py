@@ -36,12 +36,12 @@ def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uneven_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) - the documents, some of them NULL, blank, or page markers alone."""
-    shapes = [F.lit(None).cast("string"), F.lit(" \n\t"), F.lit(PAGE_SUFFIX + PAGE_SUFFIX), F.lit("")]
-    text, k = F.col("text"), F.pmod(F.col("doc_id"), F.lit(9))
-    for n, shape in enumerate(shapes):
-        text = F.when(k == n, shape).otherwise(text)
-    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    """(doc_id, text) - every document, and for four of nine one more that is NULL, blank, page markers
+    alone, or empty, under the id -1 - doc_id."""
+    k = F.pmod(F.col("doc_id"), F.lit(9))
+    text = F.when(k == 1, " \n\t").when(k == 2, PAGE_SUFFIX + PAGE_SUFFIX).when(k == 3, "")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return docs.union(docs.where(k < 4).select(-1 - F.col("doc_id"), text))
 
 
 def edge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Target language and provider per source language (a routing table; other languages have no route).
-ROUTES = [("en", "pt", "deepseek"), ("fr", "en", "OpenAI"), ("de", "en", "anthropic")]
+ROUTES = [("en", "pt", "deepseek"), ("fr", "en", "OpenAI"), ("de", "en", "anthropic"), ("es", "en", "gemini")]
 
 
 def routes(spark: SparkSession) -> DataFrame:
@@ -132,9 +132,12 @@ def routes(spark: SparkSession) -> DataFrame:
 
 
 def routed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, target_lang, provider, model) - documents with the route of their language, or
-    none, and for every third one the provider and model that ``model_specs`` asks for."""
-    d = documents(spark, sf_dir).join(routes(spark), "lang", "left")
+    """(doc_id, text, target_lang, provider, model) - documents with the route of their language, and for
+    every third one the provider and model that ``model_specs`` asks for. Every seventh document comes once
+    more under the id -1 - doc_id, in a language without a route."""
+    d = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    d = d.union(d.where(F.pmod("doc_id", F.lit(7)) == 0).select(-1 - F.col("doc_id"), "text", F.lit("xx")))
+    d = d.join(routes(spark), "lang", "left")
     own = F.pmod(F.col("doc_id"), F.lit(3)) == 0
     pick = lambda xs, m: F.element_at(F.array(*[F.lit(x) for x in xs]),
                                       (F.pmod(F.col("doc_id"), F.lit(m)) + 1).cast("int"))
@@ -183,24 +186,21 @@ class EchoService:
 
 
 class FlakyService:
-    """Fails the first ``failures(text)`` calls for a text, then answers like
-    ``base``. A script longer than ``max_attempts`` ends after that many
-    failures (the dispatcher gives up), so a repeated text starts afresh.
-    Keep one request in flight per task when using it (the counter is local)."""
+    """Fails the first ``failures(text)`` attempts for a text, then answers like ``base``."""
+
+    def __init__(self, base: Callable, failures: Callable[[str], int]):
+        self.base, self.failures = base, failures
 
-    def __init__(self, base: Callable, failures: Callable[[str], int], max_attempts: int = dims.MAX_ATTEMPTS):
-        self.base, self.failures, self.max_attempts = base, failures, max_attempts
-        self._calls: dict = {}
+    def attempt(self, number: int) -> Callable:
+        """The service as it is at a text's attempt ``number`` (from 1)."""
+        def call(text: str, lang: str) -> tuple:
+            if number <= self.failures(text):
+                raise RuntimeError(f"service unavailable (failing call {number})")
+            return self.base(text, lang)
+        return call
 
     def __call__(self, text: str, lang: str) -> tuple:
-        key = (text, lang)
-        seen = self._calls.get(key, 0)
-        if seen < self.failures(text):
-            seen += 1
-            self._calls[key] = 0 if seen >= self.max_attempts else seen
-            raise RuntimeError(f"service unavailable (failing call {seen})")
-        self._calls.pop(key, None)
-        return self.base(text, lang)
+        return self.attempt(1)(text, lang)
 
 
 def paragraphs(content: bytes) -> list[str]:

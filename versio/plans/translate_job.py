@@ -1,14 +1,13 @@
 """End-to-end document translation job (the reference's CLI run, for a table).
 
 documents -> chunk_documents -> target languages -> translate
--> materialise translations -> reassemble + usage (+ cost)
-
-Exchanges: one round-robin over the session's shuffle partitions before dispatch
-(calls take long, so tasks should be alike), one hash aggregation by
-(doc_id, target_lang) for reassembly and one for usage. Translations are
-checkpointed to ``spark.checkpoint.dir`` before their consumers, so every chunk is
-sent once even though several results read it. With ``sink`` the answers are
-committed there in units instead, and a run that died goes on where it stopped.
+-> written translations -> reassemble + usage (+ cost)
+
+Exchanges: one round-robin before each round of requests (as many tasks as requests
+may be open), one hash aggregation by (doc_id, target_lang) for reassembly and one for
+usage. The rounds are tables below ``spark.checkpoint.dir``, so every chunk is sent once
+even though several results read it. With ``sink`` the answers are committed there in
+units instead, and a run that died goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -102,7 +101,6 @@ def run_chunks(
     *,
     target_langs: Sequence[str] = ("en",),
     concurrency: int = DEFAULT_CONCURRENCY,
-    checkpoint: bool = True,
     sink: str | None = None,
     unit_rows: int = 100_000,
     stems: DataFrame | None = None,
@@ -111,7 +109,7 @@ def run_chunks(
     strict: bool = False,
     **dispatch_opts,
 ) -> TranslationRun:
-    """chunks -> translations (checkpointed, or committed to ``sink`` in units) -> documents
+    """chunks -> translations (written by rounds, or committed to ``sink`` in units) -> documents
     (named by ``stems``) + usage (+ cost).
 
     ``strict`` fails the job when any chunk failed (the reference aborts on a
@@ -127,9 +125,7 @@ def run_chunks(
         translations = translate(chunks, service, concurrency=concurrency, langs=list(target_langs),
                                  **dispatch_opts)
     if strict:
-        translations = checks.strict(translations, F.col("status") == "failed", "a chunk failed to translate")
-    if checkpoint and sink is None:
-        translations = materialize(translations)
+        checks.strict(translations.select("status"), F.col("status") == "failed", "a chunk failed to translate").write.format("noop").mode("overwrite").save()
     docs = reassemble(translations, stems)
     usage = usage_by_document(translations)
     if model is not None:
