@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from versio.operators.dispatch import answer_units, answers, backoff, read_answers, tasks_at_once, translate, usage_counts
+from versio.operators.dispatch import Calls, answer_units, backoff, read_answers, tasks_at_once, translate, usage_counts
 from versio.plans.standins import EchoService, FlakyService
 from versio.operators.usage import usage_by_document
 from versio.session import materialize
@@ -201,7 +201,7 @@ def test_usage_never_costs_a_second_call(spark):
         calls.append(text)
         return "answer", {"prompt_tokens": Decimal("7"), "completion_tokens": object()}
 
-    [got] = answers(service, [("x", "de")], 1, None)
+    [got] = Calls(1, None).answers(service, [("x", "de")])
     assert got[0] == "answer" and got[2] is None and calls == ["x"]
     assert usage_counts(got[1]) == (7, 0, True)
     assert usage_counts(None) == usage_counts({}) == usage_counts("many") == (0, 0, False)
@@ -227,7 +227,9 @@ def test_a_call_that_hangs_is_given_up_and_counts_until_it_ends():
     for in_flight in (1, 3):
         most = 0
         texts = ["a", "slow", "b", "slow", "c", "d", "e"]
-        got = list(answers(service, [(t, "de") for t in texts], in_flight, 0.1))
+        calls = Calls(in_flight, 0.1)
+        got = [g for part in (texts[:4], texts[4:]) for g in calls.answers(service, [(t, "de") for t in part])]
+        calls.close()
         assert [g[0] for g in got] == [None if t == "slow" else t for t in texts]
         assert all("TimeoutError" in g[2] for g, t in zip(got, texts) if t == "slow")
         assert most <= in_flight and open_now == 0  # the last one was waited for

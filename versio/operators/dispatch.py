@@ -33,14 +33,12 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from concurrent.futures import Future, ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
 from pyspark.resource import ResourceProfile
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import FAILED_MARKER
@@ -64,42 +62,83 @@ def backoff(attempt: int, multiplier: float, wait_min: float, wait_max: float) -
     return min(max(multiplier * 2 ** (attempt - 1), wait_min), wait_max)
 
 
-def answers(call: Callable, rows: Iterable[tuple], in_flight: int, timeout: float | None) -> Iterator[tuple]:
-    """(answer | None, usage, error | None) of ``call(*row)`` for each row, in order, with at most ``in_flight`` calls
-    open. A call that takes longer than ``timeout`` seconds is given up; it counts as open until it ends, and the
-    last ones are waited for, ``timeout`` seconds more at most."""
-    free, pool = threading.Semaphore(in_flight), ThreadPoolExecutor(in_flight)
-
-    def guarded(row: tuple) -> tuple:
-        try:
-            out, usage = call(*row)
-            if out is None:
-                raise ValueError("reply has no text")
-            return out, usage, None
-        except Exception as exc:  # every error is retried, as in the reference
-            return None, None, f"{type(exc).__name__}: {exc}"
-        finally:
-            free.release()
-
-    def outcome(begun: float, future: Future) -> tuple:
-        try:
-            return future.result(None if not timeout else max(0.0, begun + timeout - time.monotonic()))
-        except TimeoutError:
-            return None, None, f"TimeoutError: no reply within {timeout:g} s"
-
-    waiting: deque = deque()
-    try:
-        for row in rows:
-            if len(waiting) == in_flight:
-                yield outcome(*waiting.popleft())
-            free.acquire()
-            waiting.append((time.monotonic(), pool.submit(guarded, row)))
-        while waiting:
-            yield outcome(*waiting.popleft())
-        for _ in range(in_flight):
-            free.acquire(timeout=timeout or None)
-    finally:
-        pool.shutdown(wait=False, cancel_futures=True)
+class Calls:
+    """Calls of one task: at most ``in_flight`` are open at a time. One that takes longer than ``timeout`` seconds is
+    given up; it counts as open until it ends."""
+
+    def __init__(self, in_flight: int, timeout: float | None) -> None:
+        self.in_flight, self.timeout = in_flight, timeout
+        self.lock, self.threads = threading.Lock(), []
+
+    def answers(self, call: Callable, rows: Iterable[tuple]) -> list[tuple]:
+        """(answer | None, usage, error | None) of ``call(*row)`` for each row, in order. Threads take the rows one by
+        one; this one only looks after the time."""
+        rows, lock = list(rows), self.lock
+        out: list = [None] * len(rows)
+        running: dict[int, tuple[int, float]] = {}
+        left, fatal, todo, over = len(rows), [], iter(range(len(rows))), threading.Event()
+
+        def settle(i: int, result: tuple) -> None:
+            nonlocal left
+            if out[i] is None:
+                out[i], left = result, left - 1
+                if not left:
+                    over.set()
+
+        def work(me: int) -> None:
+            while True:
+                with lock:
+                    i = next(todo, None)
+                    if i is None or fatal:
+                        return
+                    running[me] = i, time.monotonic()
+                try:
+                    answer, usage = call(*rows[i])
+                    if answer is None:
+                        raise ValueError("reply has no text")
+                    result = answer, usage, None
+                except Exception as exc:  # every error is retried, as in the reference
+                    result = None, None, f"{type(exc).__name__}: {exc}"
+                except BaseException as exc:  # the worker is to end
+                    fatal.append(exc)
+                    over.set()
+                    return
+                with lock:
+                    del running[me]
+                    settle(i, result)
+
+        def late(now: float) -> float | None:
+            """Give up what has taken too long; seconds until something may again."""
+            with lock:
+                for i, begun in running.values():
+                    if begun + self.timeout <= now:
+                        settle(i, (None, None, f"TimeoutError: no reply within {self.timeout:g} s"))
+                return min((begun + self.timeout - now for i, begun in running.values() if out[i] is None), default=self.timeout)
+
+        self.threads = [t for t in self.threads if t.is_alive()]  # given up earlier and still open
+        while len(self.threads) >= self.in_flight:
+            self.threads[0].join(self.timeout)
+            self.threads = [t for t in self.threads if t.is_alive()]
+        own = [threading.Thread(target=work, args=(me,), daemon=True) for me in range(min(self.in_flight - len(self.threads), len(rows)))]
+        for t in own:
+            t.start()
+        wait = self.timeout or None
+        while left and not over.wait(wait):
+            wait = late(time.monotonic())
+        if fatal:
+            raise fatal[0]
+        for me, t in enumerate(own):
+            if me in running:
+                self.threads.append(t)
+            else:
+                t.join()
+        return out
+
+    def close(self) -> None:
+        """Wait for calls that were given up, ``timeout`` seconds at most."""
+        end = time.monotonic() + (self.timeout or 0)
+        for t in self.threads:
+            t.join(max(0.0, end - time.monotonic()) if self.timeout else None)
 
 
 def usage_counts(usage: object) -> tuple[int, int, bool]:
@@ -126,7 +165,7 @@ def tasks_at_once(concurrency: int, in_flight_per_task: int) -> int:
 
 def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], *, langs: Sequence[str] | None,
           max_attempts: int, wait: tuple[float, float, float], timeout: float | None, in_flight_per_task: int, partitions: int,
-          profile: ResourceProfile | None) -> DataFrame:
+          profile: ResourceProfile | None, deal: bool) -> DataFrame:
     """One call for every row of ``todo`` (carry, args, attempt) -> carry + answer, attempts, error, prompt_tokens,
     completion_tokens, usage_reported, due, held.
 
@@ -145,13 +184,14 @@ def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, s
         def one(attempt: int, text: str, other: str) -> tuple:
             return (at(attempt) if at else call)(text, other)
 
+        calls = Calls(in_flight_per_task, timeout)
         for pdf in batches:
             if langs and pdf[args[1]].isna().any():
                 new = pdf[pdf[args[1]].isna()]
                 each = new.loc[new.index.repeat(len(langs))]
                 each[args[1]] = langs * len(new)
                 pdf = pd.concat([pdf[pdf[args[1]].notna()], each], ignore_index=True)
-            got = list(answers(one, zip(pdf["attempt"].tolist(), pdf[first], pdf[args[1]], strict=True), in_flight_per_task, timeout))
+            got = calls.answers(one, zip(pdf["attempt"].tolist(), pdf[first], pdf[args[1]], strict=True))
             now = time.time()
             again = [e is not None and n < max_attempts for (_, _, e), n in zip(got, pdf["attempt"], strict=True)]
             counts = [usage_counts(u) for _, u, _ in got]
@@ -163,17 +203,20 @@ def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, s
             out["due"] = [now + backoff(int(n), *wait) if x else None for x, n in zip(again, pdf["attempt"], strict=True)]
             out["held"] = [t if x else None for x, t in zip(again, pdf[first], strict=True)]
             yield out
+        calls.close()
 
-    return todo.repartition(partitions).mapInPandas(run, schema, profile=profile)
+    # rows of retries alone lie as they were dealt in the round before
+    dealt = todo.repartition(partitions) if deal else todo.coalesce(partitions)
+    return dealt.mapInPandas(run, schema, profile=profile)
 
 
 def _rounds(units: Iterable[DataFrame], call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], folder: Callable[[int], str], *,
             langs: Sequence[str] | None = None, concurrency: int = DEFAULT_CONCURRENCY, in_flight_per_task: int = 1, partitions: int | None = None,
             profile: ResourceProfile | None = None, max_attempts: int = MAX_ATTEMPTS, wait_multiplier: float = WAIT_MULTIPLIER,
             wait_min: float = WAIT_MIN_S, wait_max: float = WAIT_MAX_S, timeout: float | None = REQUEST_TIMEOUT_S,
-            sleep: Callable[[float], None] = time.sleep, finish: Callable[[DataFrame], DataFrame] = lambda table: table) -> list[str]:
+            sleep: Callable[[float], None] = time.sleep, finish: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame | None:
     """Send ``units`` (carry and args) and what failed of them, round by round; round k is the Parquet table
-    ``folder(k)``. Returns the folders."""
+    ``folder(k)``. Returns the tables as one, without the rows that were sent again; None if there was no unit."""
     in_flight_per_task = min(in_flight_per_task, concurrency)
     at_once = tasks_at_once(concurrency, in_flight_per_task)
     n = partitions or at_once if profile is not None else min(partitions or at_once, at_once)
@@ -185,7 +228,7 @@ def _rounds(units: Iterable[DataFrame], call: Callable[[str, str], tuple], args:
         now = time.time() + skipped
         if unit is None:
             if not waiting:
-                return paths
+                return spark.read.schema(raw.schema).parquet(*paths).where("due is null") if paths else None
             first = min(due for due, _ in waiting)
             if first > now:
                 sleep(first - now)
@@ -196,14 +239,15 @@ def _rounds(units: Iterable[DataFrame], call: Callable[[str, str], tuple], args:
         if unit is not None:
             batch.insert(0, unit.withColumn("attempt", F.lit(1)).select(*columns, "attempt"))
         todo = reduce(DataFrame.unionByName, batch)
+        spark = todo.sparkSession
         raw = _send(todo, call, args, carry, langs=langs, max_attempts=max_attempts, wait=(wait_multiplier, wait_min, wait_max), timeout=timeout,
-                    in_flight_per_task=in_flight_per_task, partitions=n, profile=profile)
+                    in_flight_per_task=in_flight_per_task, partitions=n, profile=profile, deal=unit is not None)
         paths.append(folder(len(paths)))
-        raw = finish(raw)
-        raw.write.parquet(paths[-1])
-        table = todo.sparkSession.read.schema(raw.schema).parquet(paths[-1]).where("due is not null")
-        due = table.agg(F.max("due")).first()[0]
+        raw, seen = finish(raw), Observation()
+        raw.observe(seen, F.max("due").alias("due")).write.parquet(paths[-1])
+        due = seen.get["due"]
         if due is not None:
+            table = spark.read.schema(raw.schema).parquet(paths[-1]).where("due is not null")
             again = table.withColumnRenamed("held", args[0]) if args[0] not in carry else table
             waiting.append((due, again.withColumn("attempt", F.col("attempts") + 1).select(*columns, "attempt")))
 
@@ -247,11 +291,10 @@ def translate(
     else:
         todo = unanswered(tasks.select(*keys, lang_col, text_col), resume_from, [*keys, lang_col])
 
-    spark, base = tasks.sparkSession, _scratch(tasks.sparkSession, "answers")
+    base = _scratch(tasks.sparkSession, "answers")
     carry = [*keys, lang_col] + ([text_col] if keep_text else [])
-    paths = _rounds([todo], service, (text_col, lang_col), carry, lambda k: f"{base}/round={k}", langs=langs, **options)
-    raw = spark.read.parquet(*paths).where("due is null").withColumnRenamed("answer", "translated")
-    return normalise(raw, keys=carry)
+    raw = _rounds([todo], service, (text_col, lang_col), carry, lambda k: f"{base}/{k}", langs=langs, **options)
+    return normalise(raw.withColumnRenamed("answer", "translated"), keys=carry)
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
@@ -347,8 +390,8 @@ def send_requests(requests: DataFrame, post: Callable[[str, str], str], *, keys:
 
     sent = todo.where(F.col("request_body").isNotNull())
     base = _scratch(spark, "replies")
-    paths = _rounds([sent], call, ("request_body", "provider"), [*keys, "provider"], lambda k: f"{base}/round={k}", **options)
-    raw = spark.read.parquet(*paths).where("due is null").select(*keys, "provider", F.col("answer").alias("body"), "attempts", "error")
+    raw = _rounds([sent], call, ("request_body", "provider"), [*keys, "provider"], lambda k: f"{base}/{k}", **options)
+    raw = raw.select(*keys, "provider", F.col("answer").alias("body"), "attempts", "error")
     held = todo.where(F.col("request_body").isNull()).select(
         *keys, "provider", F.lit(None).cast("string").alias("body"), F.lit(0).alias("attempts"), F.lit("not sent").alias("error"))
     styles = dims.providers(spark).select(F.col("provider").alias("__p"), "reply_style")
