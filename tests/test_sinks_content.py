@@ -76,10 +76,11 @@ def test_what_a_dead_driver_left_is_published_later(spark, tmp_path):
     spark.dataSource.register(named_files.NamedFiles)
     rows.write.format(named_files.FORMAT).option("run", "20200101T000000-x").mode("append").save(str(tmp_path))
     assert read_markdown(spark, str(tmp_path)).count() == 0  # committed, but not yet under its name
-    one = spark.createDataFrame([("b.md", "1"), ("b.md", "2")], "name string, piece string").coalesce(1)
-    named_files.write_files(one, str(tmp_path))
-    assert {r.output_name: r.content for r in read_markdown(spark, str(tmp_path)).collect()} == {"a.md": "old", "b.md": "12"}
-    assert files_below(tmp_path) == {"a.md", "b.md"} and named_files.publish(spark, str(tmp_path)) == 0
+    rows = spark.range(0, 100, 1, 5).selectExpr("if(id < 90, 'b.md', 'c.md') AS name", "concat(id, ' ') AS piece")  # b.md lies in five partitions
+    named_files.write_files(rows, str(tmp_path))
+    b, c = ("".join(f"{i} " for i in range(*x)) for x in ((90,), (90, 100)))
+    assert {r.output_name: r.content for r in read_markdown(spark, str(tmp_path)).collect()} == {"a.md": "old", "b.md": b, "c.md": c}
+    assert files_below(tmp_path) == {"a.md", "b.md", "c.md"} and named_files.publish(spark, str(tmp_path)) == 0
 
 
 def test_documents_of_one_name(spark, tmp_path):

@@ -104,8 +104,8 @@ def export_markdown(translations: DataFrame, path: str, *, stems: DataFrame | No
     """K1: one UTF-8 file ``{stem}_{lang}.md`` per document and language in the folder ``path`` of any store.
 
     A file of the same name is replaced, no other is touched; a failed run leaves nothing (see
-    ``sources.named_files``). A file is written chunk by chunk in one task, so its size is bounded by the store
-    alone. Documents of different folders may have one name (X19): ``clash="fail"`` refuses them before anything
+    ``sources.named_files``). Chunks are range-partitioned, so a long document is written by several tasks, and its
+    size is bounded by the store alone. Documents of different folders may have one name (X19): ``clash="fail"`` refuses them before anything
     is written, ``clash="last"`` keeps the document with the largest id, as runs one after the other would.
     """
     if clash not in ("fail", "last"):
@@ -120,12 +120,17 @@ def export_markdown(translations: DataFrame, path: str, *, stems: DataFrame | No
     else:  # a document that holds a shared name is the last one, or goes; most hold a name of their own
         kept = names.select(F.col("last").alias("doc_id"), F.col("lang").alias("target_lang"))
         named = named.join(kept, ["doc_id", "target_lang"], "left_semi")
+    write_files(file_pieces(named, partitions), path)
+
+
+def file_pieces(named: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(output_name, piece) in order over range partitions, of ``file_name``'s rows: the pieces of a name make its file."""
     opening = (F.col("page_idx") == 0) & (F.col("chunk_idx") == 0)
     piece = F.concat(F.when(opening, "").otherwise(JOIN_SEPARATOR), F.coalesce("translated", F.lit(FAILED_MARKER)))
     order = ["output_name", "page_idx", "chunk_idx"]
     rows = named.select(*order, piece.alias("piece"))
-    dealt = rows.repartition(partitions, "output_name") if partitions else rows.repartition("output_name")
-    write_files(dealt.sortWithinPartitions(*order).select("output_name", "piece"), path)
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).select("output_name", "piece")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,12 @@ problem set into an error with ``raise_error`` inside the job (no collect).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versio.functions.text import is_blank, split_on_marker, strip
 
@@ -45,16 +49,13 @@ PRESERVE_PATTERNS = {
 }
 
 
-def _missing(src: Column, dst: Column) -> Column:
-    """How many items of ``src`` have no counterpart in ``dst``, repeats counted."""
-    def short(item: Column) -> Column:
-        def times(items: Column) -> Column:
-            return F.size(F.filter(items, lambda x: x == item))
-        return F.greatest(times(src) - times(dst), F.lit(0))
-
-    # most chunks hold none
-    lost = F.aggregate(F.transform(F.array_distinct(src), short), F.lit(0), lambda a, b: a + b)
-    return F.when(F.size(src) > 0, lost).otherwise(0)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _lost(*pairs: pd.Series) -> pd.Series:
+    """For each pair of item arrays (source, answer), how many items of the source have no counterpart in the
+    answer, repeats counted: the difference of two multisets, linear in the items."""
+    kinds = list(zip(pairs[::2], pairs[1::2], strict=True))
+    columns = [[(Counter(a) - Counter(() if b is None else b)).total() if a is not None and len(a) else 0 for a, b in zip(x, y, strict=True)] for x, y in kinds]
+    return pd.Series(list(zip(*columns, strict=True)))
 
 
 def preservation_check(translations: DataFrame, chunks: DataFrame | None = None,
@@ -70,11 +71,15 @@ def preservation_check(translations: DataFrame, chunks: DataFrame | None = None,
     j = translations
     if "chunk" not in translations.columns:
         j = translations.join(chunks.select(*keys, "chunk"), list(keys), "inner")
-    cols = []
+    found = {}
     for name, pat in PRESERVE_PATTERNS.items():
-        src = F.regexp_extract_all("chunk", F.lit(pat), F.lit(0))
-        dst = F.regexp_extract_all("translated", F.lit(pat), F.lit(0))
-        cols += [F.size(src).alias(f"{name}_n"), _missing(src, dst).alias(f"{name}_lost")]
-    per_chunk = j.select("doc_id", "target_lang", *cols)
+        found[f"{name}_src"] = F.regexp_extract_all("chunk", F.lit(pat), F.lit(0))
+        found[f"{name}_dst"] = F.regexp_extract_all("translated", F.lit(pat), F.lit(0))
+    items = j.select("doc_id", "target_lang", *(c.alias(n) for n, c in found.items()))
+    counted = items.withColumn("__lost", _lost(*found))
+    cols = []
+    for k, name in enumerate(PRESERVE_PATTERNS):
+        cols += [F.size(f"{name}_src").alias(f"{name}_n"), F.col("__lost")[k].alias(f"{name}_lost")]
+    per_chunk = counted.select("doc_id", "target_lang", *cols)
     sums = [F.sum(c).cast("bigint").alias(c) for c in per_chunk.columns[2:]]
     return per_chunk.groupBy("doc_id", "target_lang").agg(*sums)

@@ -24,8 +24,10 @@ The reference runs three extractors on one file and keeps the longest text
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,31 +35,22 @@ from pyspark.sql import functions as F
 
 from versio.functions.text import PAGE_SUFFIX, col_of, is_blank, strip
 
-# --- fixed values: HTML entities decoded by the built-in extractors ----------
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),  # last, so "&amp;lt;" decodes once to "&lt;"
-]
-# -----------------------------------------------------------------------------
-
 METHODS = (("native", 1), ("article", 2), ("markdown", 3))
 
-# tag patterns name the tag exactly: "<p" must not match <pre> or <param>; tags have any case
-_ATTRS = r"(?:\s[^>]*)?"
-_BLOCK_END = rf"(?i)</nav>|</div>|</article>|</footer>|</section>|</header>|<hr{_ATTRS}/?>"
-_LINE_BREAK = rf"(?i)<br{_ATTRS}/?>|</p>|</h[1-6]>|</li>|<p{_ATTRS}>"
-_H1 = rf"(?is)<h1{_ATTRS}>(.*?)</h1>"
-_H2 = rf"(?is)<h2{_ATTRS}>(.*?)</h2>"
-_LINK = r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+# tag patterns name the tag exactly: "<p" must not match <pre> or <param>; tags have any case. In the rest of a
+# tag a quoted value after an equals sign may hold ">".
+_REST = r"[^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*')?[^>=]*)*"
+_ATTRS = rf"(?:\s{_REST})?"
+_TAG = rf"(?i)</?[a-z]{_REST}>|<[!?][^>]*>"
+_BLOCK_END = rf"(?i)</nav\s*>|</div\s*>|</article\s*>|</footer\s*>|</section\s*>|</header\s*>|<hr{_ATTRS}/?>"
+_LINE_BREAK = rf"(?i)<br{_ATTRS}/?>|</p\s*>|</h[1-6]\s*>|</li\s*>|<p{_ATTRS}>"
+_H1 = rf"(?is)<h1{_ATTRS}>(.*?)</h1\s*>"
+_H2 = rf"(?is)<h2{_ATTRS}>(.*?)</h2\s*>"
+_LINK = rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)){_REST}>(.*?)</a\s*>"
 _LI = rf"(?i)<li{_ATTRS}>"
-_NOISE = rf"(?is)<script{_ATTRS}>.*?</script>|<style{_ATTRS}>.*?</style>|<!--.*?-->"
-_BODY = rf"(?is)<body{_ATTRS}>(.*)</body>"
-_ARTICLE = rf"(?is)<article{_ATTRS}>(.*?)</article>"
+_NOISE = rf"(?is)<script{_ATTRS}>.*?</script\s*>|<style{_ATTRS}>.*?</style\s*>|<!--.*?-->"
+_BODY = rf"(?is)<body{_ATTRS}>(.*)</body\s*>"
+_ARTICLE = rf"(?is)<article{_ATTRS}>(.*?)</article\s*>"
 
 
 def _code_point(digits: Column, base: int) -> Column:
@@ -67,28 +60,50 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
 
 
-def decode_numeric(text: Column) -> Column:
-    """``&#65;`` and ``&#x41;`` to their characters; a reference to no character stays as it is."""
+#: Names that most references have.
+COMMON = ("copy", "middot", "nbsp", "quot", "gt", "lt", "amp")
+
+
+def named_entities() -> dict[str, dict[str, str]]:
+    """The named character references of HTML (those that end in a semicolon, without it), by first letter."""
+    table: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        if name.endswith(";"):
+            table.setdefault(name[0], {})[name[:-1]] = chars
+    return table
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named reference; NULL if there is none of that name. A literal of two levels, so that
+    few names are compared."""
+    # one literal for the optimizer to fold, rather than thousands
+    table = F.from_json(F.lit(json.dumps(named_entities(), ensure_ascii=True)), "map<string, map<string, string>>")
+    found = F.try_element_at(F.try_element_at(table, F.left(name, F.lit(1))), name)
+    for common in COMMON:  # compared before the table is searched
+        found = F.when(name == common, F.lit(html5[f"{common};"])).otherwise(found)
+    return found
+
+
+def decode_entities(c) -> Column:
+    """Character references to their characters, each once: ``&#65;``, ``&#x41;`` and the named ones. A reference to
+    no character, or one without its semicolon, stays as it is."""
+    def char(name: Column) -> Column:
+        dec, hexa = F.regexp_extract(name, "^#([0-9]{1,7})$", 1), F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
+        number = F.when(dec != "", _code_point(dec, 10)).when(hexa != "", _code_point(hexa, 16))
+        return F.when(F.startswith(name, F.lit("#")), number).otherwise(_named(name))
+
     def piece(x: Column) -> Column:
-        dec, hexa = F.regexp_extract(x, "^([0-9]{1,7});", 1), F.regexp_extract(x, "^[xX]([0-9a-fA-F]{1,6});", 1)
-        char = F.when(dec != "", _code_point(dec, 10)).when(hexa != "", _code_point(hexa, 16))
-        end = F.when(char.isNotNull(), F.locate(";", x)).otherwise(0)
-        return F.concat(F.coalesce(char, F.lit("&#")), F.substring(x, end + 1, F.length(x)))
+        found = F.transform(F.array(F.regexp_extract(x, "^(#?[a-zA-Z0-9]{1,40});", 1)), char)[0]
+        return F.transform(F.array(found), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), x)).otherwise(
+            F.concat(c, F.substring(x, F.locate(";", x) + 1, F.length(x)))))[0]
 
     def whole(t: Column) -> Column:
-        parts = F.split(t, "&#", -1)
+        parts = F.split(t, "&", -1)
         rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-        return F.when(F.contains(t, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
 
     # as a lambda's argument the text is computed once, however often it is used
-    return F.transform(F.array(text), whole)[0]
-
-
-def decode_entities(c) -> Column:
-    out = decode_numeric(col_of(c))
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.transform(F.array(col_of(c)), whole)[0]
 
 
 def body_of(html) -> Column:
@@ -100,7 +115,7 @@ def body_of(html) -> Column:
 def visible_text(fragment) -> Column:
     """Tags to line breaks (block ends) or nothing (inline), entities decoded."""
     broken = F.regexp_replace(col_of(fragment), _LINE_BREAK, "\n")
-    return decode_entities(F.regexp_replace(broken, r"<[^>]*>", ""))
+    return decode_entities(F.regexp_replace(broken, _TAG, ""))
 
 
 def marked(pages: Column) -> Column:
@@ -125,7 +140,7 @@ def markdown_text(body) -> Column:
     x = col_of(body)
     x = F.regexp_replace(x, _H1, "\n# $1\n")
     x = F.regexp_replace(x, _H2, "\n## $1\n")
-    x = F.regexp_replace(x, _LINK, "[$2]($1)")
+    x = F.regexp_replace(x, _LINK, "[$4]($1$2$3)")
     x = F.regexp_replace(x, _LI, "\n- ")
     return visible_text(x)
 

@@ -7,8 +7,10 @@ partial row per task. Prices are a fixed 4-row dimension, broadcast.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from versio.functions.text import col_of
 from versio.sources import dimensions as dims
@@ -79,57 +81,16 @@ def estimate_cost(usage: DataFrame, *, model_col: str = "model", cache_col: str
     )
 
 
-def _pow2(k: Column) -> Column:
-    """2**k as an exact DECIMAL(38,0) for 0 <= k <= 124: the product of two powers
-    of two up to 2**62, each an exact double and an exact BIGINT."""
-    a = F.least(k, F.lit(62))
-
-    def exact(j: Column) -> Column:
-        return F.pow(F.lit(2.0), j).cast("bigint").cast("decimal(20,0)")
-
-    return (exact(a) * exact(k - a)).cast("decimal(38,0)")
+@F.pandas_udf(T.StringType())
+def _money(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else f"${v:.4f}")
 
 
 def with_money(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds ``out`` = ``$%.4f`` of ``value`` with the rounding of Python's
-    formatting: the exact binary value is rounded half-to-even. (Spark's
-    ``format_string`` rounds the shortest decimal form half-up, which differs on
-    about 1 value in 30,000, e.g. 0.03125.)
-
-    d = M * 2**(e-52) with an integer mantissa M < 2**53, so d * 10**4 =
-    M * 10**4 / 2**k and the rounding is decided with exact DECIMAL(38,0)
-    integer arithmetic. Each step is its own column so every sub-result is
-    computed once.
-    """
-    x = F.col(value)
-    t = df.withColumn("__d", F.abs(x)).withColumn("__e0", F.floor(F.log2("__d")))
-    t = t.withColumn("__s0", F.col("__d") / F.pow(F.lit(2.0), F.col("__e0")))
-    t = t.withColumn("__e", F.when(F.col("__s0") >= 2, F.col("__e0") + 1)
-                     .when(F.col("__s0") < 1, F.col("__e0") - 1).otherwise(F.col("__e0")))
-    # clamped so discarded rows (0, tiny, >= 2**52) never divide by 0 or overflow
-    t = t.withColumn("__k", F.least(F.greatest(F.lit(52) - F.col("__e"), F.lit(1)), F.lit(124)).cast("int"))
-    t = t.withColumn("__num", ((F.col("__d") / F.pow(F.lit(2.0), F.col("__e")) * F.lit(float(2 ** 52)))
-                               .cast("bigint").cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)"))
-                     .cast("decimal(38,0)"))
-    t = t.withColumn("__den", _pow2(F.col("__k"))).withColumn("__half", _pow2(F.col("__k") - 1))
-    # exact remainder first, then an exact division (a quotient rounded to the
-    # result scale could land on the next integer)
-    t = t.withColumn("__rem", (F.col("__num") % F.col("__den")).cast("decimal(38,0)"))
-    t = t.withColumn("__q", ((F.col("__num") - F.col("__rem")) / F.col("__den")).cast("decimal(38,0)"))
-    up = (F.col("__rem") > F.col("__half")) | ((F.col("__rem") == F.col("__half")) & (F.pmod("__q", F.lit(2)) == 1))
-    t = t.withColumn("__n", F.when(F.col("__d") < F.lit(1e-6), F.lit(0))
-                     .otherwise(F.col("__q") + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("decimal(38,0)"))
-    text = F.concat(
-        F.floor(F.col("__n") / 10000).cast("decimal(38,0)").cast("string"), F.lit("."),
-        F.lpad(F.pmod("__n", F.lit(10000)).cast("int").cast("string"), 4, "0"),
-    )
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    # from 2**52 on a double is an integer, which format_string prints exactly
-    result = (F.when(x.isNull(), F.lit(None).cast("string"))
-              .when(F.col("__d") >= F.lit(float(2 ** 52)), F.format_string("$%.4f", x))
-              .otherwise(F.concat(F.lit("$"), sign, text)))
-    return t.withColumn(out, result).drop("__d", "__e0", "__s0", "__e", "__k", "__num", "__den", "__half",
-                                          "__q", "__rem", "__n")
+    """Adds ``out`` = ``$%.4f`` of ``value``, formatted by Python itself: it rounds the exact binary value
+    half-to-even, where Spark's ``format_string`` rounds the shortest decimal form half-up (0.03125). One row
+    per document and language, so the hop to Python is over a table of sums."""
+    return df.withColumn(out, _money(F.col(value)))
 
 
 def usage_report(priced: DataFrame) -> DataFrame:

@@ -220,32 +220,44 @@ fv AS (
 
 # --- HTML extraction ---------------------------------------------------------------
 
-# The HTML rules are stated here on their own, in RE2 syntax: tags of any case, named exactly.
-SQL_BLOCK_END = "(?i)</(?:nav|div|article|footer|section|header)>|<hr(?:\\s[^>]*)?/?>"
-SQL_LINE_BREAK = "(?i)<br(?:\\s[^>]*)?/?>|</p>|</h[1-6]>|</li>|<p(?:\\s[^>]*)?>"
-SQL_NOISE = "(?is)<script(?:\\s[^>]*)?>.*?</script>|<style(?:\\s[^>]*)?>.*?</style>|<!--.*?-->"
-SQL_NAMED = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")]
+# The HTML rules are stated here on their own, in RE2 syntax: tags of any case, named exactly; a quoted value after
+# an equals sign may hold ">".
+SQL_REST = "[^>=]*(?:=\\s*(?:\"[^\"]*\"|''[^'']*'')?[^>=]*)*"
+SQL_ATTRS = f"(?:\\s{SQL_REST})?"
+SQL_BLOCK_END = f"(?i)</(?:nav|div|article|footer|section|header)\\s*>|<hr{SQL_ATTRS}/?>"
+SQL_LINE_BREAK = f"(?i)<br{SQL_ATTRS}/?>|</(?:p|h[1-6]|li)\\s*>|<p{SQL_ATTRS}>"
+SQL_NOISE = f"(?is)<script{SQL_ATTRS}>.*?</script\\s*>|<style{SQL_ATTRS}>.*?</style\\s*>|<!--.*?-->"
+SQL_TAG = f"(?i)</?[a-z]{SQL_REST}>|<[!?][^>]*>"
+SQL_HREF = "(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
+
+
+def _entity_map() -> str:
+    """All named references of HTML that end in a semicolon, as a map."""
+    from html.entities import html5
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(n[:-1])}: {quoted(c)}" for n, c in sorted(html5.items()) if n.endswith(";")) + "}"
 
 
 def _decode(expr: str) -> str:
-    """Numeric references by the pieces after '&#', then the named ones, '&amp;' last."""
-    def code(part: str, base: str) -> str:
-        return f"try_cast({base}regexp_extract({part}, '{{}}', 1) AS BIGINT)"
+    """References by the pieces after '&': numeric or named, each decoded once."""
+    def code(base: str) -> str:
+        return f"try_cast({base}regexp_extract(x, '{{}}', 1) AS BIGINT)"
 
-    dec = code("x", "").format("^([0-9]{1,7});")
-    hexa = code("x", "'0x' || ").format("^[xX]([0-9a-fA-F]{1,6});")
+    dec = code("").format("^#([0-9]{1,7});")
+    hexa = code("'0x' || ").format("^#[xX]([0-9a-fA-F]{1,6});")
     n = f"coalesce({dec}, {hexa})"
     ok = f"({n} BETWEEN 1 AND 55295 OR {n} BETWEEN 57344 AND 1114111)"
-    piece = f"CASE WHEN {ok} THEN chr({n}::INT) || substr(x, instr(x, ';') + 1) ELSE '&#' || x END"
-    expr = f"(string_split({expr}, '&#')[1] || array_to_string(list_transform(string_split({expr}, '&#')[2:], lambda x: {piece}), ''))"
-    for name, ch in SQL_NAMED:
-        expr = f"replace({expr}, '&{name};', '{ch}')"
-    return expr
+    name = "regexp_extract(x, '^([a-zA-Z][a-zA-Z0-9]{1,40});', 1)"
+    named = f"""CASE {name} WHEN '' THEN NULL WHEN 'amp' THEN '&' WHEN 'lt' THEN '<' WHEN 'gt' THEN '>' WHEN 'quot' THEN '"' WHEN 'copy' THEN '©'
+  WHEN 'middot' THEN '·' ELSE m[{name}] END"""
+    piece = f"CASE WHEN {ok} THEN chr({n}::INT) || substr(x, instr(x, ';') + 1) ELSE coalesce({named} || substr(x, instr(x, ';') + 1), '&' || x) END"
+    return f"(string_split({expr}, '&')[1] || array_to_string(list_transform(string_split({expr}, '&')[2:], lambda x: {piece}), ''))"
 
 
 def _visible(expr: str) -> str:
     broken = f"regexp_replace({expr}, '{SQL_LINE_BREAK}', {NL}, 'g')"
-    return _decode(f"regexp_replace({broken}, '<[^>]*>', '', 'g')")
+    return _decode(f"regexp_replace({broken}, '{SQL_TAG}', '', 'g')")
 
 
 def _marked(list_expr: str) -> str:
@@ -254,17 +266,18 @@ def _marked(list_expr: str) -> str:
 
 def html_cte() -> str:
     md = "body"
-    md = f"regexp_replace({md}, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', {NL} || '# \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '(?is)<h2(?:\\s[^>]*)?>(.*?)</h2>', {NL} || '## \\1' || {NL}, 'g')"
-    md = f"regexp_replace({md}, '(?is)<a\\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"
-    md = f"regexp_replace({md}, '(?i)<li(?:\\s[^>]*)?>', {NL} || '- ', 'g')"
-    articles = "regexp_extract_all(body, '(?is)<article(?:\\s[^>]*)?>(.*?)</article>', 1)"
+    md = f"regexp_replace({md}, '(?is)<h1{SQL_ATTRS}>(.*?)</h1\\s*>', {NL} || '# \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?is)<h2{SQL_ATTRS}>(.*?)</h2\\s*>', {NL} || '## \\1' || {NL}, 'g')"
+    md = f"regexp_replace({md}, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*{SQL_HREF}{SQL_REST}>(.*?)</a\\s*>', '[\\4](\\1\\2\\3)', 'g')"
+    md = f"regexp_replace({md}, '(?i)<li{SQL_ATTRS}>', {NL} || '- ', 'g')"
+    articles = f"regexp_extract_all(body, '(?is)<article{SQL_ATTRS}>(.*?)</article\\s*>', 1)"
     articles = f"CASE WHEN len({articles}) > 0 THEN {articles} ELSE [''] END"
-    return f"""hb0 AS (
-  SELECT page_id AS doc_id, html, regexp_extract(html, '(?is)<body(?:\\s[^>]*)?>(.*)</body>', 1) AS b FROM pages
+    return f"""ent AS (SELECT {_entity_map()} AS m),
+hb0 AS (
+  SELECT page_id AS doc_id, html, regexp_extract(html, '(?is)<body{SQL_ATTRS}>(.*)</body\\s*>', 1) AS b FROM pages
 ),
 hb AS (
-  SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{SQL_NOISE}', '', 'g') AS body FROM hb0
+  SELECT doc_id, regexp_replace(CASE WHEN b = '' THEN html ELSE b END, '{SQL_NOISE}', '', 'g') AS body, m FROM hb0 CROSS JOIN ent
 ),
 cand AS (
   SELECT doc_id, 'native' AS method, 1 AS priority,
