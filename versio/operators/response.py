@@ -19,9 +19,10 @@ REPLY_SCHEMA = (
 )
 
 
-def parse_responses(raw: DataFrame, *, body_col: str = "body", style_col: str = "reply_style") -> DataFrame:
+def parse_responses(raw: DataFrame, *, body_col: str = "body", style_col: str = "reply_style", raw_usage: bool = False) -> DataFrame:
     """raw(..., reply_style, body) -> raw + translated, status, prompt_tokens,
-    completion_tokens, usage_reported.
+    completion_tokens, usage_reported, and with ``raw_usage`` the reply's whole usage (E12) as ``usage``, a VARIANT:
+    every key the provider sent, whatever its shape (``usage.reply_tokens`` reads the cached tokens from it).
 
     Styles: ``choices`` (first choice's message; usage dict or nothing),
     ``choices_or_empty`` (same, NULL content read as ""), ``content_blocks``
@@ -55,4 +56,5 @@ def parse_responses(raw: DataFrame, *, body_col: str = "body", style_col: str =
         F.when(ok, prompt).otherwise(zero).alias("prompt_tokens"),
         F.when(ok, completion).otherwise(zero).alias("completion_tokens"),
         (ok & counted & F.coalesce(reported, F.lit(False))).alias("usage_reported"),
+        *([F.try_variant_get(F.try_parse_json(F.col(body_col)), "$.usage", "variant").alias("usage")] if raw_usage else []),
     )

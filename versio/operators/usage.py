@@ -81,6 +81,34 @@ def estimate_cost(usage: DataFrame, *, model_col: str = "model", cache_col: str
     )
 
 
+def reply_tokens(parsed: DataFrame) -> DataFrame:
+    """Adds ``hit_tokens`` and ``miss_tokens``, the input tokens that the provider read from its cache and the
+    others, from the raw ``usage`` of ``parse_responses(raw_usage=True)``. Providers name them differently: hits and
+    misses apart, hits as a detail of the prompt's tokens, or beside input tokens that do not hold them. A reply
+    that tells nothing of its cache has misses alone."""
+    def tokens(path: str) -> Column:
+        return F.try_variant_get("usage", path, "bigint")
+
+    beside = tokens("$.cache_read_input_tokens")
+    hit = F.coalesce(tokens("$.prompt_cache_hit_tokens"), tokens("$.prompt_tokens_details.cached_tokens"), beside, _zero())
+    total = F.col("prompt_tokens")
+    miss = (F.when(tokens("$.prompt_cache_miss_tokens").isNotNull(), tokens("$.prompt_cache_miss_tokens"))
+            .when(beside.isNotNull(), total + F.coalesce(tokens("$.cache_creation_input_tokens"), _zero()))
+            .otherwise(F.greatest(total - hit, _zero())))
+    counted = F.col("usage_reported")
+    return parsed.withColumns({"hit_tokens": F.when(counted, hit).otherwise(_zero()), "miss_tokens": F.when(counted, miss).otherwise(_zero())})
+
+
+def reply_cost(replies: DataFrame, *, model_col: str = "model") -> DataFrame:
+    """F1 by what the replies themselves say: cached input tokens at the price of a hit, the others at that of a
+    miss. A model without prices gets ``no_price`` and a NULL cost."""
+    prices = dims.cache_prices(replies.sparkSession).withColumnRenamed("model", "__m")
+    joined = replies.join(prices, F.col(model_col) == F.col("__m"), "left")
+    cost = (F.col("hit_tokens") / F.lit(1_000_000) * F.col("hit_per_m") + F.col("miss_tokens") / F.lit(1_000_000) * F.col("miss_per_m")
+            + F.col("completion_tokens") / F.lit(1_000_000) * F.col("output_per_m"))
+    return joined.select(*replies.columns, cost.alias("cost_usd"), F.when(F.col("__m").isNull(), "no_price").otherwise("ok").alias("cost_status"))
+
+
 @F.pandas_udf(T.StringType())
 def _money(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"${v:.4f}")

@@ -7,6 +7,7 @@ columns are aliased exactly like its SQL twin in ``oracle_sql.ORACLES``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,18 @@ from pyspark.sql import functions as F
 
 from versio.functions.text import approx_tokens
 from versio.operators import checks, extract, request, response, usage
-from versio.operators.assemble import reassemble
+from versio.operators.assemble import export_markdown, read_markdown, reassemble
 from versio.operators.chunk import chunk_counts, chunk_documents, chunk_pages
 from versio.operators.dispatch import translate
 from versio.operators.pages import full_text_units, no_page_documents, page_counts, pages_from_rows, split_pages
+from versio.operators.services import get_service
 from versio.plans.standins import EchoService, FlakyService, failures_by_length
 from versio.plans import standins as S
 from versio.plans.translate_job import translated_with_usage, with_targets
-from versio.session import materialize
-from versio.sources.files import conversion_route, missing_files, validate_formats
+from versio.session import ensure_checkpoint_dir, materialize
+from versio.sources.files import conversion_route, missing_files, scan_files, validate_formats
+from versio.sources.marked_files import marked_file_pages
+from versio.sources.named_files import write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +90,27 @@ def q_missing_files(spark, sf):
     return missing_files(m, p)
 
 
+def _folder(spark, label):
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def q_scan_files(spark, sf):
+    """A1 + H8: every document written as a file, those of the allowed formats read back as bytes."""
+    folder = _folder(spark, "files")
+    write_files(S.named_texts(spark, sf), folder)
+    found = scan_files(spark, folder, formats=" .PDF, .txt,.Gz")
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "length", F.sha2("content", 256).alias("content_sha256"), "suffix", "stem")
+
+
+def q_file_pages(spark, sf):
+    """A1 + C1: pages of marker-separated files, a file per source, each read by as many tasks as it has blocks."""
+    folder = _folder(spark, "marked")
+    write_files(S.source_files(spark, sf), folder)
+    pages = marked_file_pages(spark, folder)
+    return pages.select(F.regexp_extract("doc_id", "[^/]*$", 0).alias("name"), "page_idx", "page")
+
+
 # --- B: extraction ------------------------------------------------------------
 
 def _html(spark, sf):
@@ -262,6 +287,26 @@ def q_full_text_failures(spark, sf):
         "translated", "attempts", "prompt_tokens")
 
 
+def q_provider_service(spark, sf):
+    """F3 + E12-E16: documents through the adapters that the registry gives for two providers, one whose replies tell
+    their usage and one whose do not."""
+    done = []
+    for provider, model in (("anthropic", "claude-3-5-haiku-20241022"), ("gemini", "gemini-2.0-flash")):
+        service = get_service(provider, model, S.EchoTransport())
+        answers = translate(_doc_chunks(spark, sf, 2000), service, concurrency=8, sleep=_no_wait, langs=[STUB_LANG])
+        done.append(answers.select(F.lit(provider).alias("provider"), *TRANSLATION_COLS))
+    return done[0].union(done[1])
+
+
+def q_reply_usage(spark, sf):
+    """E12 + F1: what the replies' raw usage says of the provider's cache, and the cost by it."""
+    parsed = response.parse_responses(S.cached_replies(spark, sf), raw_usage=True)
+    priced = usage.reply_cost(usage.reply_tokens(parsed))
+    return priced.select("doc_id", "reply_style", "model", "prompt_tokens", "completion_tokens", "hit_tokens", "miss_tokens",
+                         F.try_variant_get("usage", "$.completion_tokens_details.reasoning_tokens", "bigint").alias("reasoning_tokens"),
+                         "cost_usd", "cost_status")
+
+
 def q_resume_failed(spark, sf):
     """The chunks that a first pass failed are answered by a second one; the others are not sent again."""
     first = materialize(_flaky_translations(spark, sf))
@@ -279,6 +324,14 @@ def q_reassemble(spark, sf):
     return reassemble(_echo_translations(spark, sf), stems)
 
 
+def q_export_markdown(spark, sf):
+    """K1 + H12: translated documents as Markdown files, read back from their folder."""
+    folder = _folder(spark, "markdown")
+    stems = validate_formats(S.file_manifest(spark, sf)).select("doc_id", "stem")
+    export_markdown(_echo_translations(spark, sf), folder, stems=stems, clash="last")
+    return read_markdown(spark, folder).select("output_name", F.sha2("content", 256).alias("content_sha256"), F.length("content").alias("n_chars"))
+
+
 def q_usage_by_document(spark, sf):
     return usage.usage_by_document(_flaky_translations(spark, sf))
 
@@ -326,6 +379,14 @@ def q_sql_functions(spark, sf):
         FROM {docs}""", docs=S.documents(spark, sf))
 
 
+def q_chunks_table_function(spark, sf):
+    """U3 + D1-D5 as a table function in SQL."""
+    from versio.functions.sql import register
+
+    register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunks(d.text, 200) c", docs=S.documents(spark, sf))
+
+
 def q_preservation_check(spark, sf):
     return checks.preservation_check(_echo_translations(spark, sf, keep_text=True))
 
@@ -335,6 +396,8 @@ QUERIES: dict[str, Query] = {
     "conversion_route": q_conversion_route,
     "custom_formats": q_custom_formats,
     "missing_files": q_missing_files,
+    "scan_files": q_scan_files,
+    "file_pages": q_file_pages,
     "extract_candidates": q_extract_candidates,
     "extract_best": q_extract_best,
     "choose_best": q_choose_best,
@@ -367,7 +430,10 @@ QUERIES: dict[str, Query] = {
     "full_text_mode": q_full_text_mode,
     "full_text_failures": q_full_text_failures,
     "resume_failed": q_resume_failed,
+    "provider_service": q_provider_service,
+    "reply_usage": q_reply_usage,
     "reassemble": q_reassemble,
+    "export_markdown": q_export_markdown,
     "usage_by_document": q_usage_by_document,
     "usage_total": q_usage_total,
     "chunks_per_page": q_chunks_per_page,
@@ -376,4 +442,5 @@ QUERIES: dict[str, Query] = {
     "translate_documents": q_translate_documents,
     "preservation_check": q_preservation_check,
     "sql_functions": q_sql_functions,
+    "chunks_table_function": q_chunks_table_function,
 }

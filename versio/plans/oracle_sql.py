@@ -315,7 +315,7 @@ def _prices_sql():
 
 
 def _oracles() -> dict[str, str]:
-    from versio.plans.standins import COST_CACHES, COST_MODELS, MODEL_CHOICES, PROVIDER_CHOICES
+    from versio.plans.standins import COST_CACHES, COST_MODELS, MODEL_CHOICES, NAME_SHAPES, PROVIDER_CHOICES
     from versio.sources.dimensions import SYSTEM_PROMPT
 
     o: dict[str, str] = {}
@@ -327,6 +327,17 @@ FROM fv"""
     o["missing_files"] = with_(manifest_cte()) + """SELECT path AS name, 'missing' AS status FROM m
 WHERE NOT EXISTS (SELECT 1 FROM m m2 JOIN labels l ON m2.doc_id = l.doc_id WHERE m2.path = m.path)"""
 
+    suffix = f"{lit_list([suf for _, suf in NAME_SHAPES])}[doc_id % {len(NAME_SHAPES)} + 1]"
+    o["scan_files"] = f"""WITH f AS (SELECT 'doc_' || doc_id || {suffix} AS name, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, regexp_extract(name, '(\\.[^./]+)$', 1) AS raw FROM f)
+SELECT name, octet_length(encode(text))::BIGINT AS length, sha256(text) AS content_sha256, lower(raw) AS suffix,
+  substr(name, 1, length(name) - length(raw)) AS stem
+FROM s WHERE lower(raw) IN ('.pdf', '.txt', '.gz')"""
+    o["file_pages"] = with_(f"""sf AS (
+  SELECT coalesce(source, 'none') || '.txt' AS name, string_agg(replace(coalesce(text, ''), {NL}, {SUFFIX_SQL}) || {SUFFIX_SQL}, '' ORDER BY doc_id) AS text
+  FROM documents GROUP BY 1
+)""", split_pages_cte("sf", key="name")) + "SELECT doc_id AS name, page_idx::BIGINT AS page_idx, page FROM pg"
+
     o["extract_candidates"] = with_(html_cte()) + "SELECT doc_id, method, priority, text FROM cand"
     o["extract_best"] = with_(html_cte()) + "SELECT doc_id, method, text, status FROM best"
     o["choose_best"] = o["extract_best"]
@@ -447,6 +458,26 @@ SELECT doc_id, provider, model, pr AS provider_resolved, model_resolved,
 FROM r"""
     o["parse_responses"] = _parse_sql()
 
+    o["provider_service"] = with_(*doc_chunks(2000), echo_cte()) + f"""SELECT 'anthropic' AS provider, {TR_COLS} FROM tr
+UNION ALL
+SELECT 'gemini', doc_id, page_idx, chunk_idx, target_lang, translated, status, attempts, 0, 0, false FROM tr"""
+    o["reply_usage"] = f"""WITH r AS (
+  SELECT doc_id, n_chars AS p, doc_id + 1 AS c, floor(n_chars * (doc_id % 5) / 4)::BIGINT AS hit, doc_id % 4 AS k,
+         {lit_list(COST_MODELS[1:])}[doc_id % 3 + 1] AS model
+  FROM documents
+),
+t AS (
+  SELECT doc_id, CASE k WHEN 2 THEN 'content_blocks' ELSE 'choices' END AS reply_style, model,
+         CASE k WHEN 2 THEN p - hit ELSE p END AS prompt_tokens, c AS completion_tokens, CASE k WHEN 3 THEN 0 ELSE hit END AS hit_tokens,
+         CASE k WHEN 2 THEN p - hit + 7 WHEN 3 THEN p ELSE p - hit END AS miss_tokens, CASE k WHEN 1 THEN 2 * c END AS reasoning_tokens
+  FROM r
+)
+SELECT t.*, hit_tokens / 1000000 * h.i + miss_tokens / 1000000 * m.i + completion_tokens / 1000000 * m.o AS cost_usd,
+  CASE WHEN m.i IS NULL THEN 'no_price' ELSE 'ok' END AS cost_status
+FROM t LEFT JOIN (VALUES {_prices_sql()}) h(m, c, i, o) ON h.m = model AND h.c = 'hit'
+LEFT JOIN (VALUES {_prices_sql()}) m(m, c, i, o) ON m.m = model AND m.c = 'miss'"""
+    o["chunks_table_function"] = o["chunks_200"]
+
     o["translate_stub"] = with_(*doc_chunks(2000), echo_cte()) + f"SELECT {TR_COLS} FROM tr"
     o["translate_failures"] = with_(*doc_chunks(200), flaky_cte()) + f"SELECT {TR_COLS} FROM tr"
     o["full_text_mode"] = with_(
@@ -462,6 +493,12 @@ FROM r"""
   coalesce(nullif(any_value(stem), ''), 'doc_' || CAST(doc_id AS VARCHAR)) || '_' || target_lang || '.md' AS output_name,
   string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content
 FROM tr JOIN fv USING (doc_id) GROUP BY doc_id, target_lang"""
+    o["export_markdown"] = with_(*doc_chunks(2000), echo_cte(), manifest_cte()) + f"""SELECT output_name, sha256(content) AS content_sha256, length(content) AS n_chars
+FROM (SELECT *, row_number() OVER (PARTITION BY output_name ORDER BY doc_id DESC) AS place FROM (
+  SELECT doc_id, coalesce(nullif(any_value(stem), ''), 'doc_' || CAST(doc_id AS VARCHAR)) || '_' || target_lang || '.md' AS output_name,
+         string_agg(translated, {NL} || {NL} ORDER BY page_idx, chunk_idx) AS content
+  FROM tr JOIN fv USING (doc_id) GROUP BY doc_id, target_lang))
+WHERE place = 1"""
     o["usage_by_document"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT doc_id, target_lang, {sums},
   count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""

@@ -123,6 +123,46 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", style.alias("reply_style"), body.alias("body"))
 
 
+def cached_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, model, reply_style, body) - a reply per document whose usage says what came from the provider's
+    cache, in the shape of one provider or another, or says nothing of it."""
+    d = read(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    k = F.pmod(F.col("doc_id"), F.lit(4))
+    p, c = F.col("n_chars"), F.col("doc_id") + 1
+    hit = F.floor(p * F.pmod(F.col("doc_id"), F.lit(5)) / 4)
+    choices = F.array(F.struct(F.struct(F.lit("text").alias("content")).alias("message"))).alias("choices")
+    usages = [
+        F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens"), hit.alias("prompt_cache_hit_tokens"), (p - hit).alias("prompt_cache_miss_tokens")),
+        F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens"), F.struct(hit.alias("cached_tokens")).alias("prompt_tokens_details"),
+                 F.struct((c * 2).alias("reasoning_tokens")).alias("completion_tokens_details")),
+        F.struct((p - hit).alias("input_tokens"), c.alias("output_tokens"), hit.alias("cache_read_input_tokens"), F.lit(7).alias("cache_creation_input_tokens")),
+        F.struct(p.alias("prompt_tokens"), c.alias("completion_tokens")),
+    ]
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.lit("text").alias("text"))).alias("content")
+    bodies = [F.to_json(F.struct(blocks if n == 2 else choices, u.alias("usage"))) for n, u in enumerate(usages)]
+    body = F.element_at(F.array(*bodies), (k + 1).cast("int"))
+    models = F.array(*[F.lit(m) for m in COST_MODELS[1:]])
+    return d.select("doc_id", F.element_at(models, (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("model"),
+                    F.when(k == 2, "content_blocks").otherwise("choices").alias("reply_style"), body.alias("body"))
+
+
+def named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, piece) - every document as a text file of its own, named by its id and a suffix, in order of names."""
+    shapes = F.array(*[F.lit(suffix) for _, suffix in NAME_SHAPES])
+    suffix = F.element_at(shapes, (F.pmod("doc_id", F.lit(len(NAME_SHAPES))) + 1).cast("int"))
+    rows = documents(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), suffix).alias("name"), F.coalesce("text", F.lit("")).alias("piece"))
+    return rows.repartitionByRange("name").sortWithinPartitions("name")
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, piece) - one file per source: its documents by id, with a page marker at every line end and after
+    every document. The largest source's file holds a large share of all text."""
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(PAGE_SUFFIX))
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit(".txt"))
+    rows = documents(spark, sf_dir).select(name.alias("name"), "doc_id", F.concat(text, F.lit(PAGE_SUFFIX)).alias("piece"))
+    return rows.repartitionByRange("name", "doc_id").sortWithinPartitions("name", "doc_id").select("name", "piece")
+
+
 # Target language and provider per source language (a routing table; other languages have no route).
 ROUTES = [("en", "pt", "deepseek"), ("fr", "en", "OpenAI"), ("de", "en", "anthropic"), ("es", "en", "gemini")]
 

@@ -129,6 +129,15 @@ def pricing(spark: SparkSession) -> DataFrame:
     return _dim(spark, PRICES, "model string, cache string, input_per_m double, output_per_m double")
 
 
+def cache_prices(spark: SparkSession) -> DataFrame:
+    """A row per model: the prices of cached and other input tokens, and of output tokens."""
+    by_model = {}
+    for model, cache, price, output in PRICES:
+        by_model.setdefault(model, {})[cache] = (price, output)
+    rows = [(m, p["hit"][0], p["miss"][0], p["miss"][1]) for m, p in by_model.items()]
+    return _dim(spark, rows, "model string, hit_per_m double, miss_per_m double, output_per_m double")
+
+
 def default_models(spark: SparkSession) -> DataFrame:
     return _dim(spark, DEFAULT_MODELS, "provider string, default_model string")
 
