@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from versio.operators import extract
-from versio.operators.assemble import (export_markdown, ordered_chunks, read_documents, read_markdown, reassemble,
-                                       write_documents)
+from versio.operators.assemble import (compact_documents, drop_merged, export_markdown, ordered_chunks, read_documents,
+                                       read_markdown, reassemble, write_documents)
 from versio.operators.checks import document_status, preservation_check
 from versio.operators.chunk import chunk_documents, chunk_pages
 from versio.operators.pages import dense_positions, full_text_units, no_page_documents, pages_from_rows, split_pages
@@ -24,6 +24,40 @@ def test_writing_one_document_leaves_the_others(spark, tmp_path):
     assert got == [(1, "fr", "un"), (1, "pt", "new"), (2, "fr", "two"), (3, "pt", "three")]
 
 
+def test_compaction_keeps_what_is_read(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    read = lambda: sorted((r.doc_id, r.target_lang, r.content) for r in read_documents(spark, path).collect())
+    for k in range(6):
+        write_documents(spark.createDataFrame([(1, "pt", "a", f"v{k}"), (10 + k, "fr", "b", "own")], DOCS), path)
+    want = [(1, "pt", "v5"), *((10 + k, "fr", "own") for k in range(6))]
+    reader = read_documents(spark, path)  # began before the compaction
+    assert read() == want and compact_documents(spark, path) == 6 and read() == want
+    files = lambda: read_documents(spark, path).inputFiles()
+    assert all("/base-" in f for f in files()) and compact_documents(spark, path) == 0
+    assert sorted((r.doc_id, r.target_lang, r.content) for r in reader.collect()) == want
+    write_documents(spark.createDataFrame([(1, "pt", "a", "new"), (99, "pt", "z", "new")], DOCS), path)
+    want = sorted([(1, "pt", "new"), (99, "pt", "new"), *want[1:]])
+    assert read() == want and compact_documents(spark, path) == 1 and read() == want
+    assert drop_merged(spark, path) == 7 + 2 and read() == want
+    write_documents(spark.createDataFrame([(99, "pt", "z", "newer")], DOCS), path)
+    assert (99, "pt", "newer") in read() and len(read()) == len(want)
+    assert compact_documents(spark, path) == 1 and (99, "pt", "newer") in read()
+
+
+def test_a_version_that_was_slow_to_commit_is_not_lost(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    rows = lambda text: spark.createDataFrame([(1, "pt", "a", text), (2, "pt", "a", text)], DOCS)
+    write_documents(rows("first"), path)
+    compact_documents(spark, path)
+    # begun before the version that was merged, so older; the other document has no newer one
+    spark.createDataFrame([(1, "pt", "a", "old"), (3, "pt", "a", "old")], DOCS).write.partitionBy("target_lang").parquet(f"{path}/version=20000101T000000.0-x")
+    assert {r.doc_id: r.content for r in read_documents(spark, path).collect()} == {1: "first", 2: "first", 3: "old"}
+    compact_documents(spark, path)
+    assert {r.doc_id: r.content for r in read_documents(spark, path).collect()} == {1: "first", 2: "first", 3: "old"}
+    with pytest.raises(FileNotFoundError):
+        read_documents(spark, str(tmp_path / "none"))
+
+
 def answers(spark):
     rows = [(d, p, c, lang, None if (d, p, c) == (2, 1, 0) else f"{lang} {d}.{p}.{c}\nline é")
             for d in (1, 2, 7) for p in range(3) for c in range(9) for lang in ("de", "pt")]

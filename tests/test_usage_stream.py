@@ -1,0 +1,38 @@
+"""Usage totals of a stream of answers against those of the answers as a table."""
+
+import shutil
+
+from versio.operators.dispatch import answer_units, read_answers
+from versio.operators.usage import usage_by_document
+from versio.plans.standins import EchoService, FlakyService
+from versio.plans.translate_job import plan_chunks
+from versio.streaming.usage import answer_stream, current_usage, usage_stream
+
+SF = "/root/testdata/sf0.001/documents.parquet"
+
+
+def test_stream_totals_equal_batch_totals(spark, tmp_path):
+    sink, table, ck = (str(tmp_path / x) for x in ("sink", "usage", "ck"))
+    tasks = plan_chunks(spark.read.parquet(SF).select("doc_id", "text"), limit=200)
+
+    def stream():
+        schema = spark.read.parquet(f"{sink}/run=*/unit=*").schema
+        usage_stream(answer_stream(spark, sink, schema, max_files_per_trigger=7), table, ck).awaitTermination()
+        return sorted(map(tuple, current_usage(spark, table).collect()))
+
+    def batch():
+        return sorted(map(tuple, usage_by_document(read_answers(spark, sink)).collect()))
+
+    flaky = FlakyService(EchoService(), lambda text: len(text) % 4)
+    answer_units(tasks, flaky, sink, unit_rows=300, langs=["de"], sleep=lambda s: None)
+    first = stream()
+    assert first == batch() and sum(r[-1] for r in first) > 0
+    # a unit that is there twice counts once
+    [unit] = (tmp_path / "sink").glob("run=*/unit=0")
+    shutil.copytree(unit, tmp_path / "sink" / "run=again" / "unit=0")
+    assert stream() == first
+    # answers of a second run replace the failures, and the query goes on from its checkpoint
+    answer_units(tasks, EchoService(), sink, unit_rows=300, langs=["de"])
+    last = stream()
+    assert last == batch() and all(r[-1] == 0 for r in last) and last != first
+    assert current_usage(spark, table).columns == usage_by_document(read_answers(spark, sink)).columns

@@ -13,6 +13,7 @@ document); a document row is bounded by its source row. ``translations``
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -80,13 +81,102 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.write.partitionBy("target_lang").parquet(f"{path.rstrip('/')}/version={_version()}")
 
 
+#: Folder of the manifests of a document table; the one whose name sorts last holds.
+MANIFESTS = "_manifests"
+_KEY = ["doc_id", "target_lang"]
+
+
+def _store(spark: SparkSession, path: str):
+    """(Hadoop file system, its Path of a string)."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    store, make = _store(spark, folder)
+    return sorted(f.getPath().getName() for f in store.listStatus(make(folder))) if store.exists(make(folder)) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """The current manifest: ``base``, the folder of the merged table, and ``merged``, the versions in it."""
+    names = [n for n in _names(spark, f"{path}/{MANIFESTS}") if n.endswith(".json")]
+    if not names:
+        return {"base": None, "merged": []}
+    return json.loads(spark.read.text(f"{path}/{MANIFESTS}/{names[-1]}", wholetext=True).first()[0])
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of several versions of a key the newest; versions are compared without the texts."""
+    top = rows.groupBy(*_KEY).agg(F.max("__version").alias("__newest"))
+    return rows.join(top, _KEY).where(F.col("__version") == F.col("__newest")).drop("__newest")
+
+
+def _current(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(the newest version of each key with ``__version``, the versions read)."""
+    manifest = _manifest(spark, path)
+    versions = [n.removeprefix("version=") for n in _names(spark, path) if n.startswith("version=")]
+    later = [v for v in versions if v not in set(manifest["merged"])]
+    new = base = None
+    if later:
+        read = spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in later))
+        new = _newest(read.withColumn("__version", F.col("version").cast("string")).drop("version"))
+    if manifest["base"]:
+        base = spark.read.parquet(f"{path}/{MANIFESTS}/{manifest['base']}")
+    if new is None or base is None:
+        if new is None and base is None:
+            raise FileNotFoundError(f"no document table at {path}")
+        return (new if base is None else base), later
+    # only keys with a later version are compared with it, the others are read as they are
+    keys = new.select(*_KEY)
+    contest = _newest(base.join(keys, _KEY, "left_semi").unionByName(new, allowMissingColumns=True))
+    return base.join(keys, _KEY, "left_anti").unionByName(contest, allowMissingColumns=True), later
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of each document and language in a table of ``write_documents``."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    # the versions are compared without the texts; a key has one row per version
-    newest = rows.groupBy("doc_id", "target_lang").agg(F.max(F.col("version").cast("string")).alias("__newest"))
-    joined = rows.join(newest, ["doc_id", "target_lang"])
-    return joined.where(F.col("version").cast("string") == F.col("__newest")).drop("version", "__newest")
+    """The newest version of each document and language in a table of ``write_documents``. After
+    ``compact_documents`` the cost is that of the table and of what was written since."""
+    return _current(spark, path.rstrip("/"))[0].drop("__version")
+
+
+def compact_documents(spark: SparkSession, path: str) -> int:
+    """Merge the versions of the table into one, in ranges of documents, and return how many were merged.
+
+    The merged table counts from the moment its manifest has its name (one rename); nothing is deleted, so readers
+    that began before go on, and versions written meanwhile are read beside it. ``drop_merged`` deletes what no
+    reader needs any more."""
+    path = path.rstrip("/")
+    now, later = _current(spark, path)
+    if not later:
+        return 0
+    manifest, version = _manifest(spark, path), _version()
+    base = f"base-{version}"
+    now.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).write.parquet(f"{path}/{MANIFESTS}/{base}")
+    store, make = _store(spark, path)
+    held = set(_names(spark, path))
+    merged = sorted({v for v in manifest["merged"] if f"version={v}" in held} | set(later))
+    draft = make(f"{path}/{MANIFESTS}/draft-{version}")
+    out = store.create(draft)
+    out.write(bytearray(json.dumps({"base": base, "merged": merged}).encode()))
+    out.close()
+    if not store.rename(draft, make(f"{path}/{MANIFESTS}/{version}.json")):
+        raise OSError(f"the manifest of {path} could not be renamed")
+    return len(later)
+
+
+def drop_merged(spark: SparkSession, path: str) -> int:
+    """Delete the versions that the current manifest holds merged, and earlier merged tables and manifests; returns
+    the number of folders and files. For when no reader that began before the last compaction is left."""
+    path = path.rstrip("/")
+    manifest, (store, make) = _manifest(spark, path), _store(spark, path)
+    if not manifest["base"]:
+        return 0
+    held = _names(spark, f"{path}/{MANIFESTS}")
+    last = max(n for n in held if n.endswith(".json"))
+    gone = [f"{path}/{MANIFESTS}/{n}" for n in held if n not in (last, manifest["base"])]
+    gone += [f"{path}/version={v}" for v in manifest["merged"] if store.exists(make(f"{path}/version={v}"))]
+    for folder in gone:
+        store.delete(make(folder), True)
+    return len(gone)
 
 
 def file_name(stems: DataFrame | None, translations: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from versio.functions.text import approx_tokens
 from versio.operators import checks, extract, request, response, usage
-from versio.operators.assemble import export_markdown, read_markdown, reassemble
+from versio.operators.assemble import compact_documents, export_markdown, read_documents, read_markdown, reassemble, write_documents
 from versio.operators.chunk import chunk_counts, chunk_documents, chunk_pages
-from versio.operators.dispatch import translate
+from versio.operators.dispatch import answer_units, translate
 from versio.operators.pages import full_text_units, no_page_documents, page_counts, pages_from_rows, split_pages
 from versio.operators.services import get_service
 from versio.plans.standins import EchoService, FlakyService, failures_by_length
@@ -27,6 +27,7 @@ from versio.session import ensure_checkpoint_dir, materialize
 from versio.sources.files import conversion_route, missing_files, scan_files, validate_formats
 from versio.sources.marked_files import marked_file_pages
 from versio.sources.named_files import write_files
+from versio.streaming.usage import answer_stream, current_usage, usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -340,6 +341,27 @@ def q_usage_total(spark, sf):
     return usage.usage_total(_flaky_translations(spark, sf))
 
 
+def q_document_table(spark, sf):
+    """K1: a table of documents written twice (drafts, then all documents), compacted and read."""
+    folder = _folder(spark, "documents")
+    docs = reassemble(_echo_translations(spark, sf), validate_formats(S.file_manifest(spark, sf)).select("doc_id", "stem"))
+    write_documents(docs.withColumn("content", F.lit("draft")), folder)
+    compact_documents(spark, folder)
+    write_documents(docs, folder)
+    return read_documents(spark, folder).select("doc_id", F.col("target_lang").cast("string").alias("target_lang"), "output_name", "content")
+
+
+def q_usage_stream(spark, sf):
+    """G2, G3, G5 on a stream: totals of the answers as they are committed, unit by unit, failures and their retries
+    included; a chunk counts once."""
+    sink, table = _folder(spark, "answers"), _folder(spark, "usage")
+    svc = FlakyService(EchoService(), failures_by_length(4))
+    answer_units(_doc_chunks(spark, sf, 200), svc, sink, langs=[STUB_LANG], unit_rows=50_000, concurrency=8, sleep=_no_wait)
+    answers = answer_stream(spark, sink, spark.read.parquet(f"{sink}/run=*/unit=*").schema, max_files_per_trigger=1_000)
+    usage_stream(answers, table, _folder(spark, "usage-checkpoint")).awaitTermination()
+    return current_usage(spark, table)
+
+
 def q_chunks_per_page(spark, sf):
     return usage.chunks_per_page(_doc_chunks(spark, sf, 20))
 
@@ -434,8 +456,10 @@ QUERIES: dict[str, Query] = {
     "reply_usage": q_reply_usage,
     "reassemble": q_reassemble,
     "export_markdown": q_export_markdown,
+    "document_table": q_document_table,
     "usage_by_document": q_usage_by_document,
     "usage_total": q_usage_total,
+    "usage_stream": q_usage_stream,
     "chunks_per_page": q_chunks_per_page,
     "estimate_cost": q_estimate_cost,
     "usage_report": q_usage_report,

@@ -502,6 +502,8 @@ WHERE place = 1"""
     o["usage_by_document"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT doc_id, target_lang, {sums},
   count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed
 FROM tr GROUP BY doc_id, target_lang"""
+    o["usage_stream"] = o["usage_by_document"]
+    o["document_table"] = o["reassemble"]
     o["usage_total"] = with_(*doc_chunks(200), flaky_cte()) + f"""SELECT {sums},
   count(*) AS n_chunks, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed FROM tr"""
     o["chunks_per_page"] = with_(*doc_chunks(20)) + \
