@@ -15,8 +15,7 @@ def want(rows, k, every):
     for q, x in vecs.items():
         if q % every == 0:
             def dot(y, x=x):
-                n = min(len(x), len(y))
-                return int(x[:n] @ y[:n])
+                return sum(int(a) * int(b) for a, b in zip(x, y))
             best = sorted((-dot(y), i) for i, y in vecs.items() if i != q)[:k]
             out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     return out
@@ -46,15 +45,37 @@ def test_equals_brute_force(spark, shape):
 
 
 def test_bounds_prune_what_is_far():
-    rng = np.random.default_rng(1)
-    points = np.array([[0.0, 0.0], [100.0, 0.0]])
-    pivots = knn.Pivots(np.hstack([points, np.zeros((2, 1))]), 1e4)
-    held = knn.bounds(pivots, 2, {0: (5, 1.0)}, [(0, 0.5), (0, 1.0), (0, 1.5), (1, 0.2), (1, 0.3), (1, 0.4)], 100)
-    assert held.theta.tolist() == [2.5]
-    assert held.needed(np.array([0, 0, 1, 1]), np.array([0.5, 4.0, 1.0, 97.0]))[:, 0].tolist() == [True, False, False, True]
-    many = knn.bounds(pivots, 2, {0: (250, 1.0), 1: (40, 1.0)}, [(0, 0.5), (0, 1.0), (1, 0.2)], 100)
-    assert many.many.tolist() == [3, 1] and many.first.tolist() == [0, 3] and many.blocks == 4
-    assert rng is not None
+    points = np.array([[0.0, 0.0, 0.0], [100.0, 0.0, 0.0]])
+    pivots = knn.Pivots(points, 0.0)
+    groups = knn.summary_bounds(pivots, 2, {0: (5, 1.0)}, [(0, 0.5), (0, 1.0), (0, 1.5), (1, 0.2), (1, 0.3), (1, 0.4)], 100)
+    assert groups.theta == pytest.approx([2.5], abs=1e-4) and groups.salts.tolist() == [1]
+    x = np.array([[0.5, 0.0], [3.4, 0.0], [3.6, 0.0], [99.0, 0.0]])
+    assert groups.need(pivots, x)[:, 0].tolist() == [True, True, False, False]
+    many = knn.summary_bounds(pivots, 2, {0: (250, 1.0), 1: (40, 1.0)}, [(0, 0.5), (0, 1.0)], 100)
+    assert many.salts.tolist() == [3, 1] and np.isinf(many.theta).all() and many.need(pivots, x).all()
+
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = (np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 100, 0) + 0.02 * rng.normal(size=(4000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, v array<float>")
+    join = knn.plan(df, "vec_id", "v", 10, F.col("vec_id") % 20 == 0, pivots=40)
+    assert join.rows == 4000 and join.groups.share(join.rows) < 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert got(spark, rows, 10, 20, pivots=40) == want(rows, 10, 20)
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    # a component of 2^25 and more is the best neighbour of many
+    rows += [(100, [float(2**26), 0.0, 0.0, 0.0]), (101, [-float(2**40), 1.0, 0.0, 0.0]), (102, [0.0, float(2**25), 0.0, 0.0])]
+    expected = want(rows, 5, 4)
+    assert got(spark, rows, 5, 4) == expected and {100, 101, 102} <= {r[2] for r in expected}
+    with pytest.raises(Exception, match="64-bit"):
+        got(spark, [(0, [1e30]), (1, [1e30]), (2, [0.0])], 2, 2)
+    assert got(spark, [(0, [1e30, 0.0]), (1, [0.0, 1e30]), (2, [0.0, 0.0])], 2, 1) == {(0, 1, 1, 0), (0, 2, 2, 0), (1, 1, 0, 0), (1, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)}
 
 
 def test_cases(spark):
