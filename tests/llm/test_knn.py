@@ -53,6 +53,9 @@ def test_bounds_prune_what_is_far():
     assert groups.need(pivots, x)[:, 0].tolist() == [True, True, False, False]
     many = knn.summary_bounds(pivots, 2, {0: (250, 1.0), 1: (40, 1.0)}, [(0, 0.5), (0, 1.0)], 100)
     assert many.salts.tolist() == [3, 1] and np.isinf(many.theta).all() and many.need(pivots, x).all()
+    line = np.arange(6.0)[:, None] * np.array([[1.0, 0.0]])
+    assert knn.packed(line[[0, 5, 1, 4, 2, 3]], np.array([3, 3, 3, 3, 3, 3]), 6) == [[0, 2], [1, 3], [4, 5]]
+    assert knn.packed(line, np.array([1, 1, 9, 1, 1, 1]), 4) == [[0, 1], [2], [3, 4, 5]]
 
 
 def test_clustered_vectors_are_pruned(spark):
@@ -60,10 +63,11 @@ def test_clustered_vectors_are_pruned(spark):
     centres = rng.normal(size=(40, 16))
     x = (np.repeat(centres / np.linalg.norm(centres, axis=1)[:, None], 100, 0) + 0.02 * rng.normal(size=(4000, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, v array<float>")
-    join = knn.plan(df, "vec_id", "v", 10, F.col("vec_id") % 20 == 0, pivots=40)
+    join = knn.plan(df, "vec_id", "v", 10, F.col("vec_id") % 20 == 0, pivots=40, query_block=10)
     assert join.rows == 4000 and join.groups.share(join.rows) < 0.3
+    assert join.groups.replicated < 0.3 * join.rows * len(join.groups.salts)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    assert got(spark, rows, 10, 20, pivots=40) == want(rows, 10, 20)
+    assert got(spark, rows, 10, 20, pivots=40, query_block=10, data_block=300) == want(rows, 10, 20)
 
 
 def test_components_of_any_size(spark):

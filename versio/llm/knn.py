@@ -16,11 +16,13 @@ largest products. Then:
 3. That bound is sharpened: each query is compared with a bounded number of
    candidates of its own pivot, and the k-th best of these is at least as far as
    the true one. theta_i is the largest such distance of the queries of i.
-4. A candidate is replicated to the queries of i only if its distance from p_i
-   is at most U_i + theta_i: a farther one is beyond theta_i of all of them.
-5. The queries of a pivot and the candidates that they need are dealt into blocks
-   of bounded size; each pair of blocks is solved locally, and the blocks' best
-   are merged. No block mixes the queries of two pivots.
+4. A candidate is needed by the queries of i only if its distance from p_i is at
+   most U_i + theta_i: a farther one is beyond theta_i of all of them.
+5. Pivots with few queries are packed into blocks with their nearest neighbours, as
+   these need much the same candidates; a pivot with many queries has blocks of its
+   own. A candidate is replicated once to each block that holds a pivot in need of
+   it, and a block's candidates are dealt into parts of bounded size. Each block and
+   part is solved locally, and the best of the parts are merged.
 
 The bounds use floating point and are widened by a margin; products are exact.
 """
@@ -128,29 +130,56 @@ class Pivots:
 
 @dataclass
 class Groups:
-    """The pivots with queries: their numbers, U, theta, and how queries and needed candidates are dealt."""
+    """The pivots with queries: their numbers, U, theta, and the block of each; for each block into how many its
+    queries (``salts``) and candidates (``parts``) are dealt. Pivots are in order of their blocks."""
 
     cells: np.ndarray
     reach: np.ndarray
     theta: np.ndarray
+    block: np.ndarray
     salts: np.ndarray
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     needed: int = 0
+    replicated: int = 0
 
     def need(self, pivots: Pivots, x: np.ndarray) -> np.ndarray:
-        """Rows x groups: whether the candidate may be among the k best of one of the group's queries."""
+        """Rows x pivots: whether the candidate may be among the k best of one of the pivot's queries."""
         d = pivots.distances(pivots.extended(x, False), pivots.points[self.cells])
         return d <= (self.reach + self.theta)[None] * (1 + 1e-9) + 4 * pivots.margin
 
+    def by_block(self, need: np.ndarray) -> np.ndarray:
+        """Rows x blocks: whether one of the block's pivots needs the candidate."""
+        return np.logical_or.reduceat(need, np.searchsorted(self.block, np.arange(len(self.salts))), axis=1)
+
     def share(self, rows: int) -> float:
-        """Share of all pairs of a candidate and a group for which the candidate is replicated."""
+        """Share of all pairs of a candidate and a pivot with queries in which the candidate is needed."""
         return self.needed / (rows * len(self.cells)) if rows and len(self.cells) else 0.0
 
 
+def packed(points: np.ndarray, sizes: np.ndarray, block: int) -> list[list[int]]:
+    """Places of pivots by block: from the first one left, its nearest ones as long as there is room."""
+    left, out = list(range(len(points))), []
+    while left:
+        own = [left.pop(0)]
+        room = block - sizes[own[0]]
+        while left and room > 0:
+            d = ((points[left] - points[own].mean(0)) ** 2).sum(1)
+            k = int(np.argmin(d))
+            if sizes[left[k]] > room:
+                break
+            room -= sizes[left[k]]
+            own.append(left.pop(k))
+        out.append(own)
+    return out
+
+
 def summary_bounds(pivots: Pivots, k: int, queries: dict[int, tuple[int, float]], nearest: list[tuple[int, float]], block: int) -> Groups:
     """Groups with the bounds that the summaries give: ``queries`` maps a pivot to its number of queries and U;
     ``nearest`` lists the smallest distances of the candidates of each pivot."""
     cells = np.array(sorted(queries), np.int64)
+    sizes = np.array([queries[c][0] for c in cells.tolist()], np.int64)
+    blocks = packed(pivots.points[cells], sizes, block)
+    cells = cells[[g for own in blocks for g in own]] if len(cells) else cells
     reach = np.array([queries[c][1] for c in cells.tolist()])
     near, d = np.array([c for c, _ in nearest], np.int64), np.array([x for _, x in nearest])
     theta = np.full(len(cells), np.inf)
@@ -158,7 +187,8 @@ def summary_bounds(pivots: Pivots, k: int, queries: dict[int, tuple[int, float]]
         for n, c in enumerate(cells.tolist()):
             apart = pivots.distances(pivots.points[[c]], pivots.points)[0]
             theta[n] = np.partition(reach[n] + apart[near] + d, k)[k] + 3 * pivots.margin
-    return Groups(cells, reach, theta, np.array([-(-queries[c][0] // block) for c in cells.tolist()], np.int64))
+    of = np.repeat(np.arange(len(blocks)), [len(own) for own in blocks])
+    return Groups(cells, reach, theta, of, np.array([max(1, -(-int(sizes[own].sum()) // block)) for own in blocks], np.int64))
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +282,7 @@ def _sharpen(join: Join, k: int, data_block: int) -> None:
     groups, pivots, dims, kind = join.groups, join.pivots, join.dims, join.kind
     sizes = {r.cell: r["count"] for r in join.placed.groupBy("cell").count().collect()}  # a row a pivot
     place = {c: g for g, c in enumerate(groups.cells.tolist())}
-    shares = [(c, min(1.0, data_block / sizes[c]), int(groups.salts[g])) for c, g in place.items() if sizes.get(c)]
+    shares = [(c, min(1.0, data_block / sizes[c]), int(groups.salts[groups.block[g]])) for c, g in place.items() if sizes.get(c)]
     table = join.placed.sparkSession.createDataFrame(shares or [(-1, 0.0, 1)], "cell int, share double, salts int")  # a row a pivot
     key = [F.col("cell"), F.col("salt")]
     asking = join.placed.where("query").select(F.col("query_cell").alias("cell"), "id", "vec", _salt(0).alias("draw"))
@@ -282,20 +312,22 @@ def _sharpen(join: Join, k: int, data_block: int) -> None:
 
 
 def _count_needed(join: Join, data_block: int) -> None:
-    """How many candidates each group needs, and so how many parts they are dealt into."""
+    """How many candidates each block needs, and so how many parts they are dealt into."""
     groups, pivots, dims, kind = join.groups, join.pivots, join.dims, join.kind
-    size = max(1, PART // len(groups.cells))
+    size, blocks = max(1, PART // len(groups.cells)), len(groups.salts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(groups.cells), np.int64)
+        total = np.zeros(blocks + 1, np.int64)  # the last one: pairs with pivots
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                total += groups.need(pivots, matrix(batch.column(0).slice(at, size), dims, kind)).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["g", "n"])
+                need = groups.need(pivots, matrix(batch.column(0).slice(at, size), dims, kind))
+                total[:-1] += groups.by_block(need).sum(0)
+                total[-1] += need.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["block", "n"])
 
-    found = {r.g: r.n for r in join.placed.select("vec").mapInArrow(count, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    total = np.array([found.get(g, 0) for g in range(len(groups.cells))], np.int64)
-    groups.parts, groups.needed = np.maximum(1, -(-total // data_block)), int(total.sum())
+    found = {r.block: r.n for r in join.placed.select("vec").mapInArrow(count, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    total = np.array([found.get(b, 0) for b in range(blocks)], np.int64)
+    groups.parts, groups.needed, groups.replicated = np.maximum(1, -(-total // data_block)), found.get(blocks, 0), int(total.sum())
 
 
 def top_k(table: DataFrame, id_col: str, vector_col: str, k: int, is_query: Column, *, scale: float = 64.0, pivots: int | None = None, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
@@ -312,6 +344,17 @@ def top_k(table: DataFrame, id_col: str, vector_col: str, k: int, is_query: Colu
     return _solved(join, k, id_col)
 
 
+def _each(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place ``times`` times, and the number of each repetition from 0."""
+    which = np.repeat(np.arange(len(times)), times)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _dealt(batch: pa.RecordBatch, which: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(which)
+    return pa.RecordBatch.from_arrays([*(pa.array(n.astype(np.int32)) for n in numbers), batch.column(0).take(at), batch.column(1).take(at)], ["block", "salt", "part", "id", "vec"])
+
+
 def _solved(join: Join, k: int, id_col: str) -> DataFrame:
     """Step 5."""
     groups, centre, dims, kind, placed = join.groups, join.pivots, join.dims, join.kind, join.placed
@@ -321,27 +364,21 @@ def _solved(join: Join, k: int, id_col: str) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = np.array([place[c] for c in batch.column(2).to_pylist()], np.int64)
-            times = groups.parts[g]
-            salt = batch.column(3).to_numpy() % groups.salts[g] if len(g) else g
-            which = np.repeat(np.arange(len(g)), times)
-            part = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-            at = pa.array(which)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (g[which], salt[which], part)] + [batch.column(0).take(at), batch.column(1).take(at)], ["g", "salt", "part", "id", "vec"])
+            own = groups.block[np.array([place[c] for c in batch.column(2).to_pylist()], np.int64)]
+            salt = batch.column(3).to_numpy() % groups.salts[own]
+            which, part = _each(groups.parts[own])
+            yield _dealt(batch, which, own[which], salt[which], part)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, size):
                 batch = whole.slice(start, size)
-                row, g = np.nonzero(groups.need(centre, matrix(batch.column(1), dims, kind)))
-                part = batch.column(2).to_numpy()[row] % groups.parts[g]
-                times = groups.salts[g]
-                which = np.repeat(np.arange(len(row)), times)
-                salt = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                at = pa.array(row[which])
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (g[which], salt, part[which])] + [batch.column(0).take(at), batch.column(1).take(at)], ["g", "salt", "part", "id", "vec"])
-
-    key = "g int, salt int, part int, id bigint, vec binary"
+                row, block = np.nonzero(groups.by_block(groups.need(centre, matrix(batch.column(1), dims, kind))))
+                part = batch.column(2).to_numpy()[row] % groups.parts[block]
+                which, salt = _each(groups.salts[block])
+                yield _dealt(batch, row[which], block[which], salt, part[which])
+
+    key = "block int, salt int, part int, id bigint, vec binary"
     left = placed.where("query").select("id", "vec", "query_cell", _salt(0).alias("draw")).mapInArrow(ask, key)
     right = placed.select("id", "vec", _salt(1).alias("draw")).mapInArrow(replicate, key)
 
@@ -362,7 +399,7 @@ def _solved(join: Join, k: int, id_col: str) -> DataFrame:
         cols = [np.concatenate([np.zeros(0, np.int64), *(o[c].astype(np.int64) for o in out)]) for c in range(3)]
         return pa.table(cols, ["query_id", "vec_id", "score"])
 
-    block = ("g", "salt", "part")
+    block = ("block", "salt", "part")
     found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(solve, "query_id bigint, vec_id bigint, score bigint").distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
