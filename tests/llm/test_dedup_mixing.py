@@ -94,7 +94,7 @@ def test_chunks_are_whole_and_resist_insertion():
     assert len(set(parts) - set(parts2)) <= 2
     assert len(cdc_dedup.cuts(np.zeros(0, np.uint8))) == 0
     same = cdc_dedup.cuts(np.zeros(5000, np.uint8))
-    assert same[-1] == 5000 and max(np.diff([0, *same])) <= cdc_dedup.LONGEST
+    assert same[-1] == 5000 and max(np.diff([0, *same])) <= 1024
 
 
 def test_gear_hash_equals_the_rolling_form_and_pieces_do_not_matter(monkeypatch):
@@ -154,11 +154,11 @@ def test_substring_passages_just_over_the_least_length(spark):
                     want[k + 1] = (k, len(rows[-1][1].split(passage)[0]), len(passage), n)
                 k += 2
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in cdc_dedup.repeated_spans(df).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in cdc_dedup.repeated_spans(df).collect()}
     assert got == want
     less = words(20, 1, 1)
     df = spark.createDataFrame([(1, f"first {less} ends"), (2, f"the second {less} stops")], "doc_id bigint, text string")
-    assert [tuple(r) for r in cdc_dedup.repeated_spans(df, least_words=20).collect()] == [(2, 1, 11, 39, 20)]
+    assert [tuple(r)[:5] for r in cdc_dedup.repeated_spans(df, least_words=20).collect()] == [(2, 1, 11, 39, 20)]
 
 
 def test_substring_passages_of_one_word_and_of_common_phrases(spark):
@@ -166,7 +166,7 @@ def test_substring_passages_of_one_word_and_of_common_phrases(spark):
     phrases = [f"phrase number {k} of the many that all of these texts hold in common" for k in range(5)]
     rows = [(k, f"x{k}x {p} y{k}y") for k, p in enumerate(phrases[:4])] + [(4, "u " + " ".join(phrases)), (5, "v " + " ".join(phrases) + " w")]
     rows += [(6, "one " + "again " * 60 + "six"), (7, "two " + "again " * 51 + "seven")]
-    got = {r.doc_id: tuple(r)[1:] for r in cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in cdc_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {5: (4, 2, len(" ".join(phrases)), 70), 7: (6, 4, 6 * 51 - 1, 51)}
 
 
@@ -177,3 +177,26 @@ def test_exact_tells_apart_texts_of_one_id_and_one_length(spark):
     assert got == [(False, 0, 0, 1, True), (False, 0, 0, 1, True), (False, 0, 0, 2, True), (False, 1, 1, 1, True), (False, 1, 1, 2, False), (False, 1, 1, 2, True)]
     want = [(0, "abcd"), (0, "abce"), (0, "wxyz"), (1, "q" * 9), (1, "r" * 9), (None, "abcf"), (None, "abcg")]
     assert sorted(map(str, map(tuple, keep_first(df).collect()))) == sorted(map(str, want))
+
+
+def test_substring_spans_of_ids_with_several_texts(spark):
+    import random
+
+    rng = random.Random(13)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    for n, offset in ((50, 20), (50, 30), (60, 30)):
+        rows, want = [], set()
+        for k in range(60):
+            held = [words(n), words(n)]
+            rows.append((k, f"{words(8)} {held[0]} {words(8)} {held[1]} end{k}"))
+            for p in held:  # two texts of one id, each with a passage of its own
+                rows.append((1000 + k, f"{words(offset)} x{k}x {p} y{k}y"))
+                want.add((1000 + k, k, len(rows[-1][1].split(p)[0]), len(p)))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        spans = cdc_dedup.repeated_spans(df)
+        assert {tuple(r)[:4] for r in spans.collect()} == want
+        cleaned = sorted(r.text for r in cdc_dedup.without_repeats(df, spans).where("doc_id >= 1000").collect())
+        assert len(cleaned) == 120 and all(len(t.split()) == offset + 2 for t in cleaned)

@@ -99,3 +99,31 @@ def test_langid_cases(spark):
     assert langid.identify(asked.limit(0), model).count() == 0
     long = "the and with thing " * 100_000
     assert model.predict(langid.profile(long))[0] == "en"
+
+
+def test_samples_are_bounded_in_rows(spark, monkeypatch):
+    # two ids on 6,000 rows: one row of each is learned
+    docs = docs_of(spark, [(k % 2, f"text number {k} " + "word " * 5, "x") for k in range(6000)])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id bigint, quality bigint, toxic bigint")
+    sizes = []
+    fit = toxicity.fit_rows
+    monkeypatch.setattr(toxicity, "fit_rows", lambda places, *a: sizes.append(len(places)) or fit(places, *a))
+    toxicity.fit_chain(docs, labels, {k: toxicity.F.expr(c) for k, c in toxicity.CATEGORIES.items()}, sample_rows=2)
+    assert sizes == [2]
+    # a hot id, and more languages than are learned
+    rows = [(7, f"the and with {k}", "en") for k in range(5000)] + [(k, f"der und mit {k}", "de") for k in range(50)] + [(k, f"zz {k}", f"l{k % 40}") for k in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    taken = langid.training_rows(labelled, "doc_id", "text", "lang", 30, 10).groupBy("lang").count().collect()
+    assert len(taken) == 10 and {"en", "de"} <= {r.lang for r in taken} and all(r["count"] <= 30 for r in taken)
+    assert {r.lang: r["count"] for r in taken}["en"] == 30  # rows of one id are drawn apart
+
+
+def test_a_column_named_like_the_text(spark):
+    docs = spark.createDataFrame([(1, "the and with", "kept")], "doc_id bigint, text string, _text string")
+    assert langid.identify(docs, None, keep=("_text",)).first()._text == "kept"
+
+
+def test_logits_are_held_alike_in_training_and_scoring():
+    assert toxicity._logit(np.array([0.0, 1.0, 0.5])).tolist() == [-toxicity.MOST, toxicity.MOST, 0.0]
+    chain = toxicity.Chain(("a", "b"), {"w": 0}, [(np.array([90.0]), np.zeros(0), 0.0), (np.array([0.0]), np.array([1.0]), 0.0)])
+    assert np.allclose(chain.probabilities("w"), [1 - 1e-6, 1 - 1e-6])

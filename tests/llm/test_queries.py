@@ -65,14 +65,23 @@ def test_op2_finds_long_repeats_and_leaves_others_alone(spark):
 
 
 def test_op3_separates_held_out_labels(spark):
-    labels = {r[0]: r[2] for r in table("labels", SF_MORE)}
-    got = E.queries()["op3_toxicity"](spark, SF_MORE).collect()
-    assert len(got) == len(table("documents", SF_MORE))
-    assert all(0 <= r.p_toxic <= 1 and 0 <= r.p_low_quality <= 1 for r in got)
-    known = [r for r in got if r.doc_id in labels]
-    hit = sum(r.toxic for r in known if labels[r.doc_id]) / sum(labels.values())
-    false = sum(r.toxic for r in known if not labels[r.doc_id]) / sum(not v for v in labels.values())
-    assert hit > 0.8 and false < 0.02
+    """Fitted without a fifth of the labels, the chain is measured on these, long texts apart."""
+    from pyspark.sql import functions as F
+
+    from versio.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    known = {r.doc_id: r.toxic for r in labels.where(held).collect()}
+    got = [(r.toxic, known[r.doc_id], r.n) for r in toxicity.toxicity(docs, labels.where(~held)).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").collect() if r.doc_id in known]
+    toxic, clean = [x for x in got if x[1]], [x for x in got if not x[1]]
+    assert len(toxic) > 50 and len(clean) > 500
+    assert sum(x[0] for x in toxic) / len(toxic) > 0.8 and sum(x[0] for x in clean) / len(clean) < 0.03
+    long = [x for x in clean if x[2] > 10_000]
+    assert not any(x[0] for x in long)
+    out = E.queries()["op3_toxicity"](spark, SF_MORE)
+    rows = out.collect()
+    assert len(rows) == len(table("documents", SF_MORE)) and all(0 <= r.p_toxic <= 1 and 0 <= r.p_low_quality <= 1 for r in rows)
 
 
 def test_op7_equals_the_library(spark):

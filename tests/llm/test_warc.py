@@ -88,3 +88,14 @@ def test_pages_round_trip(spark, tmp_path):
     warc.write_arc(arc_of_pages(pages.limit(0)), str(tmp_path / "none"))
     warc.convert(spark, str(tmp_path / "none"), str(tmp_path / "none_warc"))
     assert warc.read_warc(spark, str(tmp_path / "none_warc")).where("type <> 'warcinfo'").count() == 0
+
+
+def test_archives_of_one_name_in_two_folders(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" + b"same " * 400
+    for k, folder in enumerate(("c1", "c2")):
+        os.makedirs(tmp_path / "in" / folder)
+        (tmp_path / "in" / folder / "x.arc").write_bytes(arc(1, [(b"http://a/", b"20200102030405", b"text/html", page % k), (b"http://b/", b"20200102030405", b"text/html", b"HTTP/1.1 200 OK\r\n\r\nown %d" % k)]))
+    warc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"), key_header="X-Page-Id")
+    rows = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == 6
+    assert [(r.key, r.refers_to_key) for r in rows if r.type == "revisit"] == [(0, 1)]

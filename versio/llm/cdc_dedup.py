@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versio.llm.common import fresh, written
+from versio.llm.common import fresh, join_keys, written
 
 #: Random 32-bit number of each byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
@@ -37,8 +37,6 @@ LEAST_WORDS = 50
 #: Positions of which the one with the smallest hash ends a chunk: with the bytes hashed at the first
 #: of them they fit into the shortest passage (words of one byte).
 WINDOW = 2 * LEAST_WORDS - HASHED
-#: Longest chunk in bytes; ends are WINDOW positions apart at most, and 3 bytes more between characters.
-LONGEST = 1024
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 #: Bytes by which a passage may begin before the first end of a chunk in it, and go on after the last one.
@@ -142,37 +140,46 @@ def _unpacked(place: Column) -> dict[str, Column]:
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row ``id``, ``digest``, ``place`` for each chunk (``place`` packs end, size and word counts)."""
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``row``, ``text`` (bytes) of the rows with an id. ``row`` tells apart the different texts of one id: 0
+    where an id has one text (so that it takes no room), else the hash of the text."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    mark = F.xxhash64("text")
+    several = rows.groupBy("id").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least <> most").select("id", F.lit(True).alias("several"))
+    told = join_keys(rows, several, ["id"], salt_by=mark)
+    return told.select("id", F.when(F.col("several"), mark).otherwise(0).alias("row"), "text")
 
+
+def chunks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row ``id``, ``row``, ``digest``, ``place`` for each chunk of ``texts`` (``place`` packs end, size and word counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                digest, *place = chunk_table(batch.column(1)[k].as_py() or b"", window)
+                digest, *place = chunk_table(batch.column(2)[k].as_py() or b"", window)
                 held.append((k, digest, _packed(tuple(place))))
                 if sum(len(x[1]) for x in held) > 50_000 or k == batch.num_rows - 1:
                     which = np.repeat([x[0] for x in held], [len(x[1]) for x in held]).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held]).view(np.int64)), pa.array(np.concatenate([x[2] for x in held]))], ["id", "digest", "place"])
+                    at = pa.array(which)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([x[1] for x in held]).view(np.int64)), pa.array(np.concatenate([x[2] for x in held]))], ["id", "row", "digest", "place"])
                     held.clear()
 
     held: list[tuple] = []
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest bigint, place bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row bigint, digest bigint, place bigint")
 
 
 def _looked_at(found: DataFrame, least_words: int) -> DataFrame:
-    """One row ``own``, ``parts`` for each id with runs of shared chunks that may hold a passage: where
-    these begin and end. Rows that repeat an id are looked at in the runs of all of them."""
+    """One row ``own``, ``mark``, ``parts`` for each text (id and row) with runs of shared chunks that may hold a
+    passage: where these begin and end."""
     shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest")
-    place = Window.partitionBy("id").orderBy("place")  # by end, since that is in the upper bits
-    held = found.join(shared, "digest").select("id", "place").withColumn("past", F.lag("place").over(place))
-    held = held.select("id", "place", _unpacked(F.col("past"))["end"].alias("past"), *[c.alias(k) for k, c in _unpacked(F.col("place")).items()])
+    place = Window.partitionBy("id", "row").orderBy("place")  # by end, since that is in the upper bits
+    held = found.join(shared, "digest").select("id", "row", "place").withColumn("past", F.lag("place").over(place))
+    held = held.select("id", "row", "place", _unpacked(F.col("past"))["end"].alias("past"), *[c.alias(k) for k, c in _unpacked(F.col("place")).items()])
     begins = F.coalesce(F.col("past") < F.col("end") - F.col("size"), F.lit(True))
     runs = held.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(place))
     # the words of the first chunk are counted twice: too many is safe
     words = F.sum("words") + F.max(F.when(F.col("begins") == 1, F.col("before"))) + F.max("after")
-    parts = runs.groupBy("id", "run").agg(words.alias("words"), F.min("end").alias("lo"), F.max("end").alias("hi")).where(F.col("words") >= least_words)
-    return parts.groupBy(F.col("id").alias("own")).agg(F.sort_array(F.collect_list(F.struct(F.col("lo") - BEFORE, F.col("hi") + AFTER))).alias("parts"))
+    parts = runs.groupBy("id", "row", "run").agg(words.alias("words"), F.min("end").alias("lo"), F.max("end").alias("hi")).where(F.col("words") >= least_words)
+    return parts.groupBy(F.col("id").alias("own"), F.col("row").alias("mark")).agg(F.sort_array(F.collect_list(F.struct(F.col("lo") - BEFORE, F.col("hi") + AFTER))).alias("parts"))
 
 
 def _passages(text: bytes, parts: list[tuple[int, int]], least_words: int) -> tuple[np.ndarray, ...]:
@@ -190,30 +197,27 @@ def _passages(text: bytes, parts: list[tuple[int, int]], least_words: int) -> tu
     return np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(nth)).view(np.int64), nth, first, last
 
 
-def passages(docs: DataFrame, looked_at: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """One row ``id``, ``row`` (tells apart texts of one id), ``digest``, ``nth``, ``start``, ``stop`` for each
-    passage of ``least_words`` words in the parts to look at."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.join(looked_at, F.col("id") == F.col("own")).select("id", "text", "parts")
+def passages(rows: DataFrame, looked_at: DataFrame, least_words: int) -> DataFrame:
+    """One row ``id``, ``row``, ``digest``, ``nth``, ``start``, ``stop`` for each passage of ``least_words`` words in the
+    parts of ``texts`` to look at."""
+    rows = rows.join(looked_at, (F.col("id") == F.col("own")) & (F.col("row") == F.col("mark"))).select("id", "row", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py() or b""
-                parts = [tuple(p.values()) for p in batch.column(2)[k].as_py()]
+                text = batch.column(2)[k].as_py() or b""
+                parts = [tuple(p.values()) for p in batch.column(3)[k].as_py()]
                 found = _passages(text, parts, least_words)
-                n = len(found[0])
-                row = np.full(n, xxhash.xxh3_64_intdigest(text), np.uint64).view(np.int64)
-                out = [batch.column(0).take(pa.array(np.full(n, k, np.int64))), pa.array(row), *[pa.array(x, pa.int64()) for x in found]]
-                yield pa.RecordBatch.from_arrays(out, ["id", "row", "digest", "nth", "start", "stop"])
+                at = pa.array(np.full(len(found[0]), k, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x, pa.int64()) for x in found]], ["id", "row", "digest", "nth", "start", "stop"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, row bigint, digest bigint, nth bigint, start bigint, stop bigint")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each span of a document that documents with smaller ids hold: the id, ``first_doc_id``
-    (the smallest id that holds most of its passages), ``span_start`` and ``span_bytes`` (UTF-8, from 0)
-    and ``n_words``.
+    (the smallest id that holds most of its passages), ``span_start`` and ``span_bytes`` (UTF-8, from 0),
+    ``n_words`` and ``text_mark`` (0, or which of the different texts of one id it is in: their 64-bit hash).
 
     A span is made of all passages of ``least_words`` whole words, spacing included, that a document with
     a smaller id holds and that overlap; below 17 words, passages of less than HASHED bytes are not found. Only repeats across documents
@@ -222,8 +226,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits. An empty table gives no rows; other columns are not read.
     """
     window = max(1, min(WINDOW, 2 * least_words - HASHED))
-    looked_at = _looked_at(chunks(docs, id_col, text_col, window), least_words)
-    found = written(passages(docs, looked_at, id_col, text_col, least_words), "passages")
+    rows = texts(docs, id_col, text_col)
+    looked_at = _looked_at(chunks(rows, window), least_words)
+    found = written(passages(rows, looked_at, least_words), "passages")
     shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
     again = found.join(shared, "digest").where("id <> first").select("id", "row", "first", "nth", "start", "stop")
     place = Window.partitionBy("id", "row").orderBy("nth")  # copies of a row only repeat each number
@@ -235,14 +240,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = [F.min("nth").alias("nth"), F.max("until").alias("until"), F.min("start").alias("start"), F.max("stop").alias("stop")]
     spans = parts.groupBy("id", "row", "run").agg(*ends, most)
     words = F.col("until") - F.col("nth") + least_words
-    return spans.select(F.col("id").alias(id_col), (-F.col("most.back")).alias("first_doc_id"), F.col("start").alias("span_start"), (F.col("stop") - F.col("start")).alias("span_bytes"), words.alias("n_words")).distinct()
+    return spans.select(F.col("id").alias(id_col), (-F.col("most.back")).alias("first_doc_id"), F.col("start").alias("span_start"), (F.col("stop") - F.col("start")).alias("span_bytes"), words.alias("n_words"), F.col("row").alias("text_mark")).distinct()
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the bytes of their spans taken out of the text; spans end between characters."""
     names = docs.columns
-    own, cut = fresh(names, "_id"), fresh(names, "_cut")
-    lists = spans.groupBy(F.col(id_col).alias(own)).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_bytes"))).alias(cut))
+    own, cut, mark = fresh(names, "_id"), fresh(names, "_cut"), fresh(names, "_mark")
+    lists = spans.groupBy(F.col(id_col).alias(own), F.col("text_mark").alias(mark)).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_bytes"))).alias(cut))
     raw = F.col(text_col).cast("binary")
     first = F.struct(F.lit(0).cast("bigint").alias("at"), F.unhex(F.lit("")).alias("kept"))
 
@@ -253,4 +258,5 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     done = F.aggregate(cut, first, step)
     rest = F.substring(raw, (done["at"] + 1).cast("int"), F.octet_length(raw))
     text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.concat(done["kept"], rest).cast("string"))
-    return docs.join(lists, docs[id_col] == lists[own], "left").withColumn(text_col, text).select(*names)
+    same = (F.col(id_col) == F.col(own)) & ((F.col(mark) == 0) | (F.col(mark) == F.xxhash64(raw)))
+    return docs.join(lists, same, "left").withColumn(text_col, text).select(*names)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versio.llm.common import fresh, written
+from versio.llm.common import fresh, join_keys, written
 
 #: The white space that equality ignores: space and \t, \n, \v, \f, \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -62,13 +62,15 @@ def refine(texts: DataFrame, keys: list[str]) -> DataFrame:
     return hashed.withColumn("full", full).select(*keys, "len", "full")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each id and distinct text: ``id``, ``mark`` (tells apart the texts of an id), ``points``,
-    ``full``, ``n`` (rows that are alike), ``keep``, ``size``, ``first`` and a struct ``carried``."""
+def _decided(told: DataFrame, several: str, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each id and distinct text of ``told`` (rows with the flag ``several``): ``id``, ``many`` (the flag),
+    ``mark`` (tells apart the texts of an id), ``points``, ``full``, ``n`` (rows that are alike), ``keep``, ``size``,
+    ``first`` and a struct ``carried``."""
     carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0))
     norm = normalised(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), _mark(norm).alias("mark"), F.length(F.coalesce(text_col, F.lit(""))).alias("points"), norm.alias("norm"), carried.alias("carried"))
-    keys = ["id", "mark", "points", "carried"]
+    texts = told.select(F.col(id_col).alias("id"), F.col(several).alias("many"), _mark(norm, several).alias("mark"), F.length(F.coalesce(text_col, F.lit(""))).alias("points"),
+                        norm.alias("norm"), carried.alias("carried"))
+    keys = ["id", "many", "mark", "points", "carried"]
     rows = refine(texts, keys).groupBy(*keys, "len", "full").agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows, "refined")
     alone, shared = rows.where("full is null"), rows.where("full is not null")
@@ -76,14 +78,26 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
     groups = shared.groupBy("len", "full").agg(F.min(order).alias("best"), F.sum("n").alias("size"))
     groups = groups.select("len", "full", "best.back", "best.keep", "size")
     first = (-F.col("points") == F.col("back")) & F.col("id").eqNullSafe(F.col("keep"))
-    grouped = shared.join(groups, ["len", "full"]).withColumn("first", first)
+    # a group of copies may hold a third of all rows: its rows are dealt out, or its few numbers broadcast
+    grouped = join_keys(shared, groups, ["len", "full"], salt_by=F.xxhash64("id", "mark"), how="inner").withColumn("first", first)
     names = [*keys, "full", "n", "keep", "size", "first"]
     lone = alone.withColumns({"keep": F.col("id"), "size": F.col("n"), "first": F.lit(True)})
     return grouped.select(names).union(lone.select(names))
 
 
-def _mark(norm: Column) -> Column:
-    return F.xxhash64(norm)
+def with_several(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the column ``name``: true where another row has the id too (null ids are one id). Only such rows
+    need their text to be told apart; ids are counted without the texts."""
+    own = fresh([*docs.columns, name], "_own")
+    ids = docs.groupBy(F.col(id_col).alias(own)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own, F.lit(True).alias(name))
+    keyed = docs.withColumn(own, F.col(id_col))
+    return join_keys(keyed, ids, [own], salt_by=F.length(F.coalesce(text_col, F.lit(""))).cast("bigint")).drop(own)
+
+
+def _mark(norm: Column, several: str) -> Column:
+    """The hash of the normalised text where the id does not tell the row apart, else 0: no other whole text is
+    hashed before refinement has shown that it may have an equal."""
+    return F.when(F.col(several), F.xxhash64(norm)).otherwise(F.lit(0).cast("bigint"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -96,7 +110,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     length, one has ``kept`` true. A null text counts as empty and equals blank ones. An empty table
     gives no rows. Columns named in ``carry`` are passed on; others are not read.
     """
-    out = _decided(docs, id_col, text_col, carry).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    several = fresh(docs.columns, "_several")
+    told = with_several(docs, id_col, text_col, several)
+    out = _decided(told, several, id_col, text_col, carry).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
     return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
                       (F.col("first") & (F.col("copy") == 1)).alias("kept"), F.col("points").alias("n_points"), "full", *[F.col("carried")[c].alias(c) for c in carry])
 
@@ -106,10 +122,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whatever their names. Of rows that repeat an id with equal texts of one length any one stays; rows
     with different texts stay whatever their ids."""
     names = docs.columns
+    several = fresh(names, "_several")
+    told = with_several(docs, id_col, text_col, several)
+    decided = _decided(told, several, id_col, text_col)
+    # a row that has its id alone stays unless its id is among those that go: only ids meet
+    own, gone = fresh(names, "_own"), fresh(names, "_gone")
+    going = decided.where("many is null and not first").select(F.col("id").alias(own), F.lit(True).alias(gone))
+    alone = told.where(F.col(several).isNull()).withColumn(own, F.col(id_col))
+    size = F.length(F.coalesce(text_col, F.lit(""))).cast("bigint")
+    lone = join_keys(alone, going, [own], salt_by=size).where(F.col(gone).isNull())
+    # rows that share an id are told apart by their text too
     id_, unnamed, mark, points = key = [fresh(names, f"_{x}") for x in ("id", "unnamed", "mark", "points")]
     nothing = F.lit("0").cast(docs.schema[id_col].dataType)
-    stays = _decided(docs, id_col, text_col).where("first")
-    stays = stays.select(F.coalesce("id", nothing).alias(id_), F.col("id").isNull().alias(unnamed), F.col("mark").alias(mark), F.col("points").alias(points))
-    named = {id_: F.coalesce(F.col(id_col), nothing), unnamed: F.col(id_col).isNull()}
-    keyed = docs.withColumns({**named, mark: _mark(normalised(F.col(text_col))), points: F.length(F.coalesce(text_col, F.lit("")))})
-    return keyed.join(stays, key).dropDuplicates(key).select(*names)
+    stays = decided.where("many and first").select(F.coalesce("id", nothing).alias(id_), F.col("id").isNull().alias(unnamed), F.col("mark").alias(mark), F.col("points").alias(points))
+    named = {id_: F.coalesce(F.col(id_col), nothing), unnamed: F.col(id_col).isNull(), mark: _mark(normalised(F.col(text_col)), several), points: size.cast("int")}
+    shared = told.where(several).withColumns(named).join(stays, key).dropDuplicates(key)
+    return lone.select(*names).union(shared.select(*names))

@@ -5,9 +5,10 @@ support vector machines for every pair of its languages vote. Both see the
 frequencies of single bytes and hashed pairs and triples of bytes of the
 lower-case letters, over the whole text.
 
-The models are fitted on at most ``per_lang`` rows of each language (those with
-the smallest hash of their id, found by the language's count, which covers all
-rows), so that a rare language is learned too.
+The models are fitted on at most ``per_lang`` rows of each of the ``max_langs``
+most frequent languages (those with the smallest hash of id and text), so that a
+rare language is learned too and what the driver gets is bounded. Both bounds
+concern labelled rows alone; every language's count covers all rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versio.llm.common import join_keys, written
+from versio.llm.common import fresh, written
 from versio.llm.linear import fit_softmax, fit_svm, sigmoid
 
 #: Language families by ISO 639-1 code; a language without one is a family of its own.
@@ -33,6 +34,8 @@ FAMILIES = {
 }
 #: Rows of each language that the models are fitted on, at most.
 PER_LANG = 500
+#: Languages that the models can tell apart, at most (the most frequent ones).
+MAX_LANGS = 200
 DIMS = 4096
 #: Characters of a text that are counted at a time.
 PIECE = 1 << 20
@@ -101,30 +104,36 @@ def fit_hierarchy(xs: np.ndarray, langs: list[str], families: Mapping[str, str]
     return Hierarchy(groups, weights, pairs)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = PER_LANG, families: Mapping[str, str] = FAMILIES) -> Hierarchy | None:
+def training_rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_langs: int) -> DataFrame:
+    """(draw, lang, text): at most ``per_lang`` rows with letters of each of the ``max_langs`` most frequent
+    languages. A row is drawn by the hash of its id and text, so rows that share an id are drawn apart; rows that
+    repeat both count once."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs)  # bounded
+    # a language's share is drawn by its count, with a margin; of these the smallest draws stay
+    share = F.least(F.lit(1.0), (1.5 * per_lang + 20) / F.col("n"))
+    place = F.pmod("draw", F.lit(1 << 30))
+    few = rows.join(F.broadcast(langs), "lang").where(place < share * (1 << 30)).select("lang", "text", place.alias("draw"), F.xxhash64("text").alias("mark"))
+    # a text that is there very often shares a draw with its copies: pre-aggregated before the ranking
+    few = few.groupBy("lang", "draw", "mark").agg(F.min("text").alias("text"))
+    smallest = Window.partitionBy("lang").orderBy("draw", "mark")
+    return few.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= per_lang).select("draw", "lang", "text")
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, families: Mapping[str, str] = FAMILIES) -> Hierarchy | None:
     """Fit on a sample of ``labelled``; rows without a language or without letters teach nothing. None if no
     row does."""
-    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # a language's share is drawn by the hash of the ids, with a margin; the smallest hashes stay
-    small = join_keys(rows, counts, ["lang"], salt_by=F.xxhash64("id"), how="inner")
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = written(small.where(draw * F.col("n") < 1.5 * per_lang + 20).select(draw.alias("draw"), "id", "lang", "text"), "sample")
+    drawn = written(training_rows(labelled, id_col, text_col, lang_col, per_lang, max_langs), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [(d, a, x.tobytes()) for d, a, t in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), strict=True) if (x := profile(t)) is not None]
-                cols = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], ["draw", "lang", "x"])
-
-    sample = drawn.mapInArrow(run, "draw double, lang string, x binary").collect()  # about 1.5 per_lang rows a language
-    kept, taken = [], {}
-    for r in sorted(sample, key=lambda r: (r.draw, r.lang, bytes(r.x))):
-        if taken.setdefault(r.lang, 0) < per_lang:
-            taken[r.lang] += 1
-            kept.append(r)
+            found = [(d, a, x.tobytes()) for d, a, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if (x := profile(t)) is not None]
+            cols = list(zip(*found, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], ["draw", "lang", "x"])
+
+    kept = drawn.mapInArrow(run, "draw bigint, lang string, x binary").collect()  # at most per_lang * max_langs rows
+    kept.sort(key=lambda r: (r.draw, r.lang, bytes(r.x)))
     if not kept:
         return None
     return fit_hierarchy(np.stack([np.frombuffer(r.x, np.float32) for r in kept]), [r.lang for r in kept], families)
@@ -137,7 +146,7 @@ def identify(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", t
     Only the text is read, whole. A null text or one without a letter is ``und`` with score 0, and so is
     every text if no model could be trained. Repeated rows get equal answers; an empty table gives none.
     """
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias(fresh([id_col, *keep], "_text")))
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.families, model.weights, model.pairs))  # DIMS numbers for each family and pair
     n = 1 + len(keep)
 

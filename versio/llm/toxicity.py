@@ -10,8 +10,8 @@ Features are the words of a text, their first four and first five characters
 (inflected forms share them), and runs of punctuation. Only features that a
 category uses significantly often or seldom are kept, at most ``max_features``.
 The models are fitted on at most ``sample_rows`` labelled rows (those with the
-smallest hash of their id); feature counts are taken on that sample by Spark,
-and all documents are scored, whole, where they lie.
+smallest hash of their id, one row of each id); feature counts are taken on that
+sample by Spark, and all documents are scored, whole, where they lie.
 """
 
 from __future__ import annotations
@@ -72,13 +72,18 @@ class Chain:
         found = [p for f in features(text or "") if (p := get(f)) is not None]
         logits: list[float] = []
         for w, v, b in self.models:
-            logits.append(min(35.0, max(-35.0, float(w[found].sum() + v @ np.array(logits) + b))))
+            logits.append(min(MOST, max(-MOST, float(w[found].sum() + v @ np.array(logits) + b))))
         return [1 / (1 + math.exp(-z)) for z in logits]
 
 
+#: Logits are held within this on both sides, in training as in scoring, so a very long text gives a later model
+#: nothing that it was not fitted on.
+MOST = math.log((1 - 1e-6) / 1e-6)
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
+    with np.errstate(divide="ignore"):
+        return np.clip(np.log(p) - np.log1p(-p), -MOST, MOST)
 
 
 def fit_rows(places: Sequence[Sequence[int]], labels: np.ndarray, dims: int, folds: int = FOLDS) -> tuple[list[tuple], np.ndarray]:
@@ -116,7 +121,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
     given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(*known).dropna()
     sample = written(given.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows), "sample")  # at most sample_rows, so it may be broadcast
     ys = [F.col(f"y{k}").cast("int").alias(f"y{k}") for k in range(len(names))]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id").select("_id", F.array(*ys).alias("ys"), "text")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
+    # one row for each sampled id (that with the smallest text hash), so the sample is bounded in rows; copies and
+    # repeats of an id are pre-aggregated
+    one = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("row")
+    texts = found.groupBy("_id", F.array(*ys).alias("ys")).agg(one).select("_id", "ys", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,7 @@ An ARC file begins with a version block (``filedesc://``) whose body names the
 version and the fields of the header line that starts every record; the last
 field is the length of the record's content. The converter reads header lines
 and declared lengths, and gives each record what WARC asks for: a type, an
-identifier (a UUID of file and position), an ISO timestamp, and SHA-1 digests
+identifier (a UUID of the file's place below the folder and the position), an ISO timestamp, and SHA-1 digests
 of block and payload. Of records with equal payloads one stays a response and
 the others become revisits of it.
 
@@ -92,16 +92,18 @@ class _Feed:
 
 
 def _scan(spark: SparkSession, path: str, end: str, parse: Callable, schema: str) -> DataFrame:
-    """``parse(file name, feed)`` yields the rows of each file below ``path``."""
+    """``parse(file, feed)`` yields the rows of each file below ``path``, named by its place there."""
+    root = f"/{path.rstrip('/').rsplit('/', 1)[-1]}/"
+
     def lines(names_like: str, separator: bytes, **how: object) -> DataFrame:
-        rows = spark.read.option("pathGlobFilter", names_like).text(path, **how).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+        rows = spark.read.option("pathGlobFilter", names_like).option("recursiveFileLookup", "true").text(path, **how).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
         names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces = ((f.as_py(), v.as_py()) for b in batches for f, v in zip(b.column(0), b.column(1), strict=True))
             held, size = [], 0
             for file, group in groupby(pieces, lambda x: x[0]):
-                for row in parse(file.rsplit("/", 1)[-1], _Feed((v for _, v in group), separator)):
+                for row in parse(file.partition(root)[2] or file, _Feed((v for _, v in group), separator)):
                     held.append(row)
                     size += sum(len(x) for x in row if isinstance(x, bytes))
                     if size > 4 << 20 or len(held) >= 1000:
