@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from versio.llm.common import fresh, written
+from versio.llm.common import fresh, join_keys, written
 from versio.llm.queries import vocabulary
 
 
@@ -31,13 +31,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest text hash. Each row is decided alone, by its id and the hash of its text, so rows
     that share an id need not go together; rows without an id come last. Of rows with equal id and text
     one stays. A row with neither id nor text stays, since there is nothing to tell what it copies."""
-    unnamed, own, mark = key = [fresh(docs.columns, x) for x in ("_unnamed", "_id", "_mark")]
-    nothing = F.lit("0").cast(docs.schema["doc_id"].dataType)
-    keyed = docs.withColumns({unnamed: F.col("doc_id").isNull(), own: F.coalesce("doc_id", nothing), mark: F.xxhash64("text")})
-    rows = keyed.where("doc_id is not null or text is not null").select(F.struct(*key).alias("row"), "text")
+    unnamed, own, mark, several, gone = (fresh(docs.columns, x) for x in ("_unnamed", "_id", "_mark", "_several", "_gone"))
+    key, nothing = [unnamed, own, mark], F.lit("0").cast(docs.schema["doc_id"].dataType)
+    told = exact_dedup.with_several(docs, "doc_id", "text", several)
+    # the text tells apart only rows that share an id
+    hashed = F.when(F.col(several), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint"))
+    keyed = told.withColumns({unnamed: F.col("doc_id").isNull(), own: F.coalesce("doc_id", nothing), mark: hashed})
+    rows = keyed.where("doc_id is not null or text is not null").select(F.struct(*key, several).alias("row"), "text")
     found = simhash.simhash_components(rows, "row", words=3, max_bits=2)
-    gone = found.where("row <> component_id").select("row.*")
-    return keyed.join(gone, key, "left_anti").dropDuplicates(key).select(*docs.columns)
+    going = written(found.where("row <> component_id").select("row.*"), "near-copies")
+    alone, shared = keyed.where(F.col(several).isNull()), keyed.where(several)
+    ids = going.where(F.col(several).isNull()).select(unnamed, own, F.lit(True).alias(gone))
+    lone = join_keys(alone, ids, [unnamed, own], salt_by=F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).where(F.col(gone).isNull())
+    left = shared.join(going.where(several), key, "left_anti").dropDuplicates(key)
+    return lone.select(*docs.columns).union(left.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from versio.operators import checks, extract, request, response, usage
 from versio.operators.assemble import compact_documents, export_markdown, read_documents, read_markdown, reassemble, write_documents
 from versio.operators.chunk import chunk_counts, chunk_documents, chunk_pages
 from versio.operators.dispatch import answer_units, translate
+from versio.operators.long_pages import chunk_long_pages
 from versio.operators.pages import full_text_units, no_page_documents, page_counts, pages_from_rows, split_pages
 from versio.operators.services import get_service
 from versio.plans.standins import EchoService, FlakyService, failures_by_length
@@ -204,6 +205,12 @@ def q_conversation_chunks(spark, sf):
     return chunk_pages(pages_from_rows(conv, key="conv_id", order="turn"), 200).select(*CHUNK_COLS)
 
 
+def q_chunks_long_pages(spark, sf):
+    """D1-D5 on pages cut into blocks of eight lines, packed in parallel: equal to ``chunks_200``."""
+    lines = _doc_pages(spark, sf).select("doc_id", "page_idx", F.posexplode(F.split("page", "\n", -1)).alias("line_no", "line"))
+    return chunk_long_pages(lines, 200, block_lines=8).select(*CHUNK_COLS)
+
+
 def q_chunk_edges(spark, sf):
     """Blank lines, tabs, no-break spaces and very long words."""
     return chunk_documents(S.edge_documents(spark, sf), 20).select(*CHUNK_COLS)
@@ -441,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "chunks_native_20": _chunks_query(20, native=True),
     "chunk_stats": q_chunk_stats,
     "conversation_chunks": q_conversation_chunks,
+    "chunks_long_pages": q_chunks_long_pages,
     "chunk_edges": q_chunk_edges,
     "build_requests": q_build_requests,
     "send_requests": q_send_requests,

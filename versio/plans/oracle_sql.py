@@ -384,6 +384,7 @@ WHERE rn = 1"""
             f"SELECT doc_id, page_idx, chunk_idx, chunk, {tokens('chunk')} AS chunk_tokens FROM ck"
     o["chunks_native_200"] = o["chunks_200"]
     o["chunks_native_20"] = o["chunks_20"]
+    o["chunks_long_pages"] = o["chunks_200"]
     o["chunk_stats"] = with_(*doc_chunks(200)) + """SELECT pg.doc_id, pg.page_idx, coalesce(n, 0) AS n_chunks
 FROM pg LEFT JOIN (SELECT doc_id, page_idx, count(*) AS n FROM ck GROUP BY doc_id, page_idx) c
   ON pg.doc_id = c.doc_id AND pg.page_idx = c.page_idx"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read again: the lineage ends there, and columns
+    that a later step does not need are not read."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint so later consumers never recompute
     (and never re-send requests). Survives executor loss, unlike local checkpoints."""

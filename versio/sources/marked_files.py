@@ -14,7 +14,6 @@ longer than the marker.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from versio.functions.text import PAGE_MARKER, strip
-from versio.session import ensure_checkpoint_dir
+from versio.session import written
 
 #: A table of block offsets of at most this many rows is broadcast (a path and two numbers a row); a longer one
 #: is joined by file and block, of which each is one block of text.
@@ -63,10 +62,7 @@ def marked_file_pages(spark: SparkSession, path: str, *, marker: str = PAGE_MARK
     counts = records.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("pages"))
     before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("doc_id").alias("__file"), F.col("block").alias("__block"), F.coalesce(F.sum("pages").over(before), F.lit(0)).alias("__before"))
-    # written, so that it can be counted before it is joined
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/block-offsets-{uuid.uuid4().hex}"
-    offsets.write.parquet(folder)
-    offsets = spark.read.schema(offsets.schema).parquet(folder)
+    offsets = written(offsets, "block-offsets")  # so that it can be counted before it is joined
     if offsets.count() <= BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     numbered = _within_blocks(records)
