@@ -22,7 +22,7 @@ def same(both, text):
 
 
 def test_every_character_of_the_fast_path(both):
-    for c in map(chr, range(0x300)):
+    for c in map(chr, [*range(0x300), *range(0x2000, 0x2070), *range(0x2098, 0x20D0)]):
         assert same(both, f"a{c}B {c}{c}'s{c}1")
 
 
@@ -75,3 +75,12 @@ def test_cases(spark, both):
     assert back[2] == "" and back[1] == both[1].decode(got[1], skip_special_tokens=False)
     assert both[0].words(got[1]) == "hello wörld , hello "
     assert bpe.digests(df, vocabulary()).count() == 7 and bpe.encode(df.limit(0), vocabulary()).count() == 0
+
+
+def test_texts_off_the_fast_path_use_the_word_table(both):
+    own, _ = both
+    for text in ("quoted “words” don’t — stay… €5", "日本語 mixed with words", "words ᾳ words"):
+        assert same(both, text)
+    own.young, own.old, own.chars = {}, {}, 0
+    own.encode("日本 words " * 50)
+    assert {"日本", "words"} <= set(own.young)

@@ -94,11 +94,12 @@ def merge(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
 
 
 #: Up to U+02FF, text is in form NFC, lower-casing goes by single characters, and these are the letters and
-#: numbers; a text with any other character goes through the library's own normaliser and splitter.
+#: numbers; typographic punctuation and signs of currency are neither and stay as they are. A text with any
+#: other character goes through the library's own normaliser and splitter.
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _LETTER = rf"[^\W\d_{_NUMBERS}]"
 _SIMPLE = re.compile(rf"{_LETTER}+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|(?:(?!{_LETTER})[^ \t-\r\x85\xa0{_NUMBERS}])+")
-_OTHER = re.compile("[^\x00-˿]")
+_OTHER = re.compile("[^\x00-˿‐-‧‰-⁞₠-⃀]")
 #: What the shortcut above stands for, as the vocabulary file states it.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -128,6 +129,7 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.simple = split["pattern"]["Regex"] == _PATTERN and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.byte_of = {c: b for b, c in enumerate(chars)}
+        self.raw_of = {ord(c): b for b, c in enumerate(chars)}
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
         self.chars = 0
@@ -151,13 +153,12 @@ class WordBpe:
         """Append the ids of a text without special tokens."""
         if self.simple and not _OTHER.search(text):
             words = _SIMPLE.findall(text.lower())
-            for at in range(0, len(words), BLOCK):
-                part = words[at:at + BLOCK]
-                self._learn(part)
-                out.extend(chain.from_iterable(map(self.young.__getitem__, part)))
-        elif text:
-            for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):
-                out += self._merged(bytes(self.byte_of[c] for c in word))
+        else:  # the library's words stand for bytes; as text they are looked up in the same table
+            words = [w.translate(self.raw_of).encode("latin-1").decode() for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))] if text else []
+        for at in range(0, len(words), BLOCK):
+            part = words[at:at + BLOCK]
+            self._learn(part)
+            out.extend(chain.from_iterable(map(self.young.__getitem__, part)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; strings of special tokens in it become those tokens."""
