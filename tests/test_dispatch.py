@@ -269,6 +269,16 @@ def test_open_requests_are_capped_whatever_the_number_of_tasks(spark):
     assert (tasks_at_once(7, 2), tasks_at_once(4, 4), tasks_at_once(2, 3)) == (3, 1, 1)
 
 
+def test_task_slots_keep_the_cap(spark):
+    from versio.operators.dispatch import slots_profile
+
+    for concurrency, in_flight, executors, cores in ((64, 4, 4, 8), (10, 1, 3, 16), (1000, 8, 100, 4), (6, 6, 1, 4), (7, 9, 1, 5)):
+        cpus = slots_profile(concurrency, in_flight, executors, cores).taskResources["cpus"].amount
+        open_ = lambda c: executors * (cores // int(c)) * min(in_flight, concurrency)  # noqa: E731, B023
+        assert open_(cpus) <= concurrency and (cpus == 1 or open_(cpus - 1) > concurrency)
+    assert slots_profile(4, 1, 1000, 8) is None
+
+
 def test_a_worker_that_dies_costs_one_unit(spark):
     """A run whose worker dies late keeps the units before; the next run sends the rest."""
     class Dying:

@@ -162,3 +162,20 @@ def test_tag_patterns_name_the_tag_exactly(spark):
     c = {r.method: r.text for r in html_candidates(df).collect()}
     assert c["article"].split("<<<")[0].strip() == "abc\nd\ne"
     assert c["markdown"].count("\n- ") == 1
+
+
+def test_stored_candidates_are_chosen_without_moving_texts(spark, tmp_path, monkeypatch):
+    from versio.operators import extract
+
+    rows = [(k % 300, f"m{k % 7}", 10 + k, None if k % 11 == 0 else " " * (k % 5) + "t" * (k * 37 % 23)) for k in range(2000)]
+    rows += [(7, "hot", 9, "x" * (k % 50)) for k in range(3000)] + [(None, "n", 1, "null id"), (500, "only", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, method string, priority int, text string")
+    df.repartition(5).write.parquet(str(tmp_path / "c"))
+    key = lambda r: (str(r.doc_id), r.text, r.status)
+    want = sorted(map(key, extract.choose_best(df).collect()), key=str)
+    chosen = extract.choose_best_stored(spark, str(tmp_path / "c"))
+    assert sorted(map(key, chosen.collect()), key=str) == want
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    monkeypatch.setattr(extract, "BROADCAST_WORDS", 0)
+    assert sorted(map(key, extract.choose_best_stored(spark, str(tmp_path / "c")).collect()), key=str) == want

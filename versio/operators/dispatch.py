@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.resource import ResourceProfile
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,6 +163,17 @@ def tasks_at_once(concurrency: int, in_flight_per_task: int) -> int:
     return max(1, concurrency // in_flight_per_task)
 
 
+def slots_profile(concurrency: int, in_flight_per_task: int, executors: int, cores: int) -> ResourceProfile | None:
+    """A profile (for the option ``profile``) whose tasks take so many CPUs that Spark runs at most ``concurrency``
+    requests at a time on ``executors`` executors of ``cores`` cores: stage-level scheduling, on clusters that have
+    it. None if one task on each executor would already be too much; then the number of tasks is the cap."""
+    tasks = concurrency // (min(in_flight_per_task, concurrency) * executors)
+    if not tasks:
+        return None
+    cpus = next(c for c in range(1, cores + 1) if cores // c <= tasks)
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
+
+
 def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], *, langs: Sequence[str] | None,
           max_attempts: int, wait: tuple[float, float, float], timeout: float | None, in_flight_per_task: int, partitions: int,
           profile: ResourceProfile | None, deal: bool) -> DataFrame:

@@ -30,10 +30,11 @@ from dataclasses import dataclass
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.functions.text import PAGE_SUFFIX, col_of, is_blank, strip
+from versio.session import written
 
 METHODS = (("native", 1), ("article", 2), ("markdown", 3))
 
@@ -208,6 +209,28 @@ def choose_best(candidates: DataFrame) -> DataFrame:
     return _with_status(out)
 
 
+#: Rows of the table of winners' bits that are broadcast at most (a path, a number and 64 bits each); each stands for
+#: 64 rows of candidates.
+BROADCAST_WORDS = 500_000
+
+
+def choose_best_stored(spark: SparkSession, path: str) -> DataFrame:
+    """B6 + B7 for candidates stored as Parquet at ``path``, without moving their texts: only lengths and row
+    locators (file and row number) are shuffled, the winners of each file are told to a second scan as bits, and
+    the scan keeps their rows where they lie. A table of bits that is too long to broadcast is joined by file and
+    place instead. Result and ties as ``choose_best``; rows of equal length and priority go by their place."""
+    rows = spark.read.parquet(path).select("doc_id", "method", "priority", "text", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    score = F.struct(F.length(strip("text")).alias("n"), (-F.col("priority")).alias("p"), "__file", (-F.col("__row")).alias("r"))
+    winners = rows.select("doc_id", score.alias("score")).groupBy("doc_id").agg(F.max("score").alias("best"))
+    place = winners.select(F.col("best.__file").alias("__f"), (-F.col("best.r")).alias("__at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("__at", F.lit(64)).cast("int"))
+    words = written(place.groupBy("__f", F.floor(F.col("__at") / 64).alias("__word")).agg(F.bit_or(bit).alias("__bits")), "winners")
+    told = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+    held = F.call_function("shiftright", F.col("__bits"), F.pmod("__row", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    joined = rows.join(told, (F.col("__file") == F.col("__f")) & (F.floor(F.col("__row") / 64) == F.col("__word")))
+    return _with_status(joined.where(held).select("doc_id", "method", "text"))
+
+
 def extraction_stats(candidates: DataFrame) -> DataFrame:
     """Per method, candidate count, characters (raw and stripped), and how
     often and with how many characters it was chosen (``chosen`` flag of

@@ -135,6 +135,13 @@ def q_choose_best(spark, sf):
     return extract.choose_best(extract.html_candidates(_html(spark, sf)))
 
 
+def q_choose_best_stored(spark, sf):
+    """B6 + B7 on a stored table of candidates: texts stay where they lie."""
+    folder = _folder(spark, "candidates")
+    extract.html_candidates(_html(spark, sf)).drop("chosen", "error").repartition(8).write.parquet(folder)
+    return extract.choose_best_stored(spark, folder)
+
+
 def q_extract_binary(spark, sf):
     """The decoder hook on the pages' bytes: a paged and an unpaged decoder, the longer text wins."""
     files = S.read(spark, sf, "pages", ["page_id", "html"]).select(
@@ -430,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "extract_candidates": q_extract_candidates,
     "extract_best": q_extract_best,
     "choose_best": q_choose_best,
+    "choose_best_stored": q_choose_best_stored,
     "extraction_stats": q_extraction_stats,
     "extract_binary": q_extract_binary,
     "mark_pages": q_mark_pages,

@@ -341,6 +341,7 @@ FROM s WHERE lower(raw) IN ('.pdf', '.txt', '.gz')"""
     o["extract_candidates"] = with_(html_cte()) + "SELECT doc_id, method, priority, text FROM cand"
     o["extract_best"] = with_(html_cte()) + "SELECT doc_id, method, text, status FROM best"
     o["choose_best"] = o["extract_best"]
+    o["choose_best_stored"] = o["extract_best"]
     o["extraction_stats"] = with_(html_cte()) + f"""SELECT c.method, c.n_candidates, c.chars, c.stripped_chars,
   coalesce(w.n_chosen, 0) AS n_chosen, CAST(coalesce(w.chosen_chars, 0) AS BIGINT) AS chosen_chars
 FROM (SELECT method, count(*) AS n_candidates, CAST(sum(length(text)) AS BIGINT) AS chars,
