@@ -31,7 +31,8 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
     print("# Physical plans of the registered queries\n")
-    print(f"Generated by `tools/plan_report.py` on `{os.path.basename(sf)}` (`local[8]`).\n")
+    print(f"Generated by `tools/plan_report.py` on `{os.path.basename(sf)}` (`local[8]`). A query that dispatches has sent its requests when its\n"
+          "plan is made: what is shown reads the written tables of the rounds (`(checkpoint)` where a plan reads only one of them).\n")
     print("| query | shuffles | broadcasts | Python stages | scan columns |")
     print("| --- | --- | --- | --- | --- |")
     for name, q in QUERIES.items():
