@@ -37,6 +37,8 @@ LEAST_WORDS = 50
 #: Positions of which the one with the smallest hash ends a chunk: with the bytes hashed at the first
 #: of them they fit into the shortest passage (words of one byte).
 WINDOW = 2 * LEAST_WORDS - HASHED
+#: Words of 64 bits that tell which ids are looked at: at most this many rows are broadcast.
+SLOTS = 1 << 16
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 #: Bytes by which a passage may begin before the first end of a chunk in it, and go on after the last one.
@@ -197,10 +199,25 @@ def _passages(text: bytes, parts: list[tuple[int, int]], least_words: int) -> tu
     return np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(nth)).view(np.int64), nth, first, last
 
 
+def _perhaps(rows: DataFrame, looked_at: DataFrame) -> DataFrame:
+    """``rows`` without most of those that ``looked_at`` has nothing of, so that their texts need not move: a bit for
+    the hash of each id, SLOTS words of 64 bits at most, whatever the number of ids."""
+    def word(id_: str) -> Column:
+        return F.xxhash64(id_).bitwiseAND(F.lit(SLOTS - 1))
+
+    def bit(id_: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(id_), 58).cast("int")
+
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit("own"))
+    bits = written(looked_at.groupBy(word("own").alias("word")).agg(F.bit_or(one).alias("bits")), "looked-at-bits")
+    held = F.call_function("shiftright", F.col("bits"), bit("id")).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(bits), word("id") == F.col("word")).where(held).drop("word", "bits")
+
+
 def passages(rows: DataFrame, looked_at: DataFrame, least_words: int) -> DataFrame:
     """One row ``id``, ``row``, ``digest``, ``nth``, ``start``, ``stop`` for each passage of ``least_words`` words in the
     parts of ``texts`` to look at."""
-    rows = rows.join(looked_at, (F.col("id") == F.col("own")) & (F.col("row") == F.col("mark"))).select("id", "row", "text", "parts")
+    rows = _perhaps(rows, looked_at).join(looked_at, (F.col("id") == F.col("own")) & (F.col("row") == F.col("mark"))).select("id", "row", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,10 +244,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     window = max(1, min(WINDOW, 2 * least_words - HASHED))
     rows = texts(docs, id_col, text_col)
-    looked_at = _looked_at(chunks(rows, window), least_words)
+    looked_at = written(_looked_at(chunks(rows, window), least_words), "looked-at")
     found = written(passages(rows, looked_at, least_words), "passages")
-    shared = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
-    again = found.join(shared, "digest").where("id <> first").select("id", "row", "first", "nth", "start", "stop")
+    # the rows of a digest are read in order of their ids, so the first one's is the smallest and none is held
+    order = Window.partitionBy("digest").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = found.withColumn("first", F.min("id").over(order)).where("id <> first").select("id", "row", "first", "nth", "start", "stop")
     place = Window.partitionBy("id", "row").orderBy("nth")  # copies of a row only repeat each number
     begins = F.coalesce(F.lag("nth").over(place) + least_words <= F.col("nth"), F.lit(True))
     runs = again.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(place))
