@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versio.llm.common import fresh, join_keys, written
+from versio.llm.common import drop_written, fresh, join_keys, written
 
 #: Random 32-bit number of each byte.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
@@ -244,7 +244,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     window = max(1, min(WINDOW, 2 * least_words - HASHED))
     rows = texts(docs, id_col, text_col)
-    looked_at = written(_looked_at(chunks(rows, window), least_words), "looked-at")
+    cut = written(chunks(rows, window), "chunks")  # chunks are cut once and read twice
+    looked_at = written(_looked_at(cut, least_words), "looked-at")
+    drop_written(cut)
     found = written(passages(rows, looked_at, least_words), "passages")
     # the rows of a digest are read in order of their ids, so the first one's is the smallest and none is held
     order = Window.partitionBy("digest").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
