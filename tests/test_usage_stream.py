@@ -1,5 +1,6 @@
 """Usage totals of a stream of answers against those of the answers as a table."""
 
+import re
 import shutil
 
 from versio.operators.dispatch import answer_units, read_answers
@@ -36,3 +37,35 @@ def test_stream_totals_equal_batch_totals(spark, tmp_path):
     last = stream()
     assert last == batch() and all(r[-1] == 0 for r in last) and last != first
     assert current_usage(spark, table).columns == usage_by_document(read_answers(spark, sink)).columns
+
+
+def test_arrival_order_does_not_matter(spark, tmp_path):
+    """Answers of a chunk with different tokens, a failure before or after: the totals are those of the other order."""
+    cols = "doc_id long, target_lang string, page_idx int, chunk_idx int, status string, prompt_tokens long, completion_tokens long"
+    first = [(1, "de", 0, 0, "ok", 9, 9), (1, "de", 0, 1, "failed", 0, 0), (1, "de", 0, 2, "failed", 0, 0), (2, None, 0, 0, "ok", None, 5)]
+    second = [(1, "de", 0, 0, "ok", 4, 3), (1, "de", 0, 1, "ok", 2, 1), (1, "de", 0, 0, "failed", 0, 0), (2, None, 0, 0, "ok", None, 5)]
+    found = []
+    for way in ([first, second], [second, first]):
+        sink, table, ck = (str(tmp_path / f"{x}{len(found)}") for x in ("sink", "usage", "ck"))
+        for k, rows in enumerate(way):
+            spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{sink}/run=a/unit={k}")
+            usage_stream(answer_stream(spark, sink, cols), table, ck).awaitTermination()
+        found.append(sorted(map(tuple, current_usage(spark, table).collect())))
+    assert found[0] == found[1] == [(1, "de", 6, 4, 10, 3, 1), (2, None, 0, 5, 5, 1, 0)]
+
+
+def test_a_unit_opens_the_folders_of_its_range_only(spark, tmp_path, monkeypatch):
+    from versio.operators import dispatch
+
+    seen, rounds = [], dispatch._rounds
+
+    def spy(units, *args, **options):
+        units = list(units)
+        seen.extend((u.count(), u._jdf.queryExecution().executedPlan().toString()) for u in units)
+        return rounds(units, *args, **options)
+
+    monkeypatch.setattr(dispatch, "_rounds", spy)
+    tasks = spark.range(800).selectExpr("id AS doc_id", "0 AS page_idx", "0 AS chunk_idx", "string(id) AS chunk")
+    out = answer_units(tasks, EchoService(), str(tmp_path / "sink"), unit_rows=100, langs=["de"], concurrency=2, sleep=lambda s: None)
+    assert len(seen) == 8 and sum(n for n, _ in seen) == 800 == out.count()
+    assert all(re.search(r"PartitionFilters: \[[^\]]*share", plan) for _, plan in seen)

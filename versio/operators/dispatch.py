@@ -346,6 +346,10 @@ def read_answers(spark: SparkSession, sink: str, keys: Sequence[str] = (*DEFAULT
     return rows.groupBy(*keys).agg(best.alias("__row")).select(*keys, "__row.*").drop("run", "unit", "batch_id")
 
 
+#: Folders of pending requests that a task writes.
+SHARES_PER_FILE = 8
+
+
 def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: int = 100_000, langs: Sequence[str] | None = None,
                  keys: Sequence[str] = DEFAULT_KEYS, lang_col: str = "target_lang", text_col: str = "chunk", **options) -> DataFrame | None:
     """Answer ``tasks`` into the Parquet folder ``sink`` in units of about ``unit_rows`` requests, each
@@ -354,7 +358,8 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     What ``sink`` holds with status ``ok`` is not sent again, whichever run wrote it; failed chunks are. A row
     that is to be tried again stands in the sink as failed, until a later unit has its next attempt.
     Pending requests are written to the shared checkpoint folder once, ordered by a hash of their keys; a
-    unit is a range of it, so reading one skips the files of the others.
+    unit is a range of it, and the folders it lies in are named by their range, so planning one skips the files of
+    the others.
     """
     spark, keys = tasks.sparkSession, list(keys)
     if langs is not None:
@@ -365,12 +370,22 @@ def answer_units(tasks: DataFrame, service: Service, sink: str, *, unit_rows: in
     # buckets are finer than units, whose number is known only once the pending requests are written
     files, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 20
     todo = todo.withColumn("bucket", F.pmod(F.xxhash64(*every), F.lit(buckets)))
-    share = F.floor(F.col("bucket") * files / F.lit(float(buckets))).cast("int")
-    todo.repartitionById(files, share).sortWithinPartitions("bucket").write.parquet(pending)
+    # a unit lies in several folders, so several tasks read it
+    shares = SHARES_PER_FILE * files
+    todo = todo.withColumn("share", F.floor(F.col("bucket") * shares / F.lit(float(buckets))).cast("int"))
+    task = F.floor(F.col("share") / SHARES_PER_FILE).cast("int")
+    todo.repartitionById(files, task).sortWithinPartitions("share", "bucket").write.partitionBy("share").parquet(pending)
     todo = spark.read.schema(todo.schema).parquet(pending)
     units = -(-todo.count() // unit_rows)
     run = f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
-    parts = (todo.where(F.col("bucket").between(k * buckets // units, (k + 1) * buckets // units - 1)).drop("bucket") for k in range(units))
+
+    def part(k: int) -> DataFrame:
+        """Unit ``k``: a range of buckets, of which only the folders that hold it are opened."""
+        first, last = k * buckets // units, (k + 1) * buckets // units - 1
+        share = [int(b * shares / float(buckets)) for b in (first, last)]
+        return todo.where(F.col("share").between(*share) & F.col("bucket").between(first, last)).drop("bucket", "share")
+
+    parts = (part(k) for k in range(units))
 
     def finish(raw: DataFrame) -> DataFrame:
         return normalise(raw.withColumnRenamed("answer", "translated"), keys=every, also=("due", "held"))

@@ -1,24 +1,20 @@
 """Usage totals kept up to date on a stream of answers.
 
-The state of a page (of a document in a language) is what is known of its chunks: whether one was answered and
-with how many tokens. A chunk counts once however often its answer comes, in a replayed batch or from a second run,
-and an answer replaces an earlier failure. States are merged chunk by chunk, so the order of arrival does not
-matter. A page's totals are written with the batch that changed them; the current totals of a document are the sum
-over the newest row of each page.
+The state of a page (of a document in a language) is the set of what its chunks were answered: whether it was an
+answer and with how many tokens. A chunk counts once however often its answer comes, in a replayed batch or from a
+second run, and an answer replaces an earlier failure; of several answers with different tokens the one with the
+fewest counts. The state is a set, so the order of arrival does not matter. It is a streaming aggregation, kept and
+merged by Spark without a call to Python for each page. A page's totals are written with the batch that changed
+them; the current totals of a document are the sum over the newest row of each page.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PAGE = ["doc_id", "target_lang", "page_idx"]
-_STATE = "chunks array<int>, answered array<boolean>, prompt array<bigint>, completion array<bigint>"
 TOTALS = ["prompt_tokens_total", "completion_tokens_total", "n_chunks", "n_failed"]
 
 
@@ -30,27 +26,27 @@ def answer_stream(spark: SparkSession, sink: str, schema, max_files_per_trigger:
     return reader.parquet(f"{sink.rstrip('/')}/run=*/unit=*")
 
 
-def _merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = {}
-    if state.exists:
-        known = {c: (a, p, q) for c, a, p, q in zip(*state.get, strict=True)}
-    for pdf in batches:
-        for c, status, p, q in zip(pdf["chunk_idx"], pdf["status"], pdf["prompt_tokens"], pdf["completion_tokens"], strict=True):
-            if c not in known or (status == "ok" and not known[c][0]):
-                known[int(c)] = (status == "ok", int(p or 0), int(q or 0))
-    rows = sorted((c, *v) for c, v in known.items())
-    state.update(tuple([r[k] for r in rows] for k in range(4)))
-    totals = [sum(r[2] for r in rows), sum(r[3] for r in rows), len(rows), sum(not r[1] for r in rows)]
-    yield pd.DataFrame([[*key, *totals]], columns=[*PAGE, *TOTALS])
+def _chunk_totals(answers: Column) -> Column:
+    """Totals of an array of (chunk_idx, failed, prompt_tokens, completion_tokens): the first of every chunk counts,
+    in the order of the fields."""
+    zero = F.lit(0).cast("bigint")
+
+    def step(now: Column, x: Column) -> Column:
+        new = ~now["chunk"].eqNullSafe(F.struct(x["chunk_idx"].alias("idx")))
+        add = (x["prompt_tokens"], x["completion_tokens"], F.lit(1), x["failed"].cast("int"))
+        totals = [(now[t] + F.when(new, v).otherwise(0)).cast("bigint").alias(t) for t, v in zip(TOTALS, add, strict=True)]
+        return F.struct(F.struct(x["chunk_idx"].alias("idx")).alias("chunk"), *totals)
+
+    none = F.lit(None).cast("struct<idx:int>").alias("chunk")
+    return F.aggregate(F.array_sort(answers), F.struct(none, *[zero.alias(t) for t in TOTALS]), step)
 
 
 def page_totals(answers: DataFrame) -> DataFrame:
     """The totals of every page that a batch of the stream ``answers`` changes."""
-    types = {f.name: f.dataType.simpleString() for f in answers.schema.fields}
-    head = ", ".join(f"{c} {types[c]}" for c in PAGE)
-    rows = answers.select(*PAGE, "chunk_idx", "status", F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"),
-                          F.coalesce("completion_tokens", F.lit(0)).alias("completion_tokens"))
-    return rows.groupBy(*PAGE).applyInPandasWithState(_merge, f"{head}, {', '.join(f'{t} bigint' for t in TOTALS)}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    answer = F.struct(F.col("chunk_idx").cast("int").alias("chunk_idx"), (~F.col("status").eqNullSafe("ok")).alias("failed"),
+                      *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in ("prompt_tokens", "completion_tokens")])
+    pages = answers.groupBy(*PAGE).agg(F.collect_set(answer).alias("answers"))
+    return pages.select(*PAGE, _chunk_totals(F.col("answers")).alias("now")).select(*PAGE, *[F.col(f"now.{t}").alias(t) for t in TOTALS])
 
 
 def usage_stream(answers: DataFrame, path: str, checkpoint_location: str, *, available_now: bool = True, trigger_interval: str = "30 seconds") -> StreamingQuery:
