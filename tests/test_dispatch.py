@@ -338,3 +338,33 @@ def test_a_reply_is_parsed_once(spark):
     assert plan.count("from_json") == 1
     df = translate(_tasks(spark, ["x"]), EchoService(), concurrency=1)
     assert "from_json" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_holds_one_piece_of_a_batch(spark):
+    """Answers come back piece by piece: the first rows of a long batch are returned before its last ones are asked."""
+    import pyarrow as pa
+
+    from versio.operators.dispatch import PIECE_BYTES, PIECE_ROWS, pieces
+
+    long = pa.record_batch({"id": list(range(40)), "text": ["x" * 1_000_000] * 40})
+    short = pa.record_batch({"id": list(range(9_999))})
+    for batch, least in ((long, 1), (short, 1), (long, 16), (short, 6_000), (short.slice(5, 1), 1), (short.slice(0, 0), 1)):
+        cut = list(pieces(batch, least))
+        assert [x for p in cut for x in p.column("id").to_pylist()] == batch.column("id").to_pylist()
+        assert all(least <= p.num_rows or p.num_rows == batch.num_rows for p in cut)
+        assert all(p.num_rows < 2 * least or (p.num_rows <= PIECE_ROWS and p.nbytes <= PIECE_BYTES) for p in cut)
+
+    class Held:
+        """Answers with the number of rows that its thread was given."""
+
+        def __call__(self, text, lang):
+            import sys
+
+            at = sys._getframe()
+            while "rows" not in at.f_locals or not isinstance(at.f_locals["rows"], list):
+                at = at.f_back
+            return str(len(at.f_locals["rows"])), {}
+
+    tasks = spark.range(5_000, numPartitions=1).selectExpr("id AS doc_id", "0 AS page_idx", "0 AS chunk_idx", "'t' AS chunk")
+    got = translate(tasks, Held(), concurrency=1, langs=["de", "pt"]).selectExpr("int(translated) AS n", "target_lang").collect()
+    assert len(got) == 10_000 and {r.target_lang for r in got} == {"de", "pt"} and max(r.n for r in got) <= PIECE_ROWS

@@ -36,7 +36,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +174,21 @@ def slots_profile(concurrency: int, in_flight_per_task: int, executors: int, cor
     return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
 
 
+#: Rows and bytes of requests whose answers a task holds at a time.
+PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, least: int = 1, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces, in order: at most ``rows`` rows and ``size`` bytes each, unless half of it had fewer than
+    ``least`` rows, the calls that may be open."""
+    n = batch.num_rows
+    if n >= 2 * least and (n > rows or batch.nbytes > size):
+        for part in (batch.slice(0, n // 2), batch.slice(n // 2)):
+            yield from pieces(part, least, rows, size)
+    elif n:
+        yield batch
+
+
 def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], *, langs: Sequence[str] | None,
           max_attempts: int, wait: tuple[float, float, float], timeout: float | None, in_flight_per_task: int, partitions: int,
           profile: ResourceProfile | None, deal: bool) -> DataFrame:
@@ -182,43 +197,46 @@ def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, s
 
     ``due`` is the time (seconds) from which a failed row may be sent again and ``held`` what is sent then; both
     are null for answers and for rows out of attempts. A row whose ``args[1]`` is null is sent once for each of
-    ``langs``, so the exchange moves every text once however many languages there are."""
+    ``langs``, so the exchange moves every text once however many languages there are. A task holds the texts and
+    answers of one piece of an Arrow batch at a time."""
     types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in carry) + (
         ", answer string, attempts int, error string, prompt_tokens bigint, completion_tokens bigint, "
         "usage_reported boolean, due double, held string")
-    carry, langs, first = list(carry), list(langs or ()), args[0]
+    carry, langs = list(carry), list(langs or ())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = getattr(call, "attempt", None)
 
         def one(attempt: int, text: str, other: str) -> tuple:
             return (at(attempt) if at else call)(text, other)
 
-        calls = Calls(in_flight_per_task, timeout)
-        for pdf in batches:
-            if langs and pdf[args[1]].isna().any():
-                new = pdf[pdf[args[1]].isna()]
-                each = new.loc[new.index.repeat(len(langs))]
-                each[args[1]] = langs * len(new)
-                pdf = pd.concat([pdf[pdf[args[1]].notna()], each], ignore_index=True)
-            got = calls.answers(one, zip(pdf["attempt"].tolist(), pdf[first], pdf[args[1]], strict=True))
-            now = time.time()
-            again = [e is not None and n < max_attempts for (_, _, e), n in zip(got, pdf["attempt"], strict=True)]
-            counts = [usage_counts(u) for _, u, _ in got]
-            out = pdf[carry].copy()
-            out["answer"] = [a for a, _, _ in got]
-            out["attempts"] = pdf["attempt"].astype("int32").to_numpy()
-            out["error"] = [e for _, _, e in got]
-            out["prompt_tokens"], out["completion_tokens"], out["usage_reported"] = ([c[k] for c in counts] for k in range(3)) if len(pdf) else ([], [], [])
-            out["due"] = [now + backoff(int(n), *wait) if x else None for x, n in zip(again, pdf["attempt"], strict=True)]
-            out["held"] = [t if x else None for x, t in zip(again, pdf[first], strict=True)]
-            yield out
+        calls, each_row = Calls(in_flight_per_task, timeout), max(1, len(langs))
+        for whole in batches:
+            for batch in pieces(whole, -(-in_flight_per_task // each_row), PIECE_ROWS // each_row or 1, PIECE_BYTES // each_row):
+                numbers, texts, others = (batch.column(c).to_pylist() for c in ("attempt", *args))
+                # a row without the second argument is sent once for each language
+                each = [langs if langs and x is None else [x] for x in others]
+                which, others = [k for k, xs in enumerate(each) for _ in xs], [x for xs in each for x in xs]
+                numbers, texts = [numbers[k] for k in which], [texts[k] for k in which]
+                got = calls.answers(one, zip(numbers, texts, others, strict=True))
+                now = time.time()
+                again = [e is not None and n < max_attempts for (_, _, e), n in zip(got, numbers, strict=True)]
+                counts = [usage_counts(u) for _, u, _ in got]
+                rows = pa.array(which, pa.int32())
+                kept = [pa.array(others, batch.schema.field(c).type) if c == args[1] else batch.column(c).take(rows) for c in carry]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array([a for a, _, _ in got], pa.string()), pa.array(numbers, pa.int32()), pa.array([e for _, _, e in got], pa.string()),
+                     pa.array([p for p, _, _ in counts], pa.int64()), pa.array([c for _, c, _ in counts], pa.int64()),
+                     pa.array([r for _, _, r in counts], pa.bool_()),
+                     pa.array([now + backoff(n, *wait) if x else None for x, n in zip(again, numbers, strict=True)], pa.float64()),
+                     pa.array([t if x else None for x, t in zip(again, texts, strict=True)], pa.string())],
+                    [*carry, "answer", "attempts", "error", "prompt_tokens", "completion_tokens", "usage_reported", "due", "held"])
         calls.close()
 
     # rows of retries alone lie as they were dealt in the round before
     dealt = todo.repartition(partitions) if deal else todo.coalesce(partitions)
-    return dealt.mapInPandas(run, schema, profile=profile)
+    return dealt.mapInArrow(run, schema, profile=profile)
 
 
 def _rounds(units: Iterable[DataFrame], call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], folder: Callable[[int], str], *,
