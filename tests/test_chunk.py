@@ -90,3 +90,16 @@ def test_any_partition_count_gives_equal_output(spark):
     for r in a:
         keys.setdefault((r.doc_id, r.page_idx), []).append(r.chunk_idx)
     assert all(sorted(v) == list(range(len(v))) for v in keys.values())
+
+
+def test_chunks_of_long_documents_come_back_in_small_batches():
+    import pyarrow as pa
+
+    from versio.operators.chunk import _chunk_batches
+
+    texts = [f"{k} " + "word " * 200_000 for k in range(40)] + [None, ""]
+    batch = pa.record_batch({"doc_id": list(range(42)), "text": texts})
+    out = list(_chunk_batches(iter([batch, batch.slice(0, 0)]), 1, 200))
+    assert max(b.nbytes for b in out) < 8 << 20
+    got = [(d, i, c) for b in out for d, i, c in zip(*(b.column(x).to_pylist() for x in ("doc_id", "chunk_idx", "chunk")))]
+    assert got == [(d, i, c) for d, t in enumerate(texts) for i, c in enumerate(chunk_text_py(t.strip(), 200) if t else [])]

@@ -344,7 +344,7 @@ def test_a_task_holds_one_piece_of_a_batch(spark):
     """Answers come back piece by piece: the first rows of a long batch are returned before its last ones are asked."""
     import pyarrow as pa
 
-    from versio.operators.dispatch import PIECE_BYTES, PIECE_ROWS, pieces
+    from versio.functions.batches import PIECE_BYTES, PIECE_ROWS, pieces
 
     long = pa.record_batch({"id": list(range(40)), "text": ["x" * 1_000_000] * 40})
     short = pa.record_batch({"id": list(range(9_999))})

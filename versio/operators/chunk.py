@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versio.functions.batches import pieces
 from versio.functions.text import (
     DEFAULT_CHUNK_TOKENS,
     PAGE_MARKER,
@@ -218,6 +219,28 @@ def chunk_array_native(df: DataFrame, page: str, limit: int, out: str = "chunks"
 _BATCH_ROWS = 500
 
 
+def _chunk_batches(batches: Iterator[pa.RecordBatch], n: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The first ``n`` columns of each document and its chunks; column ``n`` is the text. Bounded in rows and bytes."""
+    for whole in batches:
+        for batch in pieces(whole, rows=_BATCH_ROWS):
+            row, page_no, chunk_no, out = [], [], [], []
+            for k, text in enumerate(batch.column(n).to_pylist()):
+                pages = (p for p in map(str.strip, (text or "").split(PAGE_MARKER)) if p)
+                for p, page in enumerate(pages):
+                    found = chunk_text_py(page, limit)
+                    row += [k] * len(found)
+                    page_no += [p] * len(found)
+                    chunk_no += range(len(found))
+                    out += found
+            which = pa.array(row, pa.int32())
+            chunks = pa.array(out, pa.string())
+            tokens = pa.array([(len(c) + 3) >> 2 for c in out], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(which) for c in batch.columns[:n]), pa.array(page_no, pa.int32()),
+                 pa.array(chunk_no, pa.int32()), chunks, tokens],
+                [*batch.schema.names[:n], "page_idx", "chunk_idx", "chunk", "chunk_tokens"])
+
+
 def chunk_documents(docs: DataFrame, limit: int = DEFAULT_CHUNK_TOKENS, *, text_col: str = "text",
                     key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """C1 + D1-D5 in one pass: docs(key, text) -> chunks(key, carry..., page_idx INT, chunk_idx INT,
@@ -229,25 +252,7 @@ def chunk_documents(docs: DataFrame, limit: int = DEFAULT_CHUNK_TOKENS, *, text_
     n, limit = 1 + len(carry), int(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH_ROWS):
-                batch = whole.slice(at, _BATCH_ROWS)
-                row, page_no, chunk_no, out = [], [], [], []
-                for k, text in enumerate(batch.column(n).to_pylist()):
-                    pages = (p for p in map(str.strip, (text or "").split(PAGE_MARKER)) if p)
-                    for p, page in enumerate(pages):
-                        found = chunk_text_py(page, limit)
-                        row += [k] * len(found)
-                        page_no += [p] * len(found)
-                        chunk_no += range(len(found))
-                        out += found
-                which = pa.array(row, pa.int32())
-                chunks = pa.array(out, pa.string())
-                tokens = pa.array([(len(c) + 3) >> 2 for c in out], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(which) for c in batch.columns[:n]), pa.array(page_no, pa.int32()),
-                     pa.array(chunk_no, pa.int32()), chunks, tokens],
-                    [*batch.schema.names[:n], "page_idx", "chunk_idx", "chunk", "chunk_tokens"])
+        return _chunk_batches(batches, n, limit)
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
     return rows.mapInArrow(run, f"{head}, page_idx int, chunk_idx int, chunk string, chunk_tokens bigint")

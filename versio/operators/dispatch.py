@@ -41,6 +41,7 @@ from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResour
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from versio.functions.batches import PIECE_BYTES, PIECE_ROWS, pieces
 from versio.functions.text import FAILED_MARKER
 from versio.session import ensure_checkpoint_dir
 from versio.sources.dimensions import (
@@ -174,21 +175,6 @@ def slots_profile(concurrency: int, in_flight_per_task: int, executors: int, cor
     return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus)).build
 
 
-#: Rows and bytes of requests whose answers a task holds at a time.
-PIECE_ROWS, PIECE_BYTES = 1000, 4 << 20
-
-
-def pieces(batch: pa.RecordBatch, least: int = 1, rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in pieces, in order: at most ``rows`` rows and ``size`` bytes each, unless half of it had fewer than
-    ``least`` rows, the calls that may be open."""
-    n = batch.num_rows
-    if n >= 2 * least and (n > rows or batch.nbytes > size):
-        for part in (batch.slice(0, n // 2), batch.slice(n // 2)):
-            yield from pieces(part, least, rows, size)
-    elif n:
-        yield batch
-
-
 def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, str], carry: Sequence[str], *, langs: Sequence[str] | None,
           max_attempts: int, wait: tuple[float, float, float], timeout: float | None, in_flight_per_task: int, partitions: int,
           profile: ResourceProfile | None, deal: bool) -> DataFrame:
@@ -213,6 +199,7 @@ def _send(todo: DataFrame, call: Callable[[str, str], tuple], args: tuple[str, s
 
         calls, each_row = Calls(in_flight_per_task, timeout), max(1, len(langs))
         for whole in batches:
+            # a piece has no fewer rows than calls may be open
             for batch in pieces(whole, -(-in_flight_per_task // each_row), PIECE_ROWS // each_row or 1, PIECE_BYTES // each_row):
                 numbers, texts, others = (batch.column(c).to_pylist() for c in ("attempt", *args))
                 # a row without the second argument is sent once for each language
