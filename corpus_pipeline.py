@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from versio.llm.common import fresh, join_keys, written
+from versio.llm.common import fresh, join_keys, unsent, written
 from versio.llm.queries import vocabulary
 
 
@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     alone, shared = keyed.where(F.col(several).isNull()), keyed.where(several)
     ids = going.where(F.col(several).isNull()).select(unnamed, own, F.lit(True).alias(gone))
     lone = join_keys(alone, ids, [unnamed, own], salt_by=F.coalesce(F.length("text"), F.lit(0)).cast("bigint")).where(F.col(gone).isNull())
-    left = shared.join(going.where(several), key, "left_anti").dropDuplicates(key)
+    left = shared.join(unsent(going.where(several)), key, "left_anti").dropDuplicates(key)
     return lone.select(*docs.columns).union(left.select(*docs.columns))
 
 

@@ -47,6 +47,14 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unsent(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table`` as one side of a sort-merge join whatever the session's broadcast threshold is, if ``rows``, a bound
+    of its rows, is over ``BROADCAST_ROWS`` or not known. Spark estimates a table from the size of its files, without
+    the rows that ``explode`` adds and what compression takes off, and would send one of many times that threshold
+    through the driver."""
+    return table if rows is not None and rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 def join_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt_by: Column, how: str = "left") -> DataFrame:
     """Join ``rows`` with a table of one row per key. The table is counted first: up to
     ``BROADCAST_ROWS`` rows it is broadcast; beyond that the rows of each key are dealt over
@@ -62,4 +70,4 @@ def join_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt_by: C
     left_salt, right_salt = fresh(names, "_salt"), fresh(names, "_salt_right")
     salted = rows.withColumn(left_salt, F.pmod(salt_by, F.lit(SALTS)))
     small = small.withColumn(right_salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(small, [*on, F.col(left_salt) == F.col(right_salt)], how).drop(left_salt, right_salt, *right.values())
+    return salted.join(unsent(small), [*on, F.col(left_salt) == F.col(right_salt)], how).drop(left_salt, right_salt, *right.values())

@@ -12,20 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versio.llm.common import drop_written, written
+from versio.llm.common import drop_written, unsent, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every neighbour that is larger than the node to the smallest of the node and its neighbours."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Link every neighbour that is larger than the node to the smallest of the node and its neighbours.
+    ``n`` is the number of edges."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return both.where("b > a").join(unsent(least, n), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link the node and its smaller neighbours to the smallest of these; edges come as a > b."""
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Link the node and its smaller neighbours to the smallest of these; edges come as a > b, ``n`` at most."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(unsent(least, n), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a is not null and b is not null and a <> b").select(*ends).distinct(), "edges")
     before, after = None, _signature(now)
     while before != after and after[0]:
-        stars = _small_star(_large_star(now)).distinct()
+        stars = _small_star(_large_star(now, after[0]), after[0]).distinct()
         following = written(stars, "edges")
         drop_written(now)
         now, before, after = following, after, _signature(following)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versio.llm.common import fresh, join_keys, written
+from versio.llm.common import fresh, join_keys, unsent, written
 
 #: The white space that equality ignores: space and \t, \n, \v, \f, \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -136,5 +136,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing = F.lit("0").cast(docs.schema[id_col].dataType)
     stays = decided.where("many and first").select(F.coalesce("id", nothing).alias(id_), F.col("id").isNull().alias(unnamed), F.col("mark").alias(mark), F.col("points").alias(points))
     named = {id_: F.coalesce(F.col(id_col), nothing), unnamed: F.col(id_col).isNull(), mark: _mark(normalised(F.col(text_col)), several), points: size.cast("int")}
-    shared = told.where(several).withColumns(named).join(stays, key).dropDuplicates(key)
+    shared = told.where(several).withColumns(named).join(unsent(stays), key).dropDuplicates(key)
     return lone.select(*names).union(shared.select(*names))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versio.llm.common import written
+from versio.llm.common import join_keys, unsent, written
 from versio.llm.components import connected_components
 
 HASH_SEED = 42
@@ -170,7 +170,7 @@ def _dense_links(fps: DataFrame, max_bits: int) -> DataFrame:
     centre = points.where("inner").groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
     if inner == outer:  # the points that only one fingerprint reaches link nothing
         centre = centre.where("a <> z")
-    return points.join(centre.drop("z"), "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    return points.join(unsent(centre.drop("z")), "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def links(fps: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
@@ -178,7 +178,7 @@ def links(fps: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
     of all pairs that differ in at most ``max_bits`` bits."""
     keyed = fps.select("fp", F.explode(ring_keys(F.col("fp"), max_bits)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keyed.join(shared, "key"), "buckets")
+    members = written(join_keys(keyed, shared, ["key"], salt_by=F.xxhash64("fp"), how="inner"), "buckets")
     sparse = members.where(F.col("n") <= dense).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     crowd = members.where(F.col("n") > dense).select("fp").distinct()
     return _sparse_links(sparse, max_bits).union(_dense_links(crowd, max_bits))
@@ -196,14 +196,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must be 0 to 7")
     found = written(fingerprints(docs, id_col, text_col, words=words), "fingerprints")
+    n = found.count()
     each = found.groupBy("fp").agg(F.min("id").alias("least"))
     if max_bits:
         roots = connected_components(links(each.select("fp"), max_bits, dense))
-        each = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        each = each.join(each.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+        each = each.join(unsent(roots, n), each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        each = each.join(unsent(each.groupBy("root").agg(F.min("least").alias("component")), n), "root").select("fp", "component")
     else:
         each = each.withColumnRenamed("least", "component")
-    return found.join(each, "fp").select(
+    return found.join(unsent(each, n), "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
